@@ -35,8 +35,7 @@ def pass_at_k(outcomes: DataFrame, ks: Sequence[int] = DEFAULT_K,
     """A1: mean pass@k over tasks for each k; a k is reported only if every
     task has at least k completions. Output ``(k, pass_at_k)``."""
     tally = task_tally(outcomes, task_col, passed_col)
-    kdf = outcomes.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    per_task = tally.crossJoin(F.broadcast(kdf)).select(
+    per_task = tally.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).select(
         "k", F.col("n_total").alias("n"),
         pass_at_k_estimator(F.col("n_total"), F.col("n_passed"), F.col("k")).alias("p"))
     return (per_task.groupBy("k")

@@ -37,6 +37,10 @@ SELECT l_orderkey AS sample_id,
   -l_quantity/12.0e0 AS teacher_log_prob,
   -l_quantity/10.0e0 + (l_discount-l_tax)*4 AS rollout_log_prob
 FROM lineitem""",
+    "fx_token_samples": """
+SELECT o_orderkey AS sample_id, o_custkey AS group_id, o_totalprice/250000.0e0 - 1.0e0 AS reward,
+  o_orderstatus = 'P' AS skip
+FROM orders""",
     "fx_outcomes": """
 SELECT d.source AS task_id, d.lang AS datasource, d.doc_id AS completion_id, l.quality = 1 AS passed
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -72,14 +76,10 @@ def fx_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") >= 40, F.lit(1.0)).otherwise(F.lit(0.0)).alias("reward"),
         (F.col("value") / F.lit(100.0)).alias("raw_score"),
         F.floor(F.col("value") * 4).cast("int").alias("response_length"),
-        F.col("user_id").alias("__u"), F.col("rn").alias("__rn"),
+        F.count(F.lit(1)).over(Window.partitionBy("user_id", gnum)).alias("__gsz"),
     )
-    # a group is complete iff its first member has 3 successors inside the user:
-    # compare with the user's row count (small aggregate, map-side combined)
-    n_user = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("__u")).agg(
-        F.count(F.lit(1)).alias("__nu"))
-    full = F.floor(F.col("__nu") / F.lit(GROUP_SIZE)) * GROUP_SIZE
-    return d.join(n_user, "__u").filter(F.col("__rn") < full).drop("__u", "__rn", "__nu")
+    # complete groups only; the window is bounded by the group size
+    return d.filter(F.col("__gsz") == GROUP_SIZE).drop("__gsz")
 
 
 def fx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,15 @@ def fx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_token_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per token-table sample (an order): its prompt group (customer),
+    scalar reward and a skip flag."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("group_id"),
+                    (F.col("o_totalprice") / F.lit(250000.0) - F.lit(1.0)).alias("reward"),
+                    (F.col("o_orderstatus") == "P").alias("skip"))
+
+
 def fx_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
