@@ -206,13 +206,15 @@ def kd_advantage(tokens: DataFrame, teacher_col: str = "teacher_log_prob",
 
 
 def hybrid_blend(adv: Column, kd_adv: Column, kd_mask: Column, skip: Column,
-                 kd_coef: float, mask: Column) -> Column:
-    """M6: coef = 1 on skipped rows else kd_coef; adv*(1-coef*m) + coef*kd*m
-    with m = mask * (kd_mask > 0.5); a no-op when kd_coef <= 0."""
+                 kd_coef: float) -> Column:
+    """M6: per sample coef = 1 when reward was skipped else kd_coef; samples
+    with kd_mask > 0.5 get adv*(1-coef) + coef*kd_adv, others keep adv.
+    ``kd_adv`` is already (teacher - student) * action_mask. A no-op when
+    kd_coef <= 0."""
     if kd_coef <= 0:
         return adv
     coef = F.when(skip, F.lit(1.0)).otherwise(F.lit(float(kd_coef)))
-    m = mask.cast("double") * F.when(kd_mask > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    m = F.when(kd_mask > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
     return adv * (F.lit(1.0) - coef * m) + coef * kd_adv * m
 
 

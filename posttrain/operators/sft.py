@@ -9,3 +9,18 @@ from pyspark.sql import functions as F
 def expand_n_samples(prompts: DataFrame, n: int, out: str = "sample_idx") -> DataFrame:
     """Repeat every prompt row ``n`` times (copies adjacent by sample_idx)."""
     return prompts.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(out))
+
+
+def render_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+                role_col: str = "role", text_col: str = "text", add_generation_prompt: bool = True,
+                out: str = "prompt_text") -> DataFrame:
+    """Chat turns -> one prompt string per conversation (ChatML-style
+    markers), turns in order, generation prompt appended. The per-conversation
+    list is bounded by the number of turns."""
+    from posttrain.functions.text import GENERATION_PROMPT, render_turn
+    per = turns.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(turn_col).alias("t"), render_turn(F.col(role_col), F.col(text_col)).alias("s")))).alias("__a"))
+    body = F.array_join(F.transform("__a", lambda e: e["s"]), "")
+    if add_generation_prompt:
+        body = F.concat(body, F.lit(GENERATION_PROMPT))
+    return per.select(conv_col, body.alias(out))

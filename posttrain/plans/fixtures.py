@@ -41,6 +41,23 @@ FROM lineitem""",
 SELECT o_orderkey AS sample_id, o_custkey AS group_id, o_totalprice/250000.0e0 - 1.0e0 AS reward,
   o_orderstatus = 'P' AS skip
 FROM orders""",
+    "fx_responses": """
+SELECT doc_id, lang, source, text,
+  CASE doc_id % 8
+    WHEN 0 THEN '```python' || chr(10) || text || chr(10) || '```'
+    WHEN 1 THEN 'Answer:' || chr(10) || '```js' || chr(10) || text || chr(10) || '```'
+    WHEN 2 THEN '```java' || chr(10) || text || chr(10) || '```' || chr(10) || 'done'
+    WHEN 3 THEN '```cpp' || chr(10) || text || chr(10) || '```'
+    WHEN 4 THEN '```ruby' || chr(10) || text || chr(10) || '```'
+    WHEN 5 THEN '```' || chr(10) || text || chr(10) || '```'
+    WHEN 6 THEN '```python' || chr(10) || 'def f():' || chr(10) || '    return 1' || chr(10) || '```' || chr(10)
+                || '```python' || chr(10) || text || chr(10) || '```'
+    ELSE text END AS response,
+  CASE doc_id % 3
+    WHEN 0 THEN '[ANSWER]' || text || '[/ANSWER]'
+    WHEN 1 THEN '[ANSWER] x [/ANSWER] then [ANSWER]assert f(' || CAST(doc_id AS VARCHAR) || ') == ' || lang || '[/ANSWER]'
+    ELSE text END AS answer_text
+FROM documents""",
     "fx_outcomes": """
 SELECT d.source AS task_id, d.lang AS datasource, d.doc_id AS completion_id, l.quality = 1 AS passed
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -110,6 +127,30 @@ def fx_token_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("o_orderstatus") == "P").alias("skip"))
 
 
+def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses built from whole documents: code fences chosen by
+    ``doc_id % 8`` (python, js, java, cpp, ruby, bare, two blocks, none) and
+    ``[ANSWER]`` blocks by ``doc_id % 3``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    t, nl, fence = F.col("text"), F.lit("\n"), "```"
+
+    def wrap(tag, before="", after=""):
+        return F.concat(F.lit(before + fence + tag), nl, t, nl, F.lit(fence + after))
+    k = F.col("doc_id") % 8
+    resp = (F.when(k == 0, wrap("python")).when(k == 1, wrap("js", before="Answer:\n"))
+            .when(k == 2, wrap("java", after="\ndone")).when(k == 3, wrap("cpp"))
+            .when(k == 4, wrap("ruby")).when(k == 5, wrap(""))
+            .when(k == 6, wrap("python", before=fence + "python\ndef f():\n    return 1\n" + fence + "\n"))
+            .otherwise(t))
+    j = F.col("doc_id") % 3
+    ans = (F.when(j == 0, F.concat(F.lit("[ANSWER]"), t, F.lit("[/ANSWER]")))
+           .when(j == 1, F.concat(F.lit("[ANSWER] x [/ANSWER] then [ANSWER]assert f("),
+                                  F.col("doc_id").cast("string"), F.lit(") == "), F.col("lang"),
+                                  F.lit("[/ANSWER]")))
+           .otherwise(t))
+    return d.select("doc_id", "lang", "source", "text", resp.alias("response"), ans.alias("answer_text"))
+
+
 def fx_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")

@@ -224,12 +224,14 @@ def q_estimator_reinforce(spark, sf):
 
 @query("hybrid_blend", """
 , x AS (SELECT sample_id, t, action_mask, log_prob - old_log_prob AS adv,
-          teacher_log_prob - log_prob AS kd FROM fx_tokens)
-SELECT x.sample_id, t, round(CASE WHEN s.skip THEN adv * (1 - 1.0e0 * action_mask) + 1.0e0 * kd * action_mask
-   ELSE adv * (1 - 0.3e0 * action_mask) + 0.3e0 * kd * action_mask END, 6) + 0.0e0 AS advantages
+          (teacher_log_prob - log_prob) * action_mask AS kd FROM fx_tokens)
+SELECT x.sample_id, t, round(CASE WHEN s.reward <= 0.5e0 THEN adv
+   WHEN s.skip THEN adv * (1 - 1.0e0) + 1.0e0 * kd
+   ELSE adv * (1 - 0.3e0) + 0.3e0 * kd END, 6) + 0.0e0 AS advantages
 FROM x JOIN fx_token_samples s USING (sample_id)""", TS)
 def q_hybrid_blend(spark, sf):
-    t = fx.fx_tokens(spark, sf).join(fx.fx_token_samples(spark, sf).select("sample_id", "skip"), "sample_id")
-    a = adv.hybrid_blend(F.col("log_prob") - F.col("old_log_prob"), F.col("teacher_log_prob") - F.col("log_prob"),
-                         F.col("action_mask").cast("double"), F.col("skip"), 0.3, F.col("action_mask"))
+    t = fx.fx_tokens(spark, sf).join(fx.fx_token_samples(spark, sf).select("sample_id", "skip", "reward"),
+                                     "sample_id")
+    kd = (F.col("teacher_log_prob") - F.col("log_prob")) * F.col("action_mask")
+    a = adv.hybrid_blend(F.col("log_prob") - F.col("old_log_prob"), kd, F.col("reward"), F.col("skip"), 0.3)
     return t.select("sample_id", "t", rnd(a).alias("advantages"))
