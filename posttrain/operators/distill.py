@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ZERO_VEC = F.array(F.lit(0.0))
+def zero_vec() -> Column:
+    """The one-element zero vector used for rows without a teacher result."""
+    return F.array(F.lit(0.0))
 
 
 def is_finite(x: Column) -> Column:
@@ -18,43 +20,43 @@ def is_finite(x: Column) -> Column:
 
 
 def common_prefix_len(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix of two arrays."""
+    """Length of the longest common prefix of two arrays. ``zip_with`` reads
+    each input once (a lambda that indexes the arrays would re-evaluate them
+    per element)."""
     n = F.least(F.size(a), F.size(b))
-    eq = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(a, i) == F.element_at(b, i))
-    pos = F.array_position(eq, False)
-    return F.when(n == 0, F.lit(0)).when(pos == 0, n).otherwise((pos - 1).cast("int"))
+    pos = F.array_position(F.zip_with(a, b, lambda x, y: x == y), False)
+    return F.when(pos == 0, n).otherwise((pos - 1).cast("int"))
 
 
 def prompt_boundary(query_ids: Column, prompt_ids: Column, hint: Column | None = None) -> Column:
     """Prompt length inside ``query_ids``: the hint when 0 < hint < len;
     else the prompt's length when it is an exact prefix; else the longest
-    common prefix. Null (failure) when the result is <= 0 or the prompt is empty."""
-    p = F.size(prompt_ids)
-    exact = (p <= F.size(query_ids)) & (F.slice(query_ids, 1, F.greatest(p, F.lit(1))) == prompt_ids)
-    lcp = common_prefix_len(query_ids, prompt_ids)
-    plen = F.when(p == 0, F.lit(None).cast("int")).when(exact, p).otherwise(lcp)
-    plen = F.when(plen > 0, plen)
+    common prefix (which equals the prompt length for an exact prefix, so one
+    expression covers both). Null (failure) when <= 0 or the prompt is empty."""
+    plen = common_prefix_len(query_ids, prompt_ids)
+    plen = F.when((F.size(prompt_ids) > 0) & (plen > 0), plen)
     if hint is not None:
         plen = F.when((hint > 0) & (hint < F.size(query_ids)), hint.cast("int")).otherwise(plen)
     return plen
 
 
 def guided_splice(query_ids: Column, p_len: Column, guide_ids: Column, suffix_ids: Column) -> Column:
-    """D2 (token-level path): insert ``guide_ids`` before the chat suffix when
-    the prompt ends with it. Returns struct(ids, guided_len, delta, orig_len),
-    or null when the splice is impossible or does not lengthen the prompt."""
-    orig_p = F.slice(query_ids, 1, F.greatest(p_len, F.lit(1)))
-    resp = F.slice(query_ids, p_len + 1, F.greatest(F.size(query_ids) - p_len, F.lit(1)))
-    resp = F.when(F.size(query_ids) > p_len, resp).otherwise(F.array().cast("array<int>"))
+    """D2 (token-level path): when the prompt ``query_ids[:p_len]`` ends with
+    the chat suffix, insert ``guide_ids`` before it. Returns
+    struct(ids, guided_len, delta, orig_len); null when the prompt does not end
+    with the suffix or the guide is empty (delta = len(guide) must be > 0)."""
     ns = F.size(suffix_ids)
-    ends = (ns <= F.size(orig_p)) & (F.slice(orig_p, F.greatest(F.size(orig_p) - ns + 1, F.lit(1)), F.greatest(ns, F.lit(1))) == suffix_ids)
-    head = F.when(F.size(orig_p) > ns, F.slice(orig_p, 1, F.greatest(F.size(orig_p) - ns, F.lit(1)))).otherwise(
-        F.array().cast("array<int>"))
-    guided_p = F.when(ends & (F.size(guide_ids) > 0) & (ns > 0), F.concat(head, guide_ids, suffix_ids))
-    delta = F.size(guided_p) - p_len
-    ok = guided_p.isNotNull() & p_len.isNotNull() & (p_len > 0) & (delta > 0)
-    return F.when(ok, F.struct(F.concat(guided_p, resp).alias("ids"), F.size(guided_p).alias("guided_len"),
-                               delta.alias("delta"), F.size(query_ids).alias("orig_len")))
+    ng = F.size(guide_ids)
+    empty = F.array().cast("array<int>")
+    ends = (ns > 0) & (p_len >= ns) & (F.slice(query_ids, F.greatest(p_len - ns + 1, F.lit(1)),
+                                               F.greatest(ns, F.lit(1))) == suffix_ids)
+    head = F.when(p_len > ns, F.slice(query_ids, 1, F.greatest(p_len - ns, F.lit(1)))).otherwise(empty)
+    resp = F.when(F.size(query_ids) > p_len,
+                  F.slice(query_ids, p_len + 1, F.greatest(F.size(query_ids) - p_len, F.lit(1)))).otherwise(empty)
+    ok = p_len.isNotNull() & (p_len > 0) & ends & (ng > 0)
+    return F.when(ok, F.struct(F.concat(head, guide_ids, suffix_ids, resp).alias("ids"),
+                               (p_len + ng).alias("guided_len"), ng.alias("delta"),
+                               F.size(query_ids).alias("orig_len")))
 
 
 def validate_plain(lps: Column, orig_len: Column) -> Column:
@@ -100,7 +102,7 @@ def kd_scatter(batch: DataFrame, results: DataFrame, key: str = "sample_id",
     without one get the one-element zero vector and kd_mask 0."""
     r = results.select(key, F.col(value_col).alias("__v"))
     d = batch.join(r, key, "left")
-    return d.withColumn(value_col, F.coalesce(F.col("__v"), ZERO_VEC)).withColumn(
+    return d.withColumn(value_col, F.coalesce(F.col("__v"), zero_vec())).withColumn(
         "kd_mask", F.when(F.col("__v").isNull(), 0.0).otherwise(1.0)).drop("__v")
 
 

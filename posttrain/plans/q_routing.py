@@ -176,7 +176,7 @@ def q_kd_scatter(spark, sf):
 @query("guided_fallback", _KD_SQL + """
 SELECT s.sample_id,
   CASE WHEN s.reward > 0 THEN 1.0e0 ELSE 0.0e0 END AS guide_applied,
-  CASE WHEN NOT (s.reward > 0) AND NOT s.skip THEN 1.0e0 ELSE 0.0e0 END AS guide_fallback,
+  CASE WHEN NOT (s.reward > 0) THEN 1.0e0 ELSE 0.0e0 END AS guide_fallback,
   CASE WHEN s.reward > 0 OR NOT s.skip THEN 1.0e0 ELSE 0.0e0 END AS valid,
   round(CASE WHEN s.reward > 0 THEN list_sum(r.tlp) * 2 WHEN NOT s.skip THEN list_sum(r.tlp) ELSE 0.0e0 END, 6) AS teacher_sum
 FROM fx_token_samples s JOIN res r ON s.sample_id = r.sample_id""", TS)

@@ -22,7 +22,13 @@ def query(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query key {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_fixtures(sql, *fixtures) if fixtures else sql
+            if fixtures:
+                ORACLE[name] = with_fixtures(sql, *fixtures)
+            elif sql.lstrip().startswith(","):
+                # CTE continuation without fixture views
+                ORACLE[name] = "WITH " + sql.lstrip()[1:]
+            else:
+                ORACLE[name] = sql
         return fn
     return deco
 
