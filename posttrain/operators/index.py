@@ -67,6 +67,28 @@ def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
     return res.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop(b, "__local", "__off")
 
 
+def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_col: str,
+                     tiebreak: Sequence[str] = (), out: str = "offset", buckets: int = 64) -> DataFrame:
+    """Exclusive running sum of ``value_col`` per ``keys`` in ``order_col``
+    order (the offset of each row in a packed stream), with the same
+    bucketed plan as :func:`keyed_row_number`."""
+    keys = list(keys)
+    b = "__bucket"
+    with_b = df.withColumn(b, range_bucket(df, order_col, buckets))
+    order = _as_cols([order_col, *tiebreak])
+    w = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(value_col).over(w), F.lit(0))
+    numbered = with_b.withColumn("__local", local)
+    sums = with_b.groupBy(*keys, b).agg(F.sum(value_col).alias("__s"))
+    wk = Window.partitionBy(*keys).orderBy(b) if keys else Window.orderBy(b)
+    offsets = sums.select(*keys, b, (F.sum("__s").over(wk.rowsBetween(Window.unboundedPreceding, 0))
+                                     - F.col("__s")).alias("__off"))
+    if not keys:
+        offsets = F.broadcast(offsets)
+    res = numbered.join(offsets, [*keys, b], "inner")
+    return res.withColumn(out, F.col("__off") + F.col("__local")).drop(b, "__local", "__off")
+
+
 def global_index(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (),
                  out: str = "_seq", buckets: int = 64) -> DataFrame:
     """K0: stable 0-based global position by ``order_col`` (then ``tiebreak``)."""
