@@ -62,7 +62,8 @@ SELECT count(*) AS n_rejected FROM (SELECT conv_id, min_by(role, turn) AS r FROM
 def q_jsonl_rejects(spark, sf):
     path = _write_sft_jsonl(spark, sf)
     _, bad = io.read_jsonl(spark, path, io.SFT_SCHEMA)
-    return bad.agg(F.count(F.lit(1)).alias("n_rejected"))
+    # the count must read a parsed column too (see io.read_jsonl)
+    return bad.agg(F.count(F.coalesce(F.col(io.CORRUPT), F.col("conv_id").cast("string"))).alias("n_rejected"))
 
 
 @query("messages_coalesce", """
