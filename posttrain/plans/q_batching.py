@@ -333,3 +333,15 @@ def q_micro_batch_plan(spark, sf):
 def q_rollout_batch_count(spark, sf):
     d = _steps(spark, sf).withColumn("rollout_step", F.floor(F.col("_seq") / 512).cast("long"))
     return bt.rollout_batch_plan(d, actors=4, max_tokens=8000)
+
+
+@query("strip_right_padding", f"""
+, a AS (SELECT conv_id, turn, {_WL} AS ids FROM conversations)
+SELECT conv_id, turn, CAST(len(ids) AS INT) AS n FROM a""")
+def q_strip_right_padding(spark, sf):
+    """Every per-token column cut by the right-pad length of the mask."""
+    c = table(spark, sf, "conversations")
+    d = c.select("conv_id", "turn", _wl().alias("ids"), (F.col("conv_id") / 4).cast("long").alias("batch_id"))
+    d = d.withColumn("mask", F.array_repeat(F.lit(1), F.size("ids")))
+    p = sft.pad_sequences(d, {"ids": 0, "mask": 0})
+    return p.select("conv_id", "turn", F.size(sft.strip_right_padding(F.col("ids"), F.col("mask"))).alias("n"))

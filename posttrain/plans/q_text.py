@@ -164,3 +164,23 @@ FROM conversations""")
 def q_tokenize(spark, sf):
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.size(tx.tokenize(F.col("text"))).alias("n_tokens"))
+
+
+@query("candidates_x_tests", """
+, c AS (SELECT source AS task_id, doc_id AS completion_id,
+          coalesce(regexp_replace(regexp_extract_all(response, '(?s)```(?:python|go|ts|php|csharp|bash|javascript|cpp|cs|java|typescript|js|sh)(.*?)```', 1)[-1], '^\\s+|\\s+$', '', 'g'), 'raise') AS candidate
+        FROM fx_responses),
+t AS (SELECT DISTINCT source AS task_id, 'assert check(' || source || ')' AS test FROM documents)
+SELECT c.task_id, c.completion_id, md5(c.candidate || chr(10) || t.test) AS program_md5, CAST(length(c.candidate || chr(10) || t.test) AS INT) AS program_len
+FROM c JOIN t ON c.task_id = t.task_id""", RS)
+def q_candidates_x_tests(spark, sf):
+    """Every candidate of a task paired with that task's test program."""
+    from posttrain.operators.routing import candidates_x_tests
+    r = fx.fx_responses(spark, sf)
+    cands = r.select(F.col("source").alias("task_id"), F.col("doc_id").alias("completion_id"),
+                     tx.extract_code_last(F.col("response")).alias("candidate"))
+    tests = table(spark, sf, "documents").select(F.col("source").alias("task_id")).distinct().select(
+        "task_id", F.concat(F.lit("assert check("), F.col("task_id"), F.lit(")")).alias("test"))
+    d = candidates_x_tests(cands, tests)
+    return d.select("task_id", "completion_id", F.md5("program").alias("program_md5"),
+                    F.length("program").alias("program_len"))
