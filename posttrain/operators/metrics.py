@@ -24,10 +24,12 @@ def task_tally(outcomes: DataFrame, task_col: str = "task_id",
 
 
 def pass_at_k_estimator(n, c, k):
-    """Unbiased pass@k of one task: 1 - prod_{i=n-c+1..n} (1 - k/i), 1.0 when n-c < k."""
+    """Unbiased pass@k of one task: 1 - prod_{i=n-c+1..n} (1 - k/i), 1.0 when
+    n-c < k, 0.0 when nothing passed (empty product; Spark's ``sequence``
+    would count down instead of being empty)."""
     prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
                        lambda acc, i: acc * (F.lit(1.0) - k / i.cast("double")))
-    return F.when(n - c < k, F.lit(1.0)).otherwise(F.lit(1.0) - prod)
+    return F.when(n - c < k, F.lit(1.0)).when(c <= 0, F.lit(0.0)).otherwise(F.lit(1.0) - prod)
 
 
 def pass_at_k(outcomes: DataFrame, ks: Sequence[int] = DEFAULT_K,

@@ -20,7 +20,7 @@ O = ("fx_outcomes",)
 @query("pass_at_k", """
 SELECT k, round(avg(p), 6) AS pass_at_k FROM (
   SELECT k.k, t.n,
-    CASE WHEN t.n - t.c < k.k THEN 1.0e0
+    CASE WHEN t.n - t.c < k.k THEN 1.0e0 WHEN t.c = 0 THEN 0.0e0
          ELSE 1.0e0 - list_product(list_transform(range(t.n - t.c + 1, t.n + 1), lambda i: 1.0e0 - k.k / i)) END AS p
   FROM (SELECT task_id, count(*) AS n, CAST(sum(CAST(passed AS INT)) AS BIGINT) AS c FROM fx_outcomes GROUP BY task_id) t,
        (SELECT unnest([1, 10, 100]) AS k) k) x

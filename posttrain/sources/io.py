@@ -32,10 +32,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .json(path).withColumn("_file", F.col("_metadata.file_path")))
+    # Spark refuses scans of raw JSON that need only the corrupt-record
+    # column (e.g. a count of bad lines), so the reject predicate also reads a
+    # parsed column; it cannot be folded away.
+    first = schema.fields[0].name
+    is_bad = F.col(CORRUPT).isNotNull() & F.coalesce(F.col(CORRUPT), F.col(first).cast("string")).isNotNull()
     good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
-    # keep a parsed column next to the raw line: Spark refuses plans that read
-    # only the corrupt-record column from raw JSON
-    bad = raw.filter(F.col(CORRUPT).isNotNull()).select("_file", CORRUPT, schema.fields[0].name)
+    bad = raw.filter(is_bad).select("_file", CORRUPT, first)
     return good, bad
 
 
