@@ -287,6 +287,65 @@ def least_loaded(lengths: list[int], k: int, equal_size: bool = False) -> list[l
     return parts
 
 
+def first_fit_expr(lengths: Column, budget: int) -> Column:
+    """K4 as a Catalyst fold over an ordered length array: the array of bin
+    loads (its size is the bin count). No Python; O(items x bins)."""
+    b = F.lit(int(budget))
+
+    def place(bins, x):
+        pos = F.array_position(F.transform(bins, lambda load: load + x <= b), True)
+        return F.when(pos == 0, F.concat(bins, F.array(x))).otherwise(
+            F.transform(bins, lambda load, i: F.when(i + 1 == pos, load + x).otherwise(load)))
+
+    return F.aggregate(lengths.cast("array<long>"), F.array().cast("array<long>"), place)
+
+
+def least_loaded_expr(lengths: Column, k: int, equal_size: bool = False) -> Column:
+    """K6 as a fold: each item in arrival order to the lightest set (lowest
+    index on ties); returns the set index of every item."""
+    bias = F.aggregate(lengths.cast("array<long>"), F.lit(0).cast("long"), lambda a, x: a + x) + 1 \
+        if equal_size else F.lit(0).cast("long")
+    init = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("sums"), F.array().cast("array<int>").alias("parts"))
+
+    def place(st, x):
+        j = F.array_position(st["sums"], F.array_min(st["sums"]))
+        sums = F.transform(st["sums"], lambda v, i: F.when(i + 1 == j, v + x + bias).otherwise(v))
+        return F.struct(sums.alias("sums"), F.concat(st["parts"], F.array((j - 1).cast("int"))).alias("parts"))
+
+    return F.aggregate(lengths.cast("array<long>"), init, place)["parts"]
+
+
+def group_map(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
+    """Run ``fn(pdf_of_one_group) -> pdf`` for every group with one Python
+    call per partition: rows are hash-partitioned by the keys and sorted
+    within partitions, so a group is contiguous; a group split across Arrow
+    batches is carried over to the next batch. Cheaper than
+    ``applyInPandas`` when groups are many and small (one training step each)."""
+    # an explicit partition count: AQE would otherwise coalesce this small
+    # shuffle into one partition and serialise the Python work
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    d = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last_key = tuple(pdf.iloc[-1][k] for k in keys)
+            tail = (pdf[keys] == pd.Series(last_key, index=keys)).all(axis=1)
+            carry, done = pdf[tail], pdf[~tail]
+            if not done.empty:
+                outs = [fn(g) for _, g in done.groupby(keys, sort=False)]
+                yield pd.concat(outs, ignore_index=True)
+        if carry is not None and not carry.empty:
+            yield fn(carry.reset_index(drop=True))
+
+    return d.mapInPandas(run, schema)
+
+
 _PLAN_SCHEMA = ("step long, micro_batch int, sample_id long, local_pos int, loss_scale double, "
                 "optimizer_step int, n_micro int")
 
@@ -304,17 +363,10 @@ def micro_batch_plan(df: DataFrame, local_batch: int, max_tokens: int, ring: int
     d = df.withColumn("step", step)
     keys = ["step"] + ([rank_col] if rank_col else [])
     # stage 1: first-fit count per (step, rank), then max over ranks
-    ff_schema = "step long" + (f", {rank_col} long" if rank_col else "") + ", n_ff int"
-
-    def count_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq_col)
-        n = len(first_fit_bins(pdf[len_col].astype(int).tolist(), budget))
-        row = {"step": pdf["step"].iloc[0], "n_ff": n}
-        if rank_col:
-            row[rank_col] = pdf[rank_col].iloc[0]
-        return pd.DataFrame([row])
-
-    ff = d.select(*keys, seq_col, len_col).groupBy(*keys).applyInPandas(count_bins, ff_schema)
+    # stage 1: first-fit count per (step, rank) as a fold over the step's
+    # ordered lengths (bounded by the local batch), then max over ranks
+    ff = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seq_col, len_col))).alias("__a"))
+    ff = ff.select(*keys, F.size(first_fit_expr(F.transform("__a", lambda e: e[len_col]), budget)).alias("n_ff"))
     n_micro = ff.groupBy("step").agg(F.max("n_ff").alias("n_micro"))
     d = d.join(n_micro, "step")
 
@@ -330,7 +382,7 @@ def micro_batch_plan(df: DataFrame, local_batch: int, max_tokens: int, ring: int
         return pd.DataFrame(rows, columns=["step", "micro_batch", "sample_id", "local_pos", "loss_scale",
                                            "optimizer_step", "n_micro"])
 
-    return d.select(*keys, seq_col, len_col, id_col, "n_micro").groupBy(*keys).applyInPandas(plan, _PLAN_SCHEMA)
+    return group_map(d.select(*keys, seq_col, len_col, id_col, "n_micro"), keys, [seq_col], plan, _PLAN_SCHEMA)
 
 
 def rollout_batch_plan(df: DataFrame, actors: int, max_tokens: int, group_col: str = "rollout_step",
@@ -352,30 +404,33 @@ def rollout_batch_plan(df: DataFrame, actors: int, max_tokens: int, group_col: s
         return pd.DataFrame(rows, columns=[group_col, "batch", id_col, "n_batches"])
 
     schema = f"{group_col} long, batch int, {id_col} long, n_batches int"
-    return df.select(group_col, seq_col, len_col, id_col).groupBy(group_col).applyInPandas(plan, schema)
+    return group_map(df.select(group_col, seq_col, len_col, id_col), [group_col], [seq_col], plan, schema)
 
 
 def first_fit_count(df: DataFrame, budget: int, group_col: str, seq_col: str = "_seq",
                     len_col: str = "total_length") -> DataFrame:
-    """K4 as a query: bins per group."""
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq_col)
-        bins = first_fit_bins(pdf[len_col].astype(int).tolist(), budget)
-        return pd.DataFrame([{group_col: pdf[group_col].iloc[0], "n_bins": len(bins), "max_bin": max(bins)}])
-    return df.select(group_col, seq_col, len_col).groupBy(group_col).applyInPandas(
-        count, f"{group_col} long, n_bins int, max_bin long")
+    """K4 as a query: bins per group (a Catalyst fold, no Python)."""
+    per = df.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(seq_col, len_col))).alias("__a"))
+    bins = first_fit_expr(F.transform("__a", lambda e: e[len_col]), budget)
+    return per.select(group_col, F.size(bins).alias("n_bins"), F.array_max(bins).alias("max_bin"))
 
 
 def balanced_partitions(df: DataFrame, k: int, group_col: str, seq_col: str = "_seq",
                         len_col: str = "total_length", id_col: str = "sample_id", equal_size: bool = False,
                         method: str = "kk") -> DataFrame:
-    """K5 / K6 as a query: partition index of every row, per group."""
-    fn = largest_differencing if method == "kk" else least_loaded
+    """K5 / K6 as a query: partition index of every row, per group. The
+    greedy method is a Catalyst fold; largest differencing runs in pandas,
+    one Python call per partition of groups."""
+    if method != "kk":
+        per = df.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(seq_col, len_col, id_col))).alias("__a"))
+        parts = least_loaded_expr(F.transform("__a", lambda e: e[len_col]), k, equal_size)
+        z = F.arrays_zip(F.transform("__a", lambda e: e[id_col]).alias("id"), parts.alias("part"))
+        return per.select(group_col, F.inline(z)).select(group_col, "part", F.col("id").alias(id_col))
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq_col).reset_index(drop=True)
-        parts = fn(pdf[len_col].astype(int).tolist(), k, equal_size)
+        parts = largest_differencing(pdf[len_col].astype(int).tolist(), k, equal_size)
         rows = [(pdf[group_col].iloc[0], j, int(pdf[id_col].iloc[i])) for j, p in enumerate(parts) for i in p]
         return pd.DataFrame(rows, columns=[group_col, "part", id_col])
-    return df.select(group_col, seq_col, len_col, id_col).groupBy(group_col).applyInPandas(
-        part, f"{group_col} long, part int, {id_col} long")
+    return group_map(df.select(group_col, seq_col, len_col, id_col), [group_col], [seq_col], part,
+                     f"{group_col} long, part int, {id_col} long")

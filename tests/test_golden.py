@@ -119,3 +119,27 @@ def test_empty_mask_last_token_and_returns(spark):
 def test_group_std_size_one_is_null(spark):
     d = spark.createDataFrame([(1, 0.5)], "group_id long, reward double")
     assert adv.group_reward_std(d).collect()[0].group_reward_std is None
+
+
+def test_discounted_returns_long_sequence(spark):
+    """Several blocks (gamma 0.5 gives blocks of 865 tokens) against the
+    plain recurrence."""
+    import random
+    r = random.Random(5)
+    n = 2000
+    xs = [r.uniform(-1, 1) for _ in range(n)]
+    ms = [1 if r.random() < 0.8 else 0 for _ in range(n)]
+    d = spark.createDataFrame([(0, t, ms[t], xs[t]) for t in range(n)],
+                              "sample_id long, t int, action_mask int, token_reward double")
+    got = [x.returns for x in adv.discounted_returns(d, gamma=0.5).orderBy("t").collect()]
+    acc, want = 0.0, [0.0] * n
+    for t in range(n - 1, -1, -1):
+        acc = ms[t] * xs[t] + 0.5 * acc
+        want[t] = acc
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+    got9 = [x.returns for x in adv.discounted_returns(d, gamma=0.999).orderBy("t").collect()]
+    acc, want9 = 0.0, [0.0] * n
+    for t in range(n - 1, -1, -1):
+        acc = ms[t] * xs[t] + 0.999 * acc
+        want9[t] = acc
+    assert got9 == pytest.approx(want9, rel=1e-9, abs=1e-9)
