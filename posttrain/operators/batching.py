@@ -102,13 +102,14 @@ def snake_balance(df: DataFrame, lanes: int, len_col: str = "total_length", seq_
     ``lanes``, interleave the first half with the reversed second half, and
     zip lanes. Closed form over the rank (survey 2.15); rows beyond the
     shortest lane are dropped as the zip does. Adds ``lane`` and ``slot``."""
-    keys = [step_col] if step_col else []
     d = df.withColumn("__neg", -F.col(len_col).cast("double"))
-    d = keyed_row_number(d, keys, "__neg", tiebreak=[seq_col], out="__r")
-    if keys:
-        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__N"))
-        d = d.join(n, keys)
+    if step_col:
+        # a step is one rollout batch: its window is bounded by configuration
+        w = Window.partitionBy(step_col)
+        d = d.withColumn("__r", F.row_number().over(w.orderBy("__neg", seq_col)) - 1).withColumn(
+            "__N", F.count(F.lit(1)).over(w))
     else:
+        d = keyed_row_number(d, [], "__neg", tiebreak=[seq_col], out="__r")
         d = d.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__N"))))
     E = F.lit(lanes)
     r, N = F.col("__r"), F.col("__N")

@@ -29,29 +29,57 @@ def _as_cols(cols):
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def range_bucket(df: DataFrame, order_col: str, buckets: int = 64,
+TARGET_BUCKET_BYTES = 64 * 1024 * 1024
+MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Buckets from the optimizer's size estimate (no job): about one
+    bucket per 64 MB of input, so a hot key's rows are split into pieces a
+    single task can sort even at 100 TB."""
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no estimate available
+        return MIN_BUCKETS
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, size // TARGET_BUCKET_BYTES)))
+
+
+def _bisect(x: Column, bounds: list[float], lo: int, hi: int) -> Column:
+    """Number of bounds <= x for bounds[lo:hi] as a balanced CASE tree
+    (depth log2(len), stays inside whole-stage codegen)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x >= F.lit(bounds[mid]), _bisect(x, bounds, mid + 1, hi)).otherwise(_bisect(x, bounds, lo, mid))
+
+
+def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
                  rel_error: float = 1e-3) -> Column:
-    """Monotone bucket id of ``order_col`` from approximate quantiles."""
+    """Monotone bucket id of ``order_col`` from approximate quantiles of
+    ``df[order_col]`` (pass the narrowest frame that has the column - e.g. the
+    source table - so the quantile pass does not recompute a derivation). The
+    quantile pass is one aggregation job returning ``buckets - 1`` numbers."""
+    buckets = buckets or default_buckets(df)
     if buckets <= 1:
         return F.lit(0)
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.approxQuantile(order_col, probs, rel_error)
-    bounds = sorted(set(b for b in bounds if b is not None))
+    acc = max(100, int(1 / rel_error), 4 * buckets)
+    row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, acc).alias("q")).collect()[0]
+    bounds = sorted(set(b for b in (row["q"] or []) if b is not None))
     if not bounds:
         return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    x = F.col(order_col).cast("double")
-    return F.size(F.filter(arr, lambda b: b <= x))
+    return _bisect(F.col(order_col).cast("double"), bounds, 0, len(bounds))
 
 
 def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
                      tiebreak: Sequence[str] = (), out: str = "rn",
-                     buckets: int = 64) -> DataFrame:
+                     buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """0-based ``row_number() over (partition by keys order by order_col, tiebreak)``
-    computed without putting a hot key into a single task."""
+    computed without putting a hot key into a single task. ``bounds``: a frame
+    with ``order_col`` to take the bucket quantiles from (default ``df``)."""
     keys = list(keys)
     b = "__bucket"
-    with_b = df.withColumn(b, range_bucket(df, order_col, buckets))
+    with_b = df.withColumn(b, range_bucket(bounds if bounds is not None else df, order_col, buckets))
     order = _as_cols([order_col, *tiebreak])
     local = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)) - 1
     numbered = with_b.withColumn("__local", local)
@@ -61,20 +89,21 @@ def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
         *keys, b,
         (F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__off"))
     if not keys:
-        # at most `buckets` rows: a bounded broadcast
+        # at most `buckets` (<= MAX_BUCKETS) rows: a bounded broadcast
         offsets = F.broadcast(offsets)
     res = numbered.join(offsets, [*keys, b], "inner")
     return res.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop(b, "__local", "__off")
 
 
 def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_col: str,
-                     tiebreak: Sequence[str] = (), out: str = "offset", buckets: int = 64) -> DataFrame:
+                     tiebreak: Sequence[str] = (), out: str = "offset", buckets: int | None = None,
+                     bounds: DataFrame | None = None) -> DataFrame:
     """Exclusive running sum of ``value_col`` per ``keys`` in ``order_col``
     order (the offset of each row in a packed stream), with the same
     bucketed plan as :func:`keyed_row_number`."""
     keys = list(keys)
     b = "__bucket"
-    with_b = df.withColumn(b, range_bucket(df, order_col, buckets))
+    with_b = df.withColumn(b, range_bucket(bounds if bounds is not None else df, order_col, buckets))
     order = _as_cols([order_col, *tiebreak])
     w = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(value_col).over(w), F.lit(0))
@@ -90,9 +119,9 @@ def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_c
 
 
 def global_index(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (),
-                 out: str = "_seq", buckets: int = 64) -> DataFrame:
+                 out: str = "_seq", buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """K0: stable 0-based global position by ``order_col`` (then ``tiebreak``)."""
-    return keyed_row_number(df, [], order_col, tiebreak, out, buckets)
+    return keyed_row_number(df, [], order_col, tiebreak, out, buckets, bounds)
 
 
 def file_order_index(df: DataFrame, out: str = "_seq") -> DataFrame:

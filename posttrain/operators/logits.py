@@ -132,13 +132,14 @@ def topk_gate(logits: Column, k: int, noise: Column | None = None, noise_logits:
 
 
 def expert_capacity(routes: DataFrame, n_experts: int, k: int, factor: float, id_col: str,
-                    gate_col: str = "gate") -> DataFrame:
+                    gate_col: str = "gate", bounds: DataFrame | None = None) -> DataFrame:
     """One row per (row, chosen expert); each expert keeps its first
     int(B*k/E*factor) rows by ``id_col``. Position inside an expert uses the
     skew-safe keyed row number, so a popular expert is not one task."""
     d = routes.select(id_col, F.posexplode(gate_col).alias("rank", "g")).select(
         id_col, "rank", F.col("g.idx").alias("expert"), F.col("g.weight").alias("weight"))
     n = routes.agg(F.count(F.lit(1)).alias("__B"))
-    d = keyed_row_number(d, ["expert"], id_col, out="pos_in_expert")
+    d = keyed_row_number(d, ["expert"], id_col, out="pos_in_expert",
+                         bounds=bounds if bounds is not None else routes.select(id_col))
     cap = F.floor(F.col("__B") * F.lit(k) / F.lit(n_experts) * F.lit(factor))
     return d.crossJoin(F.broadcast(n)).filter(F.col("pos_in_expert") < cap).drop("__B")

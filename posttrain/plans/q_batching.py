@@ -22,7 +22,9 @@ _SEQ = """, s AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS seq FR
 
 
 def _seq(spark, sf):
-    return global_index(fx.fx_rollouts(spark, sf), "sample_id", out="_seq")
+    # quantiles straight from the events column the sample id comes from
+    bounds = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"))
+    return global_index(fx.fx_rollouts(spark, sf), "sample_id", out="_seq", bounds=bounds)
 
 
 @query("global_index", """
@@ -94,7 +96,8 @@ SELECT sample_id, seq FROM s WHERE seq < 1000""", R)
 def q_cap_rollouts(spark, sf):
     from posttrain.operators.routing import dynamic_filter
     k = dynamic_filter(fx.fx_rollouts(spark, sf), 4, (0.2, 0.6), score_col="raw_score")
-    d = global_index(k, "sample_id", out="seq")
+    bounds = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"))
+    d = global_index(k, "sample_id", out="seq", bounds=bounds)
     return d.filter(F.col("seq") < 250 * 4).select("sample_id", "seq")
 
 

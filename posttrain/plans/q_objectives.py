@@ -306,5 +306,5 @@ WHERE pos < floor((SELECT count(*) FROM embeddings) * 2 / 64.0 * 1.25)""")
 def q_expert_capacity(spark, sf):
     e = table(spark, sf, "embeddings")
     g = e.select("vec_id", lg.topk_gate(F.col("embedding"), 2).alias("gate"))
-    d = lg.expert_capacity(g, 64, 2, 1.25, "vec_id")
+    d = lg.expert_capacity(g, 64, 2, 1.25, "vec_id", bounds=e.select("vec_id"))
     return d.select("vec_id", "expert", "pos_in_expert")
