@@ -148,16 +148,11 @@ def discounted_returns(tokens: DataFrame, gamma: float = 1.0, reward_col: str =
 
 
 def masked_moments(tokens: DataFrame, value_col: str, mask_col: str = "action_mask") -> DataFrame:
-    """One-row global masked mean / population variance (two partial aggregates)."""
-    m = F.col(mask_col).cast("double")
-    v = F.col(value_col)
-    agg = tokens.agg(F.sum(v * m).alias("__sxm"), F.sum(v * v * m).alias("__sxxm"),
-                     F.sum(m).alias("__sm"))
-    mean = F.col("__sxm") / F.nullif(F.col("__sm"), F.lit(0.0))
-    # sum m (x - mean)^2 = sum m x^2 - 2 mean sum m x + mean^2 sum m
-    var = (F.col("__sxxm") - F.lit(2.0) * mean * F.col("__sxm") + mean * mean * F.col("__sm")) / \
-        F.nullif(F.col("__sm"), F.lit(0.0))
-    return agg.select(mean.alias("__mean"), var.alias("__var"))
+    """One-row masked mean and population variance in a single pass, using
+    Spark's numerically stable (parallel Welford) ``avg`` / ``var_pop`` over
+    the masked-in values (a 0/1 mask selects rows; nulls are skipped)."""
+    v = F.when(F.col(mask_col) == 1, F.col(value_col))
+    return tokens.agg(F.avg(v).alias("__mean"), F.var_pop(v).alias("__var"))
 
 
 def whiten(tokens: DataFrame, value_col: str = "advantages", mask_col: str = "action_mask",
@@ -165,19 +160,16 @@ def whiten(tokens: DataFrame, value_col: str = "advantages", mask_col: str = "ac
     """(x - masked mean) * rsqrt(max(masked population var, 1e-8)) over
     all tokens of the batch; applied to every position (unmasked).
 
-    The variance is the exact two-pass form (second pass over the tokens with
-    the broadcast mean) to avoid cancellation."""
+    The statistics are one global aggregate (partial per partition, stable
+    variance) joined back as a one-row broadcast; the upstream shuffle is
+    shared by the aggregate and the apply step (exchange reuse)."""
     out = out or value_col
-    m = F.col(mask_col).cast("double")
-    mean_df = tokens.agg((F.sum(F.col(value_col) * m) / F.nullif(F.sum(m), F.lit(0.0))).alias("__mean"))
-    d = tokens.crossJoin(F.broadcast(mean_df))
+    stats = masked_moments(tokens, value_col, mask_col)
+    d = tokens.crossJoin(F.broadcast(stats))
     if use_std:
-        var_df = d.agg((F.sum(F.pow(F.col(value_col) - F.col("__mean"), 2) * m) /
-                        F.nullif(F.sum(m), F.lit(0.0))).alias("__var"))
-        d = d.crossJoin(F.broadcast(var_df))
         scale = F.lit(1.0) / F.sqrt(F.greatest(F.col("__var"), F.lit(EPS_WHITEN_VAR)))
         return d.withColumn(out, (F.col(value_col) - F.col("__mean")) * scale).drop("__mean", "__var")
-    return d.withColumn(out, F.col(value_col) - F.col("__mean")).drop("__mean")
+    return d.withColumn(out, F.col(value_col) - F.col("__mean")).drop("__mean", "__var")
 
 
 def masked_mean(df: DataFrame, value_col: str, mask_col: str, by: list[str] | None = None,

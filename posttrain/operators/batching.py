@@ -23,7 +23,11 @@ from posttrain.operators.index import keyed_prefix_sum, keyed_row_number
 # ----------------------------------------------------------- closed forms
 
 def with_count(df: DataFrame, out: str = "__n") -> DataFrame:
-    """Attach the row count as a column (one-row aggregate, broadcast)."""
+    """Attach the row count as a column: reuse it when the position step
+    already attached it (``global_index(..., total_out="__n")``), else a
+    one-row aggregate joined as a broadcast."""
+    if out in df.columns:
+        return df
     return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(out))))
 
 
@@ -34,6 +38,7 @@ def rank_shard(df: DataFrame, replicas: int, drop_last: bool = False,
     than once); with it the tail is cut. Each rank skips
     ``consumed_samples // replicas`` of its entries. Adds ``rank`` and
     ``local_idx``. The row count comes from a one-row aggregate, not the driver."""
+    added = "__n" not in df.columns
     d = with_count(df)
     n = F.col("__n")
     if drop_last:
@@ -49,7 +54,8 @@ def rank_shard(df: DataFrame, replicas: int, drop_last: bool = False,
     d = d.select("*", pos.alias("__pos"))
     d = d.withColumn("rank", (F.col("__pos") % replicas).cast("int")).withColumn(
         "local_idx", (F.floor(F.col("__pos") / replicas) - skip).cast("long"))
-    return d.filter(F.col("local_idx") >= 0).drop("__pos", "__n", "__total")
+    d = d.filter(F.col("local_idx") >= 0).drop("__pos", "__total")
+    return d.drop("__n") if added else d
 
 
 def ceil_chunks(seq: Column, n_rows: Column, parts: int) -> Column:
@@ -65,15 +71,16 @@ def fixed_micro_batches(seq: Column, size: int) -> Column:
 def drop_ragged_batch(df: DataFrame, size: int, seq_col: str = "_seq") -> DataFrame:
     """Keep only full batches (batch < floor(n/size)); adds ``batch_id``."""
     d = with_count(df).withColumn("batch_id", fixed_micro_batches(F.col(seq_col), size))
-    return d.filter(F.col("batch_id") < F.floor(F.col("__n") / F.lit(size))).drop("__n")
+    d = d.filter(F.col("batch_id") < F.floor(F.col("__n") / F.lit(size)))
+    return d if "__n" in df.columns else d.drop("__n")
 
 
 def keep_last_n(df: DataFrame, limit: int, seq_col: str = "_seq") -> DataFrame:
     """Evict the oldest rows beyond ``limit`` (limit <= 0 keeps all)."""
     if limit <= 0:
         return df
-    d = with_count(df)
-    return d.filter(F.col(seq_col) >= F.col("__n") - F.lit(limit)).drop("__n")
+    d = with_count(df).filter(F.col(seq_col) >= F.col("__n") - F.lit(limit))
+    return d if "__n" in df.columns else d.drop("__n")
 
 
 def hash_order_key(id_col: Column, seed: int) -> Column:

@@ -73,10 +73,13 @@ def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
 
 def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
                      tiebreak: Sequence[str] = (), out: str = "rn",
-                     buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
+                     buckets: int | None = None, bounds: DataFrame | None = None,
+                     total_out: str | None = None) -> DataFrame:
     """0-based ``row_number() over (partition by keys order by order_col, tiebreak)``
     computed without putting a hot key into a single task. ``bounds``: a frame
-    with ``order_col`` to take the bucket quantiles from (default ``df``)."""
+    with ``order_col`` to take the bucket quantiles from (default ``df``).
+    ``total_out``: also attach the row count of the key (of the whole frame
+    when there are no keys), read off the small counts table - no extra pass."""
     keys = list(keys)
     b = "__bucket"
     with_b = df.withColumn(b, range_bucket(bounds if bounds is not None else df, order_col, buckets))
@@ -85,9 +88,13 @@ def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
     numbered = with_b.withColumn("__local", local)
     counts = with_b.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
     wk = Window.partitionBy(*keys).orderBy(b) if keys else Window.orderBy(b)
+    extra = []
+    if total_out:
+        wt = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        extra = [F.sum("__n").over(wt).alias(total_out)]
     offsets = counts.select(
         *keys, b,
-        (F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__off"))
+        (F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__off"), *extra)
     if not keys:
         # at most `buckets` (<= MAX_BUCKETS) rows: a bounded broadcast
         offsets = F.broadcast(offsets)
@@ -119,9 +126,11 @@ def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_c
 
 
 def global_index(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (),
-                 out: str = "_seq", buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
-    """K0: stable 0-based global position by ``order_col`` (then ``tiebreak``)."""
-    return keyed_row_number(df, [], order_col, tiebreak, out, buckets, bounds)
+                 out: str = "_seq", buckets: int | None = None, bounds: DataFrame | None = None,
+                 total_out: str | None = None) -> DataFrame:
+    """K0: stable 0-based global position by ``order_col`` (then ``tiebreak``);
+    ``total_out`` attaches the row count as well."""
+    return keyed_row_number(df, [], order_col, tiebreak, out, buckets, bounds, total_out)
 
 
 def file_order_index(df: DataFrame, out: str = "_seq") -> DataFrame:

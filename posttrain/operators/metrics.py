@@ -98,8 +98,11 @@ def seqlen_unbalance(lengths: DataFrame, parts: int, seq_col: str = "_seq",
     """Per grouping ('contiguous' chunks of floor(n/k) rows - a ragged
     tail is its own chunk - or the given balanced partition column) the
     min/max/diff of partition sums and the mean total/k. One row per kind."""
-    n = lengths.agg(F.count(F.lit(1)).alias("__n"))
-    d = lengths.crossJoin(F.broadcast(n)).withColumn(
+    if "__n" in lengths.columns:  # row count attached by the position step
+        d = lengths
+    else:
+        d = lengths.crossJoin(F.broadcast(lengths.agg(F.count(F.lit(1)).alias("__n"))))
+    d = d.withColumn(
         "__chunk", F.floor(F.col(seq_col) / F.floor(F.col("__n") / F.lit(parts))).cast("long"))
     kinds = [("contiguous", "__chunk")]
     if part_col:

@@ -24,7 +24,7 @@ _SEQ = """, s AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS seq FR
 def _seq(spark, sf):
     # quantiles straight from the events column the sample id comes from
     bounds = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"))
-    return global_index(fx.fx_rollouts(spark, sf), "sample_id", out="_seq", bounds=bounds)
+    return global_index(fx.fx_rollouts(spark, sf), "sample_id", out="_seq", bounds=bounds, total_out="__n")
 
 
 @query("global_index", """
@@ -254,9 +254,8 @@ def q_all_gather(spark, sf):
     """Per-rank shards (K1, no padding rows here) concatenated in rank order."""
     d = bt.rank_shard(_seq(spark, sf), 7)
     d = d.filter(F.col("_seq") == F.col("local_idx") * 7 + F.col("rank"))  # the original copies, not the wrap-around
-    ns = _seq(spark, sf).agg(F.ceil(F.count(F.lit(1)) / F.lit(7)).cast("long").alias("ns"))
-    d = d.crossJoin(F.broadcast(ns))
-    return d.select("sample_id", (F.col("rank") * F.col("ns") + F.col("local_idx")).alias("gathered_pos"))
+    ns = F.ceil(F.col("__n") / F.lit(7)).cast("long")
+    return d.select("sample_id", (F.col("rank") * ns + F.col("local_idx")).alias("gathered_pos"))
 
 
 @query("select_fields", """
