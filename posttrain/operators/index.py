@@ -44,13 +44,15 @@ def default_buckets(df: DataFrame) -> int:
     return int(min(MAX_BUCKETS, max(MIN_BUCKETS, size // TARGET_BUCKET_BYTES)))
 
 
-def _bisect(x: Column, bounds: list[float], lo: int, hi: int) -> Column:
+def _bisect_sql(x: str, bounds: list[float], lo: int, hi: int) -> str:
     """Number of bounds <= x for bounds[lo:hi] as a balanced CASE tree
-    (depth log2(len), stays inside whole-stage codegen)."""
+    (depth log2(len)); built as SQL text so the tree costs one call to the
+    JVM, and it stays inside whole-stage codegen."""
     if lo >= hi:
-        return F.lit(lo)
+        return str(lo)
     mid = (lo + hi) // 2
-    return F.when(x >= F.lit(bounds[mid]), _bisect(x, bounds, mid + 1, hi)).otherwise(_bisect(x, bounds, lo, mid))
+    return (f"CASE WHEN {x} >= {float(bounds[mid])!r}D THEN {_bisect_sql(x, bounds, mid + 1, hi)} "
+            f"ELSE {_bisect_sql(x, bounds, lo, mid)} END")
 
 
 def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
@@ -68,7 +70,8 @@ def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
     bounds = sorted(set(b for b in (row["q"] or []) if b is not None))
     if not bounds:
         return F.lit(0)
-    return _bisect(F.col(order_col).cast("double"), bounds, 0, len(bounds))
+    x = f"CAST(`{order_col}` AS DOUBLE)"
+    return F.expr(_bisect_sql(x, bounds, 0, len(bounds)))
 
 
 def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
