@@ -128,6 +128,15 @@ def q_adaptive_kl(spark, sf):
     return d.select("run", rnd("kl_coef").alias("kl_coef"))
 
 
+@query("adaptive_kl_trace", """
+, s AS (SELECT user_id % 3 AS run, event_id AS step, value / 100.0e0 AS kl, 1 + event_id % 3 AS n FROM events)
+SELECT run, step, round(0.05e0 * exp(sum(ln(1 + least(greatest(kl / 0.3e0 - 1, -0.2e0), 0.2e0) * n / 1000.0e0))
+  OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS kl_coef FROM s""")
+def q_adaptive_kl_trace(spark, sf):
+    d = st.adaptive_kl_trace(_kl_steps(spark, sf), 0.05, 0.3, 1000)
+    return d.select("run", "step", rnd("kl_coef").alias("kl_coef"))
+
+
 @query("fixed_kl", """
 SELECT DISTINCT user_id % 3 AS run, 0.05e0 AS kl_coef FROM events""")
 def q_fixed_kl(spark, sf):

@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -104,20 +104,44 @@ def fifo_buffer(stream: DataFrame, limit: int, appends_per_step: int, run_col: s
 
 # ------------------------------------------------------------ R4 KL control
 
+def kl_multiplier(kl: Column, n: Column, target: float, horizon: int) -> Column:
+    """One step's factor: 1 + clip(kl/target - 1, -0.2, 0.2) * n / horizon."""
+    err = F.least(F.greatest(kl / F.lit(float(target)) - 1, F.lit(-0.2)), F.lit(0.2))
+    return F.lit(1.0) + err * n / F.lit(float(horizon))
+
+
 def adaptive_kl_batch(steps: DataFrame, init: float, target: float, horizon: int, run_col: str = "run",
                       step_col: str = "step", kl_col: str = "kl", n_col: str = "n_steps",
                       fixed: bool = False) -> DataFrame:
-    """R4 over a finished log: per run, fold the steps in order:
-    v *= 1 + clip(kl/target - 1, -0.2, 0.2) * n/horizon. The fixed
-    controller keeps ``init``. The per-run list is bounded by its steps."""
-    per = steps.groupBy(run_col).agg(F.array_sort(F.collect_list(F.struct(step_col, kl_col, n_col))).alias("__a"))
+    """R4 over a finished log: per run, v = init * prod over steps of
+    (1 + clip(kl/target - 1, -0.2, 0.2) * n/horizon). The product does not
+    depend on the step order, so it is a plain aggregate (partial per
+    partition, no per-run list): |v| = init * exp(sum(ln|m|)), the sign from
+    the count of negative factors (a factor <= 0 appears only when
+    n >= 5 * horizon), 0 when any factor is 0. The fixed controller keeps ``init``."""
+    m = kl_multiplier(F.col(kl_col), F.col(n_col), target, horizon)
     if fixed:
-        return per.select(run_col, F.lit(float(init)).alias("kl_coef"))
-
-    def mult(e):
-        err = F.least(F.greatest(e[kl_col] / F.lit(float(target)) - 1, F.lit(-0.2)), F.lit(0.2))
-        return F.lit(1.0) + err * e[n_col] / F.lit(float(horizon))
-    return per.select(run_col, F.aggregate("__a", F.lit(float(init)), lambda v, e: v * mult(e)).alias("kl_coef"))
+        return steps.select(run_col).distinct().select(run_col, F.lit(float(init)).alias("kl_coef"))
+    per = steps.groupBy(run_col).agg(
+        F.sum(F.log(F.abs(F.nullif(m, F.lit(0.0))))).alias("__ls"),
+        F.sum(F.when(m < 0, 1).otherwise(0)).alias("__neg"),
+        F.max(F.when(m == 0, 1).otherwise(0)).alias("__zero"))
+    mag = F.lit(float(init)) * F.exp(F.coalesce(F.col("__ls"), F.lit(0.0)))
+    sign = F.when(F.col("__neg") % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return per.select(run_col, F.when(F.col("__zero") == 1, F.lit(0.0)).otherwise(sign * mag).alias("kl_coef"))
+
+
+def adaptive_kl_trace(steps: DataFrame, init: float, target: float, horizon: int, run_col: str = "run",
+                      step_col: str = "step", kl_col: str = "kl", n_col: str = "n_steps") -> DataFrame:
+    """R4 per step: the coefficient after each step, init * exp(running sum
+    of log factors) (positive factors, the usual n < 5 * horizon case). The
+    running sum is the bucketed keyed prefix sum, so a long run is not one
+    task."""
+    from posttrain.operators.index import keyed_prefix_sum
+    m = kl_multiplier(F.col(kl_col), F.col(n_col), target, horizon)
+    d = steps.withColumn("__lm", F.log(m))
+    d = keyed_prefix_sum(d, [run_col], step_col, "__lm", out="__pre", bounds=steps.select(step_col))
+    return d.withColumn("kl_coef", F.lit(float(init)) * F.exp(F.col("__pre") + F.col("__lm"))).drop("__lm", "__pre")
 
 
 _R4_STATE = "value double"
