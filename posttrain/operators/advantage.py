@@ -9,7 +9,7 @@ Two tables carry an experience batch:
 
 Group windows are partitioned by ``group_id`` (bounded by samples per prompt),
 token windows by ``sample_id`` (bounded by the sequence length). Whitening is a
-single global aggregate joined back as a one-row broadcast, never an
+single global aggregate used as a scalar subquery, never an
 unpartitioned window.
 """
 
@@ -161,15 +161,14 @@ def whiten(tokens: DataFrame, value_col: str = "advantages", mask_col: str = "ac
     all tokens of the batch; applied to every position (unmasked).
 
     The statistics are one global aggregate (partial per partition, stable
-    variance) joined back as a one-row broadcast; the upstream shuffle is
+    variance) used as a scalar subquery (evaluated once); the upstream shuffle is
     shared by the aggregate and the apply step (exchange reuse)."""
     out = out or value_col
-    stats = masked_moments(tokens, value_col, mask_col)
-    d = tokens.crossJoin(F.broadcast(stats))
+    st = masked_moments(tokens, value_col, mask_col).select(F.struct("__mean", "__var")).scalar()
     if use_std:
-        scale = F.lit(1.0) / F.sqrt(F.greatest(F.col("__var"), F.lit(EPS_WHITEN_VAR)))
-        return d.withColumn(out, (F.col(value_col) - F.col("__mean")) * scale).drop("__mean", "__var")
-    return d.withColumn(out, F.col(value_col) - F.col("__mean")).drop("__mean", "__var")
+        scale = F.lit(1.0) / F.sqrt(F.greatest(st["__var"], F.lit(EPS_WHITEN_VAR)))
+        return tokens.withColumn(out, (F.col(value_col) - st["__mean"]) * scale)
+    return tokens.withColumn(out, F.col(value_col) - st["__mean"])
 
 
 def masked_mean(df: DataFrame, value_col: str, mask_col: str, by: list[str] | None = None,

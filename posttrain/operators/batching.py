@@ -25,10 +25,10 @@ from posttrain.operators.index import keyed_prefix_sum, keyed_row_number
 def with_count(df: DataFrame, out: str = "__n") -> DataFrame:
     """Attach the row count as a column: reuse it when the position step
     already attached it (``global_index(..., total_out="__n")``), else a
-    one-row aggregate joined as a broadcast."""
+    scalar subquery (one aggregate, evaluated once)."""
     if out in df.columns:
         return df
-    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(out))))
+    return df.withColumn(out, df.agg(F.count(F.lit(1))).scalar())
 
 
 def rank_shard(df: DataFrame, replicas: int, drop_last: bool = False,
@@ -117,7 +117,7 @@ def snake_balance(df: DataFrame, lanes: int, len_col: str = "total_length", seq_
             "__N", F.count(F.lit(1)).over(w))
     else:
         d = keyed_row_number(d, [], "__neg", tiebreak=[seq_col], out="__r")
-        d = d.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__N"))))
+        d = d.withColumn("__N", df.agg(F.count(F.lit(1))).scalar())
     E = F.lit(lanes)
     r, N = F.col("__r"), F.col("__N")
     c, p = F.floor(r / E), r % E

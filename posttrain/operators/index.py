@@ -142,7 +142,8 @@ def file_order_index(df: DataFrame, out: str = "_seq") -> DataFrame:
     d = df.select("*", F.col("_metadata.file_path").alias("__f"),
                   F.col("_metadata.row_index").alias("__r"))
     ranks = F.dense_rank().over(Window.orderBy("__f"))  # one row per file
-    files = d.select("__f").distinct().withColumn("__fi", ranks - 1)
-    d = d.join(F.broadcast(files), "__f")
+    files = d.select("__f").distinct().withColumn("__fi", ranks - 1)  # one row per file
+    from posttrain.operators.sizing import broadcast_if_small
+    d = d.join(broadcast_if_small(files), "__f")
     d = d.withColumn("__key", F.col("__fi") * F.lit(1 << 40) + F.col("__r"))
     return global_index(d, "__key", out=out).drop("__f", "__r", "__fi", "__key")

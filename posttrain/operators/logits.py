@@ -138,8 +138,8 @@ def expert_capacity(routes: DataFrame, n_experts: int, k: int, factor: float, id
     skew-safe keyed row number, so a popular expert is not one task."""
     d = routes.select(id_col, F.posexplode(gate_col).alias("rank", "g")).select(
         id_col, "rank", F.col("g.idx").alias("expert"), F.col("g.weight").alias("weight"))
-    n = routes.agg(F.count(F.lit(1)).alias("__B"))
+    n = routes.agg(F.count(F.lit(1))).scalar()
     d = keyed_row_number(d, ["expert"], id_col, out="pos_in_expert",
                          bounds=bounds if bounds is not None else routes.select(id_col))
-    cap = F.floor(F.col("__B") * F.lit(k) / F.lit(n_experts) * F.lit(factor))
-    return d.crossJoin(F.broadcast(n)).filter(F.col("pos_in_expert") < cap).drop("__B")
+    cap = F.floor(n * F.lit(k) / F.lit(n_experts) * F.lit(factor))
+    return d.filter(F.col("pos_in_expert") < cap)

@@ -71,9 +71,9 @@ def reward_stats_by_datasource(samples: DataFrame, ds_col: str = "datasource",
 
 def filter_pass_rate(seen: DataFrame, kept: DataFrame) -> DataFrame:
     """Kept / seen * 100 over the accumulation span (two counts, one row)."""
-    a = seen.agg(F.count(F.lit(1)).alias("n_seen"))
-    b = kept.agg(F.count(F.lit(1)).alias("n_kept"))
-    return a.crossJoin(b).select(
+    a = seen.agg(F.count(F.lit(1)).alias("n_seen")).withColumn(
+        "n_kept", kept.agg(F.count(F.lit(1))).scalar())
+    return a.select(
         "n_seen", "n_kept",
         (F.col("n_kept") / F.nullif(F.col("n_seen"), F.lit(0)) * 100.0).alias("pass_rate"))
 
@@ -89,8 +89,7 @@ def dataset_profile(df: DataFrame, n: int = 3, seed: int = 0,
     """Row count plus ``n`` hash-chosen rows (deterministic sample)."""
     key = F.xxhash64(F.lit(seed), *( [F.col(id_col)] if id_col else [F.col(c) for c in df.columns]))
     picked = df.withColumn("__h", key).orderBy("__h").limit(n).drop("__h")
-    cnt = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return picked.crossJoin(cnt)
+    return picked.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 def seqlen_unbalance(lengths: DataFrame, parts: int, seq_col: str = "_seq",
@@ -101,7 +100,7 @@ def seqlen_unbalance(lengths: DataFrame, parts: int, seq_col: str = "_seq",
     if "__n" in lengths.columns:  # row count attached by the position step
         d = lengths
     else:
-        d = lengths.crossJoin(F.broadcast(lengths.agg(F.count(F.lit(1)).alias("__n"))))
+        d = lengths.withColumn("__n", lengths.agg(F.count(F.lit(1))).scalar())
     d = d.withColumn(
         "__chunk", F.floor(F.col(seq_col) / F.floor(F.col("__n") / F.lit(parts))).cast("long"))
     kinds = [("contiguous", "__chunk")]
@@ -111,8 +110,8 @@ def seqlen_unbalance(lengths: DataFrame, parts: int, seq_col: str = "_seq",
     for name, c in kinds:
         s = d.groupBy(c).agg(F.sum(len_col).alias("__s")).agg(
             F.min("__s").alias("min_sum"), F.max("__s").alias("max_sum"))
-        tot = d.agg((F.sum(len_col) / F.lit(float(parts))).alias("mean_sum"))
-        r = s.crossJoin(tot).select(F.lit(name).alias("kind"), "min_sum", "max_sum",
-                                    (F.col("max_sum") - F.col("min_sum")).alias("diff"), "mean_sum")
+        tot = d.agg(F.sum(len_col) / F.lit(float(parts))).scalar()
+        r = s.select(F.lit(name).alias("kind"), "min_sum", "max_sum",
+                     (F.col("max_sum") - F.col("min_sum")).alias("diff"), tot.alias("mean_sum"))
         out = r if out is None else out.unionByName(r)
     return out

@@ -92,10 +92,11 @@ def policy_loss(tokens: DataFrame, loss_type: str = "ppo", clip_low: float = 0.2
     d = d.withColumn("__loss", loss)
     if token_level:
         return _reduce(d, F.col("__loss"), m, True, sample_col, extra)
-    # sequence-level loss; the diagnostics stay global token means
+    # sequence-level loss; the diagnostics stay global token means (one
+    # scalar subquery returning a struct)
     seq_loss = _reduce(d, F.col("__loss"), m, False, sample_col)
-    diag = d.agg(*[_mmean(v, m).alias(k) for k, v in extra.items()])
-    return seq_loss.crossJoin(diag)
+    diag = d.agg(F.struct(*[_mmean(v, m).alias(k) for k, v in extra.items()])).scalar()
+    return seq_loss.select("loss", *[diag[k].alias(k) for k in extra])
 
 
 def value_loss(tokens: DataFrame, values: str, old_values: str, returns: str, mask: str = "action_mask",
@@ -149,12 +150,11 @@ def kto_vanilla(pairs: DataFrame, beta: float, pc: str = "policy_chosen", pr: st
                 rc: str = "reference_chosen", rr: str = "reference_rejected") -> DataFrame:
     """Paired KTO; batch KLs (clamped >= 0) from one global aggregate,
     broadcast back; loss = mean over both halves."""
-    kl = pairs.agg(F.greatest(F.avg(F.col(pc) - F.col(rc)), F.lit(0.0)).alias("__ckl"),
-                   F.greatest(F.avg(F.col(pr) - F.col(rr)), F.lit(0.0)).alias("__rkl"))
-    d = pairs.crossJoin(F.broadcast(kl))
-    cl = F.lit(1.0) - sigmoid(F.lit(beta) * ((F.col(pc) - F.col(rc)) - F.col("__rkl")))
-    rl = F.lit(1.0) - sigmoid(F.lit(beta) * (F.col("__ckl") - (F.col(pr) - F.col(rr))))
-    return d.agg(((F.sum(cl) + F.sum(rl)) / (F.count(F.lit(1)) * 2)).alias("loss"))
+    kl = pairs.agg(F.struct(F.greatest(F.avg(F.col(pc) - F.col(rc)), F.lit(0.0)).alias("c"),
+                            F.greatest(F.avg(F.col(pr) - F.col(rr)), F.lit(0.0)).alias("r"))).scalar()
+    cl = F.lit(1.0) - sigmoid(F.lit(beta) * ((F.col(pc) - F.col(rc)) - kl["r"]))
+    rl = F.lit(1.0) - sigmoid(F.lit(beta) * (kl["c"] - (F.col(pr) - F.col(rr))))
+    return pairs.agg(((F.sum(cl) + F.sum(rl)) / (F.count(F.lit(1)) * 2)).alias("loss"))
 
 
 def kto(chosen: DataFrame, rejected: DataFrame, kl_rows: DataFrame, beta: float, desirable_weight: float,
@@ -168,12 +168,12 @@ def kto(chosen: DataFrame, rejected: DataFrame, kl_rows: DataFrame, beta: float,
         kl = kl_rows.groupBy(rank_col).agg(F.avg(diff).alias("__k")).agg(F.avg("__k").alias("__kl"))
     else:
         kl = kl_rows.agg(F.avg(diff).alias("__kl"))
-    kl = kl.select(F.greatest(F.col("__kl"), F.lit(0.0)).alias("__kl"))
-    c = chosen.crossJoin(F.broadcast(kl)).select(
-        (F.lit(desirable_weight) * (F.lit(1.0) - sigmoid(F.lit(beta) * (diff - F.col("__kl"))))).alias("l"))
-    r = rejected.crossJoin(F.broadcast(kl)).select(
-        (F.lit(undesirable_weight) * (F.lit(1.0) - sigmoid(F.lit(beta) * (F.col("__kl") - diff)))).alias("l"))
-    return c.unionByName(r).agg(F.avg("l").alias("loss")).crossJoin(kl.select(F.col("__kl").alias("kl")))
+    klv = kl.select(F.greatest(F.col("__kl"), F.lit(0.0))).scalar()
+    c = chosen.select(
+        (F.lit(desirable_weight) * (F.lit(1.0) - sigmoid(F.lit(beta) * (diff - klv)))).alias("l"))
+    r = rejected.select(
+        (F.lit(undesirable_weight) * (F.lit(1.0) - sigmoid(F.lit(beta) * (klv - diff)))).alias("l"))
+    return c.unionByName(r).agg(F.avg("l").alias("loss")).withColumn("kl", klv)
 
 
 def zscore_reward(r: Column, mean: float, std: float) -> Column:

@@ -131,9 +131,9 @@ SELECT round(avg(ln(1 + exp(-0.1e0 * lg)) * 0.9e0 + ln(1 + exp(0.1e0 * lg)) * 0.
   round(sum(0.1e0 * (policy_rejected - reference_rejected)), 6) AS rejected_reward_sum FROM l""", P)
 def q_dpo_loss(spark, sf):
     rewards, loss = ob.dpo(_pairs4(spark, sf), beta=0.1, label_smoothing=0.1)
-    r = rewards.agg(F.sum("chosen_reward").alias("c"), F.sum("rejected_reward").alias("r"))
-    return loss.crossJoin(r).select(rnd("loss").alias("loss"), rnd("c").alias("chosen_reward_sum"),
-                                    rnd("r").alias("rejected_reward_sum"))
+    r = rewards.agg(F.struct(F.sum("chosen_reward").alias("c"), F.sum("rejected_reward").alias("r"))).scalar()
+    return loss.select(rnd("loss").alias("loss"), rnd(r["c"]).alias("chosen_reward_sum"),
+                       rnd(r["r"]).alias("rejected_reward_sum"))
 
 
 @query("ipo_loss", _PAIR4 + """
@@ -184,10 +184,10 @@ def q_total_loss(spark, sf):
     t = _tokens_adv(spark, sf)
     pol = ob.policy_loss(t)
     m = F.col("action_mask").cast("double")
-    kl = t.agg((F.sum((F.col("log_prob") - F.col("base_log_prob")) * m) / F.sum(m)).alias("kl_loss"),
-               F.avg(-F.col("log_prob")).alias("ent"))
-    d = pol.crossJoin(kl)
-    return d.select(rnd(ob.total_loss(F.col("loss"), F.col("kl_loss"), F.col("ent"), 0.01, 0.001, F.lit(0.5))).alias("loss"),
+    kl = t.agg(F.struct((F.sum((F.col("log_prob") - F.col("base_log_prob")) * m) / F.sum(m)).alias("kl_loss"),
+                        F.avg(-F.col("log_prob")).alias("ent"))).scalar()
+    d = pol
+    return d.select(rnd(ob.total_loss(F.col("loss"), kl["kl_loss"], kl["ent"], 0.01, 0.001, F.lit(0.5))).alias("loss"),
                     rnd("clip_ratio").alias("clip_ratio"), rnd("ppo_kl").alias("ppo_kl"))
 
 

@@ -146,7 +146,8 @@ def q_skip_anti_kd_semi(spark, sf):
     f = fx.fx_rollouts(spark, sf)
     kd = spark.createDataFrame([("click",), ("view",), ("signup",)], "datasource string")
     skip = spark.createDataFrame([("signup",)], "datasource string")
-    d = f.join(F.broadcast(kd), "datasource", "left_semi").join(F.broadcast(skip), "datasource", "left_anti")
+    from posttrain.operators.sizing import broadcast_if_small
+    d = f.join(broadcast_if_small(kd), "datasource", "left_semi").join(broadcast_if_small(skip), "datasource", "left_anti")
     return d.select("sample_id")
 
 
