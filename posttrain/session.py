@@ -45,9 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Set a scratch one only when the session has none (local tests)."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
+    if not cur:
+        cur = spark.sparkContext.getCheckpointDir()
     if not cur:
         cur = tempfile.mkdtemp(prefix="posttrain-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
+        try:
+            spark.conf.set("spark.checkpoint.dir", cur)
+        except Exception:  # a core conf some sessions refuse to change at run time
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cur)
     return cur
