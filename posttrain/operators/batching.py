@@ -330,9 +330,15 @@ def group_map(df: DataFrame, keys: list[str], order: list[str], fn, schema: str)
     batches is carried over to the next batch. Cheaper than
     ``applyInPandas`` when groups are many and small (one training step each)."""
     # an explicit partition count: AQE would otherwise coalesce this small
-    # shuffle into one partition and serialise the Python work
+    # shuffle into one partition and serialise the Python work. About one
+    # partition per 32 MB of estimated input, at least the cluster's
+    # parallelism, at most spark.sql.shuffle.partitions.
+    from posttrain.operators.sizing import estimated_bytes
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    par = spark.sparkContext.defaultParallelism
+    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
+    size = estimated_bytes(df) or 0
+    n = int(min(cap, max(par, size // (32 * 1024 * 1024))))
     d = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches):

@@ -177,13 +177,28 @@ def running_datasource_stats(stream: DataFrame, ds_col: str = "datasource", rewa
 # ------------------------------------------------------------------ runner
 
 def run_to_parquet(df: DataFrame, name: str, out_path: str, mode: str = "append",
-                   checkpoint: str | None = None, timeout_s: int = 600) -> None:
+                   checkpoint: str | None = None, timeout_s: int = 600,
+                   state_partitions: int | None = None) -> None:
     """Run a streaming query to the end of the available input
     (``availableNow``). Append-mode results go to a Parquet sink; complete-
     mode aggregates are rewritten per batch with ``foreachBatch`` (a small
-    table). Restarting with the same checkpoint resumes where it stopped."""
+    table). Restarting with the same checkpoint resumes where it stopped.
+
+    ``state_partitions``: the number of state-store partitions, fixed in the
+    checkpoint at the first start (default: the cluster's parallelism, which
+    suits a handful of run keys; many runs want more)."""
     spark = df.sparkSession
     ck = checkpoint or os.path.join(checkpoint_dir(spark), "streams", name)
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        _run(df, ck, out_path, mode, name, timeout_s)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+
+
+def _run(df: DataFrame, ck: str, out_path: str, mode: str, name: str, timeout_s: int) -> None:
     w = df.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out_path).start()
