@@ -82,7 +82,7 @@ def fx_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     incomplete trailing groups dropped. The per-user position comes from the
     skew-safe keyed row number, so a hot user is not a single task."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    ev = keyed_row_number(ev, ["user_id"], "event_id", out="rn")
+    ev = keyed_row_number(ev, ["user_id"], "event_id", out="rn", total_out="__nu")
     gnum = F.floor(F.col("rn") / F.lit(GROUP_SIZE)).cast("long")
     d = ev.select(
         (F.col("user_id") * 1000 + gnum).alias("group_id"),
@@ -93,10 +93,11 @@ def fx_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") >= 40, F.lit(1.0)).otherwise(F.lit(0.0)).alias("reward"),
         (F.col("value") / F.lit(100.0)).alias("raw_score"),
         F.floor(F.col("value") * 4).cast("int").alias("response_length"),
-        F.count(F.lit(1)).over(Window.partitionBy("user_id", gnum)).alias("__gsz"),
+        F.col("rn").alias("__rn"), F.col("__nu"),
     )
-    # complete groups only; the window is bounded by the group size
-    return d.filter(F.col("__gsz") == GROUP_SIZE).drop("__gsz")
+    # complete groups only: the user's row count comes with the row numbers
+    full = F.floor(F.col("__nu") / F.lit(GROUP_SIZE)) * GROUP_SIZE
+    return d.filter(F.col("__rn") < full).drop("__rn", "__nu")
 
 
 def fx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
