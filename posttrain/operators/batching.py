@@ -367,36 +367,39 @@ _PLAN_SCHEMA = ("step long, micro_batch int, sample_id long, local_pos int, loss
 def micro_batch_plan(df: DataFrame, local_batch: int, max_tokens: int, ring: int = 1, tp: int = 1,
                      seq_col: str = "_seq", len_col: str = "total_length", id_col: str = "sample_id",
                      rank_col: str | None = None) -> DataFrame:
-    """K7: per train step (``local_batch`` consecutive rows of a rank): number
-    of micro-batches by first fit under ``max_tokens*ring*tp``, the max of
-    that count across ranks for the step, balanced partitions of the step
-    (largest differencing), loss_scale = |part|/|step| and optimizer_step = 1
-    on the step's last micro-batch. Each group is one step of one rank."""
+    """K7: per train step (``local_batch`` consecutive rows of each rank):
+    number of micro-batches by first fit under ``max_tokens*ring*tp`` for
+    every rank, the max of those counts across ranks, balanced partitions of
+    each rank's step into that many micro-batches (largest differencing),
+    loss_scale = |part|/|step| and optimizer_step = 1 on the last
+    micro-batch. One group = one step across all ranks (bounded by
+    local_batch x ranks), one shuffle, one Python call per partition."""
     budget = max_tokens * ring * tp
-    step = F.floor(F.col(seq_col) / F.lit(local_batch)).cast("long")
-    d = df.withColumn("step", step)
-    keys = ["step"] + ([rank_col] if rank_col else [])
-    # stage 1: first-fit count per (step, rank), then max over ranks
-    # stage 1: first-fit count per (step, rank) as a fold over the step's
-    # ordered lengths (bounded by the local batch), then max over ranks
-    ff = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seq_col, len_col))).alias("__a"))
-    ff = ff.select(*keys, F.size(first_fit_expr(F.transform("__a", lambda e: e[len_col]), budget)).alias("n_ff"))
-    n_micro = ff.groupBy("step").agg(F.max("n_ff").alias("n_micro"))
-    d = d.join(n_micro, "step")
+    d = df.withColumn("step", F.floor(F.col(seq_col) / F.lit(local_batch)).cast("long"))
+    rk = rank_col or "__rank"
+    if rank_col is None:
+        d = d.withColumn(rk, F.lit(0).cast("long"))
+    schema = _PLAN_SCHEMA + (f", {rank_col} long" if rank_col else "")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq_col).reset_index(drop=True)
-        k = int(pdf["n_micro"].iloc[0])
-        parts = largest_differencing(pdf[len_col].astype(int).tolist(), k, False)
+        pdf = pdf.sort_values([rk, seq_col])
+        by_rank = [(r, g.reset_index(drop=True)) for r, g in pdf.groupby(rk, sort=True)]
+        k = max(len(first_fit_bins(g[len_col].astype(int).tolist(), budget)) for _, g in by_rank)
         rows = []
-        for j, part in enumerate(parts):
-            for i in part:
-                rows.append((int(pdf["step"].iloc[0]), j, int(pdf[id_col].iloc[i]), i,
-                             len(part) / len(pdf), 1 if j == len(parts) - 1 else 0, k))
-        return pd.DataFrame(rows, columns=["step", "micro_batch", "sample_id", "local_pos", "loss_scale",
-                                           "optimizer_step", "n_micro"])
-
-    return group_map(d.select(*keys, seq_col, len_col, id_col, "n_micro"), keys, [seq_col], plan, _PLAN_SCHEMA)
+        step = int(pdf["step"].iloc[0])
+        for r, g in by_rank:
+            parts = largest_differencing(g[len_col].astype(int).tolist(), k, False)
+            ids = g[id_col].astype("int64").tolist()
+            for j, part in enumerate(parts):
+                for i in part:
+                    row = [step, j, ids[i], i, len(part) / len(g), 1 if j == len(parts) - 1 else 0, k]
+                    if rank_col:
+                        row.append(int(r))
+                    rows.append(row)
+        cols = ["step", "micro_batch", "sample_id", "local_pos", "loss_scale", "optimizer_step", "n_micro"]
+        return pd.DataFrame(rows, columns=cols + ([rank_col] if rank_col else []))
+
+    return group_map(d.select("step", rk, seq_col, len_col, id_col), ["step"], [rk, seq_col], plan, schema)
 
 
 def rollout_batch_plan(df: DataFrame, actors: int, max_tokens: int, group_col: str = "rollout_step",

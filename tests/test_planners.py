@@ -102,3 +102,17 @@ def test_rank_shard_matches_sampler_indices(spark):
     for rank in range(reps):
         expect = idx[rank:total:reps][consumed // reps:]
         assert [s for _, s in sorted(got.get(rank, []))] == expect
+
+
+def test_micro_batch_plan_max_over_ranks(spark):
+    # rank 1 needs more bins than rank 0; both get the max count
+    rows = [(i, i, 0, 100) for i in range(8)] + [(i, 100 + i, 1, 600) for i in range(8)]
+    d = spark.createDataFrame(rows, "_seq long, sample_id long, dp_rank long, total_length long")
+    plan = bt.micro_batch_plan(d, 8, 1000, rank_col="dp_rank").collect()
+    k1 = len(bt.first_fit_bins([600] * 8, 1000))
+    assert {p.n_micro for p in plan} == {k1}
+    assert {p.dp_rank for p in plan} == {0, 1}
+    for r in (0, 1):
+        ps = [p for p in plan if p.dp_rank == r]
+        assert sorted(p.sample_id for p in ps) == sorted(x[1] for x in rows if x[2] == r)
+        assert {p.micro_batch for p in ps} == set(range(k1))
