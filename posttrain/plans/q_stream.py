@@ -18,6 +18,7 @@ from posttrain.session import checkpoint_dir, table
 from posttrain.streaming import rollouts as st
 
 R = ("fx_rollouts",)
+N_RUNS = 2  # runs in the replay: prompt parity
 SCHEMA = ("run long, batch_id long, group_id long, sample_id long, datasource string, "
           "reward double, score double")
 
@@ -49,7 +50,7 @@ def q_filter_accumulate(spark, sf):
     root = _fresh(spark, "r1")
     _replay(spark, sf, root)
     out = st.filter_accumulate(_stream(spark, root), 4, 40, (0.2, 0.6))
-    st.run_to_parquet(out, "r1", f"{root}/out", checkpoint=f"{root}/ck")
+    st.run_to_parquet(out, "r1", f"{root}/out", checkpoint=f"{root}/ck", state_partitions=N_RUNS)
     return spark.read.schema(st._R1_OUT).parquet(f"{root}/out")
 
 
@@ -58,7 +59,7 @@ def q_fifo_buffer(spark, sf):
     root = _fresh(spark, "r2")
     _replay(spark, sf, root)
     out = st.fifo_buffer(_stream(spark, root), limit=300, appends_per_step=2)
-    st.run_to_parquet(out, "r2", f"{root}/out", checkpoint=f"{root}/ck")
+    st.run_to_parquet(out, "r2", f"{root}/out", checkpoint=f"{root}/ck", state_partitions=N_RUNS)
     return spark.read.schema(st._R2_OUT).parquet(f"{root}/out")
 
 
@@ -153,7 +154,7 @@ def q_adaptive_kl_stream(spark, sf):
     s = spark.readStream.schema("run long, step long, kl double, n_steps long").option(
         "maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
     out = st.adaptive_kl_stream(s, 0.05, 0.3, 1000)
-    st.run_to_parquet(out, "r4", f"{root}/out", checkpoint=f"{root}/ck")
+    st.run_to_parquet(out, "r4", f"{root}/out", checkpoint=f"{root}/ck", state_partitions=3)
     d = spark.read.parquet(f"{root}/out")
     last = d.groupBy("run").agg(F.max_by("kl_coef", "step").alias("kl_coef"))
     return last.select("run", rnd("kl_coef").alias("kl_coef"))
