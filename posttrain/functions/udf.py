@@ -19,6 +19,18 @@ RewardFunc = Callable[..., Mapping[str, Any]]
 _REWARD_FIELDS = "reward double, score double, extra map<string,double>"
 
 
+def load_reward_func(path: str, name: str = "reward_func") -> RewardFunc:
+    """load ``reward_func(queries, prompts, labels, **kw)`` from a user
+    Python file (the plug-in file is the caller's code)."""
+    import importlib.util
+    spec = importlib.util.spec_from_file_location("user_reward_module", path)
+    if spec is None or spec.loader is None:
+        raise ValueError(f"cannot load reward module {path}")
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    return getattr(mod, name)
+
+
 def apply_reward_func(df: DataFrame, reward_func: RewardFunc, query_col: str = "query",
                       prompt_col: str = "prompt", label_col: str = "label", ds_col: str | None = "datasource",
                       keep: tuple[str, ...] = ()) -> DataFrame:

@@ -112,6 +112,23 @@ def step_label_loss(rows: DataFrame, input_col: str, logits_col: str, label_col:
     return d.agg(F.avg(ce).alias("loss"), F.avg(F.when(pred == F.col("__y"), 1.0).otherwise(0.0)).alias("acc"))
 
 
+def step_label_loss_soft(rows: DataFrame, input_col: str, logits_col: str, prob_col: str, placeholder_id: int,
+                         reward_token_ids: tuple[int, int]) -> DataFrame:
+    """M22 (soft labels): at placeholder positions the target is the pair
+    (p, 1 - p) over the two reward tokens; soft cross entropy and argmax
+    accuracy against the larger target."""
+    a, b = reward_token_ids
+    d = rows.filter(F.col(input_col) == placeholder_id).select(
+        F.element_at(logits_col, a + 1).cast("double").alias("__a"),
+        F.element_at(logits_col, b + 1).cast("double").alias("__b"), F.col(prob_col).cast("double").alias("__p"))
+    m = F.greatest("__a", "__b")
+    lse = m + F.log(F.exp(F.col("__a") - m) + F.exp(F.col("__b") - m))
+    ce = -(F.col("__p") * (F.col("__a") - lse) + (F.lit(1.0) - F.col("__p")) * (F.col("__b") - lse))
+    pred = F.when(F.col("__b") > F.col("__a"), 1).otherwise(0)
+    target = F.when((F.lit(1.0) - F.col("__p")) > F.col("__p"), 1).otherwise(0)
+    return d.agg(F.avg(ce).alias("loss"), F.avg(F.when(pred == target, 1.0).otherwise(0.0)).alias("acc"))
+
+
 def topk_gate(logits: Column, k: int, noise: Column | None = None, noise_logits: Column | None = None) -> Column:
     """Top-k entries of each row (ties: lower index first), softmax over
     the kept values, 0 elsewhere. Noisy variant: logits + noise *

@@ -308,3 +308,36 @@ def q_expert_capacity(spark, sf):
     g = e.select("vec_id", lg.topk_gate(F.col("embedding"), 2).alias("gate"))
     d = lg.expert_capacity(g, 64, 2, 1.25, "vec_id", bounds=e.select("vec_id"))
     return d.select("vec_id", "expert", "pos_in_expert")
+
+
+@query("step_label_loss_soft", """
+, x AS (SELECT CAST(embedding[3] AS DOUBLE) AS a, CAST(embedding[6] AS DOUBLE) AS b,
+          1 / (1 + exp(-CAST(embedding[1] AS DOUBLE) * 10)) AS p FROM embeddings WHERE label = 7),
+z AS (SELECT *, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS lse FROM x)
+SELECT round(avg(-(p * (a - lse) + (1 - p) * (b - lse))), 6) AS loss,
+  round(avg(CASE WHEN (CASE WHEN b > a THEN 1 ELSE 0 END) = (CASE WHEN 1 - p > p THEN 1 ELSE 0 END) THEN 1.0e0 ELSE 0.0e0 END), 6) AS acc FROM z""")
+def q_step_label_loss_soft(spark, sf):
+    e = table(spark, sf, "embeddings")
+    d = e.select("label", "embedding",
+                 (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.element_at("embedding", 1).cast("double") * 10))).alias("p"))
+    return _round_all(lg.step_label_loss_soft(d, "label", "embedding", "p", 7, (2, 5)))
+
+
+@query("topk_gate_noisy", """
+, x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS lg,
+          list_transform(list_reverse(embedding), lambda v: CAST(v AS DOUBLE)) AS nz FROM embeddings),
+y AS (SELECT vec_id, list_transform(range(1, len(lg) + 1), lambda i: lg[i] + nz[i] * (ln(1 + exp(-abs(lg[i] * 0.5e0))) + greatest(lg[i] * 0.5e0, 0))) AS v FROM x),
+r AS (SELECT vec_id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS v FROM y),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS rk FROM r),
+t AS (SELECT * FROM k WHERE rk <= 2),
+s0 AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS mx FROM t),
+s AS (SELECT *, exp(v - mx) / sum(exp(v - mx)) OVER (PARTITION BY vec_id) AS w FROM s0)
+SELECT vec_id, CAST(rk - 1 AS INT) AS rank, CAST(i - 1 AS INT) AS expert, round(w, 6) AS weight FROM s""")
+def q_topk_gate_noisy(spark, sf):
+    """O7 noisy variant: the noise is a given column (the reversed row here),
+    scaled by softplus of the noise logits (half the logits here)."""
+    e = table(spark, sf, "embeddings")
+    g = e.select("vec_id", lg.topk_gate(F.col("embedding"), 2, noise=F.reverse("embedding"),
+                                        noise_logits=F.transform("embedding", lambda v: v * 0.5)).alias("gate"))
+    return g.select("vec_id", F.posexplode("gate").alias("rank", "g")).select(
+        "vec_id", "rank", F.col("g.idx").alias("expert"), rnd("g.weight").alias("weight"))

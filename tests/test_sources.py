@@ -57,3 +57,15 @@ def test_scan_dir_mixed_case_and_formats(spark):
     from pyspark.sql import types as T
     df = io.scan_dir(spark, d, T._parse_datatype_string("conv_id long, text string"))
     assert sorted(r.conv_id for r in df.select("conv_id").collect()) == [1, 2]
+
+
+def test_load_reward_func_from_file(spark):
+    from posttrain.functions import udf
+    d = _dir(spark, "rf")
+    with open(f"{d}/rm.py", "w") as f:
+        f.write("def reward_func(queries, prompts, labels, **kw):\n"
+                "    return {'rewards': [float(len(q)) for q in queries]}\n")
+    fn = udf.load_reward_func(f"{d}/rm.py")
+    df = spark.createDataFrame([("ab", "p", "l"), ("abc", "p", "l")], "query string, prompt string, label string")
+    r = udf.apply_reward_func(df, fn, ds_col=None).orderBy("query").collect()
+    assert [x.reward for x in r] == [2.0, 3.0] and [x.score for x in r] == [2.0, 3.0]
