@@ -236,12 +236,13 @@ def estimator_advantages(samples: DataFrame, tokens: DataFrame, estimator: str,
                          kl_coef: float = 0.0, kl_estimator: str = "k1", gamma: float = 1.0,
                          clip: tuple[float, float] | None = (-10.0, 10.0),
                          overlong: tuple[int, int, float] | None = None,
-                         whiten_std: bool = True) -> DataFrame:
+                         whiten_std: bool = True, cut_lineage: bool = False) -> DataFrame:
     """M7: the estimator family end to end on token rows.
 
     order: overlong penalty -> group shaping -> reward clip -> token reward
     -> returns (gamma forced to 1 for group estimators) -> whitening
-    (reinforce / reinforce_baseline only). ``kd`` is M5."""
+    (reinforce / reinforce_baseline only). ``kd`` is M5. ``cut_lineage``
+    writes the returns to the shared checkpoint folder before whitening."""
     if estimator == "kd":
         return kd_advantage(tokens, whiten_std=whiten_std)
     if estimator not in ("reinforce",) + GROUP_ESTIMATORS:
@@ -258,6 +259,11 @@ def estimator_advantages(samples: DataFrame, tokens: DataFrame, estimator: str,
     g = 1.0 if estimator in GROUP_ESTIMATORS else gamma
     tk = discounted_returns(tk, g)
     tk = tk.withColumn("advantages", F.col("returns"))
+    if cut_lineage:
+        # long batches: the whitening pass and the apply pass read the written
+        # returns instead of re-running the token shuffles
+        from posttrain.session import materialize
+        tk = materialize(tk, f"returns-{estimator}")
     if estimator in WHITENED_ESTIMATORS:
         tk = whiten(tk, "advantages", use_std=whiten_std)
     return tk

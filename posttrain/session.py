@@ -83,5 +83,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
+    and read it back. A lost executor then re-reads the written table instead
+    of recomputing the upstream shuffles (never ``localCheckpoint``)."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "materialized", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -143,3 +143,16 @@ def test_discounted_returns_long_sequence(spark):
         acc = ms[t] * xs[t] + 0.999 * acc
         want9[t] = acc
     assert got9 == pytest.approx(want9, rel=1e-9, abs=1e-9)
+
+
+def test_estimator_cut_lineage_same_result(spark):
+    from posttrain.plans import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    a = adv.estimator_advantages(fx.fx_token_samples(spark, sf), fx.fx_tokens(spark, sf), "reinforce_baseline",
+                                 kl_coef=0.01)
+    b = adv.estimator_advantages(fx.fx_token_samples(spark, sf), fx.fx_tokens(spark, sf), "reinforce_baseline",
+                                 kl_coef=0.01, cut_lineage=True)
+    ka = {(r.sample_id, r.t): r.advantages for r in a.select("sample_id", "t", "advantages").collect()}
+    kb = {(r.sample_id, r.t): r.advantages for r in b.select("sample_id", "t", "advantages").collect()}
+    assert ka.keys() == kb.keys()
+    assert all(abs(ka[k] - kb[k]) < 1e-9 for k in ka)
