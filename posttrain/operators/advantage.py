@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: epsilons of the group std and whitening variance, the
+# estimators that use group baselines, and those whose advantages are whitened
 EPS_GROUP_STD = 1e-9
 EPS_WHITEN_VAR = 1e-8
 GROUP_ESTIMATORS = ("rloo", "reinforce_baseline", "group_norm", "dr_grpo")

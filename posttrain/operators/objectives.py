@@ -54,7 +54,7 @@ def policy_loss(tokens: DataFrame, loss_type: str = "ppo", clip_low: float = 0.2
     """PPO / GSPO policy loss with optional dual clip and truncated
     importance sampling (``'tis'`` clamps exp(old - rollout) to the thresholds,
     ``'icepop'`` zeroes it outside them; PPO only). One output row:
-    loss, clip_ratio, ppo_kl (, vllm_kl)."""
+    loss, clip_ratio, ppo_kl (, rollout_kl)."""
     m = F.col(mask).cast("double")
     if loss_type == "ppo":
         log_ratio = F.col(lp) - F.col(old)
@@ -88,7 +88,7 @@ def policy_loss(tokens: DataFrame, loss_type: str = "ppo", clip_low: float = 0.2
         else:
             w_is = F.least(F.greatest(w_is, F.lit(lo)), F.lit(hi))
         loss = w_is * loss
-        extra["vllm_kl"] = F.col(rollout) - F.col(old)
+        extra["rollout_kl"] = F.col(rollout) - F.col(old)
     d = d.withColumn("__loss", loss)
     if token_level:
         return _reduce(d, F.col("__loss"), m, True, sample_col, extra)

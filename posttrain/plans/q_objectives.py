@@ -31,7 +31,7 @@ def _ppo_sql(dual: float | None = None, tis: str | None = None) -> str:
     elif tis == "icepop":
         w = ("CASE WHEN exp(old_log_prob - rollout_log_prob) BETWEEN 0.5e0 AND 5.0e0 "
              "THEN exp(old_log_prob - rollout_log_prob) ELSE 0.0e0 END * ")
-    vk = (",\n  round(sum((rollout_log_prob - old_log_prob) * action_mask) / sum(action_mask), 6) AS vllm_kl"
+    vk = (",\n  round(sum((rollout_log_prob - old_log_prob) * action_mask) / sum(action_mask), 6) AS rollout_kl"
           if tis else "")
     return f"""
 , a AS (SELECT *, {_ADV} AS adv, exp(log_prob - old_log_prob) AS ratio, log_prob - old_log_prob AS lr FROM fx_tokens),
