@@ -44,7 +44,7 @@ def _write_sft_jsonl(spark, sf) -> str:
     bad = m.filter(F.col("first_role") == "system").select(
         "conv_id", F.concat(F.lit('{"conv_id": '), F.col("conv_id").cast("string"), F.lit(', "messages": [oops')).alias("value"))
     blank = m.select("conv_id", F.lit("").alias("value"))
-    lines = good.unionByName(bad).unionByName(blank).repartition(4, "conv_id").sortWithinPartitions("conv_id")
+    lines = good.unionByName(bad).unionByName(blank).repartition("conv_id").sortWithinPartitions("conv_id")
     lines.select("value").write.mode("overwrite").text(path)
     return path
 
@@ -123,7 +123,7 @@ def q_stable_file_order(spark, sf):
     root = io.scratch_dir(spark, f"ordered_{_tag(sf)}")
     c = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn")
     # range-partitioned, sorted write: file names follow the key order
-    c.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").write.mode(
+    c.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").write.mode(
         "overwrite").parquet(root)
     d = file_order_index(spark.read.parquet(root), out="seq")
     return d.select("conv_id", "turn", "seq")
@@ -152,6 +152,7 @@ def q_image_qa_scan(spark, sf):
     meta = pairs.select(F.transform("x", lambda e: F.struct(e["question"].alias("question"),
                                                             e["answer"].alias("answer"))).alias("messages"),
                         F.concat(F.lit("img_"), F.col("conv_id").cast("string"), F.lit(".png")).alias("file_name"))
+    # the format is one metadata.jsonl per image folder
     meta.coalesce(1).write.mode("overwrite").json(f"{root}/meta")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
