@@ -55,6 +55,20 @@ def _bisect_sql(x: str, bounds: list[float], lo: int, hi: int) -> str:
             f"ELSE {_bisect_sql(x, bounds, lo, mid)} END")
 
 
+CASE_TREE_MAX = 255  # larger trees outgrow a generated method; use the fold
+
+
+def _bisect_fold_sql(x: str, bounds: list[float]) -> str:
+    """Number of bounds <= x by binary search over a literal array: a fold
+    of ceil(log2(n + 1)) halving steps (works for any number of bounds)."""
+    arr = "array(" + ", ".join(f"{float(b)!r}D" for b in bounds) + ")"
+    steps = max(1, (len(bounds)).bit_length())
+    return (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(bounds)}), "
+            f"(st, i) -> IF(st.lo >= st.hi, st, IF(element_at({arr}, CAST((st.lo + st.hi) DIV 2 AS INT) + 1) <= {x}, "
+            f"named_struct('lo', CAST((st.lo + st.hi) DIV 2 AS INT) + 1, 'hi', st.hi), "
+            f"named_struct('lo', st.lo, 'hi', CAST((st.lo + st.hi) DIV 2 AS INT)))), st -> st.lo)")
+
+
 def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
                  rel_error: float = 1e-3) -> Column:
     """Monotone bucket id of ``order_col`` from approximate quantiles of
@@ -71,7 +85,9 @@ def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
     if not bounds:
         return F.lit(0)
     x = f"CAST(`{order_col}` AS DOUBLE)"
-    return F.expr(_bisect_sql(x, bounds, 0, len(bounds)))
+    if len(bounds) <= CASE_TREE_MAX:
+        return F.expr(_bisect_sql(x, bounds, 0, len(bounds)))
+    return F.expr(_bisect_fold_sql(x, bounds))
 
 
 def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,

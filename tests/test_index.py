@@ -31,3 +31,17 @@ def test_keyed_prefix_sum(spark):
         for o in range(k, 10, 2):
             assert got[(k, o)] == acc
             acc += o + 1
+
+
+def test_keyed_row_number_many_buckets(spark):
+    """More bounds than the CASE tree takes: the binary-search fold path."""
+    d = spark.range(5000).select(F.col("id"), (F.col("id") % 7).alias("k"),
+                                 ((F.col("id") * 104729) % 5003).alias("o")).repartition(5)
+    got = keyed_row_number(d, ["k"], "o", tiebreak=["id"], out="rn", buckets=600)
+    ref = d.withColumn("rn2", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")) - 1)
+    assert got.join(ref, "id").filter(F.col("rn") != F.col("rn2")).count() == 0
+    from posttrain.operators.index import range_bucket
+    b = d.select(range_bucket(d, "o", 600).alias("b"), "o")
+    rows = b.orderBy("o").collect()
+    assert all(x.b <= y.b for x, y in zip(rows, rows[1:]))  # monotone in the order key
+    assert len({r.b for r in rows}) > 255
