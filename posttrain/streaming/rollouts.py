@@ -33,7 +33,7 @@ def rollout_stream(spark: SparkSession, path: str, schema: str, max_files_per_tr
 # --------------------------------------------------------------- R1 filter
 
 _R1_OUT = "run long, emit_step long, group_id long, n_seen long, n_kept long"
-_R1_STATE = "pending array<long>, first_batch array<long>, seen long, kept long, emitted long"
+_R1_STATE = "pending array<long>, seen long, kept long, emitted long"
 
 
 def filter_accumulate(stream: DataFrame, n_samples: int, batch_groups: int,
@@ -50,7 +50,7 @@ def filter_accumulate(stream: DataFrame, n_samples: int, batch_groups: int,
 
     def step(key, pdfs, state):
         if state.exists:
-            pending, _, seen, kept, emitted = state.get
+            pending, seen, kept, emitted = state.get
             pending = list(pending)
         else:
             pending, seen, kept, emitted = [], 0, 0, 0
@@ -64,7 +64,7 @@ def filter_accumulate(stream: DataFrame, n_samples: int, batch_groups: int,
         if len(pending) >= batch_groups:
             out = [(key[0], emitted, gid, seen, kept) for gid in pending[:batch_groups]]
             pending, seen, kept, emitted = [], 0, 0, emitted + 1  # surplus discarded
-        state.update((pending, [], seen, kept, emitted))
+        state.update((pending, seen, kept, emitted))
         yield pd.DataFrame(out, columns=["run", "emit_step", "group_id", "n_seen", "n_kept"])
 
     rows = stream.select(run_col, batch_col, group_col, score_col)
