@@ -156,3 +156,24 @@ def test_estimator_cut_lineage_same_result(spark):
     kb = {(r.sample_id, r.t): r.advantages for r in b.select("sample_id", "t", "advantages").collect()}
     assert ka.keys() == kb.keys()
     assert all(abs(ka[k] - kb[k]) < 1e-9 for k in ka)
+
+
+def test_non_finite_log_probs(spark):
+    from posttrain.operators import distill as ds
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, 0, 1, -0.5, -0.4), (0, 1, 1, -inf, -0.2), (0, 2, 1, nan, -0.1), (0, 3, 0, -0.3, -0.3)]
+    d = spark.createDataFrame(rows, "sample_id long, t int, action_mask int, teacher_log_prob double, log_prob double")
+    fin = [r.f for r in d.select(ds.is_finite(F.col("teacher_log_prob")).alias("f")).orderBy("f").collect()]
+    assert fin.count(True) == 2
+    diag = ds.kd_diagnostics(d).collect()[0]
+    # 3 masked-in positions, one of them finite
+    assert diag.kd_finite_ratio == pytest.approx(1 / 3)
+    assert diag.non_finite_warning is True
+
+
+def test_null_messages_are_skipped(spark):
+    rows = [(1, None, [("user", "hi"), ("assistant", "yo")]), (2, [("system", "s"), ("user", "q")], None), (3, None, None)]
+    d = spark.createDataFrame(rows, "conv_id long, messages array<struct<role:string,content:string>>, "
+                                    "message array<struct<role:string,content:string>>")
+    t = sft.messages_to_turns(d).orderBy("conv_id", "turn").collect()
+    assert [(r.conv_id, r.turn, r.role) for r in t] == [(1, 0, "user"), (1, 1, "assistant"), (2, 0, "system"), (2, 1, "user")]
