@@ -15,7 +15,7 @@ from posttrain.operators import metrics as met
 from posttrain.operators import sft
 from posttrain.sources import io
 from posttrain.sources import sinks
-from posttrain.plans.registry import query
+from posttrain.plans.registry import query, rnd
 from posttrain.session import table
 
 
@@ -80,7 +80,7 @@ SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 6) AS qty FROM lineit
 def q_parquet_scan(spark, sf):
     li = io.read_parquet(spark, f"{sf.rstrip('/')}/lineitem.parquet")
     return li.filter(F.col("l_discount") > 0.05).groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 6).alias("qty"))
+        F.count(F.lit(1)).alias("n"), rnd(F.sum("l_quantity")).alias("qty"))
 
 
 def _write_tree(spark, sf) -> str:
@@ -222,7 +222,7 @@ FROM (SELECT event_id // 100 AS step, event_type, value FROM events) x WHERE ste
 def q_metrics_sink(spark, sf):
     e = table(spark, sf, "events")
     per = e.groupBy((F.col("event_id") / 100).cast("long").alias("step"), "event_type").agg(
-        F.round(F.avg("value"), 6).alias("v"))
+        rnd(F.avg("value")).alias("v"))
     status = per.groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
     rows = sinks.metric_rows(status, "step", "m", "train", logging_steps=5)
     path = io.scratch_dir(spark, f"metrics_{_tag(sf)}")
