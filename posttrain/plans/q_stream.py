@@ -90,10 +90,10 @@ def q_resume(spark, sf):
     half = ids[: len(ids) // 2]
     _replay(spark, sf, root, half)
     agg = st.running_datasource_stats(_stream(spark, root))
-    st.run_to_parquet(agg, "r5", f"{root}/out", mode="complete", checkpoint=f"{root}/ck")
+    st.run_to_parquet(agg, "r5", f"{root}/out", mode="complete", checkpoint=f"{root}/ck", state_partitions=2)
     _replay(spark, sf, root, ids[len(ids) // 2:])
     agg = st.running_datasource_stats(_stream(spark, root))
-    st.run_to_parquet(agg, "r5", f"{root}/out", mode="complete", checkpoint=f"{root}/ck")
+    st.run_to_parquet(agg, "r5", f"{root}/out", mode="complete", checkpoint=f"{root}/ck", state_partitions=2)
     d = spark.read.parquet(f"{root}/out")
     return d.select("datasource", rnd("mean_reward").alias("mean_reward"), "count", "passed")
 
@@ -106,7 +106,7 @@ def q_running_datasource_stats(spark, sf):
     root = _fresh(spark, "r6")
     _replay(spark, sf, root)
     agg = st.running_datasource_stats(_stream(spark, root))
-    st.run_to_parquet(agg, "r6", f"{root}/out", mode="complete", checkpoint=f"{root}/ck")
+    st.run_to_parquet(agg, "r6", f"{root}/out", mode="complete", checkpoint=f"{root}/ck", state_partitions=2)
     d = spark.read.parquet(f"{root}/out")
     return d.select("datasource", rnd("mean_reward").alias("mean_reward"), "count", "passed")
 
