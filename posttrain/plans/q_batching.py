@@ -347,3 +347,23 @@ def q_strip_right_padding(spark, sf):
     d = d.withColumn("mask", F.array_repeat(F.lit(1), F.size("ids")))
     p = sft.pad_sequences(d, {"ids": 0, "mask": 0})
     return p.select("conv_id", "turn", F.size(sft.strip_right_padding(F.col("ids"), F.col("mask"))).alias("n"))
+
+
+@query("seqlen_unbalance_balanced")
+def q_seqlen_unbalance_balanced(spark, sf):
+    """A13 per training step: min / max / diff of the contiguous chunk sums
+    and of the balanced (largest differencing) partition sums, and the mean
+    total / k. Rows-only: the partitions come from the K5 planner."""
+    k = 4
+    d = _steps(spark, sf).select("step", "_seq", "sample_id", "total_length")
+    parts = bt.balanced_partitions(d, k, "step").select("sample_id", "part")
+    w = F.floor((F.col("_seq") - F.col("step") * STEP) / F.lit(STEP // k)).cast("long")
+    d = d.join(parts, "sample_id").withColumn("chunk", w)
+    contiguous = d.groupBy("step", "chunk").agg(F.sum("total_length").alias("s")).groupBy("step").agg(
+        F.min("s").alias("min_sum"), F.max("s").alias("max_sum"))
+    balanced = d.groupBy("step", "part").agg(F.sum("total_length").alias("s")).groupBy("step").agg(
+        F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max"),
+        (F.sum("s") / F.lit(float(k))).alias("mean_sum"))
+    out = contiguous.join(balanced, "step")
+    return out.select("step", "min_sum", "max_sum", (F.col("max_sum") - F.col("min_sum")).alias("minmax_diff"),
+                      "balanced_min", "balanced_max", rnd("mean_sum").alias("mean_sum"))

@@ -116,3 +116,14 @@ def test_micro_batch_plan_max_over_ranks(spark):
         ps = [p for p in plan if p.dp_rank == r]
         assert sorted(p.sample_id for p in ps) == sorted(x[1] for x in rows if x[2] == r)
         assert {p.micro_batch for p in ps} == set(range(k1))
+
+
+def test_seqlen_unbalance_balanced_invariants(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["seqlen_unbalance_balanced"](spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    for r in rows:
+        assert r.balanced_min <= r.mean_sum <= r.balanced_max
+        assert r.min_sum <= r.max_sum and r.minmax_diff == r.max_sum - r.min_sum
+        # largest differencing is never worse than the contiguous cut by more than one item
+        assert r.balanced_max - r.balanced_min <= r.minmax_diff + 420
