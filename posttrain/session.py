@@ -4,6 +4,7 @@ shared checkpoint folder used to cut lineage."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +45,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Set a scratch one only when the session has none (local tests)."""
+    A scratch one is made only when the session has none and its master is
+    local (tests, bench); on a cluster a machine-local folder would not be seen by
+    the other executors, so an unset folder is an error there."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         cur = tempfile.mkdtemp(prefix="posttrain-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", cur)
