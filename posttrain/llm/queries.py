@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, exact_dedup
-from posttrain.llm.common import ID, TEXT, documents
+from posttrain.llm import bpe, exact_dedup, language_id, quality, secret_scan, toxicity, url_lists
+from posttrain.llm.common import ID, TEXT, documents, split_no
+from posttrain.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +40,98 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir))))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels")
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = _labels(spark, sf_dir).where(split_no(ID, 3) != 1)
+    scored, _ = toxicity.fit_and_score(documents(spark, sf_dir), learn)
+    return scored.select(ID, (split_no(ID, 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "lang")
+    model = language_id.fit(docs.where((split_no(ID, 4) != 2) & F.col("lang").isNotNull()))
+    found = language_id.predict(docs, model)
+    return found.select(ID, (split_no(ID, 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = _labels(spark, sf_dir).where(split_no(ID, 5) != 0)
+    scored = quality.classify(documents(spark, sf_dir), learn)
+    return scored.select(ID, (split_no(ID, 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    spans = F.expr("transform(kinds, (k, i) -> concat_ws(':', k, starts[i], ends[i]))")
+    found = found.withColumn("all", spans).withColumn("base", F.expr("filter(all, s -> NOT startswith(s, 'novel'))"))
+    counts = [F.expr(f"cast(size(filter(kinds, k -> k = '{k}')) as long)").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select(ID, *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("all", ",").alias("spans"))
+
+
+# Captures and a dated list, derived from the pages: the fetch day follows from the
+# page's number; hosts, their parent domains and path prefixes are listed, dropped and
+# listed again on days that follow from a hash of their name.
+_DAY0 = "DATE '2024-01-01'"
+_H = "(strpos('0123456789abcdef', substr(md5(value), {0}, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(md5(value), {1}, 1)) - 1"
+_H1, _H2, _H3 = _H.format(1, 2), _H.format(3, 4), _H.format(5, 6)
+
+
+def _list_entries(values: DataFrame) -> DataFrame:
+    """Dated entries for ``kind, value`` rows: about a third of them are listed."""
+    h = [F.expr(x.replace("strpos(", "instr(")) for x in (_H1, _H2, _H3)]
+    first = h[1]
+    days = F.array(F.struct(first.alias("d"), F.lit("add").alias("action")),
+                   F.struct((first + 30 + h[2] % 60).alias("d"), F.lit("remove").alias("action")),
+                   F.struct((first + 120 + h[2] % 40).alias("d"), F.lit("add").alias("action")))
+    return (values.where(h[0] < 88).select("kind", "value", F.explode(days).alias("e"))
+            .select("kind", "value", F.date_add(F.expr(_DAY0), F.col("e.d").cast("int")).alias("day"), "e.action"))
+
+
+@_query
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.date_add(F.expr(_DAY0), (F.col("page_id") * 37 % 366).cast("int")))
+    host = url_lists.host(F.col("url"))
+    values = (pages.select(F.explode(F.array(
+        F.struct(F.lit("host").alias("kind"), host.alias("value")),
+        F.struct(F.lit("domain").alias("kind"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("value")),
+        F.struct(F.lit("prefix").alias("kind"), url_lists.path_prefix(F.col("url")).alias("value")))).alias("e"))
+        .select("e.kind", "e.value").distinct().where("value <> ''"))
+    return url_lists.match(captures, _list_entries(values))
+
+
+ORACLE["op7_url_lists"] = rf"""
+WITH cap AS (
+  SELECT page_id, rtrim_dot AS host, rtrim_dot || '/' || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*/([^/?#]*)', 1) AS prefix,
+    CAST({_DAY0} + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS day
+  FROM (SELECT page_id, lower(coalesce(url, '')) AS u,
+      regexp_replace(regexp_extract(lower(coalesce(url, '')), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '[.]$', '') AS rtrim_dot
+    FROM pages)),
+val AS (
+  SELECT DISTINCT kind, value FROM (
+    SELECT 'host' AS kind, host AS value FROM cap
+    UNION ALL SELECT 'domain', regexp_extract(host, '([^.]+[.][^.]+)$', 1) FROM cap
+    UNION ALL SELECT 'prefix', prefix FROM cap) WHERE value <> ''),
+hashed AS (SELECT kind, value, {_H1} AS h1, {_H2} AS h2, {_H3} AS h3 FROM val),
+spans AS (
+  SELECT kind, value, CAST({_DAY0} + CAST(h2 AS INTEGER) AS DATE) AS since, CAST({_DAY0} + CAST(h2 + 30 + h3 % 60 AS INTEGER) AS DATE) AS until
+  FROM hashed WHERE h1 < 88
+  UNION ALL SELECT kind, value, CAST({_DAY0} + CAST(h2 + 120 + h3 % 40 AS INTEGER) AS DATE), DATE '9999-12-31' FROM hashed WHERE h1 < 88),
+hit AS (
+  SELECT DISTINCT c.page_id, s.kind, s.value FROM cap c JOIN spans s
+    ON ((s.kind = 'host' AND s.value = c.host) OR (s.kind = 'prefix' AND s.value = c.prefix)
+      OR (s.kind = 'domain' AND (c.host = s.value OR ends_with(c.host, '.' || s.value))))
+    AND s.since <= c.day AND c.day < s.until WHERE c.host <> ''),
+got AS (SELECT page_id, count(*) AS n, string_agg(kind || ':' || value, ',' ORDER BY kind || ':' || value) AS m FROM hit GROUP BY page_id)
+SELECT c.page_id, c.host, c.day, coalesce(g.n, 0) AS n_matches, coalesce(g.m, '') AS matches, g.n IS NOT NULL AS blocked
+FROM cap c LEFT JOIN got g ON c.page_id = g.page_id
+"""
