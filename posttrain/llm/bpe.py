@@ -21,14 +21,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posttrain.llm.common import ID, TEXT, arrow_map, narrow
 
-CACHE_UNITS = 1_000_000
-#: Texts above this many characters are handled alone; the others in groups of about this size.
-GROUP_CHARS = 1 << 20
+CACHE_UNITS = 250_000
+#: Bytes of the texts that are handled together (a longer text: alone).
+GROUP_BYTES = 1 << 20
 _ODD_SPACE = re.compile(r" (?:\s|\Z)").search
 
 
@@ -166,15 +167,14 @@ class Codec:
         return self.all_bytes[at], total[first]
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= GROUP_CHARS:
-            yield begin, i + 1
-            begin, chars = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _groups(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``GROUP_BYTES``."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + GROUP_BYTES, "right")) - 1)
+        yield a, b
+        a = b
 
 
 def encode(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, offsets: bool = False,
@@ -188,9 +188,9 @@ def encode(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, offsets: boo
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path, offsets)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in _groups(texts):
-            ids, first, ends = codec.encode(texts[a:b])
+        texts = batch.column(1).fill_null("")
+        for a, b in _groups(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)):
+            ids, first, ends = codec.encode(texts.slice(a, b - a).to_pylist())
             rows = pa.array(first.astype(np.int32))
             cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(rows, pa.array(ids))]
             names = [ID, "ids"]
@@ -212,9 +212,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path, False)
-        step = max(1, int(len(batch) * GROUP_CHARS / max(1, batch.nbytes)))
-        for a in range(0, len(batch), step):
-            part = batch.slice(a, step)
+        lengths = pc.fill_null(pc.list_value_length(batch.column(names.index(ids_col))), 0).to_numpy(zero_copy_only=False)
+        for a, b in _groups(lengths.astype(np.int64) * 4):
+            part = batch.slice(a, b - a)
             lists = part.column(names.index(ids_col)).fill_null([])
             first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             data, bounds = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, exact_dedup, language_id, quality, secret_scan, toxicity, url_lists
+from posttrain.llm import bpe, exact_dedup, language_id, minhash, quality, secret_scan, toxicity, url_lists
 from posttrain.llm.common import ID, TEXT, documents, split_no
 from posttrain.session import table
 
@@ -135,3 +135,8 @@ got AS (SELECT page_id, count(*) AS n, string_agg(kind || ':' || value, ',' ORDE
 SELECT c.page_id, c.host, c.day, coalesce(g.n, 0) AS n_matches, coalesce(g.m, '') AS matches, g.n IS NOT NULL AS blocked
 FROM cap c LEFT JOIN got g ON c.page_id = g.page_id
 """
+
+
+@_query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
