@@ -52,14 +52,13 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def key_bitmap(keys: DataFrame, key: str, bits: int = 24) -> np.ndarray:
-    """Membership bitmap of a long column: bit ``xxhash64(key) mod 2^bits`` is
+def key_bitmap(keys: DataFrame, hashed: Column, bits: int = 24) -> np.ndarray:
+    """Membership bitmap of a column of 64-bit hashes: bit ``hash mod 2^bits`` is
     set for every key. Its size is fixed by ``bits`` (2^24 bits: 2 MB, sent as at
     most 2^(bits-6) words), whatever the number of keys; more keys only mean more
     false positives, which an exact join after it removes."""
-    h = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    words = (keys.where(F.col(key).isNotNull())
-             .select(F.shiftright(h, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("b"))
+    words = (keys.select(hashed.alias("h")).where("h IS NOT NULL")
+             .select((F.pmod("h", F.lit(1 << bits)) / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64L) as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b"))).toPandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
@@ -67,7 +66,7 @@ def key_bitmap(keys: DataFrame, key: str, bits: int = 24) -> np.ndarray:
 
 
 def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """Rows whose ``xxhash64(key)`` (as computed by Spark) hits the bitmap."""
+    """Rows whose 64-bit hash hits the bitmap."""
     h = hashed.view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 

@@ -166,6 +166,24 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
         yield part.first, values, first
 
 
+def set_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two-word key of each set ``values[first[i]:first[i + 1]]``, whatever its
+    order: independent sums of mixed elements."""
+    key = np.zeros((len(first) - 1, 2), np.uint64)
+    # Two odd 64-bit salts.
+    for c, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix64(values + np.uint64(salt)), dtype=np.uint64, out=total[1:])
+        key[:, c] = mix64(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
+    return key
+
+
+def key_array(key: np.ndarray) -> pa.Array:
+    """The keys as 16-byte binary values."""
+    raw = np.ascontiguousarray(key)
+    return pa.Array.from_buffers(pa.binary(16), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
 def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow list column from flat values and group ranges."""
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, type=kind))

@@ -25,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posttrain.llm import kernels as K
 from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, narrow, stored
 from posttrain.llm.components import components
+from posttrain.llm.set_check import verified
 
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
@@ -79,16 +81,6 @@ def super_min_hash(values: np.ndarray, first: np.ndarray, slots: int = SLOTS) ->
     return out.reshape(n_sets, slots)
 
 
-def _set_keys(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """16-byte key of each set: two independent sums of mixed elements."""
-    key = np.zeros((len(first) - 1, 2), np.uint64)
-    for c, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(K.mix64(values + np.uint64(salt)), dtype=np.uint64, out=total[1:])
-        key[:, c] = K.mix64(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
-    return pa.Array.from_buffers(pa.binary(16), len(key), [None, pa.py_buffer(key.tobytes())])
-
-
 def signatures(docs: DataFrame, width: int, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """``doc_id, n long, key binary, sig binary, bands array<long>`` per input row;
     ``sig`` has one byte a slot. Rows without words have n = 0 and a null key."""
@@ -106,8 +98,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = ID, text_col: str = TE
                 band = K.mix64(band * K.MIX_GOLDEN + sig[:, r::ROWS])
             band ^= np.arange(BANDS, dtype=np.uint64)[None, :] * K.MIX_B
             small = K.mix64(sig).astype(np.uint8)
-            keys = _set_keys(values, first)
-            keys = pa.array([k if c else None for k, c in zip(keys.to_pylist(), n.tolist(), strict=True)], pa.binary())
+            keys = pc.if_else(pa.array(n > 0), K.key_array(K.set_keys(values, first)), pa.scalar(None, pa.binary()))
             rows = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, len(n)), pa.array(n), keys,
@@ -144,28 +135,11 @@ def _near_by_signature(pairs: DataFrame, nodes: DataFrame, percent: int) -> Data
     return arrow_map(joined, run, "a binary, b binary, est double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of the pairs with 100 * intersection >= percent * union."""
-    both = (pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(len(batch), bool)
-        for i in range(len(batch)):
-            x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-            both_ = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both_ >= percent * (len(x) + len(y) - both_)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["a", "b"])
-
-    # few rows a batch: each has two whole sets
-    return arrow_map(both.select("a", "b", "x", "y"), run, "a binary, b binary")
-
-
 def _sets(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``key, items array<long>`` of the wanted keys (``key, doc_id``: one document
     that has the set). A bitmap of fixed size keeps other documents' texts from being
     cut up and moved; the join is exact."""
-    bitmap = key_bitmap(keys, ID)
+    bitmap = key_bitmap(keys, F.xxhash64(ID))
     rows = narrow(docs, id_col, text_col).withColumn("h", F.xxhash64(ID))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -173,7 +147,7 @@ def _sets(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: s
         ids, texts = batch.column(0).filter(hit), batch.column(1).filter(hit)
         for at, values, first in K.shingle_sets(texts, width):
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(first) - 1), _set_keys(values, first).cast(pa.binary()),
+                [ids.slice(at, len(first) - 1), K.key_array(K.set_keys(values, first)),
                  K.list_array(values.view(np.int64), first, pa.int64())], names=[ID, "key", "items"])
 
     found = arrow_map(rows, run, f"{ID} long, key binary, items array<long>")
@@ -199,7 +173,7 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col:
     near = stored(_near_by_signature(pivots(members, 0), wanted, percent), "near")
     ends = near.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node"))
     best = ends.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = stored(_verified(best, _needed(docs, best, wanted, width, id_col, text_col), percent), "verified")
+    links = stored(verified(best, _needed(docs, best, wanted, width, id_col, text_col), percent), "verified")
     roots = components(links)
 
     def remaining(rows: DataFrame) -> DataFrame:
@@ -215,7 +189,7 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col:
         second = (second.join(label.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
                   .withColumn(f"r{side}", F.coalesce(f"r{side}", side)))
     second = stored(second.where("ra <> rb").select("a", "b"), "second")
-    more = stored(_verified(second, _needed(docs, second, wanted, width, id_col, text_col), percent), "verified")
+    more = stored(verified(second, _needed(docs, second, wanted, width, id_col, text_col), percent), "verified")
     links = links.union(more)
     roots = components(links)
 
@@ -227,7 +201,7 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col:
     cross = (small.join(left, "bucket").where("rx <> root AND (x < key OR root NOT IN (rx))")
              .select(*_ordered(F.col("x"), F.col("key"))))
     third = stored(_near_by_signature(cross, wanted, percent).join(near, ["a", "b"], "left_anti").select("a", "b"), "third")
-    last = stored(_verified(third, _needed(docs, third, wanted, width, id_col, text_col), percent), "verified")
+    last = stored(verified(third, _needed(docs, third, wanted, width, id_col, text_col), percent), "verified")
     return components(links.union(last))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, exact_dedup, language_id, minhash, quality, secret_scan, toxicity, url_lists
+from posttrain.llm import bpe, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, toxicity, url_lists
 from posttrain.llm.common import ID, TEXT, documents, split_no
 from posttrain.session import table
 
@@ -140,3 +140,11 @@ FROM cap c LEFT JOIN got g ON c.page_id = g.page_id
 @_query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, sf_dir))
+    return out.select(ID, F.size("dropped_lines").cast("long").alias("n_dropped"),
+                      F.concat_ws(",", F.col("dropped_lines").cast("array<string>")).alias("dropped"),
+                      "seen_in", F.sha2(F.coalesce(TEXT, F.lit("")), 256).alias("kept_sha256"))
