@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, toxicity, url_lists
+from posttrain.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, toxicity, url_lists
 from posttrain.llm.common import ID, TEXT, documents, split_no
 from posttrain.session import table
 
@@ -148,3 +148,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(ID, F.size("dropped_lines").cast("long").alias("n_dropped"),
                       F.concat_ws(",", F.col("dropped_lines").cast("array<string>")).alias("dropped"),
                       "seen_in", F.sha2(F.coalesce(TEXT, F.lit("")), 256).alias("kept_sha256"))
+
+
+@_query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(ID, "item_id", "distance", "start", "end")
