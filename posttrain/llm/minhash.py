@@ -82,8 +82,9 @@ def super_min_hash(values: np.ndarray, first: np.ndarray, slots: int = SLOTS) ->
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """``doc_id, n long, key binary, sig binary, bands array<long>`` per input row;
-    ``sig`` has one byte a slot. Rows without words have n = 0 and a null key."""
+    """``doc_id, version, n, key binary, sig binary, bands array<long>`` per input row;
+    ``sig`` has one byte a slot, ``version`` is a hash of the text. Rows without words
+    have n = 0 and a null key."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, values, first in K.shingle_sets(batch.column(1), width):
             n = np.diff(first)
@@ -101,12 +102,13 @@ def signatures(docs: DataFrame, width: int, id_col: str = ID, text_col: str = TE
             keys = pc.if_else(pa.array(n > 0), K.key_array(K.set_keys(values, first)), pa.scalar(None, pa.binary()))
             rows = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(n)), pa.array(n), keys,
+                [batch.column(0).slice(at, len(n)), batch.column(2).slice(at, len(n)), pa.array(n), keys,
                  pa.array([s.tobytes() for s in small], pa.binary()),
                  pa.ListArray.from_arrays(rows, pa.array(band.view(np.int64).ravel()))],
-                names=[ID, "n", "key", "sig", "bands"])
+                names=[ID, "version", "n", "key", "sig", "bands"])
 
-    return arrow_map(narrow(docs, id_col, text_col), run, f"{ID} long, n long, key binary, sig binary, bands array<long>")
+    rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
+    return arrow_map(rows, run, f"{ID} long, version long, n long, key binary, sig binary, bands array<long>")
 
 
 def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
@@ -211,7 +213,7 @@ def _needed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, id_
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per input row.
+    """``doc_id, n_shingles, component_id, kept, version`` per input row.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; a text's set
     is its distinct ``width``-word shingles (a shorter text: its whole sequence).
@@ -228,6 +230,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = nodes.select("key", ID).join(roots, F.col("key") == F.col("node"), "left").select("key", ID, F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min(ID).alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
-    return (sigs.select(ID, "n", "key").join(by_key, "key", "left")
-            .select(ID, F.col("n").alias("n_shingles"), F.coalesce("component_id", ID).alias("component_id"))
-            .withColumn("kept", F.col(ID).eqNullSafe(F.col("component_id"))))
+    name = F.coalesce("component_id", ID)
+    return (sigs.select(ID, "n", "key", "version").join(by_key, "key", "left")
+            .select(ID, F.col("n").alias("n_shingles"), name.alias("component_id"), F.col(ID).eqNullSafe(name).alias("kept"), "version"))
