@@ -137,8 +137,8 @@ class Model:
         return lang, score
 
 
-def fit(labelled: DataFrame, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang", max_per_lang: int = 500,
-        max_rows: int = 4000, families: dict[str, str] | None = None) -> Model | None:
+def fit(labelled: DataFrame, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang", max_per_lang: int = 300,
+        max_rows: int = 3000, families: dict[str, str] | None = None) -> Model | None:
     """Model from rows with a language; None if there are none. Languages beyond
     ``max_rows / 2`` keep the most frequent ones."""
     rows = narrow(labelled, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
