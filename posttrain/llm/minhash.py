@@ -6,18 +6,18 @@
    independent hashes; an element stops as soon as its next rank cannot lower the
    largest slot.
 2. Equal sets are one node, whatever their number of copies.
-3. Slots are banded; buckets link each member with pivots of the bucket, never all
-   members with each other. Pairs that the signatures put far below the threshold
-   are dropped; the best pair of each node is verified on full sets, and verified
+3. Slots are banded; a bucket links each member with its pivot, never all members
+   with each other. Pairs whose sizes or signatures rule a link out are
+   dropped; the nearest pair of each node is verified on full sets, and verified
    links are merged by union-find.
-4. Buckets that still hold several components are taken again: first all their
-   pivot pairs, then each member outside the bucket's largest component against
-   the members of other components, so no link between different texts is lost
-   to the choice of pivots.
+4. Nodes that are still apart are taken again: first with their other pivots, then,
+   in buckets that hold several components, with the members that their signatures
+   make likely; what is left meets each other and, block by block, the whole largest
+   components of its buckets, so the choice of pivots loses no link.
 
 Recall: two sets with similarity s meet in a band with probability
 ``1 - (1 - s^ROWS)^BANDS`` (s = 0.8: 0.999997), and the signature test drops a
-linked pair with probability below 1e-6."""
+pair at the threshold with probability below 1e-4."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posttrain.llm import kernels as K
@@ -36,8 +36,12 @@ from posttrain.llm.set_check import verified
 
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
-#: Standard errors below the threshold at which a signature rules a pair out.
-MARGIN = 5.0
+#: Bits of a slot in the signatures that pairs are compared by (slots fill 256 bits).
+PLANES = 4
+#: Standard errors beyond the threshold at which a signature rules a pair out.
+MARGIN = 4.0
+#: Sets of a component that are held together when a node is compared with all of it.
+BLOCK = 64
 #: Elements whose permutations are held at once (2 bytes a slot each).
 ELEMENTS = 40_000
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -82,9 +86,9 @@ def super_min_hash(values: np.ndarray, first: np.ndarray, slots: int = SLOTS) ->
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """``doc_id, version, n, key binary, sig binary, bands array<long>`` per input row;
-    ``sig`` has one byte a slot, ``version`` is a hash of the text. Rows without words
-    have n = 0 and a null key."""
+    """``doc_id, version, n, key binary, bits array<long>, bands array<long>`` per input
+    row; ``bits`` has ``PLANES`` bits of each slot, a plane after the other; ``version`` is a hash of the text. Rows
+    without words have n = 0 and a null key."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, values, first in K.shingle_sets(batch.column(1), width):
             n = np.diff(first)
@@ -98,43 +102,40 @@ def signatures(docs: DataFrame, width: int, id_col: str = ID, text_col: str = TE
             for r in range(ROWS):
                 band = K.mix64(band * K.MIX_GOLDEN + sig[:, r::ROWS])
             band ^= np.arange(BANDS, dtype=np.uint64)[None, :] * K.MIX_B
-            small = K.mix64(sig).astype(np.uint8)
+            mixed = K.mix64(sig)
+            planes = np.zeros((len(n), PLANES, 256), np.uint8)
+            for p in range(PLANES):
+                planes[:, p, :SLOTS] = mixed >> np.uint64(p) & np.uint64(1)
+            bits = np.packbits(planes.reshape(len(n), -1), axis=1).view(np.int64)
             keys = pc.if_else(pa.array(n > 0), K.key_array(K.set_keys(values, first)), pa.scalar(None, pa.binary()))
             rows = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, len(n)), batch.column(2).slice(at, len(n)), pa.array(n), keys,
-                 pa.array([s.tobytes() for s in small], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4 * PLANES), pa.array(bits.ravel())),
                  pa.ListArray.from_arrays(rows, pa.array(band.view(np.int64).ravel()))],
-                names=[ID, "version", "n", "key", "sig", "bands"])
+                names=[ID, "version", "n", "key", "bits", "bands"])
 
     rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
-    return arrow_map(rows, run, f"{ID} long, version long, n long, key binary, sig binary, bands array<long>")
+    return arrow_map(rows, run, f"{ID} long, version long, n long, key binary, bits array<long>, bands array<long>")
 
 
-def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _apart(x: str, y: str) -> str:
+    """Number of slots whose ``PLANES`` bits differ between two node columns."""
+    differ = [" | ".join(f"({x}.bits[{4 * p + i}] ^ {y}.bits[{4 * p + i}])" for p in range(PLANES)) for i in range(4)]
+    return "(" + " + ".join(f"bit_count({d})" for d in differ) + ")"
 
 
-def _near_by_signature(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, est`` of the distinct pairs whose sizes allow a link and whose
-    signatures do not rule it out."""
-    side = nodes.select("key", "n", "sig")
-    joined = (pairs.distinct().join(side.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-              .join(side.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-              .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb"))
-    t = percent / 100
-    floor = t - MARGIN * np.sqrt(t * (1 - t) / SLOTS)
+def _expected_apart(percent: int, margin: float = 0.0) -> int:
+    """Differing slots of two sets at the threshold, plus ``margin`` standard errors."""
+    p = (1 - percent / 100) * (1 - 2.0 ** -PLANES)
+    return int(SLOTS * p + margin * np.sqrt(SLOTS * p * (1 - p)))
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if len(batch) == 0:
-            return
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in (2, 3))
-        est = (x == y).mean(axis=1)
-        keep = pa.array(est >= floor)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(est).filter(keep)],
-                                         names=["a", "b", "est"])
 
-    return arrow_map(joined, run, "a binary, b binary, est double")
+def _may_link(x: str, y: str, percent: int, most: int | None = None) -> str:
+    """Size and signature bounds of a pair: at most ``most`` slots differ (as a rule:
+    what ``MARGIN`` allows)."""
+    most = _expected_apart(percent, MARGIN) if most is None else most
+    return f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent} AND {_apart(x, y)} <= {most}"
 
 
 def _sets(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -156,54 +157,96 @@ def _sets(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: s
     return found.join(keys.select("key", ID), ["key", ID]).dropDuplicates(["key"]).select("key", "items")
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """``a, b, apart`` of node columns ``x`` and ``y``, the smaller key first."""
+    return rows.select(F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b"),
+                       F.expr(_apart(x, y)).alias("apart"))
+
+
+def _nearest(pairs: DataFrame, ends: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The pair with the fewest differing slots of each node."""
+    return (pairs.select("a", "b", "apart", F.explode(F.array(*ends)).alias("node")).groupBy("node")
+            .agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for side in ("a", "b"):
+        pairs = (pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+                 .withColumn(f"r{side}", F.coalesce(f"r{side}", side)))
+    return pairs.where("ra <> rb").drop("ra", "rb")
+
+
 def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``node, root`` for the nodes that are linked with another one."""
-    spread = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select("a", "b"), "pairs")
+        return stored(verified(pairs, _needed(docs, pairs, nodes, width, id_col, text_col), percent), "links")
+
+    spread = nodes.select("key", "n", "bits", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = stored(spread.join(shared, "bucket").select("bucket", "band", "key"), "buckets")
-
-    def pivots(rows: DataFrame, salt: int) -> DataFrame:
-        """Two pairs for each member: with the first and the last of its bucket in
-        a salted order."""
-        order = F.struct(F.xxhash64(F.lit(salt), "band", "key").alias("h"), "key")
-        ends = rows.groupBy("bucket").agg(F.min(order)["key"].alias("p"), F.max(order)["key"].alias("q"))
-        both = rows.join(ends, "bucket").select("key", F.explode(F.array("p", "q")).alias("other")).where("key <> other")
-        return both.select(*_ordered(F.col("key"), F.col("other")))
-
-    linked_to = members.select("key").distinct()
-    wanted = nodes.join(linked_to, "key", "left_semi")
-    near = stored(_near_by_signature(pivots(members, 0), wanted, percent), "near")
-    ends = near.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = stored(verified(best, _needed(docs, best, wanted, width, id_col, text_col), percent), "verified")
+    members = stored(spread.join(shared, "bucket").select("bucket", "band", F.struct("key", "n", "bits").alias("x")), "buckets")
+
+    # one pivot a bucket, by an order that all buckets share: a large group has few of them
+    order = F.struct(F.xxhash64("x.key").alias("h"), "x")
+    pivots = members.groupBy("bucket").agg(F.min(order)["x"].alias("y"))
+    meet = members.join(pivots, "bucket").where("x.key <> y.key").where(F.expr(_may_link("x", "y", percent)))
+    near = stored(_pairs(meet, "x", "y").distinct(), "near")
+    best = stored(_nearest(near), "best")
+    links = check(best)
     roots = components(links)
 
-    def remaining(rows: DataFrame) -> DataFrame:
-        """Members, with their root, of the buckets with several components."""
-        labelled = rows.join(roots, rows["key"] == roots["node"], "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
-        open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        return labelled.join(open_, "bucket")
-
-    # second pass: every other pivot pair, between components
-    label = roots.select(F.col("node"), F.col("root"))
-    second = near.join(best, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        second = (second.join(label.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-                  .withColumn(f"r{side}", F.coalesce(f"r{side}", side)))
-    second = stored(second.where("ra <> rb").select("a", "b"), "second")
-    more = stored(verified(second, _needed(docs, second, wanted, width, id_col, text_col), percent), "verified")
+    # other pivots, for nodes that are still in another component
+    more = check(_between(near.join(best, ["a", "b"], "left_anti"), roots))
     links = links.union(more)
     roots = components(links)
 
-    # third pass: members outside their bucket's largest component, against the others
-    left = stored(remaining(members), "open")
-    sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    small = left.join(main, "bucket").where("root <> main").select("bucket", F.col("key").alias("x"), F.col("root").alias("rx"))
-    cross = (small.join(left, "bucket").where("rx <> root AND (x < key OR root NOT IN (rx))")
-             .select(*_ordered(F.col("x"), F.col("key"))))
-    third = stored(_near_by_signature(cross, wanted, percent).join(near, ["a", "b"], "left_anti").select("a", "b"), "third")
-    last = stored(verified(third, _needed(docs, third, wanted, width, id_col, text_col), percent), "verified")
+    def open_buckets() -> DataFrame:
+        """Members, with their component and their bucket's largest one, of the
+        buckets that hold several components."""
+        known = members.withColumn("key", F.col("x.key")).join(roots.withColumnRenamed("node", "key"), "key", "left")
+        known = known.withColumn("root", F.coalesce("root", "key"))
+        parts = known.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        main = parts.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+        return stored(known.join(main, "bucket"), "open")
+
+    def meet_open(rows: DataFrame, most: int, outside: str) -> DataFrame:
+        """Pairs of a member outside its bucket's largest component with members of
+        other components, once, in the first band that they share."""
+        small = rows.where("root <> main").select("bucket", F.col("x").alias("y"), F.col("root").alias("ry"), F.col("bands").alias("by"))
+        met = (rows.join(small, "bucket").where(f"root <> ry AND ({outside})").where(F.expr(_may_link("x", "y", percent, most)))
+               .where(f"NOT exists(sequence(0, {BANDS - 1}), i -> i < band AND bands[i] = by[i])"))
+        return stored(_pairs(met, "x", "y").join(near, ["a", "b"], "left_anti"), "met")
+
+    # likely links across components
+    banded = open_buckets().join(nodes.select("key", "bands"), "key")
+    likely = meet_open(banded, _expected_apart(percent), "root = main OR x.key < y.key")
+    best = stored(_nearest(likely), "best")
+    links = links.union(check(best))
+    links = links.union(check(_between(likely.join(best, ["a", "b"], "left_anti"), components(links))))
+    roots = components(links)
+
+    # what is left: members outside the largest components with each other, then with the
+    # largest ones as a whole, block by block
+    left = open_buckets()
+    banded = left.join(nodes.select("key", "bands"), "key")
+    links = links.union(check(meet_open(banded, _expected_apart(percent, MARGIN), "root <> main AND x.key < y.key")))
+    asked = stored(left.where("root <> main").select(F.col("key").alias("f"), F.col("main").alias("root")).distinct(), "asked")
+    whole = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    whole = whole.join(asked.select("root").distinct(), "root", "left_semi").select("root", "key", "n", "bits")
+    blocks = whole.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = whole.select("key").union(asked.select(F.col("f").alias("key"))).distinct()
+    sets = stored(_sets(docs, nodes.select("key", ID).join(wanted, "key", "left_semi"), width, id_col, text_col), "sets")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    there = (whole.join(blocks, "root").join(sets, "key").select("root", block, F.struct("key", "n", "bits", "items").alias("y"))
+             .groupBy("root", "block").agg(F.collect_list("y").alias("ys")))  # about BLOCK sets
+    here = (asked.join(blocks, "root").join(nodes.select(F.col("key").alias("f"), "n", "bits"), "f")
+            .join(sets.select(F.col("key").alias("f"), "items"), "f")
+            .select("root", F.struct(F.col("f").alias("key"), "n", "bits", "items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    common = "size(array_intersect(x.items, y.items))"
+    hit = F.expr(f"filter(ys, y -> if({_may_link('x', 'y', percent)}, 100 * {common} >= {percent} * (x.n + y.n - {common}), false))")
+    last = stored(here.join(there, ["root", "block"]).select("x.key", F.explode(hit).alias("y"))
+                  .select(F.col("key").alias("a"), F.col("y.key").alias("b")), "links")
     return components(links.union(last))
 
 
@@ -225,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     columns are ignored."""
     sigs = stored(signatures(docs, width, id_col, text_col), "signatures")
     nodes = stored(sigs.where("key IS NOT NULL").groupBy("key").agg(
-        F.min(ID).alias(ID), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+        F.min(ID).alias(ID), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     roots = _roots(docs, nodes, width, percent, id_col, text_col)
     named = nodes.select("key", ID).join(roots, F.col("key") == F.col("node"), "left").select("key", ID, F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min(ID).alias("component_id"))
