@@ -35,12 +35,23 @@ def split_no(id_col: str | Column, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
+#: With it, Spark removes a query's shuffle files when the query ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: later stages and
-    retried tasks start from the files, not from the lineage."""
+    retried tasks start from the files, not from the lineage. The shuffle files of
+    the written plan are of no more use and go at once, so the stages of an operator
+    do not add up on the executors' disks."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
