@@ -30,7 +30,7 @@ from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, nar
 from posttrain.llm.set_check import verified
 
 MIN_TOKENS = 5
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 
 
 def _line_tokens(part: K.Slice, sketch: np.ndarray | None):
@@ -117,11 +117,11 @@ def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
 
 
 def _token_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``key, items`` (sorted token hashes) of the sets in ``pairs``, cut again from
-    the documents of their first places. Bitmaps of fixed size pass over other
+    """``key, items`` (token hashes) of the sets (``key, full, short, version``) in
+    ``pairs``, cut again from the documents of their first places. Bitmaps of fixed size pass over other
     documents and lines; the join is exact."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = stored(sets.join(keys, "key", "left_semi").select("key", "short", "place.version"), "wanted")
+    wanted = stored(sets.join(keys, "key", "left_semi"), "wanted")
     docs, lines = key_bitmap(wanted, F.col("version")), key_bitmap(wanted, F.col("short"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -136,10 +136,10 @@ def _token_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame
                 out_first = np.concatenate([[0], np.cumsum(size)])
                 at = np.repeat(first[:-1][hit] - out_first[:-1], size) + np.arange(out_first[-1])
                 yield pa.RecordBatch.from_arrays([K.key_array(key[hit]), K.list_array(tokens[at].view(np.int64), out_first, pa.int64())],
-                                                 names=["key", "items"])
+                                                 names=["full", "items"])
 
-    found = arrow_map(rows.select(TEXT, "version"), run, "key binary, items array<long>")
-    return stored(found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "token_sets")
+    found = arrow_map(rows.select(TEXT, "version"), run, "full binary, items array<long>")
+    return stored(found.join(wanted.select("key", "full"), "full").dropDuplicates(["full"]).select("key", "items"), "token_sets")
 
 
 def _bounds(percent: int) -> str:
@@ -151,32 +151,40 @@ def _bounds(percent: int) -> str:
             f"AND (l.n + r.n - bit_count(l.bits ^ r.bits)) * {100 + percent} >= 2 * {need}")
 
 
-def matched_sets(rows: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (``key, place`` = first place) and the keys of those that an
-    earlier set matches (``key, by``)."""
-    sets = stored(lines.groupBy("key").agg(
-        F.min(F.struct(ID, "version", "line")).alias("place"), F.first("n").alias("n"), F.first("short").alias("short"),
-        F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "line_sets")
-    posted = sets.select("key", "place", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    member = F.struct("place", "key", "n", "bits", "i")
-    leaders = posted.groupBy("token").agg(F.min(member).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = stored(posted.join(leaders, "token"), "postings")
+def _place(row: str) -> str:
+    """A set is known by its first place; ``short`` tells rows that repeat an id apart."""
+    return f"struct({row}.doc, {row}.line, {row}.short)"
+
 
+def matched_sets(rows: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (``key, place`` = first place) and the places of those that an
+    earlier set matches (``place, by``)."""
+    sets = lines.groupBy("key").agg(
+        F.min(F.struct(F.col(ID).alias("doc"), "line", "short", "version")).alias("p"), F.first("n").alias("n"),
+        F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    sets = stored(sets.select("key", "p.doc", "p.line", "p.short", "p.version", "n", "bits", "prefix")
+                  .withColumn("place", F.struct("doc", "line", "short")), "line_sets")
+    # narrow rows: they are what is shuffled most
+    posted = sets.select("doc", "line", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    member = F.struct("doc", "line", "short", "n", "bits", "i")
+    leaders = stored(posted.groupBy("token").agg(F.min(member).alias("r"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
     bounds = _bounds(percent)
-    first = shared.where("key <> lead.key").where(F.expr(bounds.replace("l.", "").replace("r.", "lead.")))
-    best = stored(first.groupBy(F.col("key").alias("a")).agg(
-        F.min(F.struct(F.expr("bit_count(bits ^ lead.bits)").alias("h"), F.col("lead.key").alias("b")))["b"].alias("b")), "first_pairs")
-    done = stored(verified(best, _token_sets(rows, sets, best), percent), "first_matches")
-
-    rest = shared.drop("lead").alias("r")
-    open_ = shared.drop("lead").join(done.select(F.col("a").alias("key")), "key", "left_anti").alias("l")
-    pairs = (open_.join(rest, F.expr(f"l.token = r.token AND r.place < l.place AND {bounds}"))
-             .select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct()
+
+    led = posted.alias("l").join(leaders, "token").where(f"{_place('l')} <> {_place('r')}").where(bounds)
+    best = stored(led.groupBy(F.expr(_place("l")).alias("a")).agg(
+        F.min(F.struct(F.expr("bit_count(l.bits ^ r.bits)").alias("h"), F.expr(_place("r")).alias("b")))["b"].alias("b")), "first_pairs")
+    places = sets.select(F.col("place").alias("key"), "short", "version", F.col("key").alias("full"))
+    done = stored(verified(best, _token_sets(rows, places, best), percent), "first_matches")
+
+    open_ = sets.join(done.select(F.col("a").alias("place")), "place", "left_anti")
+    open_ = open_.select("doc", "line", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    pairs = (open_.alias("l").join(posted.alias("r"), F.expr(f"l.token = r.token AND {_place('r')} < {_place('l')} AND {bounds}"))
+             .select(F.expr(_place("l")).alias("a"), F.expr(_place("r")).alias("b")).distinct()
              .join(best, ["a", "b"], "left_anti"))
     pairs = stored(pairs, "other_pairs")
-    later = stored(verified(pairs, _token_sets(rows, sets, pairs), percent), "other_matches")
-    found = done.union(later).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("by"))
-    return sets, found
+    later = stored(verified(pairs, _token_sets(rows, places, pairs), percent), "other_matches")
+    found = done.union(later).groupBy(F.col("a").alias("place")).agg(F.min("b").alias("by"))
+    return sets.select("key", "place"), found
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -187,13 +195,12 @@ def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col
     rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
     lines = stored(_lines(rows, token_sketch(rows), percent), "lines")
     sets, found = matched_sets(rows, lines, percent)
-    origin = sets.select(F.col("key").alias("by"), F.col(f"place.{ID}").alias("by_doc"))
-    known = (sets.select("key", "place").join(found, "key", "left").join(origin, "by", "left")
-             .select("key", "place", F.col("by").isNotNull().alias("late"), F.coalesce("by_doc", f"place.{ID}").alias("by_doc")))
+    known = (sets.join(found, "place", "left")
+             .select("key", "place", F.col("by").isNotNull().alias("late"), F.coalesce("by", "place")["doc"].alias("by_doc")))
     repeated = lines.groupBy("key").agg(F.count("*").alias("c"))
     known = known.join(repeated, "key").where("c > 1 OR late").drop("c")
-    gone = (lines.select("key", ID, "version", "line").join(known, "key")
-            .where(F.col("late") | ~F.struct(ID, "version", "line").eqNullSafe(F.col("place"))))
+    gone = (lines.select("key", ID, "version", "line", "short").join(known, "key")
+            .where(F.col("late") | ~F.struct(F.col(ID).alias("doc"), "line", "short").eqNullSafe(F.col("place"))))
     return gone.groupBy(ID, "version").agg(F.array_sort(F.collect_set("line")).alias("lines"),
                                            F.array_sort(F.collect_set("by_doc")).alias("seen_in"))
 
