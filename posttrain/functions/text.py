@@ -24,9 +24,9 @@ _FENCE = "```"
 
 
 def pystrip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace of any kind
-    (Spark's ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace of any kind, Unicode
+    included (Spark's ``trim`` only removes spaces)."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def _blocks(text: Column, tags: str | None, optional: bool = False) -> Column:

@@ -28,9 +28,15 @@ WHITENED_ESTIMATORS = ("reinforce", "reinforce_baseline")
 
 # ----------------------------------------------------------------- columns
 
+def clamp(v: Column, lo: float, hi: float) -> Column:
+    """``v`` within [lo, hi]; null stays null and NaN stays NaN (``least`` and
+    ``greatest`` would skip the one and take the other for the largest number)."""
+    return F.when(v.isNull() | F.isnan(v), v).otherwise(F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi))))
+
+
 def approx_kl(log_probs: Column, base_log_probs: Column, estimator: str = "k1") -> Column:
     """M1: k1 = d, k2 = d^2/2, k3 = exp(-d) - 1 + d with d = logp - base;
-    clamped to [-10, 10] last."""
+    clamped to [-10, 10] last (NaN stays NaN)."""
     d = log_probs - base_log_probs
     if estimator == "k1":
         v = d
@@ -40,12 +46,12 @@ def approx_kl(log_probs: Column, base_log_probs: Column, estimator: str = "k1")
         v = F.exp(-d) - F.lit(1.0) + d
     else:
         raise ValueError(f"unknown kl estimator {estimator!r}")
-    return F.least(F.greatest(v, F.lit(-10.0)), F.lit(10.0))
+    return clamp(v.cast("double"), -10.0, 10.0)
 
 
 def clip_reward(r: Column, lo: float = -10.0, hi: float = 10.0) -> Column:
-    """M2: clamp a reward to [lo, hi]."""
-    return F.least(F.greatest(r, F.lit(float(lo))), F.lit(float(hi)))
+    """M2: clamp a reward to [lo, hi] (NaN stays NaN)."""
+    return clamp(r.cast("double"), lo, hi)
 
 
 def overlong_penalty(reward: Column, response_length: Column, max_len: int,

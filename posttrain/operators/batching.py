@@ -3,16 +3,16 @@ A18, A19, A22, A24, W10).
 
 Positional operators work on a global position column ``_seq`` (see
 :mod:`posttrain.operators.index`). Closed forms are plain column arithmetic.
-The sequential planners (first fit, largest differencing, greedy) run per
-training step with ``applyInPandas``: a step's group is bounded by the local
-train batch, never the whole table.
+The sequential planners work on a training step's rows as arrays, which the local
+train batch bounds: first fit and greedy are Catalyst folds, largest differencing
+is a pandas UDF over Arrow batches of steps.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,11 +76,9 @@ def drop_ragged_batch(df: DataFrame, size: int, seq_col: str = "_seq") -> DataFr
 
 
 def keep_last_n(df: DataFrame, limit: int, seq_col: str = "_seq") -> DataFrame:
-    """Evict the oldest rows beyond ``limit`` (limit <= 0 keeps all)."""
-    if limit <= 0:
-        return df
-    d = with_count(df).filter(F.col(seq_col) >= F.col("__n") - F.lit(limit))
-    return d if "__n" in df.columns else d.drop("__n")
+    """Evict the oldest rows beyond ``limit`` (limit <= 0 keeps all); each task
+    keeps its own newest rows before the shuffle."""
+    return df if limit <= 0 else df.orderBy(F.desc(seq_col)).limit(limit)
 
 
 def hash_order_key(id_col: Column, seed: int) -> Column:
@@ -209,92 +207,6 @@ def merge_batches(frames: list[DataFrame], pad_cols: dict[str, object], batch_co
 
 # ------------------------------------------------------ sequential planners
 
-def first_fit_bins(lengths: list[int], budget: int) -> list[int]:
-    """K4: bins filled in arrival order, each item into the first bin with
-    room; an item larger than the budget opens its own bin."""
-    bins: list[int] = []
-    for x in lengths:
-        for j, load in enumerate(bins):
-            if load + x <= budget:
-                bins[j] = load + x
-                break
-        else:
-            bins.append(x)
-    return bins
-
-
-def largest_differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """K5: Karmarkar-Karp largest differencing into ``k`` sets; returns item
-    indices per set, each set sorted. A state is k sets kept largest-first;
-    repeatedly the two states with the largest spread are merged pairing the
-    largest set of one with the smallest of the other."""
-    if len(lengths) < k:
-        raise ValueError(f"number of items {len(lengths)} < k {k}")
-
-    def set_key(s):  # (sum, count, items) ordering of one set
-        return (s[0], len(s[1]), s[1])
-
-    def make_state(items):
-        sets = [[0, []] for _ in range(k)]
-        for j, (idx, v) in enumerate(items):
-            sets[j][0] += v
-            sets[j][1].append((idx, v))
-        sets.sort(key=set_key, reverse=True)
-        return sets
-
-    class Entry:
-        __slots__ = ("sets",)
-
-        def __init__(self, sets):
-            self.sets = sets
-
-        def spread(self):
-            return self.sets[0][0] - self.sets[-1][0]
-
-        def __lt__(self, other):
-            a, b = self.spread(), other.spread()
-            if a != b:
-                return a > b
-            return set_key(self.sets[0]) > set_key(other.sets[0])
-
-    order = sorted((v, i) for i, v in enumerate(lengths))
-    heap: list[Entry] = []
-    if equal_size:
-        if len(order) % k:
-            raise ValueError("equal_size needs len % k == 0")
-        for off in range(0, len(order), k):
-            heapq.heappush(heap, Entry(make_state([(i, v) for v, i in order[off:off + k]])))
-    else:
-        for v, i in order:
-            heapq.heappush(heap, Entry(make_state([(i, v)])))
-    while len(heap) > 1:
-        a = heapq.heappop(heap)
-        b = heapq.heappop(heap)
-        for j in range(k):
-            other = b.sets[k - 1 - j]
-            a.sets[j][0] += other[0]
-            a.sets[j][1].extend(other[1])
-        a.sets.sort(key=set_key, reverse=True)
-        heapq.heappush(heap, a)
-    parts = [sorted(idx for idx, _ in s[1]) for s in heap[0].sets]
-    if any(len(p) == 0 for p in parts):
-        raise ValueError("empty partition")
-    return parts
-
-
-def least_loaded(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """K6: each item in arrival order goes to the currently lightest set
-    (lowest index on ties); ``equal_size`` adds a bias of sum+1 per item."""
-    bias = sum(lengths) + 1 if equal_size else 0
-    parts: list[list[int]] = [[] for _ in range(k)]
-    sums = [0] * k
-    for i, x in enumerate(lengths):
-        j = min(range(k), key=lambda t: (sums[t], t))
-        parts[j].append(i)
-        sums[j] += x + bias
-    return parts
-
-
 def first_fit_expr(lengths: Column, budget: int) -> Column:
     """K4 as a Catalyst fold over an ordered length array: the array of bin
     loads (its size is the bin count). No Python; O(items x bins)."""
@@ -323,45 +235,81 @@ def least_loaded_expr(lengths: Column, k: int, equal_size: bool = False) -> Colu
     return F.aggregate(lengths.cast("array<long>"), init, place)["parts"]
 
 
-def group_map(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
-    """Run ``fn(pdf_of_one_group) -> pdf`` for every group with one Python
-    call per partition: rows are hash-partitioned by the keys and sorted
-    within partitions, so a group is contiguous; a group split across Arrow
-    batches is carried over to the next batch. Cheaper than
-    ``applyInPandas`` when groups are many and small (one training step each)."""
-    # an explicit partition count: AQE would otherwise coalesce this small
-    # shuffle into one partition and serialise the Python work. About one
-    # partition per 32 MB of estimated input, at least the cluster's
-    # parallelism, at most spark.sql.shuffle.partitions.
-    from posttrain.operators.sizing import estimated_bytes
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
-    size = estimated_bytes(df) or 0
-    n = int(min(cap, max(par, size // (32 * 1024 * 1024))))
-    d = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last_key = tuple(pdf.iloc[-1][k] for k in keys)
-            tail = (pdf[keys] == pd.Series(last_key, index=keys)).all(axis=1)
-            carry, done = pdf[tail], pdf[~tail]
-            if not done.empty:
-                outs = [fn(g) for _, g in done.groupby(keys, sort=False)]
-                yield pd.concat(outs, ignore_index=True)
-        if carry is not None and not carry.empty:
-            yield fn(carry.reset_index(drop=True))
-
-    return d.mapInPandas(run, schema)
-
-
-_PLAN_SCHEMA = ("step long, micro_batch int, sample_id long, local_pos int, loss_scale double, "
-                "optimizer_step int, n_micro int")
+def difference_sets(lengths: np.ndarray, k: int, equal_size: bool = False) -> np.ndarray:
+    """K5: the set of each item under the largest differencing method (Karmarkar
+    and Karp, 1982, for ``k`` sets; with ``equal_size`` its balanced form, which
+    starts from groups of ``k`` items of similar length).
+
+    A partial solution is a vector of ``k`` totals with, beside it, the set that each
+    item of the solution is in; the two solutions whose totals differ most are laid
+    over each other, the fullest set of one on the emptiest of the other. Of equal
+    differences the older solution is taken. With fewer than ``k`` items every item is
+    a set; otherwise no set is empty, and with ``equal_size`` set sizes differ by one
+    at most. Sets are numbered by their first item."""
+    n = len(lengths)
+    k = min(k, n)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    step = k if equal_size else 1
+    waiting = []
+    for age, at in enumerate(range(0, n, step)):
+        items = order[at:at + step]
+        totals = np.zeros(k, np.int64)
+        totals[:len(items)] = lengths[items]
+        waiting.append((int(totals.min() - totals.max()), age, totals, items, np.arange(len(items))))
+    heapq.heapify(waiting)
+    age = n
+    while len(waiting) > 1:
+        _, _, t1, i1, s1 = heapq.heappop(waiting)
+        _, _, t2, i2, s2 = heapq.heappop(waiting)
+        onto = np.empty(k, np.int64)  # set of the second that goes on each set of the first
+        onto[np.argsort(t2, kind="stable")] = np.argsort(-t1, kind="stable")
+        totals = t1.copy()
+        totals[onto] += t2
+        age += 1
+        heapq.heappush(waiting, (int(totals.min() - totals.max()), age, totals,
+                                 np.concatenate([i1, i2]), np.concatenate([s1, onto[s2]])))
+    _, _, _, items, sets = waiting[0]
+    out = np.empty(n, np.int64)
+    out[items] = sets
+    size = np.bincount(out, minlength=k)
+    while size.min() == 0:  # only among items of length 0
+        out[np.flatnonzero(out == size.argmax())[-1]] = size.argmin()
+        size = np.bincount(out, minlength=k)
+    first = np.unique(out, return_index=True)[1]
+    number = np.empty(k, np.int64)
+    number[np.argsort(first)] = np.arange(k)
+    return number[out]
+
+
+def difference_sets_column(lengths: Column, k: Column, equal_size: bool = False) -> Column:
+    """:func:`difference_sets` of a length array, per row (Arrow batches)."""
+    @F.pandas_udf("array<int>")
+    def sets(lens: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([difference_sets(np.asarray(x, np.int64), int(n), equal_size).astype(np.int32) for x, n in zip(lens, ks, strict=True)])
+    return sets(lengths, k)
+
+
+def step_lists(df: DataFrame, keys: list[str], seq_col: str, len_col: str, id_col: str) -> DataFrame:
+    """``keys, lens, ids``: each step's rows in order, as arrays (a step is bounded by
+    the local batch). The partition count is stated, about one per 32 MB of input
+    and one per core, because AQE would put this small shuffle, and with it the
+    planning, into one task."""
+    from posttrain.operators.sizing import input_bytes
+    n = max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // (32 * 1024 * 1024))
+    rows = df.select(*keys, seq_col, len_col, id_col).repartition(n, *keys)
+    per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seq_col, F.col(len_col).cast("long").alias("l"), id_col))).alias("__a"))
+    return per.select(*keys, F.transform("__a", lambda e: e["l"]).alias("lens"), F.transform("__a", lambda e: e[id_col]).alias("ids"))
+
+
+def _planned(lists: DataFrame, keys: list[str], sets: Column, *carry: str) -> DataFrame:
+    """One row per item: keys, ``part``, ``id``, position, size of its set."""
+    d = lists.withColumn("__p", sets)
+    item = F.arrays_zip(F.col("__p").alias("part"), F.col("ids").alias("id"),
+                        F.sequence(F.lit(0), F.size("ids") - 1).alias("pos"),
+                        F.transform("__p", lambda p: F.size(F.filter("__p", lambda q: q == p))).alias("size"))
+    return d.select(*keys, *carry, F.size("ids").alias("n"), F.inline(item))
 
 
 def micro_batch_plan(df: DataFrame, local_batch: int, max_tokens: int, ring: int = 1, tp: int = 1,
@@ -369,59 +317,39 @@ def micro_batch_plan(df: DataFrame, local_batch: int, max_tokens: int, ring: int
                      rank_col: str | None = None) -> DataFrame:
     """K7: per train step (``local_batch`` consecutive rows of each rank):
     number of micro-batches by first fit under ``max_tokens*ring*tp`` for
-    every rank, the max of those counts across ranks, balanced partitions of
-    each rank's step into that many micro-batches (largest differencing),
-    loss_scale = |part|/|step| and optimizer_step = 1 on the last
-    micro-batch. One group = one step across all ranks (bounded by
-    local_batch x ranks), one shuffle, one Python call per partition."""
-    budget = max_tokens * ring * tp
-    d = df.withColumn("step", F.floor(F.col(seq_col) / F.lit(local_batch)).cast("long"))
+    every rank, the max of those counts across ranks, balanced sets of
+    each rank's step into that many micro-batches (largest differencing; a rank
+    with fewer rows than that has one for each row), loss_scale = |set|/|step| and
+    optimizer_step = 1 on the last micro-batch. A row of lists is one rank's step;
+    the counts meet over a step's ranks."""
     rk = rank_col or "__rank"
+    d = df.withColumn("step", F.floor(F.col(seq_col) / F.lit(local_batch)).cast("long"))
     if rank_col is None:
         d = d.withColumn(rk, F.lit(0).cast("long"))
-    schema = _PLAN_SCHEMA + (f", {rank_col} long" if rank_col else "")
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([rk, seq_col])
-        by_rank = [(r, g.reset_index(drop=True)) for r, g in pdf.groupby(rk, sort=True)]
-        k = max(len(first_fit_bins(g[len_col].astype(int).tolist(), budget)) for _, g in by_rank)
-        rows = []
-        step = int(pdf["step"].iloc[0])
-        for r, g in by_rank:
-            parts = largest_differencing(g[len_col].astype(int).tolist(), k, False)
-            ids = g[id_col].astype("int64").tolist()
-            for j, part in enumerate(parts):
-                for i in part:
-                    row = [step, j, ids[i], i, len(part) / len(g), 1 if j == len(parts) - 1 else 0, k]
-                    if rank_col:
-                        row.append(int(r))
-                    rows.append(row)
-        cols = ["step", "micro_batch", "sample_id", "local_pos", "loss_scale", "optimizer_step", "n_micro"]
-        return pd.DataFrame(rows, columns=cols + ([rank_col] if rank_col else []))
-
-    return group_map(d.select("step", rk, seq_col, len_col, id_col), ["step"], [rk, seq_col], plan, schema)
+    lists = step_lists(d, ["step", rk], seq_col, len_col, id_col)
+    bins = F.size(first_fit_expr(F.col("lens"), max_tokens * ring * tp))
+    lists = lists.withColumn("n_micro", F.max(bins).over(Window.partitionBy("step")))
+    out = _planned(lists, ["step", rk], difference_sets_column(F.col("lens"), F.col("n_micro")), "n_micro")
+    last = F.least("n_micro", "n") - 1
+    return out.select("step", F.col("part").alias("micro_batch"), F.col("id").alias(id_col), F.col("pos").alias("local_pos"),
+                      (F.col("size") / F.col("n")).alias("loss_scale"), (F.col("part") == last).cast("int").alias("optimizer_step"),
+                      "n_micro", *([rank_col] if rank_col else []))
 
 
 def rollout_batch_plan(df: DataFrame, actors: int, max_tokens: int, group_col: str = "rollout_step",
                        seq_col: str = "_seq", len_col: str = "total_length", id_col: str = "sample_id",
                        ring: int = 1, tp: int = 1) -> DataFrame:
     """K8: per rollout step: first-fit count, rounded down to a multiple of
-    the actor count but at least ``actors``, then balanced partitions into that
-    many batches (floor rounding means a batch can exceed the budget)."""
-    budget = max_tokens * ring * tp
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq_col).reset_index(drop=True)
-        lens = pdf[len_col].astype(int).tolist()
-        m = len(first_fit_bins(lens, budget)) // actors * actors
-        nb = max(m, actors)
-        parts = largest_differencing(lens, nb, False)
-        rows = [(int(pdf[group_col].iloc[0]), j, int(pdf[id_col].iloc[i]), nb)
-                for j, part in enumerate(parts) for i in part]
-        return pd.DataFrame(rows, columns=[group_col, "batch", id_col, "n_batches"])
-
-    schema = f"{group_col} long, batch int, {id_col} long, n_batches int"
-    return group_map(df.select(group_col, seq_col, len_col, id_col), [group_col], [seq_col], plan, schema)
+    the actor count but at least ``actors``, then balanced sets, that many
+    batches (floor rounding means a batch can exceed the budget; a step with fewer
+    rows has one for each row)."""
+    lists = step_lists(df, [group_col], seq_col, len_col, id_col)
+    bins = F.size(first_fit_expr(F.col("lens"), max_tokens * ring * tp))
+    count = F.greatest(F.floor(bins / F.lit(actors)) * actors, F.lit(actors)).cast("int")
+    # one row a step; the window keeps the fold out of the Python call's arguments
+    lists = lists.withColumn("n_batches", F.max(count).over(Window.partitionBy(group_col)))
+    out = _planned(lists, [group_col], difference_sets_column(F.col("lens"), F.col("n_batches")), "n_batches")
+    return out.select(group_col, F.col("part").alias("batch"), F.col("id").alias(id_col), "n_batches")
 
 
 def first_fit_count(df: DataFrame, budget: int, group_col: str, seq_col: str = "_seq",
@@ -435,19 +363,9 @@ def first_fit_count(df: DataFrame, budget: int, group_col: str, seq_col: str = "
 def balanced_partitions(df: DataFrame, k: int, group_col: str, seq_col: str = "_seq",
                         len_col: str = "total_length", id_col: str = "sample_id", equal_size: bool = False,
                         method: str = "kk") -> DataFrame:
-    """K5 / K6 as a query: partition index of every row, per group. The
-    greedy method is a Catalyst fold; largest differencing runs in pandas,
-    one Python call per partition of groups."""
-    if method != "kk":
-        per = df.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(seq_col, len_col, id_col))).alias("__a"))
-        parts = least_loaded_expr(F.transform("__a", lambda e: e[len_col]), k, equal_size)
-        z = F.arrays_zip(F.transform("__a", lambda e: e[id_col]).alias("id"), parts.alias("part"))
-        return per.select(group_col, F.inline(z)).select(group_col, "part", F.col("id").alias(id_col))
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq_col).reset_index(drop=True)
-        parts = largest_differencing(pdf[len_col].astype(int).tolist(), k, equal_size)
-        rows = [(pdf[group_col].iloc[0], j, int(pdf[id_col].iloc[i])) for j, p in enumerate(parts) for i in p]
-        return pd.DataFrame(rows, columns=[group_col, "part", id_col])
-    return group_map(df.select(group_col, seq_col, len_col, id_col), [group_col], [seq_col], part,
-                     f"{group_col} long, part int, {id_col} long")
+    """K5 / K6 as a query: set of every row, per group. The greedy method is a
+    Catalyst fold; largest differencing runs per Arrow batch of groups."""
+    lists = step_lists(df, [group_col], seq_col, len_col, id_col)
+    sets = difference_sets_column(F.col("lens"), F.lit(k), equal_size) if method == "kk" \
+        else least_loaded_expr(F.col("lens"), k, equal_size)
+    return _planned(lists, [group_col], sets).select(group_col, "part", F.col("id").alias(id_col))

@@ -3,91 +3,73 @@
 A position column (``_seq``) is what the reference gets for free from list
 order. ``Window.orderBy`` without ``partitionBy`` would move every row into one
 task, and ``partitionBy(key)`` puts a hot key (say a third of all rows) in one
-task. Both are avoided here:
+task. Both are avoided here, in one plan without a job while it is built:
 
-1. cut the order key into ``buckets`` ranges at approximate quantiles
-   (the only value brought to the driver: ``buckets - 1`` boundaries);
-2. number rows inside each ``(key, bucket)`` with ``row_number`` - a hot key
+1. a hash-chosen sample of the order key (with its tiebreak columns, so equal
+   values are split too) gives ``buckets - 1`` boundaries, as a scalar subquery;
+2. rows are numbered inside each ``(key, bucket)`` with ``row_number`` - a hot key
    is spread over all buckets;
-3. count rows per ``(key, bucket)`` (map-side combined), prefix-sum those
-   counts per key over at most ``buckets`` rows, and add the offset back.
+3. rows per ``(key, bucket)`` are counted (map-side combined), the counts are
+   prefix-summed per key over at most ``buckets`` rows, and the offset is added.
 
-The counts table has at most ``#keys * buckets`` rows; it is joined on the same
-``(key, bucket)`` columns the window already hash-partitioned by, so the data
-itself is shuffled once.
-"""
+The number of buckets follows the bytes that the plan reads, without a bound. Keys
+and order columns may be of any orderable type; nulls come first and null keys are
+keys like others."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from posttrain.operators.sizing import input_bytes
 
-def _as_cols(cols):
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
-
-
-TARGET_BUCKET_BYTES = 64 * 1024 * 1024
-MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+TARGET_BUCKET_BYTES = 256 * 1024 * 1024
+SAMPLES_PER_BUCKET = 24
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Buckets from the optimizer's size estimate (no job): about one
-    bucket per 64 MB of input, so a hot key's rows are split into pieces a
-    single task can sort even at 100 TB."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no estimate available
-        return MIN_BUCKETS
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, size // TARGET_BUCKET_BYTES)))
-
-
-def _bisect_sql(x: str, bounds: list[float], lo: int, hi: int) -> str:
-    """Number of bounds <= x for bounds[lo:hi] as a balanced CASE tree
-    (depth log2(len)); built as SQL text so the tree costs one call to the
-    JVM, and it stays inside whole-stage codegen."""
-    if lo >= hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return (f"CASE WHEN {x} >= {float(bounds[mid])!r}D THEN {_bisect_sql(x, bounds, mid + 1, hi)} "
-            f"ELSE {_bisect_sql(x, bounds, lo, mid)} END")
-
-
-CASE_TREE_MAX = 255  # larger trees outgrow a generated method; use the fold
-
-
-def _bisect_fold_sql(x: str, bounds: list[float]) -> str:
-    """Number of bounds <= x by binary search over a literal array: a fold
-    of ceil(log2(n + 1)) halving steps (works for any number of bounds)."""
-    arr = "array(" + ", ".join(f"{float(b)!r}D" for b in bounds) + ")"
-    steps = max(1, (len(bounds)).bit_length())
-    return (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(bounds)}), "
-            f"(st, i) -> IF(st.lo >= st.hi, st, IF(element_at({arr}, CAST((st.lo + st.hi) DIV 2 AS INT) + 1) <= {x}, "
-            f"named_struct('lo', CAST((st.lo + st.hi) DIV 2 AS INT) + 1, 'hi', st.hi), "
-            f"named_struct('lo', st.lo, 'hi', CAST((st.lo + st.hi) DIV 2 AS INT)))), st -> st.lo)")
-
-
-def range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
-                 rel_error: float = 1e-3) -> Column:
-    """Monotone bucket id of ``order_col`` from approximate quantiles of
-    ``df[order_col]`` (pass the narrowest frame that has the column - e.g. the
-    source table - so the quantile pass does not recompute a derivation). The
-    quantile pass is one aggregation job returning ``buckets - 1`` numbers."""
-    buckets = buckets or default_buckets(df)
+    """About one bucket per ``TARGET_BUCKET_BYTES`` of input, and at least one for
+    each core, so a hot key's rows are split into pieces a task can sort."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // TARGET_BUCKET_BYTES)
+
+
+def range_bucket(df: DataFrame, order: str | Sequence[str], buckets: int | None = None,
+                 bounds: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``__bucket``: a monotone bucket number of the order columns.
+    ``bounds``: a narrower frame to sample instead of ``df`` (it has a leading part
+    of the order columns)."""
+    order = [order] if isinstance(order, str) else list(order)
+    source = bounds if bounds is not None else df
+    if bounds is not None:
+        order = [c for c in order if c in bounds.columns]
+    buckets = buckets or default_buckets(source)
     if buckets <= 1:
-        return F.lit(0)
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = max(100, int(1 / rel_error), 4 * buckets)
-    row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, acc).alias("q")).collect()[0]
-    bounds = sorted(set(b for b in (row["q"] or []) if b is not None))
-    if not bounds:
-        return F.lit(0)
-    x = f"CAST(`{order_col}` AS DOUBLE)"
-    if len(bounds) <= CASE_TREE_MAX:
-        return F.expr(_bisect_sql(x, bounds, 0, len(bounds)))
-    return F.expr(_bisect_fold_sql(x, bounds))
+        return df.withColumn("__bucket", F.lit(0))
+    size = buckets * SAMPLES_PER_BUCKET
+    sample = source.select(F.struct(*order).alias("k")).orderBy(F.xxhash64("k"), "k").limit(size)
+    cuts = sample.agg(F.sort_array(F.collect_list("k")).alias("s")).select(F.expr(
+        f"transform(sequence(1, {buckets - 1}), i -> get(s, cast(i * cast(size(s) as long) div {buckets} as int)))").alias("cuts"))
+    steps = max(1, (buckets - 1).bit_length())
+    # binary search: the number of cuts <= the row's key
+    found = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {buckets - 1}), (st, i) -> "
+             "if(st.lo >= st.hi, st, if(__cuts[cast((st.lo + st.hi) div 2 as int)] <= __at, "
+             "named_struct('lo', cast((st.lo + st.hi) div 2 + 1 as int), 'hi', st.hi), "
+             "named_struct('lo', st.lo, 'hi', cast((st.lo + st.hi) div 2 as int)))), st -> st.lo)")
+    return (df.withColumn("__cuts", cuts.scalar()).withColumn("__at", F.struct(*order))
+            .withColumn("__bucket", F.expr(found)).drop("__cuts", "__at"))
+
+
+def _with_offsets(numbered: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on key and bucket; null keys match."""
+    named = offsets.select(*(F.col(c).alias(f"__o_{c}") for c in [*keys, "__bucket"]),
+                           *(c for c in offsets.columns if c not in keys and c != "__bucket"))
+    if not keys:
+        named = F.broadcast(named)  # one row per bucket
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in [*keys, "__bucket"]))
+    return numbered.join(named, same).drop(*(f"__o_{c}" for c in [*keys, "__bucket"]))
 
 
 def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
@@ -96,29 +78,24 @@ def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
                      total_out: str | None = None) -> DataFrame:
     """0-based ``row_number() over (partition by keys order by order_col, tiebreak)``
     computed without putting a hot key into a single task. ``bounds``: a frame
-    with ``order_col`` to take the bucket quantiles from (default ``df``).
+    with the order columns to sample the bucket boundaries from (default ``df``).
     ``total_out``: also attach the row count of the key (of the whole frame
     when there are no keys), read off the small counts table - no extra pass."""
-    keys = list(keys)
-    b = "__bucket"
-    with_b = df.withColumn(b, range_bucket(bounds if bounds is not None else df, order_col, buckets))
-    order = _as_cols([order_col, *tiebreak])
-    local = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)) - 1
+    keys, order = list(keys), [order_col, *tiebreak]
+    with_b = range_bucket(df, order, buckets, bounds)
+    local = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)) - 1
     numbered = with_b.withColumn("__local", local)
-    counts = with_b.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
-    wk = Window.partitionBy(*keys).orderBy(b) if keys else Window.orderBy(b)
+    counts = with_b.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    wk = Window.partitionBy(*keys).orderBy("__bucket") if keys else Window.orderBy("__bucket")
     extra = []
     if total_out:
         wt = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         extra = [F.sum("__n").over(wt).alias(total_out)]
     offsets = counts.select(
-        *keys, b,
+        *keys, "__bucket",
         (F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__off"), *extra)
-    if not keys:
-        # at most `buckets` (<= MAX_BUCKETS) rows: a bounded broadcast
-        offsets = F.broadcast(offsets)
-    res = numbered.join(offsets, [*keys, b], "inner")
-    return res.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop(b, "__local", "__off")
+    res = _with_offsets(numbered, offsets, keys)
+    return res.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop("__bucket", "__local", "__off")
 
 
 def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_col: str,
@@ -127,21 +104,17 @@ def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_c
     """Exclusive running sum of ``value_col`` per ``keys`` in ``order_col``
     order (the offset of each row in a packed stream), with the same
     bucketed plan as :func:`keyed_row_number`."""
-    keys = list(keys)
-    b = "__bucket"
-    with_b = df.withColumn(b, range_bucket(bounds if bounds is not None else df, order_col, buckets))
-    order = _as_cols([order_col, *tiebreak])
-    w = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keys, order = list(keys), [order_col, *tiebreak]
+    with_b = range_bucket(df, order, buckets, bounds)
+    w = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(value_col).over(w), F.lit(0))
     numbered = with_b.withColumn("__local", local)
-    sums = with_b.groupBy(*keys, b).agg(F.sum(value_col).alias("__s"))
-    wk = Window.partitionBy(*keys).orderBy(b) if keys else Window.orderBy(b)
-    offsets = sums.select(*keys, b, (F.sum("__s").over(wk.rowsBetween(Window.unboundedPreceding, 0))
-                                     - F.col("__s")).alias("__off"))
-    if not keys:
-        offsets = F.broadcast(offsets)
-    res = numbered.join(offsets, [*keys, b], "inner")
-    return res.withColumn(out, F.col("__off") + F.col("__local")).drop(b, "__local", "__off")
+    sums = with_b.groupBy(*keys, "__bucket").agg(F.sum(value_col).alias("__s"))
+    wk = Window.partitionBy(*keys).orderBy("__bucket") if keys else Window.orderBy("__bucket")
+    before = F.sum("__s").over(wk.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*keys, "__bucket", F.coalesce(before, F.lit(0)).alias("__off"))
+    res = _with_offsets(numbered, offsets, keys)
+    return res.withColumn(out, F.col("__off") + F.col("__local")).drop("__bucket", "__local", "__off")
 
 
 def global_index(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (),
@@ -155,11 +128,6 @@ def global_index(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (),
 def file_order_index(df: DataFrame, out: str = "_seq") -> DataFrame:
     """O1 stable_file_order as a position: order by (file path, row index)
     from the Parquet ``_metadata`` column."""
-    d = df.select("*", F.col("_metadata.file_path").alias("__f"),
-                  F.col("_metadata.row_index").alias("__r"))
-    ranks = F.dense_rank().over(Window.orderBy("__f"))  # one row per file
-    files = d.select("__f").distinct().withColumn("__fi", ranks - 1)  # one row per file
-    from posttrain.operators.sizing import broadcast_if_small
-    d = d.join(broadcast_if_small(files), "__f")
-    d = d.withColumn("__key", F.col("__fi") * F.lit(1 << 40) + F.col("__r"))
-    return global_index(d, "__key", out=out).drop("__f", "__r", "__fi", "__key")
+    d = df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    return global_index(d, "__f", tiebreak=["__r"], out=out).drop("__f", "__r")
+

@@ -24,11 +24,11 @@ def task_tally(outcomes: DataFrame, task_col: str = "task_id",
 
 
 def pass_at_k_estimator(n, c, k):
-    """Unbiased pass@k of one task: 1 - prod_{i=n-c+1..n} (1 - k/i), 1.0 when
-    n-c < k, 0.0 when nothing passed (empty product; Spark's ``sequence``
-    would count down instead of being empty)."""
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
-                       lambda acc, i: acc * (F.lit(1.0) - k / i.cast("double")))
+    """Unbiased pass@k of one task: 1 - C(n-c, k) / C(n, k), as the product over
+    j < k of (n-c-j) / (n-j) (k steps, however many passed); 1.0 when n-c < k, 0.0
+    when nothing passed."""
+    prod = F.aggregate(F.sequence(F.lit(0), F.greatest(F.least(k, n) - 1, F.lit(0)).cast("int")), F.lit(1.0),
+                       lambda acc, j: acc * (n - c - j) / F.greatest(n - j, F.lit(1)))
     return F.when(n - c < k, F.lit(1.0)).when(c <= 0, F.lit(0.0)).otherwise(F.lit(1.0) - prod)
 
 
@@ -86,9 +86,11 @@ def return_sum(tokens: DataFrame, sample_col: str = "sample_id",
 
 def dataset_profile(df: DataFrame, n: int = 3, seed: int = 0,
                     id_col: str | None = None) -> DataFrame:
-    """Row count plus ``n`` hash-chosen rows (deterministic sample)."""
-    key = F.xxhash64(F.lit(seed), *( [F.col(id_col)] if id_col else [F.col(c) for c in df.columns]))
-    picked = df.withColumn("__h", key).orderBy("__h").limit(n).drop("__h")
+    """Row count plus ``n`` rows chosen by the md5 of ``seed:id`` (of all columns
+    without ``id_col``), ties by all columns: the same rows in every run."""
+    named = [F.col(id_col)] if id_col else [F.col(c) for c in df.columns]
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in named)))
+    picked = df.withColumn("__h", key).orderBy("__h", *df.columns).limit(n).drop("__h")
     return picked.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
 
 
@@ -102,7 +104,7 @@ def seqlen_unbalance(lengths: DataFrame, parts: int, seq_col: str = "_seq",
     else:
         d = lengths.withColumn("__n", lengths.agg(F.count(F.lit(1))).scalar())
     d = d.withColumn(
-        "__chunk", F.floor(F.col(seq_col) / F.floor(F.col("__n") / F.lit(parts))).cast("long"))
+        "__chunk", F.floor(F.col(seq_col) / F.greatest(F.floor(F.col("__n") / F.lit(parts)), F.lit(1))).cast("long"))
     kinds = [("contiguous", "__chunk")]
     if part_col:
         kinds.append(("balanced", part_col))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posttrain.operators.advantage import clamp
+
 
 def log_sigmoid(x: Column) -> Column:
     """Stable log(sigmoid(x)) = -(log1p(exp(-|x|)) + max(-x, 0))."""
@@ -71,7 +73,7 @@ def policy_loss(tokens: DataFrame, loss_type: str = "ppo", clip_low: float = 0.2
     d = tokens.withColumn("__ratio", ratio).withColumn("__lr", log_ratio)
     r = F.col("__ratio")
     surr1 = r * a
-    surr2 = F.least(F.greatest(r, F.lit(1.0 - clip_low)), F.lit(1.0 + clip_high)) * a
+    surr2 = clamp(r, 1.0 - clip_low, 1.0 + clip_high) * a
     clip1 = F.least(surr1, surr2)
     if dual_clip is None:
         loss = -clip1
@@ -86,17 +88,14 @@ def policy_loss(tokens: DataFrame, loss_type: str = "ppo", clip_low: float = 0.2
         if is_correction == "icepop":
             w_is = F.when((w_is >= lo) & (w_is <= hi), w_is).otherwise(F.lit(0.0))
         else:
-            w_is = F.least(F.greatest(w_is, F.lit(lo)), F.lit(hi))
+            w_is = clamp(w_is, lo, hi)
         loss = w_is * loss
         extra["rollout_kl"] = F.col(rollout) - F.col(old)
     d = d.withColumn("__loss", loss)
     if token_level:
         return _reduce(d, F.col("__loss"), m, True, sample_col, extra)
-    # sequence-level loss; the diagnostics stay global token means (one
-    # scalar subquery returning a struct)
-    seq_loss = _reduce(d, F.col("__loss"), m, False, sample_col)
-    diag = d.agg(F.struct(*[_mmean(v, m).alias(k) for k, v in extra.items()])).scalar()
-    return seq_loss.select("loss", *[diag[k].alias(k) for k in extra])
+    # sequence-level loss; the diagnostics stay global token means, in the same pass
+    return _reduce(d, F.col("__loss"), m, False, sample_col, extra)
 
 
 def value_loss(tokens: DataFrame, values: str, old_values: str, returns: str, mask: str = "action_mask",

@@ -171,14 +171,14 @@ def pad_to(arr: Column, length: Column, value, left: bool = False) -> Column:
 
 def pad_sequences(df: DataFrame, cols: dict[str, object], batch_col: str = "batch_id",
                   left: bool = False) -> DataFrame:
-    """K9: pad every array column to the batch's longest (window max over the
-    batch, bounded by the batch size)."""
+    """K9: pad every array column to its own longest in the batch (window max over
+    the batch, bounded by the batch size); a null array is empty."""
     w = Window.partitionBy(batch_col)
-    first = next(iter(cols))
-    d = df.withColumn("__L", F.max(F.size(first)).over(w))
-    for c, v in cols.items():
-        d = d.withColumn(c, pad_to(F.col(c), F.col("__L"), v, left))
-    return d.drop("__L")
+    widths = {f"__L{i}": F.max(F.coalesce(F.size(c), F.lit(0))).over(w) for i, c in enumerate(cols)}
+    d = df.withColumns(widths)
+    d = d.withColumns({c: pad_to(F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)), F.col(f"__L{i}"), v, left)
+                       for i, (c, v) in enumerate(cols.items())})
+    return d.drop(*widths)
 
 
 def sft_collate(rows: DataFrame, max_length: int, pad_id: int, batch_col: str = "batch_id") -> DataFrame:

@@ -96,9 +96,8 @@ SELECT sample_id, seq FROM s WHERE seq < 1000""", R)
 def q_cap_rollouts(spark, sf):
     from posttrain.operators.routing import dynamic_filter
     k = dynamic_filter(fx.fx_rollouts(spark, sf), 4, (0.2, 0.6), score_col="raw_score")
-    bounds = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"))
-    d = global_index(k, "sample_id", out="seq", bounds=bounds)
-    return d.filter(F.col("seq") < 250 * 4).select("sample_id", "seq")
+    head = k.orderBy("sample_id").limit(250 * 4)  # each task keeps its own head
+    return global_index(head, "sample_id", out="seq", buckets=1).select("sample_id", "seq")
 
 
 _H = "CAST(('0x' || substr(md5('{seed}:' || CAST({col} AS VARCHAR)), 1, 15)) AS BIGINT)"
@@ -120,7 +119,7 @@ def q_sample_n(spark, sf):
 @query("keep_last_n", _SEQ + """
 SELECT sample_id FROM s WHERE seq >= (SELECT count(*) FROM s) - 500""", R)
 def q_keep_last_n(spark, sf):
-    return bt.keep_last_n(_seq(spark, sf), 500).select("sample_id")
+    return bt.keep_last_n(fx.fx_rollouts(spark, sf), 500, seq_col="sample_id").select("sample_id")
 
 
 @query("restore_order", f"""
@@ -167,15 +166,15 @@ def q_pack_unpack(spark, sf):
 
 
 @query("unpack", """
-SELECT sample_id, array_to_string(list(CAST(round(-log_prob * 10) AS INT) ORDER BY t), ',') || ',0,0' AS ids FROM fx_tokens GROUP BY sample_id""", T)
+, u AS (SELECT sample_id, sample_id // 8 AS b, list(CAST(round(-log_prob * 10) AS INT) ORDER BY t) AS v FROM fx_tokens GROUP BY sample_id)
+SELECT sample_id, list_resize(v, max(len(v)) OVER (PARTITION BY b), 0) AS ids FROM u""", T)
 def q_unpack(spark, sf):
     t = fx.fx_tokens(spark, sf).withColumn("id", F.round(-F.col("log_prob") * 10).cast("int"))
     l = t.groupBy("sample_id").agg(F.count(F.lit(1)).alias("length"))
     o = bt.packed_offsets(l, "length", order_col="sample_id")
     stream = bt.pack(t, "sample_id", "t", o)
-    u = bt.unpack(stream, "sample_id", "t", "id")
-    u = u.withColumn("values", F.concat("values", F.array(F.lit(0), F.lit(0))))
-    return u.select("sample_id", F.array_join("values", ",").alias("ids"))
+    u = bt.unpack(stream, "sample_id", "t", "id").withColumn("batch_id", F.floor(F.col("sample_id") / 8))
+    return sft.pad_sequences(u, {"values": 0}).select("sample_id", F.col("values").alias("ids"))
 
 
 @query("pad_to_multiple_slice", """
@@ -301,14 +300,33 @@ def q_exists_not_null(spark, sf):
                     F.get_json_object("props", "$.z").isNotNull().alias("has_z"))
 
 
-# ---- sequential planners: rows-only checks (tests compare with brute force)
+# ---- sequential planners: first fit and greedy against recursive CTEs; for the sets
+# of the differencing method, invariants of each step
 
 def _steps(spark, sf):
     d = _seq(spark, sf).withColumn("step", F.floor(F.col("_seq") / STEP).cast("long"))
     return d.withColumn("total_length", F.col("response_length") + 20)
 
 
-@query("first_fit_count")
+# rows of each step in order: x is the length, i the position in the step
+_ITEMS = _SEQ + f""", it AS (SELECT seq // {STEP} AS step, CAST(seq % {STEP} AS BIGINT) AS i, CAST(response_length + 20 AS BIGINT) AS x, sample_id FROM s)"""
+
+
+def _first_fit_sql(items: str, keys: str, budget: int) -> str:
+    """Bins of first fit per group of ``items`` (keys, i, x): ``ff`` (keys, bins)."""
+    own = ", ".join(f"r.{k.strip()}" for k in keys.split(","))
+    same = " AND ".join(f"n.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    return f"""ffr AS (
+  SELECT {keys}, i, [x] AS bins FROM {items} WHERE i = 0
+  UNION ALL
+  SELECT {own}, n.i, CASE WHEN list_position(list_transform(r.bins, lambda b: b + n.x <= {budget}), true) IS NULL THEN list_append(r.bins, n.x)
+    ELSE list_transform(r.bins, lambda b, j: CASE WHEN j = list_position(list_transform(r.bins, lambda c: c + n.x <= {budget}), true) THEN b + n.x ELSE b END) END
+  FROM ffr r JOIN {items} n ON {same} AND n.i = r.i + 1),
+ff AS (SELECT {keys}, arg_max(bins, i) AS bins FROM ffr GROUP BY {keys})"""
+
+
+@query("first_fit_count", _ITEMS + "," + _first_fit_sql("it", "step", 2000) + """
+SELECT step, CAST(len(bins) AS INT) AS n_bins, list_max(bins) AS max_bin FROM ff""", R, recursive=True)
 def q_first_fit_count(spark, sf):
     return bt.first_fit_count(_steps(spark, sf), 2000, "step")
 
@@ -318,23 +336,99 @@ def q_balanced_partitions(spark, sf):
     return bt.balanced_partitions(_steps(spark, sf), 4, "step")
 
 
-@query("least_loaded_partition")
+@query("balanced_partitions_equal")
+def q_balanced_partitions_equal(spark, sf):
+    return bt.balanced_partitions(_steps(spark, sf), 4, "step", equal_size=True)
+
+
+def _set_facts(plan, keys, set_col, len_col="x"):
+    """Per step: rows, sets, smallest and largest set, and whether the totals of two
+    sets differ by no more than the longest item."""
+    per = plan.groupBy(*keys, set_col).agg(F.count(F.lit(1)).alias("c"), F.sum(len_col).alias("t"), F.max(len_col).alias("m"))
+    return per.groupBy(*keys).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_sets"), F.sum("t").cast("long").alias("total"),
+                                  (F.max("t") - F.min("t") <= F.max("m")).alias("spread_ok"),
+                                  (F.max("c") - F.min("c")).alias("size_gap"))
+
+
+def _lengths(d):
+    return d.select("sample_id", F.col("total_length").cast("long").alias("x"))
+
+
+@query("balanced_partitions_check", _ITEMS + """
+SELECT step, count(*) AS n, least(4, count(*)) AS n_sets, CAST(sum(x) AS BIGINT) AS total, true AS spread_ok, count(*) % 4 > 0 AS uneven FROM it GROUP BY step""", R)
+def q_balanced_partitions_check(spark, sf):
+    """K5: every row of a step is in one of its sets; the balanced form's set sizes
+    differ by one at most."""
+    d = _steps(spark, sf)
+    lens = _lengths(d)
+    free = _set_facts(bt.balanced_partitions(d, 4, "step").join(lens, "sample_id"), ["step"], "part")
+    equal = _set_facts(bt.balanced_partitions(d, 4, "step", equal_size=True).join(lens, "sample_id"), ["step"], "part")
+    gap = equal.select("step", (F.col("size_gap") == 1).alias("uneven"))
+    return free.join(gap, "step").select("step", "n", "n_sets", "total", "spread_ok", "uneven")
+
+
+@query("least_loaded_partition", _ITEMS + """,
+g AS (
+  SELECT step, i, sample_id, [x, 0, 0, 0] AS sums, 0 AS part FROM it WHERE i = 0
+  UNION ALL
+  SELECT g.step, n.i, n.sample_id,
+    list_transform(g.sums, lambda v, j: CASE WHEN j = list_position(g.sums, list_min(g.sums)) THEN v + n.x ELSE v END),
+    CAST(list_position(g.sums, list_min(g.sums)) - 1 AS INT)
+  FROM g JOIN it n ON n.step = g.step AND n.i = g.i + 1)
+SELECT step, part, sample_id FROM g""", R, recursive=True)
 def q_least_loaded_partition(spark, sf):
     return bt.balanced_partitions(_steps(spark, sf), 4, "step", method="greedy")
 
 
-@query("micro_batch_plan")
-def q_micro_batch_plan(spark, sf):
+def _ranks(spark, sf):
     d = _seq(spark, sf).withColumn("total_length", F.col("response_length") + 20)
     d = d.withColumn("dp_rank", (F.col("_seq") % 2).cast("long"))
-    d = d.withColumn("_seq", F.floor(F.col("_seq") / 2).cast("long"))
-    return bt.micro_batch_plan(d, STEP, 3000, rank_col="dp_rank")
+    return d.withColumn("_seq", F.floor(F.col("_seq") / 2).cast("long"))
+
+
+@query("micro_batch_plan")
+def q_micro_batch_plan(spark, sf):
+    return bt.micro_batch_plan(_ranks(spark, sf), STEP, 3000, rank_col="dp_rank")
+
+
+@query("micro_batch_plan_check", _SEQ + f""",
+it AS (SELECT (seq // 2) // {STEP} AS step, CAST(seq % 2 AS BIGINT) AS dp_rank, CAST((seq // 2) % {STEP} AS BIGINT) AS i, CAST(response_length + 20 AS BIGINT) AS x FROM s),
+""" + _first_fit_sql("it", "step, dp_rank", 3000) + """,
+k AS (SELECT step, max(len(bins)) AS n_micro FROM ff GROUP BY step)
+SELECT it.step, dp_rank, CAST(max(n_micro) AS INT) AS n_micro, count(*) AS n, least(count(*), max(n_micro)) AS n_sets, CAST(sum(x) AS BIGINT) AS total,
+  true AS spread_ok, 1.0e0 AS scale_sum, CAST(1 AS BIGINT) AS n_optimizer FROM it JOIN k ON it.step = k.step GROUP BY it.step, dp_rank""", R, recursive=True)
+def q_micro_batch_plan_check(spark, sf):
+    """K7: the micro-batch count is the largest first-fit count of the ranks; the
+    loss scales of a rank's step add up to 1 and one micro-batch steps."""
+    d = _ranks(spark, sf)
+    plan = bt.micro_batch_plan(d, STEP, 3000, rank_col="dp_rank").join(_lengths(d), "sample_id")
+    keys = ["step", "dp_rank"]
+    per = plan.groupBy(*keys, "micro_batch").agg(F.max("loss_scale").alias("s"), F.max("optimizer_step").alias("o"), F.max("n_micro").alias("n_micro"))
+    sums = per.groupBy(*keys).agg(rnd(F.sum("s")).alias("scale_sum"), F.sum("o").alias("n_optimizer"), F.max("n_micro").alias("n_micro"))
+    return _set_facts(plan, keys, "micro_batch").drop("size_gap").join(sums, keys)
+
+
+def _rollout_steps(spark, sf):
+    return _steps(spark, sf).withColumn("rollout_step", F.floor(F.col("_seq") / 512).cast("long"))
 
 
 @query("rollout_batch_count")
 def q_rollout_batch_count(spark, sf):
-    d = _steps(spark, sf).withColumn("rollout_step", F.floor(F.col("_seq") / 512).cast("long"))
-    return bt.rollout_batch_plan(d, actors=4, max_tokens=8000)
+    return bt.rollout_batch_plan(_rollout_steps(spark, sf), actors=4, max_tokens=8000)
+
+
+@query("rollout_batch_check", _SEQ + """,
+it AS (SELECT seq // 512 AS rollout_step, CAST(seq % 512 AS BIGINT) AS i, CAST(response_length + 20 AS BIGINT) AS x FROM s),
+""" + _first_fit_sql("it", "rollout_step", 8000) + """
+SELECT it.rollout_step, CAST(greatest(max(len(bins)) // 4 * 4, 4) AS INT) AS n_batches, count(*) AS n,
+  least(count(*), greatest(max(len(bins)) // 4 * 4, 4)) AS n_sets, CAST(sum(x) AS BIGINT) AS total, true AS spread_ok
+FROM it JOIN ff ON it.rollout_step = ff.rollout_step GROUP BY it.rollout_step""", R, recursive=True)
+def q_rollout_batch_check(spark, sf):
+    """K8: the batch count follows first fit; every row is in a batch."""
+    d = _rollout_steps(spark, sf)
+    plan = bt.rollout_batch_plan(d, actors=4, max_tokens=8000).join(_lengths(d), "sample_id")
+    count = plan.groupBy("rollout_step").agg(F.max("n_batches").alias("n_batches"))
+    return _set_facts(plan, ["rollout_step"], "batch").drop("size_gap").join(count, "rollout_step")
 
 
 @query("strip_right_padding", f"""

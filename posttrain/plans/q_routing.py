@@ -131,9 +131,7 @@ FROM fx_rollouts f LEFT JOIN (VALUES ('click', 'http://teacher-a', 'model-a'), (
                                     ('purchase', 'http://teacher-c', 'model-c')) r(datasource, url, model)
   ON lower(f.datasource) = r.datasource""", R)
 def q_teacher_route(spark, sf):
-    routes = spark.createDataFrame(
-        [("click", "http://teacher-a", "model-a"), ("view", "", "model-b"),
-         ("purchase", "http://teacher-c", "model-c")], "datasource string, url string, model string")
+    routes = {"click": ("http://teacher-a", "model-a"), "view": ("", "model-b"), "purchase": ("http://teacher-c", "model-c")}
     d = rt.teacher_route(fx.fx_rollouts(spark, sf), routes, "http://teacher-default", "base-model")
     return d.select("sample_id", "teacher_url", "teacher_model")
 
@@ -144,11 +142,9 @@ WHERE f.datasource IN (SELECT d FROM (VALUES ('click'), ('view'), ('signup')) k(
   AND f.datasource NOT IN (SELECT d FROM (VALUES ('signup')) s(d))""", R)
 def q_skip_anti_kd_semi(spark, sf):
     f = fx.fx_rollouts(spark, sf)
-    kd = spark.createDataFrame([("click",), ("view",), ("signup",)], "datasource string")
-    skip = spark.createDataFrame([("signup",)], "datasource string")
-    from posttrain.operators.sizing import broadcast_if_small
-    d = f.join(broadcast_if_small(kd), "datasource", "left_semi").join(broadcast_if_small(skip), "datasource", "left_anti")
-    return d.select("sample_id")
+    routing = rt.Routing(kd="click,view,signup", skip="signup")
+    ds = F.col("datasource")
+    return f.filter(routing.is_kd_enabled(ds) & ~routing.is_skip_reward(ds)).select("sample_id")
 
 
 _KD_SQL = """

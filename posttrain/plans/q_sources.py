@@ -91,16 +91,20 @@ def _write_tree(spark, sf) -> str:
     c.filter(F.col("role") == "user").write.mode("overwrite").parquet(f"{root}/a/user")
     c.filter(F.col("role") == "assistant").write.mode("overwrite").json(f"{root}/b/asst")
     c.filter(F.col("role") == "system").write.mode("overwrite").json(f"{root}/c/deep/sys")
+    # a malformed line beside the system turns: it must not become a row
+    c.filter((F.col("role") == "system")).select(F.concat(F.lit('{"conv_id": '), "conv_id", F.lit(", oops")).alias("value")).write.mode(
+        "append").text(f"{root}/c/bad")
     # Spark names JSON parts *.json: give them the .jsonl / .JSONL extensions a dataset dir uses
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for sub, ext in (("b/asst", ".jsonl"), ("c/deep/sys", ".JSONL")):
+    for sub, ext in (("b/asst", ".jsonl"), ("c/deep/sys", ".JSONL"), ("c/bad", ".Jsonl")):
         p = jvm.org.apache.hadoop.fs.Path(f"{root}/{sub}")
         fs = p.getFileSystem(conf)
         for st in fs.listStatus(p):
             name = st.getPath().getName()
-            if name.endswith(".json"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{sub}/{name[:-5]}{ext}"))
+            stem, dot, kind = name.rpartition(".")
+            if kind in ("json", "txt"):
+                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{sub}/{stem}{ext}"))
     c.limit(0).select("text").write.mode("overwrite").text(f"{root}/d/notes")
     return root
 
@@ -116,12 +120,12 @@ def q_dir_scan(spark, sf):
 
 
 @query("stable_file_order", """
-SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS seq FROM conversations WHERE role = 'user'""")
+SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS seq FROM conversations""")
 def q_stable_file_order(spark, sf):
     """O1: rows numbered by (file path, row index) of the files they came from."""
     from posttrain.operators.index import file_order_index
     root = io.scratch_dir(spark, f"ordered_{_tag(sf)}")
-    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn")
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
     # range-partitioned, sorted write: file names follow the key order
     c.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").write.mode(
         "overwrite").parquet(root)
@@ -241,8 +245,10 @@ def q_sample_table_sink(spark, sf):
     return sinks.sample_preview(c, "step", "_seq", "text", "reward")
 
 
-@query("dataset_profile")
+@query("dataset_profile", """
+SELECT conv_id, turn, role, (SELECT count(*) FROM conversations) AS n_rows FROM conversations
+ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id, turn, role LIMIT 3""")
 def q_dataset_profile(spark, sf):
-    """Row count plus three hash-chosen rows (rows-only check)."""
+    """Row count plus three hash-chosen rows."""
     d = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     return met.dataset_profile(d, 3, seed=42, id_col="conv_id")

@@ -63,9 +63,12 @@ def q_fifo_buffer(spark, sf):
     return spark.read.schema(st._R2_OUT).parquet(f"{root}/out")
 
 
-@query("bounded_pipeline")
+@query("bounded_pipeline", """
+SELECT row_number() OVER (ORDER BY b) - 1 AS micro_batch, n AS n_rows, b AS gen_batch
+FROM (SELECT prompt_id // 10 AS b, count(*) AS n FROM fx_rollouts GROUP BY prompt_id // 10) x""", R)
 def q_bounded_pipeline(spark, sf):
-    """One file per trigger; each micro-batch reports its size."""
+    """One file per trigger; each micro-batch reports its size into a folder of
+    its own, so a batch that is run again replaces its row."""
     root = _fresh(spark, "r3")
     _replay(spark, sf, root)
     s = _stream(spark, root)
@@ -73,13 +76,19 @@ def q_bounded_pipeline(spark, sf):
 
     def sink(batch, batch_id):
         batch.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.min("batch_id").alias("gen_batch")).withColumn(
-            "micro_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+            "micro_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch_id:09d}")
     q = s.writeStream.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).foreachBatch(sink).start()
-    q.awaitTermination(600)
-    return spark.read.parquet(out)
+    q.awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
-@query("resume")
+_RUNNING_SQL = """
+SELECT datasource, round(avg(r), 6) AS mean_reward, count(*) AS count,
+       CAST(sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS BIGINT) AS passed
+FROM (SELECT datasource, raw_score - 0.3e0 AS r FROM fx_rollouts) x GROUP BY datasource"""
+
+
+@query("resume", _RUNNING_SQL, R)
 def q_resume(spark, sf):
     """The stream is stopped after the first half of the batches and
     restarted on the same checkpoint after the rest arrived; the restarted
@@ -98,10 +107,7 @@ def q_resume(spark, sf):
     return d.select("datasource", rnd("mean_reward").alias("mean_reward"), "count", "passed")
 
 
-@query("running_datasource_stats", """
-SELECT datasource, round(avg(r), 6) AS mean_reward, count(*) AS count,
-       CAST(sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS BIGINT) AS passed
-FROM (SELECT datasource, raw_score - 0.3e0 AS r FROM fx_rollouts) x GROUP BY datasource""", R)
+@query("running_datasource_stats", _RUNNING_SQL, R)
 def q_running_datasource_stats(spark, sf):
     root = _fresh(spark, "r6")
     _replay(spark, sf, root)
@@ -166,7 +172,7 @@ _U = "CAST(('0x' || substr(md5('42:' || CAST(t AS VARCHAR)), 1, 13)) AS BIGINT)
 
 
 @query("interleave_datasets", f"""
-, src AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS source_idx FROM documents WHERE lang IN ('en', 'fr', 'de')),
+, src AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS source_idx FROM documents),
 rows AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) - 1 AS rw FROM src),
 n AS (SELECT source_idx, count(*) AS n FROM src GROUP BY source_idx),
 d0 AS (SELECT t, {_U} AS u FROM range(0, CAST((SELECT max(n / CASE source_idx WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END) FROM n) * 6 + 1000 AS BIGINT)) r(t)),
@@ -177,7 +183,7 @@ SELECT d2.t AS draw, d2.source_idx, rows.doc_id FROM d2 JOIN n USING (source_idx
   JOIN rows ON rows.source_idx = d2.source_idx AND rows.rw = d2.k % n.n
 WHERE d2.t <= (SELECT t_end FROM e)""")
 def q_interleave_datasets(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("lang").isin("en", "fr", "de")).select(
+    d = table(spark, sf, "documents").select(
         "doc_id", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2).alias("source_idx"))
     out = blend.interleave(spark, d, [0.5, 0.3, 0.2], seed=42, order_col="doc_id")
     return out.select("draw", "source_idx", "doc_id")

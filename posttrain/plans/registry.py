@@ -60,7 +60,8 @@ def _round_digits(sql: str, digits: int = DIGITS) -> str:
         i = k + 1
 
 
-def query(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
+def query(name: str, sql: str | None = None, fixtures: tuple[str, ...] = (), recursive: bool = False):
+    """Register a query; ``recursive``: its oracle has recursive CTEs."""
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query key {name}")
@@ -74,6 +75,8 @@ def query(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
                 ORACLE[name] = "WITH " + text.lstrip()[1:]
             else:
                 ORACLE[name] = text
+            if recursive:
+                ORACLE[name] = ORACLE[name].replace("WITH ", "WITH RECURSIVE ", 1)
         return fn
     return deco
 

@@ -9,14 +9,13 @@ files written by the queries go under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posttrain.operators.index import keyed_row_number
-
 CORRUPT = "_corrupt_record"
 
 ROLE_CONTENT = T.ArrayType(T.StructType([T.StructField("role", T.StringType()),
@@ -29,39 +28,61 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     """JSONL with an explicit schema. Blank lines are skipped by the
     reader; a malformed line lands in ``_corrupt_record`` instead of failing
     the job. Returns (good rows, rejected lines with their file)."""
-    s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .json(path).withColumn("_file", F.col("_metadata.file_path")))
+    good, bad = _split_json(spark.read.schema(_with_corrupt(schema)).json(path), schema)
+    return good.drop("_file"), bad
+
+
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != CORRUPT] + [T.StructField(CORRUPT, T.StringType())])
+
+
+def _split_json(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Good rows and malformed lines of a scan with :func:`_with_corrupt`, both with
+    their ``_file``."""
+    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
     # Spark refuses scans of raw JSON that need only the corrupt-record
     # column (e.g. a count of bad lines), so the reject predicate also reads a
     # parsed column; it cannot be folded away.
     first = schema.fields[0].name
     is_bad = F.col(CORRUPT).isNotNull() & F.coalesce(F.col(CORRUPT), F.col(first).cast("string")).isNotNull()
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = raw.filter(is_bad).select("_file", CORRUPT, first)
     return good, bad
 
 
+def _any_case(ext: str) -> str:
+    """Glob of a file extension in any mix of cases."""
+    return "*." + "".join(f"[{c}{c.upper()}]" for c in ext)
+
+
+def scan_dir_rejects(spark: SparkSession, root: str, jsonl_schema: T.StructType) -> DataFrame:
+    """``_file, _corrupt_record``: the malformed lines of the JSONL files under root."""
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case("jsonl"))
+    _, bad = _split_json(r.schema(_with_corrupt(jsonl_schema)).json(root), jsonl_schema)
+    return bad
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """S2."""
     return spark.read.parquet(path)
 
 
 def scan_dir(spark: SparkSession, root: str, jsonl_schema: T.StructType | None = None) -> DataFrame:
-    """S3: recursive scan of ``.jsonl`` and ``.parquet`` files (either case),
-    one read per format, columns unioned by name; unreadable files are
-    skipped (``ignoreCorruptFiles``). Rows carry ``_file`` and ``_row`` for
-    a stable (file, line) order (O1)."""
+    """S3: recursive scan of ``.jsonl`` and ``.parquet`` files (any case),
+    one read per format, columns unioned by name. Malformed JSONL lines are left
+    out here and listed by :func:`scan_dir_rejects`; unreadable files are skipped
+    (``ignoreCorruptFiles``). Rows carry ``_file``, and Parquet rows ``_row``, their
+    place in it (O1); line numbers of JSONL files are not known to Spark's reader."""
     frames = []
     for ext, reader in (("parquet", "parquet"), ("jsonl", "json")):
-        glob = "*.{" + ",".join({ext, ext.upper()}) + "}"
+        glob = _any_case(ext)
         r = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
              .option("ignoreCorruptFiles", "true"))
         try:
             if reader == "json":
-                df = r.schema(jsonl_schema).json(root) if jsonl_schema is not None else r.json(root)
-                df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
-                    "_row", F.monotonically_increasing_id())
+                schema = jsonl_schema if jsonl_schema is not None else r.json(root).schema
+                good, _ = _split_json(r.schema(_with_corrupt(schema)).json(root), schema)
+                df = good.withColumn("_row", F.lit(None).cast("long"))
             else:
                 df = r.parquet(root).withColumn("_file", F.col("_metadata.file_path")).withColumn(
                     "_row", F.col("_metadata.row_index"))
@@ -163,14 +184,16 @@ def split_select(df: DataFrame, split: str, split_col: str = "split") -> DataFra
 
 
 def max_count_head(df: DataFrame, max_count: int, order_col: str, source_col: str | None = None) -> DataFrame:
-    """First min(max_count, n) rows per source (then overall). Per-source
-    positions use the skew-safe keyed row number (a big source is not one task)."""
-    keys = [source_col] if source_col else []
-    d = keyed_row_number(df, keys, order_col, out="__rn")
-    return d.filter(F.col("__rn") < max_count).drop("__rn")
+    """First min(max_count, n) rows per source (rows without a source are one),
+    or overall. Both forms cut every task's rows to the head before the shuffle."""
+    if source_col is None:
+        return df.orderBy(order_col).limit(max_count)
+    w = Window.partitionBy(source_col).orderBy(order_col)
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= max_count).drop("__rn")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for files a query derives."""
+    """A new folder under the shared checkpoint dir for files a query derives; two
+    calls never share one."""
     from posttrain.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), "posttrain-src", name)
+    return os.path.join(checkpoint_dir(spark), "posttrain-src", f"{name}-{uuid.uuid4().hex}")

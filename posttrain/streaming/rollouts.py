@@ -177,7 +177,7 @@ def running_datasource_stats(stream: DataFrame, ds_col: str = "datasource", rewa
 # ------------------------------------------------------------------ runner
 
 def run_to_parquet(df: DataFrame, name: str, out_path: str, mode: str = "append",
-                   checkpoint: str | None = None, timeout_s: int = 600,
+                   checkpoint: str | None = None,
                    state_partitions: int | None = None) -> None:
     """Run a streaming query to the end of the available input
     (``availableNow``). Append-mode results go to a Parquet sink; complete-
@@ -193,12 +193,12 @@ def run_to_parquet(df: DataFrame, name: str, out_path: str, mode: str = "append"
     prev = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     try:
-        _run(df, ck, out_path, mode, name, timeout_s)
+        _run(df, ck, out_path, mode)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
 
 
-def _run(df: DataFrame, ck: str, out_path: str, mode: str, name: str, timeout_s: int) -> None:
+def _run(df: DataFrame, ck: str, out_path: str, mode: str) -> None:
     w = df.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out_path).start()
@@ -206,9 +206,4 @@ def _run(df: DataFrame, ck: str, out_path: str, mode: str, name: str, timeout_s:
         def sink(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(out_path)
         q = w.outputMode(mode).foreachBatch(sink).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception():
-        raise q.exception()
+    q.awaitTermination()  # raises if the query failed

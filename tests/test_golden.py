@@ -56,8 +56,9 @@ def test_snake_balance_matches_loop(spark):
         assert [got[k] for k in sorted(got)] == expect
 
 
-def test_first_fit_docstring():
-    assert bt.first_fit_bins([5, 3, 7, 2, 6], 10) == [10, 7, 6]
+def test_first_fit_docstring(spark):
+    d = spark.range(1).select(F.array(*map(F.lit, [5, 3, 7, 2, 6])).alias("x"))
+    assert d.select(bt.first_fit_expr(F.col("x"), 10)).first()[0] == [10, 7, 6]
 
 
 def test_packed_positions_docstring(spark):

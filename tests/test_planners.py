@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,11 +24,12 @@ def brute_first_fit(lengths, budget):
     return bins
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_first_fit_matches_brute_force(seed):
-    r = random.Random(seed)
-    lens = [r.randint(1, 12) for _ in range(r.randint(1, 30))]
-    assert bt.first_fit_bins(lens, 10) == brute_first_fit(lens, 10)
+def test_first_fit_matches_brute_force(spark):
+    r = random.Random(7)
+    lists = [[r.randint(1, 12) for _ in range(r.randint(1, 30))] for _ in range(40)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    got = {row.i: row.bins for row in d.select("i", bt.first_fit_expr(F.col("x"), 10).alias("bins")).collect()}
+    assert all(got[i] == brute_first_fit(x, 10) for i, x in enumerate(lists))
 
 
 def best_spread(lengths, k):
@@ -43,30 +45,41 @@ def best_spread(lengths, k):
     return best
 
 
+@pytest.mark.parametrize("equal_size", [False, True])
 @pytest.mark.parametrize("seed", range(15))
-def test_largest_differencing_partitions(seed):
+def test_difference_sets(seed, equal_size):
     r = random.Random(seed)
     n, k = r.randint(3, 8), r.randint(2, 3)
-    lens = [r.randint(1, 30) for _ in range(n)]
-    parts = bt.largest_differencing(lens, k)
-    flat = sorted(i for p in parts for i in p)
-    assert flat == list(range(n))                      # full cover, disjoint
-    assert all(len(p) > 0 for p in parts)              # non-empty
-    assert all(p == sorted(p) for p in parts)          # each set sorted
-    sums = [sum(lens[i] for i in p) for p in parts]
-    # the heuristic is within the largest item of the optimum spread
-    assert max(sums) - min(sums) <= best_spread(lens, k) + max(lens)
+    lens = [r.randint(0 if seed % 3 == 0 else 1, 30) for _ in range(n)]
+    sets = bt.difference_sets(np.array(lens), k, equal_size)
+    size = np.bincount(sets, minlength=k)
+    assert len(sets) == n and size.min() > 0 and len(size) == k       # cover, non-empty
+    assert not equal_size or size.max() - size.min() <= 1
+    assert list(dict.fromkeys(sets.tolist())) == list(range(k))       # numbered by first item
+    sums = np.bincount(sets, lens, minlength=k)
+    if not equal_size:  # the heuristic is within the largest item of the optimum spread
+        assert sums.max() - sums.min() <= best_spread(lens, k) + max(lens)
+
 
+def test_difference_sets_of_few_items():
+    assert bt.difference_sets(np.array([7, 3]), 4).tolist() == [0, 1]
+    assert bt.difference_sets(np.array([], np.int64), 4).tolist() == []
+    assert bt.difference_sets(np.array([8, 7, 6, 5, 4]), 2).tolist() == [0, 1, 0, 1, 1]  # the textbook case: 14 and 16
 
-def test_largest_differencing_equal_size():
-    lens = [5, 1, 4, 2, 3, 6]
-    parts = bt.largest_differencing(lens, 3, equal_size=True)
-    assert all(len(p) == 2 for p in parts)
+
+def test_short_last_step(spark):
+    d = spark.createDataFrame([(i, i, 900) for i in range(66)], "_seq long, sample_id long, total_length long")
+    plan = bt.micro_batch_plan(d, 64, 1000).collect()
+    assert sorted(p.sample_id for p in plan) == list(range(66))
+    assert {p.micro_batch for p in plan if p.step == 1} == {0, 1}
+    parts = bt.balanced_partitions(d.withColumn("step", F.floor(F.col("_seq") / 64).cast("long")), 4, "step").collect()
+    assert len(parts) == 66
 
 
-def test_least_loaded_arrival_order():
+def test_least_loaded_arrival_order(spark):
     # items go to the lightest set in arrival order, lowest index on ties
-    assert bt.least_loaded([5, 3, 2, 2], 2) == [[0, 3], [1, 2]]
+    d = spark.range(1).select(F.array(*map(F.lit, [5, 3, 2, 2])).alias("x"))
+    assert d.select(bt.least_loaded_expr(F.col("x"), 2)).first()[0] == [0, 1, 1, 0]
 
 
 def test_micro_batch_plan_invariants(spark):
@@ -81,7 +94,7 @@ def test_micro_batch_plan_invariants(spark):
     for step, ps in by_step.items():
         k = ps[0].n_micro
         lens = [x[2] for x in rows if x[0] // 64 == step]
-        assert k == len(bt.first_fit_bins(lens, 1000))
+        assert k == len(brute_first_fit(lens, 1000))
         assert {p.micro_batch for p in ps} == set(range(k))
         assert sum(p.optimizer_step for p in ps if p.micro_batch == k - 1) == len(
             [p for p in ps if p.micro_batch == k - 1])
@@ -109,7 +122,7 @@ def test_micro_batch_plan_max_over_ranks(spark):
     rows = [(i, i, 0, 100) for i in range(8)] + [(i, 100 + i, 1, 600) for i in range(8)]
     d = spark.createDataFrame(rows, "_seq long, sample_id long, dp_rank long, total_length long")
     plan = bt.micro_batch_plan(d, 8, 1000, rank_col="dp_rank").collect()
-    k1 = len(bt.first_fit_bins([600] * 8, 1000))
+    k1 = len(brute_first_fit([600] * 8, 1000))
     assert {p.n_micro for p in plan} == {k1}
     assert {p.dp_rank for p in plan} == {0, 1}
     for r in (0, 1):
