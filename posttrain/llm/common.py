@@ -70,9 +70,9 @@ def key_bitmap(keys: DataFrame, hashed: Column, bits: int = 24) -> np.ndarray:
     false positives, which an exact join after it removes."""
     words = (keys.select(hashed.alias("h")).where("h IS NOT NULL")
              .select((F.pmod("h", F.lit(1 << bits)) / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64L) as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b"))).toPandas()
+             .groupBy("w").agg(F.bit_or("b").alias("b"))).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 

@@ -30,7 +30,7 @@ from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, nar
 from posttrain.llm.set_check import verified
 
 MIN_TOKENS = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 
 
 def _line_tokens(part: K.Slice, sketch: np.ndarray | None):
@@ -84,9 +84,9 @@ def token_sketch(rows: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
-    got = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy()
+    sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
     return sketch
 
 

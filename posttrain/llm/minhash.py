@@ -41,7 +41,7 @@ PLANES = 4
 #: Standard errors beyond the threshold at which a signature rules a pair out.
 MARGIN = 4.0
 #: Sets of a component that are held together when a node is compared with all of it.
-BLOCK = 64
+BLOCK = 256
 #: Elements whose permutations are held at once (2 bytes a slot each).
 ELEMENTS = 40_000
 _SEED = np.uint64(0xD1B54A32D192ED03)
@@ -183,9 +183,10 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col:
         pairs = stored(pairs.select("a", "b"), "pairs")
         return stored(verified(pairs, _needed(docs, pairs, nodes, width, id_col, text_col), percent), "links")
 
-    spread = nodes.select("key", "n", "bits", F.posexplode("bands").alias("band", "bucket"))
+    spread = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = stored(spread.join(shared, "bucket").select("bucket", "band", F.struct("key", "n", "bits").alias("x")), "buckets")
+    shared = stored(spread.join(shared, "bucket"), "buckets")  # most buckets have one member
+    members = stored(shared.join(nodes.select("key", F.struct("key", "n", "bits").alias("x")), "key").select("bucket", "band", "x"), "members")
 
     # one pivot a bucket, by an order that all buckets share: a large group has few of them
     order = F.struct(F.xxhash64("x.key").alias("h"), "x")
@@ -221,9 +222,7 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col:
     # likely links across components
     banded = open_buckets().join(nodes.select("key", "bands"), "key")
     likely = meet_open(banded, _expected_apart(percent), "root = main OR x.key < y.key")
-    best = stored(_nearest(likely), "best")
-    links = links.union(check(best))
-    links = links.union(check(_between(likely.join(best, ["a", "b"], "left_anti"), components(links))))
+    links = links.union(check(likely))
     roots = components(links)
 
     # what is left: members outside the largest components with each other, then with the
@@ -244,7 +243,7 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col:
             .join(sets.select(F.col("key").alias("f"), "items"), "f")
             .select("root", F.struct(F.col("f").alias("key"), "n", "bits", "items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
     common = "size(array_intersect(x.items, y.items))"
-    hit = F.expr(f"filter(ys, y -> if({_may_link('x', 'y', percent)}, 100 * {common} >= {percent} * (x.n + y.n - {common}), false))")
+    hit = F.expr(f"filter(ys, y -> if({_may_link('x', 'y', percent)}, {100 + percent} * {common} >= {percent} * (x.n + y.n), false))")
     last = stored(here.join(there, ["root", "block"]).select("x.key", F.explode(hit).alias("y"))
                   .select(F.col("key").alias("a"), F.col("y.key").alias("b")), "links")
     return components(links.union(last))

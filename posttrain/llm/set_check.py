@@ -12,4 +12,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = (pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
