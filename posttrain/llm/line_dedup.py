@@ -151,40 +151,47 @@ def _bounds(percent: int) -> str:
             f"AND (l.n + r.n - bit_count(l.bits ^ r.bits)) * {100 + percent} >= 2 * {need}")
 
 
-def _place(row: str) -> str:
-    """A set is known by its first place; ``short`` tells rows that repeat an id apart."""
-    return f"struct({row}.doc, {row}.line, {row}.short)"
-
-
 def matched_sets(rows: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (``key, place`` = first place) and the places of those that an
-    earlier set matches (``place, by``)."""
+    """The distinct sets (``key, short, place`` = first place) and those that an earlier
+    set matches (``short, by``). A set is known by ``short``, a 64-bit hash, as words are."""
     sets = lines.groupBy("key").agg(
         F.min(F.struct(F.col(ID).alias("doc"), "line", "short", "version")).alias("p"), F.first("n").alias("n"),
         F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = stored(sets.select("key", "p.doc", "p.line", "p.short", "p.version", "n", "bits", "prefix")
-                  .withColumn("place", F.struct("doc", "line", "short")), "line_sets")
-    # narrow rows: they are what is shuffled most
-    posted = sets.select("doc", "line", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    member = F.struct("doc", "line", "short", "n", "bits", "i")
-    leaders = stored(posted.groupBy("token").agg(F.min(member).alias("r"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
+    sets = stored(sets.select("key", F.struct("p.doc", "p.line", "p.short").alias("place"), "p.short", "p.version", "n", "bits", "prefix"), "line_sets")
+    known = sets.select(F.col("short").alias("key"), "short", "version", F.col("key").alias("full"))
     bounds = _bounds(percent)
 
-    led = posted.alias("l").join(leaders, "token").where(f"{_place('l')} <> {_place('r')}").where(bounds)
-    best = stored(led.groupBy(F.expr(_place("l")).alias("a")).agg(
-        F.min(F.struct(F.expr("bit_count(l.bits ^ r.bits)").alias("h"), F.expr(_place("r")).alias("b")))["b"].alias("b")), "first_pairs")
-    places = sets.select(F.col("place").alias("key"), "short", "version", F.col("key").alias("full"))
-    done = stored(verified(best, _token_sets(rows, places, best), percent), "first_matches")
-
-    open_ = sets.join(done.select(F.col("a").alias("place")), "place", "left_anti")
-    open_ = open_.select("doc", "line", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    pairs = (open_.alias("l").join(posted.alias("r"), F.expr(f"l.token = r.token AND {_place('r')} < {_place('l')} AND {bounds}"))
-             .select(F.expr(_place("l")).alias("a"), F.expr(_place("r")).alias("b")).distinct()
-             .join(best, ["a", "b"], "left_anti"))
+    # each set against the best of the first sets of its tokens
+    member = F.struct("place", "short", "n", "bits", "i")
+    leaders = (sets.select("place", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+               .groupBy("token").agg(F.min(member).alias("r"), F.count("*").alias("c")).where("c > 1"))
+    leaders = stored(leaders.select("token", F.struct("r.short", "r.n", "r.bits", "r.i").alias("r")), "leaders")
+    # narrow rows: they are what is shuffled most
+    led = sets.select("short", "n", "bits", F.posexplode("prefix").alias("i", "token")).alias("l").join(leaders, "token")
+    best = stored(led.where(f"l.short <> r.short AND {bounds}").groupBy(F.col("l.short").alias("a")).agg(
+        F.min(F.struct(F.expr("bit_count(l.bits ^ r.bits)").alias("h"), F.col("r.short").alias("b")))["b"].alias("b")), "first_pairs")
+    done = stored(verified(best, _token_sets(rows, known, best), percent), "first_matches")
+
+    # sets that are still open against all sets of their tokens: the longer one of a pair
+    # has one of its prefix tokens among the few of the shorter one's index prefix
+    flagged = (sets.join(done.select(F.col("a").alias("short"), F.lit(0).alias("open")).distinct(), "short", "left")
+               .select("short", "n", "bits", "prefix", F.coalesce("open", F.lit(1)).alias("open")))
+    posted = flagged.select("short", "n", "bits", "open", F.posexplode("prefix").alias("i", "token"))
+    posted = posted.select("token", "short", "bits", (F.col("n") * 2 + F.col("open")).alias("no"), "i")
+    index = posted.where(f"i < shiftright(no, 1) - (2 * {percent} * shiftright(no, 1) + {99 + percent}) div {100 + percent} + 1")
+    on = bounds.replace("l.n", "shiftright(l.no, 1)").replace("r.n", "shiftright(r.no, 1)")
+    met = (posted.alias("l").join(index.alias("r"), F.expr(
+        f"l.token = r.token AND l.short <> r.short AND shiftright(r.no, 1) <= shiftright(l.no, 1) AND (l.no | r.no) % 2 = 1 AND {on}"))
+        .select(F.least("l.short", "r.short").alias("x"), F.greatest("l.short", "r.short").alias("y")).distinct())
+    where = sets.select("short", "place")
+    met = (met.join(where.select(F.col("short").alias("x"), F.col("place").alias("px")), "x")
+           .join(where.select(F.col("short").alias("y"), F.col("place").alias("py")), "y"))
+    pairs = (met.select(F.greatest("px", "py")["short"].alias("a"), F.least("px", "py")["short"].alias("b"))
+             .join(done.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti"))
     pairs = stored(pairs, "other_pairs")
-    later = stored(verified(pairs, _token_sets(rows, places, pairs), percent), "other_matches")
-    found = done.union(later).groupBy(F.col("a").alias("place")).agg(F.min("b").alias("by"))
-    return sets.select("key", "place"), found
+    later = stored(verified(pairs, _token_sets(rows, known, pairs), percent), "other_matches")
+    found = done.union(later).groupBy(F.col("a").alias("short")).agg(F.min("b").alias("by"))
+    return sets.select("key", "short", "place"), found
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -195,8 +202,10 @@ def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col
     rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
     lines = stored(_lines(rows, token_sketch(rows), percent), "lines")
     sets, found = matched_sets(rows, lines, percent)
-    known = (sets.join(found, "place", "left")
-             .select("key", "place", F.col("by").isNotNull().alias("late"), F.coalesce("by", "place")["doc"].alias("by_doc")))
+    origin = sets.select(F.col("short").alias("by"), F.col("place.doc").alias("by_doc"))
+    known = (sets.join(found, "short", "left").join(origin, "by", "left")
+             .select("key", "place", F.col("by").isNotNull().alias("late"),
+                     F.when(F.col("by").isNull(), F.col("place.doc")).otherwise(F.col("by_doc")).alias("by_doc")))
     repeated = lines.groupBy("key").agg(F.count("*").alias("c"))
     known = known.join(repeated, "key").where("c > 1 OR late").drop("c")
     gone = (lines.select("key", ID, "version", "line", "short").join(known, "key")
