@@ -1,30 +1,34 @@
-"""Benchmark decontamination (operator 2): CGK embedding, bit-sampling LSH over
-item-sized windows, exact edit verification.
-
-Texts are compared without case (A-Z) and with runs of white space as one space.
-A window of an item's length is taken wherever a document has, at the start of a
-word, the same ``GRAM`` bytes as the item at the start of one of its words; the
-place of the shared bytes fixes where the window begins. Windows and items are
-embedded by CGK random walks (each step copies a character and moves on or stays
-by a coin that depends on step and character), which turn few edits into few
-differing positions; ``TABLES`` samples of ``BITS`` positions each are compared, and
-a window that agrees with the item in any whole sample goes on. Last, if enough
-q-grams are shared for it (a bound that loses nothing), the item is aligned with the
-text around the window and counts if its edit distance is at most ``max_edit`` of its
-length.
-
-Target recall: where 0.4 of the embedded positions agree (an edit share of about
-0.2), some sample agrees with probability 1 - (1 - 0.4^4)^200 = 0.994. Windows need
-``GRAM`` intact bytes from a word's start, which any eight word changes leave in an
-item of forty words.
+"""Benchmark decontamination (operator 2): every place of a document within
+``max_edit`` of an item, by exact pieces of the item and edit verification.
+
+Texts are compared without case (A-Z) and with runs of white space as one space, by
+code point. No step loses a match:
+
+1. An item that may have ``k`` edits is cut into ``k // 2 + 1`` groups, a group into
+   two leaves. More groups than half the edits: some group has one edit at most, and
+   one of its leaves none. Every place of the text is looked up among the leaves,
+   whatever the script; words and spaces play no part.
+2. Beside a leaf the other one must follow with one edit at most.
+3. Neighbouring groups form nodes of at most 64 characters, in two levels. A node of
+   ``j`` groups has fewer than ``2 j`` edits for some path from item to leaf, so both
+   nodes over the leaf must align with the text around (Myers' columns in 64-bit words,
+   many places at once).
+4. What is left is aligned as a whole with the text around.
+
+Steps 1 to 3 see characters as classes of 8 or 6 bits, which only adds places. Items
+so short, or ``max_edit`` so large, that a leaf would be empty are aligned with whole
+texts.
+
+Embedding and sampling (CGK, bit-sampling LSH) are not used: they would lose some of
+the places that these steps find.
 
 Benchmarks are a stated query set: they go to the tasks in blocks of at most about
 ``BLOCK_BYTES``, each of them against all rows."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -35,10 +39,11 @@ from pyspark.sql import functions as F
 from posttrain.llm import kernels as K
 from posttrain.llm.common import ID, TEXT, arrow_map, narrow, stored
 
-GRAM, BITS, TABLES, WALKS, STEPS = 12, 4, 200, 8, 2
 BLOCK_BYTES = 8 << 20
-BATCH_WINDOWS = 4096
-_SPACES = b" \t\n\r\v\f"
+#: Texts are worked on in slices of so many bytes, places and alignments so many at once.
+SLICE_BYTES, PLACES, COLUMNS = 1 << 18, 1 << 15, 1 << 13
+#: Groups in a node of each level, as far as they fit ``NODE`` characters.
+LEVELS, NODE, PACKED = (3, 6), 64, 8
 
 
 def normal(text: str) -> str:
@@ -47,67 +52,102 @@ def normal(text: str) -> str:
     return b" ".join(lowered.split()).decode()
 
 
-def _word_starts(data: np.ndarray) -> np.ndarray:
-    inside = data != 0x20
-    return np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _classes(points: np.ndarray) -> np.ndarray:
+    return ((points ^ points >> 8 ^ points >> 16) & 0xFF).astype(np.uint8)
+
+
+def _packed(classes: np.ndarray) -> np.ndarray:
+    """For each place, and the end, the next ``PACKED`` classes as one word."""
+    raw = np.concatenate([classes, np.zeros(PACKED, np.uint8)])
+    return np.ndarray(len(classes) + 1, "<u8", raw, strides=(1,)).astype(np.uint64)
+
+
+def _word(classes: np.ndarray) -> int:
+    return int.from_bytes(classes.tobytes(), "little")
+
+
+class Leaves(NamedTuple):
+    """The leaves of one length: ``first`` has the range of each hash slot in the other
+    arrays; ``offset`` is the leaf's place in its item, ``other`` the packed leaf beside
+    it, to be read onwards (``back`` 0) or backwards from the leaf, ``nodes`` the node
+    of each level."""
+
+    length: int
+    shift: np.uint64
+    first: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+    back: np.ndarray
+    other: np.ndarray
+    mask: np.ndarray
+    nodes: np.ndarray
+
+
+class Plan:
+    """How the items are looked for with ``max_edit``: leaves, and nodes with their
+    place in the item, place in all items, length and edits."""
+
+    def __init__(self, texts: list[str], max_edit: float):
+        self.limit = np.array([min(int(len(t) * max_edit), len(t) - 1) for t in texts], np.int64)
+        points = [_code_points(t) for t in texts]
+        self.size = np.array([len(x) for x in points], np.int64)
+        self.classes = _classes(np.concatenate([*points, np.zeros(0, np.uint32)]))
+        base = np.cumsum(self.size) - self.size
+        self.whole, nodes, found = [], [], defaultdict(list)
+        for i, (m, k) in enumerate(zip(self.size.tolist(), self.limit.tolist(), strict=True)):
+            groups = k // 2 + 1
+            if k and m < 2 * groups:
+                self.whole.append(i)
+                continue
+            cut = [m * g // groups for g in range(groups + 1)]
+            one, of = self.classes[base[i]:base[i] + m], []
+            for most in LEVELS:
+                # the larger node holds whole smaller ones
+                most = max(1, min(most, NODE // -(-m // groups) // LEVELS[0] * LEVELS[0] or NODE // -(-m // groups)))
+                of.append([])
+                for g in range(0, groups, most):
+                    a, b = cut[g], cut[min(g + most, groups)]
+                    if b - a > NODE:
+                        a, b = (a + b) // 2 - NODE // 2, (a + b) // 2 + NODE // 2
+                    of[-1] += [len(nodes)] * (min(g + most, groups) - g)
+                    nodes.append((a, base[i] + a, b - a, min(2 * (min(g + most, groups) - g) - 1, k)))
+            for g in range(groups):
+                a, b = cut[g], cut[g + 1]
+                mid = (a + b) // 2 if k else b
+                left, right = one[max(a, mid - PACKED):mid], one[mid:min(b, mid + PACKED)]
+                for leaf, at, other, back in ((left, mid - len(left), right, 0), (right, mid, left[::-1], 1)):
+                    if len(leaf):
+                        found[len(leaf)].append((_word(leaf), i, at, back, _word(other), (1 << 8 * len(other)) - 1, *(n[g] for n in of)))
+        self.nodes = np.array(nodes, np.int64).reshape(-1, 4).T
+        self.leaves = []
+        for length, rows in sorted(found.items()):
+            cols = [np.array(c, np.uint64) for c in zip(*rows, strict=True)]
+            bits = min(max(len(rows).bit_length() + 4, 12), 24)
+            shift = np.uint64(64 - bits)
+            slot = (cols[0] * K.MIX_GOLDEN >> shift).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            first = np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32)
+            item, offset, back, *nodes_of = (cols[c][order].astype(np.int64) for c in (1, 2, 3, 6, 7))
+            self.leaves.append(Leaves(length, shift, first, item, offset, back, cols[4][order], cols[5][order], np.stack(nodes_of)))
 
 
 class Items:
-    """A block of benchmark items: their bytes, seeds and sample keys."""
+    """A block of benchmark items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         found = [(i, normal(t)) for i, t in rows if t is not None]
-        found = [(i, t) for i, t in found if len(t.encode()) >= GRAM]
+        found = [(i, t) for i, t in found if t]
         self.ids, self.texts = [i for i, _ in found], [t for _, t in found]
-        raw = [np.frombuffer(t.encode(), np.uint8) for t in self.texts]
-        self.size = np.array([len(r) for r in raw], np.int64)
-        self.data = np.concatenate([*raw, np.zeros(0, np.uint8)])
-        self.begin = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
-        seeds = [(s[s + GRAM <= len(r)]) for r in raw for s in (_word_starts(r),)]
-        item = np.repeat(np.arange(len(raw)), [len(s) for s in seeds])
-        offset = np.concatenate([*seeds, np.zeros(0, np.int64)]).astype(np.int64)
-        at = self.begin[item] + offset
-        code = K.span_hashes(self.data, at, at + GRAM)
-        order = np.argsort(code, kind="stable")
-        self.seed_item, self.seed_offset = item[order], offset[order]
-        self.seeds, first = np.unique(code[order], return_index=True)
-        self.seed_first = np.append(first, len(order)).astype(np.int64)
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.seeds & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.keys = sample_keys(self.data, self.begin[:-1], self.size, self.size) if len(raw) else np.zeros((0, TABLES), np.uint64)
-
-
-@lru_cache(maxsize=1 << 14)
-def _coins(step: int, walk: int) -> np.ndarray:
-    """The walk's coin of each byte value at a step: 0 stays, 1 moves on."""
-    salt = np.array([step << 16 | walk << 8], np.uint64) * K.MIX_B
-    return (K.mix64(np.arange(256, dtype=np.uint64) + salt) & np.uint64(1)).astype(np.int32)
-
-
-def sample_keys(data: np.ndarray, begin: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``windows x TABLES`` keys: the windows ``data[begin:begin + length]`` embedded
-    as texts of ``size`` bytes, ``BITS`` sampled positions a table. A walk takes
-    ``STEPS * size`` steps, which bring it to about the text's end; a window that ends
-    before repeats its last byte."""
-    where = np.random.default_rng(2).random((WALKS, TABLES // WALKS * BITS))
-    keys = np.zeros((len(begin), TABLES), np.uint64)
-    if len(begin) == 0:
-        return keys
-    steps, rows = int(STEPS * size.max()) + 1, np.arange(len(begin))
-    last, shown = (begin + length - 1).astype(np.int32), np.empty((steps, len(begin)), np.uint8)
-    for walk in range(WALKS):
-        at = begin.astype(np.int32)
-        for step in range(steps):
-            byte = data[np.minimum(at, last)]
-            shown[step] = byte
-            at += _coins(step, walk)[byte]
-        wanted = (where[walk][None, :] * (STEPS * size)[:, None]).astype(np.int64)
-        got = shown[wanted, rows[:, None]].reshape(len(begin), -1, BITS).astype(np.uint64)
-        key = np.full(got.shape[:2], walk + 1, np.uint64)
-        for b in range(BITS):
-            key = key << np.uint64(8) | got[:, :, b]
-        keys[:, walk * (TABLES // WALKS):(walk + 1) * (TABLES // WALKS)] = key
-    return keys
+        self.plans: dict[float, Plan] = {}
+
+    def plan(self, max_edit: float) -> Plan:
+        if max_edit not in self.plans:
+            self.plans[max_edit] = Plan(self.texts, max_edit)
+        return self.plans[max_edit]
 
 
 def align(item: str, text: str, limit: int) -> tuple[int, int] | None:
@@ -148,96 +188,127 @@ def may_align(item: str, text: str, limit: int) -> bool:
     return True
 
 
-class Window(NamedTuple):
-    """A candidate place: its batch row, the item, the text around it (normal bytes),
-    the window within that text, and the place of each of its bytes in the document."""
-
-    row: int
-    item: int
-    around: np.ndarray
-    begin: int
-    end: int
-    place: np.ndarray
-
-
-def _windows(part: K.Slice, items: Items, max_edit: float) -> list[Window]:
-    spaces = K._IS_SPACE[part.data]
-    keep = ~spaces
-    keep[1:] |= ~spaces[:-1]
-    keep[part.offsets[:-1][part.offsets[:-1] < len(keep)]] = True
-    source = np.flatnonzero(keep)
-    data = np.where(spaces[source], np.uint8(0x20), K.lower(part.data[source]))
-    bounds = np.searchsorted(source, part.offsets)
-    starts = K._runs(data != 0x20, bounds).starts
-    doc = np.searchsorted(bounds, starts, "right") - 1
-    whole = starts + GRAM <= bounds[doc + 1]
-    starts, doc = starts[whole], doc[whole]
-    code = K.span_hashes(data, starts, starts + GRAM)
-    near = items.filter[(code & np.uint64((1 << 22) - 1)).astype(np.int64)]
-    starts, doc, code = starts[near], doc[near], code[near]
-    at = np.minimum(np.searchsorted(items.seeds, code), len(items.seeds) - 1)
-    hit = items.seeds[at] == code
-    starts, doc, at = starts[hit], doc[hit], at[hit]
-    count = items.seed_first[at + 1] - items.seed_first[at]
-    total = np.concatenate([[0], np.cumsum(count)])
-    seed = np.repeat(items.seed_first[at] - total[:-1], count) + np.arange(total[-1])
-    item, doc = items.seed_item[seed], np.repeat(doc, count)
-    begin = np.repeat(starts, count) - items.seed_offset[seed]
-    # windows that begin within a few bytes of each other are one
-    slack = (items.size[item] * max_edit).astype(np.int64)
-    window = np.stack([doc, item, (begin - bounds[doc] + (1 << 30)) // np.maximum(slack // 4, 1)])
-    _, one = np.unique(window, axis=1, return_index=True)
-    out = []
-    for d, i, at_, s in zip(doc[one].tolist(), item[one].tolist(), begin[one].tolist(), slack[one].tolist(), strict=True):
-        left, right = max(at_, bounds[d]), min(at_ + items.size[i], bounds[d + 1])
-        if right - left < items.size[i] - 2 * s:
+def _one_edit(here: np.ndarray, onwards: np.ndarray, other: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Whether the packed text ``here`` (``onwards``: from the next character) begins
+    with ``other`` but for one edit at most."""
+    low, high, one = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080), np.uint64(1)
+    x = (here ^ other) & mask
+    z = ((x & low) + low | x) & high  # a bit for each byte that differs
+    rest = ~(((z & (~z + one)) >> np.uint64(7)) - one)  # bytes from the first of them on
+    return ((z & (z - one)) == 0) | ((onwards ^ other) & mask & rest == 0) | ((here ^ other >> np.uint64(8)) & mask >> np.uint64(8) & rest == 0)
+
+
+def _leaf_hits(classes: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray]:
+    """Places and leaves that occur there, the other leaf of the group beside them."""
+    n = len(classes)
+    words = np.concatenate([_packed(classes), [np.uint64(0)], _packed(classes[::-1]), [np.uint64(0)]])
+    mask = np.uint64((1 << 8 * leaves.length) - 1)
+    places, rows = [], []
+    for low in range(0, n - leaves.length + 1, PLACES):
+        word = words[low:min(low + PLACES, n - leaves.length + 1)] & mask
+        slot = (word * K.MIX_GOLDEN >> leaves.shift).astype(np.int64)
+        first = leaves.first[slot]
+        count = leaves.first[slot + 1] - first
+        some = np.flatnonzero(count)
+        count = count[some]
+        total = np.cumsum(count)
+        if len(some) == 0:
             continue
-        lo, hi = max(left - s, bounds[d]), min(right + s, bounds[d + 1])
-        while lo > bounds[d] and data[lo] & 0xC0 == 0x80:  # whole characters
-            lo -= 1
-        while hi < bounds[d + 1] and data[hi] & 0xC0 == 0x80:
-            hi += 1
-        out.append(Window(part.first + d, i, data[lo:hi], left - lo, right - lo, source[lo:hi] - part.offsets[d]))
+        place = np.repeat(some + low, count)
+        row = np.repeat(first[some] - (total - count), count) + np.arange(total[-1])
+        back = leaves.back[row]
+        at = np.where(back == 1, 2 * n + 2 - place, place + leaves.length)
+        ok = np.flatnonzero(_one_edit(words[at], words[at + 1], leaves.other[row], leaves.mask[row]))
+        places.append(place[ok])
+        rows.append(row[ok])
+    return np.concatenate([*places, np.zeros(0, np.int64)]), np.concatenate([*rows, np.zeros(0, np.int64)])
+
+
+def _aligned(classes: np.ndarray, plan: Plan, node: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether each node aligns with the text where it would begin at ``begin``, both
+    sides as wide as its edits: Myers' columns of all places at once."""
+    out = np.zeros(len(node), bool)
+    padded = np.concatenate([classes & 63, np.zeros(1, np.uint8)]).astype(np.int64)
+    one = np.uint64(1)
+    for low in range(0, len(node), COLUMNS):
+        used, of = np.unique(node[low:low + COLUMNS], return_inverse=True)
+        _, where, length, edits = plan.nodes[:, used]
+        masks = np.zeros((len(used), 64), np.uint64)
+        for i in range(int(length.max())):
+            rows = np.flatnonzero(length > i)
+            masks[rows, plan.classes[where[rows] + i] & 63] |= one << np.uint64(i)
+        masks, of = masks.ravel(), of.ravel()
+        at, row = begin[low:low + COLUMNS] - edits[of], of * 64
+        top = (length[of] - 1).astype(np.uint64)
+        plus, minus = np.full(len(of), ~np.uint64(0)), np.zeros(len(of), np.uint64)
+        score = length[of].copy()
+        best = score.copy()
+        for step in range(int((length + 2 * edits).max())):
+            place = at + step
+            eq = masks[row + padded[np.where((place < 0) | (place > len(classes)), len(classes), place)]]
+            xv = eq | minus
+            xh = (((eq & plus) + plus) ^ plus) | eq
+            ph, mh = minus | ~(xh | plus), plus & xh
+            score += (ph >> top & one).astype(np.int64)
+            score -= (mh >> top & one).astype(np.int64)
+            ph, mh = ph << one, mh << one
+            plus, minus = mh | ~(xv | ph), ph & xv
+            np.minimum(best, score, out=best)
+        out[low:low + COLUMNS] = best <= edits[of]
     return out
 
 
-def _verified(windows: list[Window], items: Items, max_edit: float) -> list[tuple[int, int, int, int, int]]:
-    """``(row, item, distance, start, end)``, bytes of the document, of the windows
-    that pass the sample keys and the alignment."""
-    size = np.array([len(w.around) for w in windows])
-    offset = np.cumsum(size) - size
-    data = np.concatenate([w.around for w in windows])
-    begin, end = (offset + np.array([x(w) for w in windows]) for x in (lambda w: w.begin, lambda w: w.end))
-    item = np.array([w.item for w in windows])
-    keys = sample_keys(data, begin, end - begin, items.size[item])
-    out = []
-    for k in np.flatnonzero((keys == items.keys[item]).any(axis=1)):
-        w = windows[k]
-        text, pattern = w.around.tobytes().decode(), items.texts[w.item]
-        limit = int(len(pattern) * max_edit)
-        found = align(pattern, text, limit) if may_align(pattern, text, limit) else None
-        if found is not None:
-            distance, stop = found
-            back = align(pattern[::-1], text[:stop][::-1], limit)
-            first = len(text[:stop - back[1]].encode())
-            out.append((w.row, w.item, distance, int(w.place[first]), int(w.place[len(text[:stop].encode()) - 1]) + 1))
+def _places(classes: np.ndarray, bounds: np.ndarray, plan: Plan) -> list[tuple[int, int, int, int]]:
+    """``(document, item, begin, end)``: stretches of the slice that may hold a match,
+    wide enough for it; those that overlap are one."""
+    found = []
+    for leaves in plan.leaves:
+        place, row = _leaf_hits(classes, leaves)
+        doc = np.searchsorted(bounds, place, "right") - 1
+        inside = place + leaves.length <= bounds[doc + 1]
+        place, row, doc = place[inside], row[inside], doc[inside]
+        for nodes in leaves.nodes:
+            begin = place - leaves.offset[row] + plan.nodes[0][nodes[row]]
+            code, of = np.unique(nodes[row] << 32 | begin + (1 << 30), return_inverse=True)
+            ok = _aligned(classes, plan, code >> 32, (code & (1 << 32) - 1) - (1 << 30))[of.ravel()]
+            place, row, doc = place[ok], row[ok], doc[ok]
+        item = leaves.item[row]
+        start, limit = place - leaves.offset[row], plan.limit[item]
+        found.append(np.stack([doc, item, np.maximum(start - limit, bounds[doc]), np.minimum(start + plan.size[item] + limit, bounds[doc + 1])]))
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    found += [np.stack([full, np.full(len(full), i), bounds[full], bounds[full + 1]]) for i in plan.whole]
+    out: list[tuple[int, int, int, int]] = []
+    for d, i, a, b in sorted(zip(*np.concatenate([*found, np.zeros((4, 0), np.int64)], axis=1).astype(np.int64).tolist(), strict=True)):
+        if out and out[-1][:2] == (d, i) and a <= out[-1][3]:
+            out[-1] = (d, i, out[-1][2], max(b, out[-1][3]))
+        else:
+            out.append((d, i, a, b))
     return out
 
 
 def _matches(texts: pa.Array, items: Items, max_edit: float) -> list[tuple[int, int, int, int, int]]:
     """``(row, item, distance, start, end)``: the best place of each item in each text
-    of a batch, as bytes of the text. Windows are verified some thousands at a time."""
-    found, waiting = [], []
-    for part in K.slices(texts):
-        waiting += _windows(part, items, max_edit)
-        while len(waiting) >= BATCH_WINDOWS:
-            found += _verified(waiting[:BATCH_WINDOWS], items, max_edit)
-            waiting = waiting[BATCH_WINDOWS:]
-    if waiting:
-        found += _verified(waiting, items, max_edit)
+    of a batch, as code points of the text."""
+    plan = items.plan(max_edit)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for row, item, *where in found:
-        best[row, item] = min(best.get((row, item), tuple(where)), tuple(where))
+    for part in K.slices(texts, SLICE_BYTES):
+        points = _code_points(part.data.tobytes().decode())
+        offsets = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])[part.offsets]
+        spaces = (points == 0x20) | (points >= 0x09) & (points <= 0x0D)
+        keep = ~spaces
+        keep[1:] |= ~spaces[:-1]
+        keep[offsets[:-1][offsets[:-1] < len(keep)]] = True
+        source = np.flatnonzero(keep)
+        points = np.where(spaces, np.uint32(0x20), points + ((points >= 65) & (points <= 90)) * np.uint32(32))[source]
+        bounds = np.searchsorted(source, offsets)
+        for d, i, a, b in _places(_classes(points), bounds, plan):
+            item, text, limit = items.texts[i], points[a:b].tobytes().decode("utf-32-le"), int(plan.limit[i])
+            found = align(item, text, limit) if may_align(item, text, limit) else None
+            if found is not None:
+                distance, stop = found
+                back = align(item[::-1], text[:stop][::-1], limit)
+                where = (distance, int(source[a + stop - back[1]] - offsets[d]), int(source[a + stop - 1] - offsets[d]) + 1)
+                best[part.first + d, i] = min(best.get((part.first + d, i), where), where)
     return [(*k, *v) for k, v in best.items()]
 
 
@@ -247,8 +318,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, id_col:
     item that occurs in it within ``max_edit`` of its length; ``start`` and ``end`` are
     code points of the text, ``version`` a hash of it.
 
-    Null and empty texts hold nothing; items without text or below ``GRAM`` bytes take
-    no part; repeated items are matched each, repeated rows give a row each. Empty
+    Null and empty texts hold nothing; items without text take no part, short ones do
+    (below five characters no edit is within 0.2); repeated items are matched each, repeated rows give a row each. Empty
     tables give no rows; other columns are ignored."""
     rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item"))
@@ -258,6 +329,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, id_col:
     for b in range(blocks):
         # a block is a hash share of a stated query set, about BLOCK_BYTES of it
         block = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b).collect()])
+        block.plan(max_edit)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
@@ -268,11 +340,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, id_col:
             if not found:
                 return
             of = pa.array([f[0] for f in found])
-            texts = batch.column(1).take(of).to_pylist()
-            place = [[len(t.encode()[:f[k]].decode()) for t, f in zip(texts, found, strict=True)] for k in (3, 4)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(of), batch.column(2).take(of), pa.array([index.ids[f[1]] for f in found], pa.int64()),
-                 pa.array([f[2] for f in found], pa.int64()), *(pa.array(p, pa.int64()) for p in place)],
+                 pa.array([f[2] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (3, 4))],
                 names=[ID, "version", "item_id", "distance", "start", "end"])
 
         parts.append(arrow_map(rows, run, f"{ID} long, version long, item_id long, distance long, start long, end long"))

@@ -181,6 +181,34 @@ def test_decontamination_recall_of_random_edits():
     assert len(true) > 100 and len(found & true) >= 0.97 * len(true)
 
 
+@pytest.mark.parametrize("max_edit", [0.05, 0.2, 0.35])
+def test_decontamination_equals_brute_force(max_edit):
+    """Edits spread over the characters, scripts without spaces, items of a few characters."""
+    rng = np.random.default_rng(21)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocab, rng.integers(1, 30))) for _ in range(12)]
+    texts += ["".join(rng.choice(list("春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"), n)) for n in (1, 4, 5, 11, 30, 90)]
+    texts += ["".join(rng.choice(list("abcdefgh"), n)) for n in range(1, 13)] + ["x" * 200]
+    items = decontaminate.Items(list(enumerate(texts)))
+    docs = ["", None]
+    for t in texts:
+        for share in (0, 0.1, 0.16, 0.2):
+            x = list(t)
+            for _ in range(int(share * len(t))):
+                k = rng.integers(0, len(x))
+                x[k:k + 1] = [["q"], [], ["q", x[k]]][rng.integers(0, 3)]
+            docs.append(f"{texts[rng.integers(12)][:40]}{''.join(x)}{texts[rng.integers(12)][:40]}")
+        # one changed character at the end of each word
+        docs.append(" ".join(w[:-1] + "q" for w in t.split(" ")))
+    want = {}
+    for r, d in enumerate(docs):
+        for i, t in enumerate(texts):
+            found = decontaminate.align(t, decontaminate.normal(d or ""), int(max_edit * len(t)))
+            if found:
+                want[r, i] = found[0]
+    assert {(r, i): d for r, i, d, *_ in decontaminate._matches(pa.array(docs), items, max_edit)} == want
+
+
 def test_decontamination_edges(spark, nothing):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.leaks(nothing, items).collect() == []
