@@ -1,15 +1,16 @@
 """Line dedup by an exact set-similarity join (operator 6).
 
-A line's tokens are its distinct words; lines with fewer than ``MIN_TOKENS`` of
-them are never compared. Two lines match if 100 * common >= ``percent`` * union.
+A line's tokens are its distinct words; every line with a word takes part, whatever
+its length or script. Two lines match if 100 * common >= ``percent`` * union.
 A line is removed if a line before it (by doc_id, then line number) matches it,
 whether or not that one is removed itself, so the result has no order of work.
 
 1. Token counts over all lines go into a sketch of fixed size; it orders tokens by
    rarity. Any order is exact, a good one is fast.
 2. Equal token sets are one set, with its first place; all later places go.
-3. Two sets that match share a token among their rarest ones (prefix filter).
-   Postings of prefix tokens that one set alone has are left out.
+3. Two sets that match share a token among their rarest ones (prefix filter). Sets
+   so small that one token more or less is below ``percent`` match no other set; they
+   have no prefix. Postings of prefix tokens that one set alone has are left out.
 4. Each set is verified against the best candidate among the first sets of its
    tokens; this settles the members of a large group of near copies, one pair for
    each. Sets that are still open meet all earlier sets of their tokens, behind
@@ -29,7 +30,8 @@ from posttrain.llm import kernels as K
 from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, narrow, stored
 from posttrain.llm.set_check import verified
 
-MIN_TOKENS = 5
+#: Lines without a word have nothing to compare.
+MIN_TOKENS = 1
 SKETCH_BITS = 18
 
 
@@ -101,7 +103,7 @@ def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
             if len(doc) == 0:
                 continue
             n = np.diff(first)
-            size = n - (percent * n + 99) // 100 + 1
+            size = np.where(100 * n < percent * (n + 1), 0, n - (percent * n + 99) // 100 + 1)
             out_first = np.concatenate([[0], np.cumsum(size)])
             at = np.repeat(first[:-1] - out_first[:-1], size) + np.arange(out_first[-1])
             bits = np.bitwise_or.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first[:-1])

@@ -279,6 +279,24 @@ def test_line_dedup_query(spark, duck):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_line_dedup_compares_lines_of_few_words(spark, percent):
+    """Brute force over every line that has a word."""
+    rng = np.random.default_rng(33)
+    vocab = ["a", "b", "c", "d", "e", "f", "春眠不觉晓处处闻啼鸟" * 20]
+    lines = [" ".join(rng.choice(vocab, rng.integers(0, 9))) for _ in range(60)] + ["x " * 500, "| x | x |", "Menu", "a b c d", "d c b a e"]
+    rows = [(i, "\n".join(rng.choice(lines, 4))) for i in range(40)]
+    seen, want = [], defaultdict(list)
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            s = set(_words(line))
+            if s and any(100 * len(s & x) >= percent * len(s | x) for x in seen):
+                want[i].append(k)
+            seen.append(s)
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert {r["doc_id"]: r["dropped_lines"] for r in got if r["dropped_lines"]} == want
+
+
 def test_line_dedup_edges(spark, nothing):
     line = "one two three four five six"
     rows = [(1, line + "\n\n" + line), (1, line + "\n\n" + line), (2, "\n" + line + "\n"), (3, None), (4, ""), (None, line), (5, "A b c")]
