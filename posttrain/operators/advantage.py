@@ -244,11 +244,13 @@ def estimator_advantages(samples: DataFrame, tokens: DataFrame, estimator: str,
                          kl_coef: float = 0.0, kl_estimator: str = "k1", gamma: float = 1.0,
                          clip: tuple[float, float] | None = (-10.0, 10.0),
                          overlong: tuple[int, int, float] | None = None,
-                         whiten_std: bool = True, cut_lineage: bool = False) -> DataFrame:
+                         whiten_std: bool = True, cut_lineage: bool = False, kd_coef: float = 0.0) -> DataFrame:
     """M7: the estimator family end to end on token rows.
 
     order: overlong penalty -> group shaping -> reward clip -> token reward
-    -> returns (gamma forced to 1 for group estimators) -> whitening
+    -> returns (gamma forced to 1 for group estimators) -> distillation overlay
+    M6 (``kd_coef`` > 0; reads ``kd_mask`` and ``skip`` of the samples and
+    ``teacher_log_prob`` of the tokens, null where there is no teacher) -> whitening
     (reinforce / reinforce_baseline only). ``kd`` is M5. ``cut_lineage``
     writes the returns to the shared checkpoint folder before whitening."""
     if estimator == "kd":
@@ -267,6 +269,11 @@ def estimator_advantages(samples: DataFrame, tokens: DataFrame, estimator: str,
     g = 1.0 if estimator in GROUP_ESTIMATORS else gamma
     tk = discounted_returns(tk, g)
     tk = tk.withColumn("advantages", F.col("returns"))
+    if kd_coef > 0:
+        flags = samples.select("sample_id", F.coalesce("kd_mask", F.lit(0.0)).alias("__kd"), F.coalesce("skip", F.lit(False)).alias("__skip"))
+        kd = (F.col("teacher_log_prob") - F.col("log_prob")) * F.col("action_mask").cast("double")
+        tk = tk.join(flags, "sample_id").withColumn("advantages", hybrid_blend(
+            F.col("advantages"), F.coalesce(kd, F.lit(0.0)), F.col("__kd"), F.col("__skip"), kd_coef)).drop("__kd", "__skip")
     if cut_lineage:
         # long batches: the whitening pass and the apply pass read the written
         # returns instead of re-running the token shuffles

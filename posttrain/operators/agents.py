@@ -14,8 +14,8 @@ def trajectory_assembly(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
                         role_col: str = "role", ids_col: str = "ids", reward_col: str = "step_reward",
                         score_col: str = "step_score", lp_col: str = "action_lps") -> DataFrame:
     """the observation is every turn in order (prompt, then per step the
-    action and its environment feedback). Per conversation: total length,
-    action spans [start, end), summed step rewards, the last step's score,
+    action and its environment feedback). Per conversation: the observation's
+    tokens, total length, action spans [start, end), summed step rewards, the last step's score,
     and the rollout log-probs: each step's action values are appended to the
     list, then zeros pad it to the observation length so far (so the first
     step's values sit at position 0, as the logged loop produces them)."""
@@ -36,8 +36,22 @@ def trajectory_assembly(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.max_by(F.when(is_act, F.col(score_col)), F.when(is_act, F.col(turn_col))).alias("score"),
         F.sum(F.when(is_act, F.aggregate(lp_col, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)).alias("lp_sum"),
         F.min(F.when(is_act, F.col("__lp_pos"))).alias("first_lp_pos"),
-        F.count(F.when(is_act, 1)).alias("n_actions"))
-    return per
+        F.count(F.when(is_act, 1)).alias("n_actions"),
+        F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("turn"), is_act.alias("act"), F.col(ids_col).alias("ids"),
+                                             F.col(lp_col).cast("array<double>").alias("lps")))).alias("__turns"))
+    none = F.array().cast("array<double>")
+
+    def step(st, e):
+        n = st["n"] + F.coalesce(F.size(e["ids"]), F.lit(0))
+        lps = F.when(e["act"], F.concat(st["lps"], F.coalesce(e["lps"], none))).otherwise(st["lps"])
+        seen = st["seen"] | e["act"]
+        # turns before the first action add no values
+        pad = F.when(seen, F.greatest(n - F.size(lps), F.lit(0))).otherwise(F.lit(0))
+        return F.struct(n.alias("n"), seen.alias("seen"), F.concat(lps, F.array_repeat(F.lit(0.0), pad)).alias("lps"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("seen"), none.alias("lps"))
+    return per.select("*", F.flatten(F.transform("__turns", lambda e: e["ids"])).alias("observation_tokens"),
+                      F.aggregate("__turns", start, step)["lps"].alias("rollout_log_probs")).drop("__turns")
 
 
 def single_turn_output(prompt_ids: Column, action_ids: Column, action_lps: Column, finish_reason: Column,

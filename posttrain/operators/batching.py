@@ -197,7 +197,8 @@ def collate_info(df: DataFrame, batch_col: str, cols: list[str], seq_col: str =
 def merge_batches(frames: list[DataFrame], pad_cols: dict[str, object], batch_col: str = "batch_id",
                   map_col: str | None = None) -> DataFrame:
     """Concatenate batches (columns unioned, missing ones null), right
-    pad array columns to the merged batch's longest, merge info maps."""
+    pad array columns to the merged batch's longest. Info maps are not merged:
+    ``map_col`` has no effect yet."""
     from posttrain.operators.sft import pad_sequences
     out = frames[0]
     for f in frames[1:]:

@@ -6,6 +6,8 @@ embarrassingly parallel; only the diagnostics aggregate, per sample."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,13 @@ def prompt_boundary(query_ids: Column, prompt_ids: Column, hint: Column | None =
     return plen
 
 
-def guided_splice(query_ids: Column, p_len: Column, guide_ids: Column, suffix_ids: Column) -> Column:
-    """D2 (token-level path): when the prompt ``query_ids[:p_len]`` ends with
-    the chat suffix, insert ``guide_ids`` before it. Returns
-    struct(ids, guided_len, delta, orig_len); null when the prompt does not end
-    with the suffix or the guide is empty (delta = len(guide) must be > 0)."""
+def guided_splice(query_ids: Column, p_len: Column, guide_ids: Column, suffix_ids: Column, prompt: Column | None = None,
+                  guide: Column | None = None, suffix: Column | None = None, encode: Callable[[Column], Column] | None = None) -> Column:
+    """When the prompt ``query_ids[:p_len]`` ends with the chat suffix, insert
+    ``guide_ids`` before it. Otherwise, given the texts and ``encode`` (text to ids),
+    the guide goes before the suffix of the prompt's text (at its end without a
+    suffix) and the text is encoded again. Returns struct(ids, guided_len, delta,
+    orig_len); null when neither way is open, the guide is blank or delta <= 0."""
     ns = F.size(suffix_ids)
     ng = F.size(guide_ids)
     empty = F.array().cast("array<int>")
@@ -54,9 +58,17 @@ def guided_splice(query_ids: Column, p_len: Column, guide_ids: Column, suffix_id
     resp = F.when(F.size(query_ids) > p_len,
                   F.slice(query_ids, p_len + 1, F.greatest(F.size(query_ids) - p_len, F.lit(1)))).otherwise(empty)
     ok = p_len.isNotNull() & (p_len > 0) & ends & (ng > 0)
-    return F.when(ok, F.struct(F.concat(head, guide_ids, suffix_ids, resp).alias("ids"),
-                               (p_len + ng).alias("guided_len"), ng.alias("delta"),
-                               F.size(query_ids).alias("orig_len")))
+    out = F.when(ok, F.struct(F.concat(head, guide_ids, suffix_ids, resp).alias("ids"),
+                              (p_len + ng).alias("guided_len"), ng.alias("delta"),
+                              F.size(query_ids).alias("orig_len")))
+    if encode is None:
+        return out
+    end = F.coalesce(suffix, F.lit(""))
+    again = encode(F.concat(F.substring(prompt, F.lit(1), F.length(prompt) - F.length(end)), guide, end))
+    n = F.size(again)
+    may = (p_len > 0) & F.endswith(prompt, end) & (F.trim(guide) != "") & (n > p_len)
+    return F.coalesce(out, F.when(may, F.struct(
+        F.concat(again, resp).alias("ids"), n.alias("guided_len"), (n - p_len).alias("delta"), F.size(query_ids).alias("orig_len"))))
 
 
 def validate_plain(lps: Column, orig_len: Column) -> Column:
@@ -122,10 +134,12 @@ def teacher_coverage(tokens: DataFrame, teacher_len: DataFrame, sample_col: str
 
 
 def kd_diagnostics(tokens: DataFrame, sample_col: str = "sample_id", mask_col: str = "action_mask",
-                   teacher_col: str = "teacher_log_prob", student_col: str = "log_prob") -> DataFrame:
+                   teacher_col: str = "teacher_log_prob", student_col: str = "log_prob",
+                   coverage: DataFrame | None = None) -> DataFrame:
     """Per sample teacher/student masked means, |adv| mean, adv std
-    sqrt(var + 1e-8) over masked tokens (count clamped >= 1), finite ratio,
-    low-coverage flag. adv = (teacher - student) * mask."""
+    sqrt(var + 1e-8) over masked tokens (count clamped >= 1), finite ratio and,
+    given A14's ``coverage``, ``low_coverage_warning`` (teacher_cov_ratio < 0.9;
+    false where it is not known). adv = (teacher - student) * mask."""
     m = F.col(mask_col).cast("double")
     a = (F.col(teacher_col) - F.col(student_col)) * m
     fin = F.when(is_finite(F.col(teacher_col)) & is_finite(F.col(student_col)), 1.0).otherwise(0.0)
@@ -137,7 +151,7 @@ def kd_diagnostics(tokens: DataFrame, sample_col: str = "sample_id", mask_col: s
     mean = F.col("__sam") / cnt
     # sum m (a - mean)^2 = saa - 2 mean sam + mean^2 sm
     var = (F.col("__saa") - F.lit(2.0) * mean * F.col("__sam") + mean * mean * F.col("__sm")) / cnt
-    return per.select(
+    out = per.select(
         sample_col,
         (F.col("__st") / F.nullif(F.col("__sm"), F.lit(0.0))).alias("kd_teacher_logp_mean"),
         (F.col("__ss") / F.nullif(F.col("__sm"), F.lit(0.0))).alias("kd_student_logp_mean"),
@@ -145,6 +159,10 @@ def kd_diagnostics(tokens: DataFrame, sample_col: str = "sample_id", mask_col: s
         F.sqrt(F.greatest(var, F.lit(0.0)) + F.lit(1e-8)).alias("kd_adv_std"),
         (F.col("__sf") / cnt).alias("kd_finite_ratio"),
         ((F.col("__sf") / cnt) < 1.0).alias("non_finite_warning"))
+    if coverage is None:
+        return out
+    low = coverage.select(sample_col, (F.col("teacher_cov_ratio") < 0.9).alias("low_coverage_warning"))
+    return out.join(low, sample_col, "left").fillna(False, ["low_coverage_warning"])
 
 
 def hybrid_diagnostics(tokens: DataFrame, samples: DataFrame, sample_col: str = "sample_id",
