@@ -25,8 +25,9 @@ FILTER_BITS = 23
 _ROW_BITS = 15  # bits of one bitmap row: what bitmap_construct_agg makes
 
 
-def exact_dedup(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, prefix_chars: int = 128) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept`` per input row.
+def exact_dedup(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, prefix_chars: int = 128, with_sha: bool = False) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, digest`` per input row; ``digest`` (sha256)
+    is there for the rows that step 3 reads, ``with_sha`` takes it of every row.
 
     Texts are equal when identical; null counts as empty, so all null and empty
     texts are one group. Of equal texts the row with the largest id is kept; a
@@ -53,9 +54,10 @@ def exact_dedup(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, prefix_
               .join(F.broadcast(bitmap), "slot", "left")
               .withColumn("byte", F.coalesce(byte, F.lit(0)))
               .withColumn("alive", F.expr("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1")))
-    full = stored(marked.select(ID, "len", "head", F.when(F.col("alive"), F.sha2(TEXT, 256)).alias("digest")), "digests")
+    sha = F.sha2(TEXT, 256)
+    full = stored(marked.select(ID, "len", "head", sha.alias("digest") if with_sha else F.when(F.col("alive"), sha).alias("digest"), "alive"), "digests")
 
-    same = (full.where("digest IS NOT NULL").groupBy("len", "digest")
+    same = (full.where("alive").groupBy("len", "digest")
             .agg(F.max(ID).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     out = full.join(same, ["len", "digest"], "left")
     return out.select(

@@ -22,12 +22,9 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 @_query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator's decisions, with the digest of every text beside them (the
-    digest is taken at the scan; only hashes are joined)."""
-    docs = documents(spark, sf_dir)
-    found = exact_dedup.exact_dedup(docs).drop("digest")
-    sha = docs.select(ID, F.sha2(F.coalesce(F.col(TEXT), F.lit("")), 256).alias("text_sha256"))
-    return found.join(sha, ID)
+    """The operator's decisions, with the digest of every text, which goes through
+    the operator's own scan, beside them."""
+    return exact_dedup.exact_dedup(documents(spark, sf_dir), with_sha=True).withColumnRenamed("digest", "text_sha256")
 
 
 ORACLE["op5_exact_dedup"] = """

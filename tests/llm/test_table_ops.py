@@ -1,5 +1,6 @@
 """Operators over whole tables against brute force, and their edge cases."""
 
+import hashlib
 import re
 from collections import defaultdict
 from datetime import date
@@ -237,6 +238,17 @@ def test_exact_dedup_edges(spark, nothing):
     assert exact_dedup.exact_dedup(nothing).collect() == []
 
 
+def test_exact_dedup_query_keeps_rows_of_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None, "a"), (1, "a"), (1, "b"), (1, "b"), (2, None), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(queries, "documents", lambda *_: docs)
+    got = queries.op5_exact_dedup(spark, "").collect()
+    digest = {t: hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    assert sorted((r["doc_id"] or -1, r["group_size"], r["kept"], r["text_sha256"]) for r in got) == sorted([
+        (-1, 2, False, digest["a"]), (1, 2, True, digest["a"]), (1, 2, True, digest["b"]), (1, 2, True, digest["b"]),
+        (2, 1, True, digest[None]), (-1, 1, True, digest["c"])])
+
+
 def test_exact_dedup_brute_force(corpus):
     rows, df = corpus
     groups = defaultdict(list)
