@@ -147,14 +147,13 @@ def _sets(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: s
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hit = pa.array(in_bitmap(bitmap, batch.column(2).to_numpy())) if len(batch) else pa.array([], pa.bool_())
-        ids, texts = batch.column(0).filter(hit), batch.column(1).filter(hit)
-        for at, values, first in K.shingle_sets(texts, width):
+        for _, values, first in K.shingle_sets(batch.column(1).filter(hit), width):
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(first) - 1), K.key_array(K.set_keys(values, first)),
-                 K.list_array(values.view(np.int64), first, pa.int64())], names=[ID, "key", "items"])
+                [K.key_array(K.set_keys(values, first)), K.list_array(values.view(np.int64), first, pa.int64())], names=["key", "items"])
 
-    found = arrow_map(rows, run, f"{ID} long, key binary, items array<long>")
-    return found.join(keys.select("key", ID), ["key", ID]).dropDuplicates(["key"]).select("key", "items")
+    found = arrow_map(rows, run, "key binary, items array<long>")
+    # a key names one set, whichever document it comes from; ids may be null
+    return found.join(keys.select("key"), "key").dropDuplicates(["key"]).select("key", "items")
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -262,16 +261,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Texts with 100 * intersection >= ``percent`` * union are linked; components are
     named by their smallest doc_id. A null or empty text, or one without words, has
     0 shingles and is alone. Rows repeated with the same id and text share a
-    component (all of them are marked kept if their id names it). A null id never
+    component (all of them are marked kept if their id names it); of several texts
+    under that id the one with the smallest ``version`` is kept. A null id never
     names a component unless no member has one. An empty table gives no rows; other
     columns are ignored."""
     sigs = stored(signatures(docs, width, id_col, text_col), "signatures")
+    first = F.min(F.struct(F.col(ID).isNull().alias("none"), ID, "version"))  # null ids come last
     nodes = stored(sigs.where("key IS NOT NULL").groupBy("key").agg(
-        F.min(ID).alias(ID), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+        first[ID].alias(ID), first["version"].alias("version"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     roots = _roots(docs, nodes, width, percent, id_col, text_col)
-    named = nodes.select("key", ID).join(roots, F.col("key") == F.col("node"), "left").select("key", ID, F.coalesce("root", "key").alias("root"))
-    smallest = named.groupBy("root").agg(F.min(ID).alias("component_id"))
-    by_key = named.join(smallest, "root").select("key", "component_id")
+    named = nodes.select("key", ID, "version").join(roots, F.col("key") == F.col("node"), "left").select("key", ID, "version", F.coalesce("root", "key").alias("root"))
+    smallest = named.groupBy("root").agg(first[ID].alias("component_id"), first["version"].alias("kept_version"))
+    by_key = named.join(smallest, "root").select("key", "component_id", "kept_version")
     name = F.coalesce("component_id", ID)
     return (sigs.select(ID, "n", "key", "version").join(by_key, "key", "left")
-            .select(ID, F.col("n").alias("n_shingles"), name.alias("component_id"), F.col(ID).eqNullSafe(name).alias("kept"), "version"))
+            .select(ID, F.col("n").alias("n_shingles"), name.alias("component_id"),
+                    (F.col(ID).eqNullSafe(name) & F.coalesce(F.col("version") == F.col("kept_version"), F.lit(True))).alias("kept"), "version"))

@@ -101,6 +101,21 @@ def test_near_duplicates_edges(spark, nothing):
     assert got == [(-1, -1, 0, True), (-1, 3, 1, False), (3, 3, 1, True), (3, 3, 1, True), (9, 9, 0, True)]
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    other, third = " ".join(["x", *words[1:]]), " ".join([*words[:-1], "y"])
+    df = spark.createDataFrame([(7, text), (None, other), (7, third), (None, "p q r s"), (None, "p q r t")], "doc_id long, text string")
+    got = minhash.near_duplicates(df, width=2).collect()
+    assert [r["component_id"] for r in got if r["n_shingles"] > 10] == [7, 7, 7]
+    # one row of the group stays, the same under any order of rows
+    kept = [r for r in got if r["n_shingles"] > 10 and r["kept"]]
+    assert len(kept) == 1 and kept[0]["version"] == min(r["version"] for r in got if r["doc_id"] == 7)
+    assert [r["kept"] for r in got if r["n_shingles"] < 10] == [True, True]
+    nameless = spark.createDataFrame([(None, text), (None, other)], "doc_id long, text string")
+    assert sorted(r["kept"] for r in minhash.near_duplicates(nameless, width=2).collect()) == [False, True]
+
+
 def test_super_min_hash_estimates_jaccard():
     rng = np.random.default_rng(4)
     for n in (1, 5, 40, 400):
