@@ -56,8 +56,8 @@ def match(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     passes; an empty table gives no rows; other columns are ignored."""
     seen = captures.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"),
                            path_prefix(F.col(url_col)).alias("prefix"), F.col(day_col).cast("date").alias("day"))
-    suffixes = F.expr("transform(sequence(1, greatest(size(split(host, '[.]')) - 1, 1)), "
-                      "i -> struct('domain' as kind, array_join(slice(split(host, '[.]'), i, 128), '.') as value))")
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), "
+                      "i -> struct('domain' as kind, array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.') as value))")
     keys = F.concat(suffixes, F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value")),
                                       F.struct(F.lit("prefix").alias("kind"), F.col("prefix").alias("value"))))
     # each distinct (host, prefix, day) is looked up once, however many captures it has

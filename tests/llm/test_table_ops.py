@@ -364,3 +364,13 @@ def test_key_sums_do_not_depend_on_order():
     v = np.arange(10, dtype=np.uint64)
     f = np.array([0, 4, 10])
     assert np.array_equal(kernels.set_keys(v, f), kernels.set_keys(np.concatenate([v[:4][::-1], v[4:]]), f))
+
+
+def test_url_lists_last_label_and_long_hosts(spark):
+    long = ".".join(["a"] * 200) + ".example.org"
+    urls = ["http://x.zip/p", "http://zip/", "http://x.zippo/", f"http://{long}/"]
+    captures = spark.createDataFrame([(i, u, date(2024, 5, 1)) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    entries = spark.createDataFrame([("domain", v, date(2024, 1, 1), "add") for v in ("zip", "example.org", "a." * 150 + "example.org")],
+                                    "kind string, value string, day date, action string")
+    got = {r["page_id"]: r["n_matches"] for r in url_lists.match(captures, entries).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 2}
