@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, toxicity, url_lists
+from posttrain.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, substring_dedup, toxicity, url_lists
 from posttrain.llm.common import ID, TEXT, documents, split_no
 from posttrain.session import table
 
@@ -151,3 +151,27 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(ID, "item_id", "distance", "start", "end")
+
+
+@_query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return out.select(ID, "n_words", "n_removed", F.sha2(TEXT, 256).alias("kept_sha256"))
+
+
+ORACLE["op11_substring_dedup"] = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+word AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM doc),
+win AS (SELECT doc_id, pos, array_to_string(ws[pos:pos + 12], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS pos FROM doc)),
+late AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY k) AS first_id FROM win) WHERE first_id < doc_id),
+cover AS (
+  SELECT word.doc_id, word.pos, w, max(CASE WHEN late.pos IS NOT NULL THEN 1 ELSE 0 END)
+    OVER (PARTITION BY word.doc_id ORDER BY word.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM word LEFT JOIN late ON word.doc_id = late.doc_id AND word.pos = late.pos),
+got AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed,
+  coalesce(string_agg(w, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept FROM cover GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN got ON d.doc_id = got.doc_id
+"""
