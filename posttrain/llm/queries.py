@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, substring_dedup, toxicity, url_lists
-from posttrain.llm.common import ID, TEXT, documents, split_no
+from posttrain.llm import bpe, conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, substring_dedup, toxicity, url_lists
+from posttrain.llm.common import ID, TEXT, documents, split_no, stored
 from posttrain.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,20 @@ SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN got ON d.doc_id = got.doc_id
 """
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with faults put in by crc32 of ``conv_id:turn``, repaired."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = rows.withColumn("kind", F.crc32(name.cast("binary")) % 20)
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    damaged = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                          "kind", F.explode(copies).alias("copy"))
+    faulty = conversation_repair.faulty_rows(damaged, F.col("kind") == 0)
+    found = stored(conversation_repair.audits(faulty), "audits")
+    digest = conversation_repair.repaired_digests(faulty, found)
+    both = found.alias("a").join(digest.alias("b"), F.expr("a.conv_id <=> b.conv_id"))
+    return both.select("a.conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
