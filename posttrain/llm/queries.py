@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from posttrain.llm import bpe, conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, secret_scan, substring_dedup, toxicity, url_lists
+from posttrain.llm import bpe, conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, minhash, prefix_trie, quality, secret_scan, substring_dedup, toxicity, url_lists
 from posttrain.llm.common import ID, TEXT, documents, split_no, stored
-from posttrain.session import table
+from posttrain.session import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -192,3 +192,53 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = conversation_repair.repaired_digests(faulty, found)
     both = found.alias("a").join(digest.alias("b"), F.expr("a.conv_id <=> b.conv_id"))
     return both.select("a.conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that are rebuilt on the first turns of another one."""
+    ship_package(spark)
+    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = stored(rows.withColumn("place", place.cast("long")), "placed_turns")
+    convs = stored(rows.select("conv_id").distinct().select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).alias("h"),
+                                                            (F.col("conv_id") - F.col("conv_id") % 5).alias("source")), "conversation_ids")
+    # the turns that others begin with are eight at most, and so are their takers
+    given = (rows.where("place <= 8").withColumnRenamed("conv_id", "source").join(convs, "source").where("place <= h")
+             .select("conv_id", F.col("place").alias("turn"), "role", "text"))
+    # own turns come after them; their places need not be without gaps
+    own = rows.join(convs, "conv_id").where("place > h").select("conv_id", F.col("place").alias("turn"), "role", "text")
+    return prefix_trie.prefix_trie(given.unionByName(own), convs).drop("node")
+
+
+ORACLE["op13_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source, xor(list_reduce(
+    list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT)),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)),
+    4294967295), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (
+  SELECT c.conv_id, t.place, t.role, t.text FROM conv c JOIN turns t ON t.conv_id = c.source AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, t.place, t.role, t.text FROM conv c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h),
+step AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+    array_to_string(list(md5(length(role) || ':' || role || text)) OVER w, ',') AS path
+  FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+member AS (
+  SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS path, NULL AS up FROM conv
+  UNION ALL SELECT conv_id, depth, bytes, md5(path), CASE WHEN depth = 1 THEN '' ELSE md5(left(path, length(path) - 33)) END FROM step),
+node AS (SELECT path, any_value(depth) AS depth, any_value(up) AS up, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM member GROUP BY path),
+kids AS (SELECT up AS path, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+total AS (
+  SELECT above.path, sum((n.n_convs - 1) * n.bytes) AS saved, sum(CASE WHEN kids.path IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM node n JOIN member above ON above.conv_id = n.conv_id AND above.depth <= n.depth LEFT JOIN kids ON kids.path = n.path GROUP BY above.path),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM member GROUP BY conv_id) GROUP BY path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node n JOIN total ON total.path = n.path LEFT JOIN node p ON p.path = n.up LEFT JOIN kids ON kids.path = n.path LEFT JOIN ends ON ends.path = n.path
+"""

@@ -9,7 +9,7 @@ from itertools import groupby
 import numpy as np
 import pytest
 
-from posttrain.llm import conversation_repair, queries
+from posttrain.llm import conversation_repair, prefix_trie, queries
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\v\f\r"
@@ -130,3 +130,91 @@ def test_repair_of_nothing(spark):
     faulty = conversation_repair.faulty_rows(none)
     found = conversation_repair.audits(faulty)
     assert found.collect() == [] and conversation_repair.repaired_digests(faulty, found).collect() == []
+
+
+# --- operator 13
+
+def _trie(convs):
+    """Nodes of conv -> list of turns, by plain recursion over prefixes."""
+    members = defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+
+    def totals(p):
+        saved = (len(members[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        leaves = 0 if children[p] else 1
+        for x in children[p]:
+            a, b = totals(x)
+            saved, leaves = saved + a, leaves + b
+        return saved, leaves
+
+    out = []
+    for p, m in list(members.items()):
+        saved, leaves = totals(p)
+        ends = ",".join(str(c) for c in sorted(c for c in m if len(convs[c]) == len(p)))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+TRIE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def _rows(df):
+    return sorted((tuple(r[c] for c in TRIE) for r in df.collect()), key=str)
+
+
+def test_trie_query(spark, duck):
+    own = defaultdict(list)
+    for c, turn, role, text in duck.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall():
+        own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [r[2:] for r in sorted(rows)] for c, rows in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    assert _rows(queries.op13_prefix_trie(spark, SF)) == _trie(built)
+
+
+def test_trie_of_many_shapes(spark):
+    rng = np.random.default_rng(3)
+    convs = {}
+    for c in range(70):
+        base = list(convs[int(rng.integers(0, c))]) if c and rng.random() < 0.8 else []
+        convs[c] = base[:int(rng.integers(0, 12))] + [("user", f"é{rng.integers(0, 3)}") for _ in range(int(rng.integers(0, 4)))]
+    convs[1000] = [("user", f"{i}") for i in range(150)]
+    convs[1001] = convs[1000][:100] + [("a", "x")]
+    convs[5000] = list(convs[1000])
+    convs[-4] = [("", ""), ("", "")]
+    rows = [(c, i, r, t) for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    members = spark.createDataFrame([(c,) for c in convs], "conv_id long")
+    got = prefix_trie.prefix_trie(df, members)
+    assert _rows(got) == _trie(convs)
+
+
+def test_trie_of_odd_rows(spark):
+    rows = [(1, None, None, None), (1, 2, "b", "x"), (1, 2, "a", "y"), (None, 0, "a", "lost"), (2, 0, "", ""), (2, 1, "a", "y"), (2, 1, "a", "y")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, depth int, node string")
+    want = _trie({1: [("", ""), ("a", "y"), ("b", "x")], 2: [("", ""), ("a", "y"), ("a", "y")]})
+    assert _rows(prefix_trie.prefix_trie(df)) == want
+    assert prefix_trie.prefix_trie(df.where("false")).collect() == []
+
+
+def test_subtree_totals_of_random_trees(spark):
+    rng = np.random.default_rng(11)
+    for shape in ("random", "chain", "star", "brush"):
+        n = 200
+        parent = {i: {"random": int(rng.integers(0, i)), "chain": i - 1, "star": 0, "brush": i - 1 if i % 2 else max(i - 2, 0)}[shape] for i in range(1, n)}
+        weight = rng.integers(0, 50, n)
+        total, leaves = weight.astype(int).tolist(), [int(i not in set(parent.values())) for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            total[parent[i]] += total[i]
+            leaves[parent[i]] += leaves[i]
+        df = spark.createDataFrame([(str(i).encode(), str(parent[i]).encode() if i else None, int(weight[i])) for i in range(n)], "node binary, parent binary, weight long")
+        got = {int(r["node"]): (r["w"], r["l"]) for r in prefix_trie.subtree_totals(df).collect()}
+        assert got == {i: (total[i], leaves[i]) for i in range(n)}, shape
