@@ -24,6 +24,8 @@ EPS_GROUP_STD = 1e-9
 EPS_WHITEN_VAR = 1e-8
 GROUP_ESTIMATORS = ("rloo", "reinforce_baseline", "group_norm", "dr_grpo")
 WHITENED_ESTIMATORS = ("reinforce", "reinforce_baseline")
+# fixed value: estimators that refuse a group of one sample
+PAIRED_ESTIMATORS = ("rloo", "reinforce_baseline", "group_norm")
 
 
 # ----------------------------------------------------------------- columns
@@ -109,14 +111,15 @@ def last_valid_token(tokens: DataFrame, sample_col: str = "sample_id", t_col: st
 def token_reward(tokens: DataFrame, samples: DataFrame, kl_coef: float,
                  kl_col: str = "kl", reward_col: str = "reward",
                  sample_col: str = "sample_id", clip: tuple[float, float] | None = None,
-                 out: str = "token_reward") -> DataFrame:
+                 out: str = "token_reward", carry: tuple[str, ...] = ()) -> DataFrame:
     """M3: scalar reward placed on the last valid token, plus ``-max(kl_coef,0)*kl``
-    at every position. ``samples`` is one row per sample, joined on the id."""
+    at every position. ``samples`` is one row per sample, joined on the id; its
+    ``carry`` columns come along."""
     coef = max(float(kl_coef), 0.0)
     r = F.col(reward_col)
     if clip:
         r = clip_reward(r, *clip)
-    s = samples.select(sample_col, r.alias("__r"))
+    s = samples.select(sample_col, r.alias("__r"), *carry)
     d = last_valid_token(tokens, sample_col).join(s, sample_col, "left")
     val = F.when(F.col("t") == F.col("last_t"), F.coalesce(F.col("__r"), F.lit(0.0))).otherwise(F.lit(0.0))
     return d.withColumn(out, val - F.lit(coef) * F.col(kl_col)).drop("__r")
@@ -125,15 +128,16 @@ def token_reward(tokens: DataFrame, samples: DataFrame, kl_coef: float,
 def discounted_returns(tokens: DataFrame, gamma: float = 1.0, reward_col: str = "token_reward",
                        mask_col: str = "action_mask", sample_col: str = "sample_id",
                        t_col: str = "t", out: str = "returns") -> DataFrame:
-    """R_t = m_t r_t + gamma R_{t+1}, a reverse scan per sample.
-
-    gamma == 1 is a suffix-sum window. Otherwise positions are cut into blocks
-    of B = floor(600 / |ln gamma|) tokens: inside a block the discounted
-    suffix sum is a window sum of gamma^(s - block start) * x_s rescaled by
-    gamma^-(t - block start) (no overflow or underflow within a block), and
-    the next block's first return carries over, discounted to t. Terms two
-    blocks away are scaled by gamma^B < e^-600 and vanish in double
-    precision. Every window is bounded by B, so a long sequence is O(length)."""
+    """R_t = m_t r_t + gamma R_{t+1}, a reverse scan per sample; positions that are
+    missing count as 0.
+
+    gamma == 1 is a suffix-sum window. Otherwise it is an affine scan over blocks
+    of B = floor(600 / |ln gamma|) positions: inside a block the discounted suffix sum
+    is a window sum of gamma^(s - block start) * x_s rescaled by gamma^-(t - block
+    start), which neither overflows nor underflows; a block as a whole is the map
+    R -> sum + gamma^B * R. The maps of a sample's later blocks, one small row each,
+    are composed from the last one on, over any number of blocks. All windows share
+    the shuffle by sample; tokens are read once and never joined."""
     x = F.col(mask_col).cast("double") * F.col(reward_col)
     if gamma == 1.0:
         w = Window.partitionBy(sample_col).orderBy(F.col(t_col).desc()).rowsBetween(
@@ -143,16 +147,26 @@ def discounted_returns(tokens: DataFrame, gamma: float = 1.0, reward_col: str =
         raise ValueError("gamma must be in (0, 1]")
     import math
     B = max(1, int(600.0 / abs(math.log(gamma))))
+    step = float(gamma) ** B
     g = F.lit(float(gamma))
     d = tokens.withColumn("__blk", F.floor(F.col(t_col) / B).cast("long"))
     rel = F.col(t_col) - F.col("__blk") * B
-    w = Window.partitionBy(sample_col, "__blk").orderBy(F.col(t_col).desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    d = d.withColumn("__loc", F.sum(F.pow(g, rel) * x).over(w) / F.pow(g, rel))
-    heads = d.filter(rel == 0).select(sample_col, (F.col("__blk") - 1).alias("__blk"), F.col("__loc").alias("__carry"))
-    d = d.join(heads, [sample_col, "__blk"], "left")
-    ret = F.col("__loc") + F.coalesce(F.col("__carry"), F.lit(0.0)) * F.pow(g, F.lit(B) - rel)
-    return d.withColumn(out, ret).drop("__blk", "__loc", "__carry")
+    d = d.withColumn("__x", F.pow(g, rel) * x)
+    block = Window.partitionBy(sample_col, "__blk")
+    after = block.orderBy(F.col(t_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__loc", F.sum("__x").over(after) / F.pow(g, rel)).withColumn("__sum", F.sum("__x").over(block))
+    d = d.withColumn("__maps", F.collect_set(F.struct(F.col("__blk").alias("b"), F.col("__sum").alias("s"))).over(Window.partitionBy(sample_col)))
+    later = F.reverse(F.array_sort(F.filter("__maps", lambda m: m["b"] > F.col("__blk"))))
+    start = F.struct(F.lit(0.0).alias("r"), F.lit(None).cast("long").alias("b"))
+
+    def compose(acc: Column, m: Column) -> Column:
+        gap = F.coalesce(acc["b"] - m["b"], F.lit(1)) - 1  # blocks without positions
+        return F.struct((m["s"] + acc["r"] * F.lit(step) * F.pow(F.lit(step), gap)).alias("r"), m["b"].alias("b"))
+
+    top = F.aggregate(later, start, compose)
+    carry = top["r"] * F.pow(F.lit(step), F.coalesce(top["b"] - F.col("__blk"), F.lit(1)) - 1)
+    ret = F.col("__loc") + carry * F.pow(g, F.lit(B) - rel)
+    return d.withColumn(out, ret).drop("__blk", "__x", "__loc", "__sum", "__maps")
 
 
 def masked_moments(tokens: DataFrame, value_col: str, mask_col: str = "action_mask") -> DataFrame:
@@ -251,10 +265,13 @@ def estimator_advantages(samples: DataFrame, tokens: DataFrame, estimator: str,
     -> returns (gamma forced to 1 for group estimators) -> distillation overlay
     M6 (``kd_coef`` > 0; reads ``kd_mask`` and ``skip`` of the samples and
     ``teacher_log_prob`` of the tokens, null where there is no teacher) -> whitening
-    (reinforce / reinforce_baseline only). ``kd`` is M5. ``cut_lineage``
+    (reinforce / reinforce_baseline only). ``kd`` is M5. Samples alone in their group
+    are refused by rloo, reinforce_baseline and group_norm: their tokens get an
+    ``error`` and null returns and advantages, and do not count in the whitening;
+    dr_grpo gives them advantage 0. ``cut_lineage``
     writes the returns to the shared checkpoint folder before whitening."""
     if estimator == "kd":
-        return kd_advantage(tokens, whiten_std=whiten_std)
+        return kd_advantage(tokens, whiten_std=whiten_std).withColumn("error", F.lit(None).cast("string"))
     if estimator not in ("reinforce",) + GROUP_ESTIMATORS:
         raise ValueError(f"unknown advantage estimator {estimator!r}")
     s = samples
@@ -262,13 +279,20 @@ def estimator_advantages(samples: DataFrame, tokens: DataFrame, estimator: str,
         max_len, buf, factor = overlong
         s = s.withColumn("reward", overlong_penalty(F.col("reward"), F.col("response_length"),
                                                     max_len, buf, factor))
-    s = group_shaping(s, estimator, out="shaped_reward").select("sample_id", "shaped_reward")
+    s = group_shaping(s, estimator, out="shaped_reward")
+    if estimator in PAIRED_ESTIMATORS:
+        alone = F.count(F.lit(1)).over(Window.partitionBy("group_id")) < 2
+        s = s.withColumn("error", F.when(alone, F.lit(f"{estimator} needs groups of two samples or more")))
+    else:
+        s = s.withColumn("error", F.lit(None).cast("string"))
+    s = s.select("sample_id", "shaped_reward", "error")
     # the KL term is not masked here; the returns scan masks rewards
     tk = tokens.withColumn("kl", approx_kl(F.col("log_prob"), F.col("base_log_prob"), kl_estimator))
-    tk = token_reward(tk, s, kl_coef, reward_col="shaped_reward", clip=clip)
+    tk = token_reward(tk, s, kl_coef, reward_col="shaped_reward", clip=clip, carry=("error",))
     g = 1.0 if estimator in GROUP_ESTIMATORS else gamma
     tk = discounted_returns(tk, g)
-    tk = tk.withColumn("advantages", F.col("returns"))
+    # tokens of refused samples have neither returns nor advantages
+    tk = tk.withColumn("returns", F.when(F.col("error").isNull(), F.col("returns"))).withColumn("advantages", F.col("returns"))
     if kd_coef > 0:
         flags = samples.select("sample_id", F.coalesce("kd_mask", F.lit(0.0)).alias("__kd"), F.coalesce("skip", F.lit(False)).alias("__skip"))
         kd = (F.col("teacher_log_prob") - F.col("log_prob")) * F.col("action_mask").cast("double")

@@ -285,10 +285,12 @@ def difference_sets(lengths: np.ndarray, k: int, equal_size: bool = False) -> np
 
 
 def difference_sets_column(lengths: Column, k: Column, equal_size: bool = False) -> Column:
-    """:func:`difference_sets` of a length array, per row (Arrow batches)."""
-    @F.pandas_udf("array<int>")
-    def sets(lens: pd.Series, ks: pd.Series) -> pd.Series:
-        return pd.Series([difference_sets(np.asarray(x, np.int64), int(n), equal_size).astype(np.int32) for x, n in zip(lens, ks, strict=True)])
+    """:func:`difference_sets` of a length array, per row (Arrow batches): the set of
+    each item, and the number of items in that set."""
+    @F.pandas_udf("part array<int>, size array<int>")
+    def sets(lens: pd.Series, ks: pd.Series) -> pd.DataFrame:
+        part = [difference_sets(np.asarray(x, np.int64), int(n), equal_size).astype(np.int32) for x, n in zip(lens, ks, strict=True)]
+        return pd.DataFrame({"part": part, "size": [np.bincount(p)[p].astype(np.int32) if len(p) else p for p in part]})
     return sets(lengths, k)
 
 
@@ -305,11 +307,12 @@ def step_lists(df: DataFrame, keys: list[str], seq_col: str, len_col: str, id_co
 
 
 def _planned(lists: DataFrame, keys: list[str], sets: Column, *carry: str) -> DataFrame:
-    """One row per item: keys, ``part``, ``id``, position, size of its set."""
+    """One row per item: keys, ``part``, ``id``, position, and (of sets that come with
+    it) the size of its set."""
     d = lists.withColumn("__p", sets)
-    item = F.arrays_zip(F.col("__p").alias("part"), F.col("ids").alias("id"),
-                        F.sequence(F.lit(0), F.size("ids") - 1).alias("pos"),
-                        F.transform("__p", lambda p: F.size(F.filter("__p", lambda q: q == p))).alias("size"))
+    sized = dict(d.dtypes)["__p"].startswith("struct")
+    columns = [F.col("__p.part").alias("part"), F.col("__p.size").alias("size")] if sized else [F.col("__p").alias("part")]
+    item = F.arrays_zip(*columns, F.col("ids").alias("id"), F.sequence(F.lit(0), F.size("ids") - 1).alias("pos"))
     return d.select(*keys, *carry, F.size("ids").alias("n"), F.inline(item))
 
 

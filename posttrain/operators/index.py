@@ -5,8 +5,11 @@ order. ``Window.orderBy`` without ``partitionBy`` would move every row into one
 task, and ``partitionBy(key)`` puts a hot key (say a third of all rows) in one
 task. Both are avoided here, in one plan without a job while it is built:
 
-1. a hash-chosen sample of the order key (with its tiebreak columns, so equal
-   values are split too) gives ``buckets - 1`` boundaries, as a scalar subquery;
+1. boundaries between buckets come from a sample of the order key (with its tiebreak
+   columns, so equal values are split too). Keys are chosen by a hash threshold, so
+   each task sends its share of the sample only. Up to ``COARSE`` buckets are cut at
+   once from a sample of bounded size; more are cut in two levels: each coarse bucket
+   draws its own boundaries from the keys that fall into it, in parallel;
 2. rows are numbered inside each ``(key, bucket)`` with ``row_number`` - a hot key
    is spread over all buckets;
 3. rows per ``(key, bucket)`` are counted (map-side combined), the counts are
@@ -18,16 +21,18 @@ keys like others."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posttrain.operators.sizing import input_bytes
 
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
 SAMPLES_PER_BUCKET = 24
+#: Buckets that are cut in one step, from one task's sample.
+COARSE = 1024
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -36,6 +41,32 @@ def default_buckets(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // TARGET_BUCKET_BYTES)
 
 
+def _sample(source: DataFrame, order: list[str], size: int) -> DataFrame:
+    """About ``size`` distinct order keys ``k``, by a threshold on their hash that
+    follows the row count; all of them where there are fewer rows."""
+    key = F.struct(*order)
+    n = source.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
+    share = F.least(F.lit(float(size)) / n, F.lit(1.0)) * float(1 << 30)
+    return source.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share).distinct()
+
+
+def _cuts(buckets: int) -> Column:
+    """Boundaries between ``buckets`` equal shares of the keys ``k`` of a group."""
+    keys = F.sort_array(F.collect_list("k"))
+    return F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)),
+                       lambda i: F.get(keys, F.floor(i * F.size(keys) / F.lit(buckets)).cast("int")))
+
+
+def _search(df: DataFrame, cuts: str, buckets: int, out: str) -> DataFrame:
+    """``out``: the number of ``cuts`` (ascending, at most ``buckets - 1``) up to the key
+    ``__at``; a binary search of plain comparisons, which stays in generated code."""
+    df = df.withColumn(out, F.lit(0))
+    for j in reversed(range((buckets - 1).bit_length())):
+        up = F.expr(f"if(get({cuts}, {out} + {(1 << j) - 1}) <= __at, {1 << j}, 0)")
+        df = df.withColumn(out, F.col(out) + up)
+    return df
+
+
 def range_bucket(df: DataFrame, order: str | Sequence[str], buckets: int | None = None,
                  bounds: DataFrame | None = None) -> DataFrame:
     """``df`` with ``__bucket``: a monotone bucket number of the order columns.
@@ -48,18 +79,21 @@ def range_bucket(df: DataFrame, order: str | Sequence[str], buckets: int | None
     buckets = buckets or default_buckets(source)
     if buckets <= 1:
         return df.withColumn("__bucket", F.lit(0))
-    size = buckets * SAMPLES_PER_BUCKET
-    sample = source.select(F.struct(*order).alias("k")).orderBy(F.xxhash64("k"), "k").limit(size)
-    cuts = sample.agg(F.sort_array(F.collect_list("k")).alias("s")).select(F.expr(
-        f"transform(sequence(1, {buckets - 1}), i -> get(s, cast(i * cast(size(s) as long) div {buckets} as int)))").alias("cuts"))
-    steps = max(1, (buckets - 1).bit_length())
-    # binary search: the number of cuts <= the row's key
-    found = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {buckets - 1}), (st, i) -> "
-             "if(st.lo >= st.hi, st, if(__cuts[cast((st.lo + st.hi) div 2 as int)] <= __at, "
-             "named_struct('lo', cast((st.lo + st.hi) div 2 + 1 as int), 'hi', st.hi), "
-             "named_struct('lo', st.lo, 'hi', cast((st.lo + st.hi) div 2 as int)))), st -> st.lo)")
-    return (df.withColumn("__cuts", cuts.scalar()).withColumn("__at", F.struct(*order))
-            .withColumn("__bucket", F.expr(found)).drop("__cuts", "__at"))
+    coarse = min(buckets, COARSE)
+    cuts = _sample(source, order, coarse * SAMPLES_PER_BUCKET).agg(_cuts(coarse).alias("cuts")).scalar()
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return _search(rows.withColumn("__cuts", cuts), "__cuts", coarse, "__bucket").drop("__cuts")
+
+    out = placed(df.withColumn("__at", F.struct(*order)))
+    if buckets > coarse:
+        fine = -(-buckets // coarse)
+        inner = (placed(_sample(source, order, buckets * SAMPLES_PER_BUCKET).withColumn("__at", F.col("k")))
+                 .groupBy("__bucket").agg(_cuts(fine).alias("__fine")))
+        # one key a bucket, as many as the table of offsets has rows
+        out = _search(out.join(F.broadcast(inner), "__bucket", "left"), "__fine", fine, "__part")
+        out = out.withColumn("__bucket", F.col("__bucket") * fine + F.col("__part")).drop("__fine", "__part")
+    return out.drop("__at")
 
 
 def _with_offsets(numbered: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,23 +132,31 @@ def keyed_row_number(df: DataFrame, keys: Sequence[str], order_col: str,
     return res.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop("__bucket", "__local", "__off")
 
 
-def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_col: str,
-                     tiebreak: Sequence[str] = (), out: str = "offset", buckets: int | None = None,
-                     bounds: DataFrame | None = None) -> DataFrame:
-    """Exclusive running sum of ``value_col`` per ``keys`` in ``order_col``
-    order (the offset of each row in a packed stream), with the same
-    bucketed plan as :func:`keyed_row_number`."""
+def keyed_prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, values: Mapping[str, str],
+                      tiebreak: Sequence[str] = (), buckets: int | None = None,
+                      bounds: DataFrame | None = None) -> DataFrame:
+    """Exclusive running sums per ``keys`` in ``order_col`` order, one for each
+    ``name: value column`` of ``values``, with the same bucketed plan as
+    :func:`keyed_row_number`."""
     keys, order = list(keys), [order_col, *tiebreak]
     with_b = range_bucket(df, order, buckets, bounds)
     w = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(value_col).over(w), F.lit(0))
-    numbered = with_b.withColumn("__local", local)
-    sums = with_b.groupBy(*keys, "__bucket").agg(F.sum(value_col).alias("__s"))
-    wk = Window.partitionBy(*keys).orderBy("__bucket") if keys else Window.orderBy("__bucket")
-    before = F.sum("__s").over(wk.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*keys, "__bucket", F.coalesce(before, F.lit(0)).alias("__off"))
+    names = list(values)
+    numbered = with_b.select("*", *(F.coalesce(F.sum(values[n]).over(w), F.lit(0)).alias(f"__local_{n}") for n in names))
+    sums = with_b.groupBy(*keys, "__bucket").agg(*(F.sum(values[n]).alias(f"__s_{n}") for n in names))
+    wk = (Window.partitionBy(*keys).orderBy("__bucket") if keys else Window.orderBy("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__s_{n}").over(wk), F.lit(0)).alias(f"__off_{n}") for n in names))
     res = _with_offsets(numbered, offsets, keys)
-    return res.withColumn(out, F.col("__off") + F.col("__local")).drop("__bucket", "__local", "__off")
+    for n in names:
+        res = res.withColumn(n, F.col(f"__off_{n}") + F.col(f"__local_{n}"))
+    return res.drop("__bucket", *(f"__local_{n}" for n in names), *(f"__off_{n}" for n in names))
+
+
+def keyed_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value_col: str,
+                     tiebreak: Sequence[str] = (), out: str = "offset", buckets: int | None = None,
+                     bounds: DataFrame | None = None) -> DataFrame:
+    """One of :func:`keyed_prefix_sums`: the offset of each row in a packed stream."""
+    return keyed_prefix_sums(df, keys, order_col, {out: value_col}, tiebreak, buckets, bounds)
 
 
 def global_index(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (),

@@ -144,6 +144,23 @@ def q_adaptive_kl_trace(spark, sf):
     return d.select("run", "step", rnd("kl_coef").alias("kl_coef"))
 
 
+@query("adaptive_kl_signed", """
+, s AS (SELECT user_id AS run, event_id AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+    1 + least(greatest(value / 100.0e0 / 0.3e0 - 1, -0.2e0), 0.2e0) * (CASE WHEN event_id % 31 = 0 THEN 10 ELSE 1 + event_id % 13 END) / 2.0e0 AS m FROM events),
+fold AS (
+  SELECT run, step, k, 0.05e0 * m AS v FROM s WHERE k = 1
+  UNION ALL SELECT s.run, s.step, s.k, fold.v * s.m FROM fold JOIN s ON s.run = fold.run AND s.k = fold.k + 1)
+SELECT run, step, CAST(sign(v) AS INTEGER) AS sign, CASE WHEN v = 0 THEN NULL ELSE round(ln(abs(v)), 6) END AS log_size FROM fold""", recursive=True)
+def q_adaptive_kl_signed(spark, sf):
+    """The trace of runs whose factors are below, at and above 0."""
+    e = table(spark, sf, "events")
+    n = F.when(F.col("event_id") % 31 == 0, 10).otherwise(1 + F.col("event_id") % 13)
+    steps = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 100.0).alias("kl"), n.alias("n_steps"))
+    d = st.adaptive_kl_trace(steps, 0.05, 0.3, 2)
+    size = F.when(F.col("kl_coef") != 0, rnd(F.log(F.abs("kl_coef"))))
+    return d.select("run", "step", F.signum("kl_coef").cast("int").alias("sign"), size.alias("log_size"))
+
+
 @query("fixed_kl", """
 SELECT DISTINCT user_id % 3 AS run, 0.05e0 AS kl_coef FROM events""")
 def q_fixed_kl(spark, sf):

@@ -174,45 +174,58 @@ def q_log_prob_mask(spark, sf):
     return t.select("sample_id", "t", (F.col("log_prob") * F.col("action_mask")).alias("masked_log_prob"))
 
 
-def _estimator_sql(shape: str, whiten: bool) -> str:
-    base = f""", s AS (SELECT sample_id, {shape} AS reward FROM fx_token_samples
+def _estimator_sql(shape: str, whiten: bool, paired: bool = False, gamma: float = 1.0, overlay: float = 0.0) -> str:
+    """The estimator family; ``paired`` ones refuse groups of one sample."""
+    refused = "count(*) OVER w < 2" if paired else "false"
+    returns = """sum(action_mask * token_reward) OVER (PARTITION BY sample_id ORDER BY t DESC
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    if gamma != 1.0:
+        returns = f"""(SELECT sum(power({gamma}e0, b.t - tr.t) * b.action_mask * b.token_reward) FROM tr b
+         WHERE b.sample_id = tr.sample_id AND b.t >= tr.t)"""
+    adv = "returns"
+    if overlay:
+        kd = "(teacher_log_prob - log_prob) * action_mask"
+        adv = f"""CASE WHEN NOT kd THEN returns WHEN skip THEN returns * (1 - 1.0e0) + 1.0e0 * {kd}
+          ELSE returns * (1 - {overlay}e0) + {overlay}e0 * {kd} END"""
+    base = f""", s AS (SELECT sample_id, {shape} AS reward, {refused} AS refused, skip, reward > 0 AS kd FROM fx_token_samples
              WINDOW w AS (PARTITION BY group_id)),
 tk AS (SELECT *, least(greatest(log_prob - base_log_prob, -10), 10) AS kl,
          coalesce(max(CASE WHEN action_mask = 1 THEN t END) OVER (PARTITION BY sample_id),
                   max(t) OVER (PARTITION BY sample_id)) AS last_t FROM fx_tokens),
-tr AS (SELECT tk.*, CASE WHEN t = last_t THEN coalesce(least(greatest(s.reward, -10.0e0), 10.0e0), 0.0e0)
-                         ELSE 0.0e0 END - {KL_COEF} * kl AS token_reward
+tr AS (SELECT tk.*, s.skip, s.kd, coalesce(s.refused, false) AS refused,
+         CASE WHEN t = last_t AND s.reward IS NOT NULL THEN least(greatest(s.reward, -10.0e0), 10.0e0)
+              ELSE 0.0e0 END - {KL_COEF} * kl AS token_reward
        FROM tk LEFT JOIN s USING (sample_id)),
-rt AS (SELECT *, sum(action_mask * token_reward) OVER (PARTITION BY sample_id ORDER BY t DESC
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS returns FROM tr)"""
+r0 AS (SELECT *, CASE WHEN NOT refused THEN {returns} END AS returns FROM tr),
+rt AS (SELECT *, {adv} AS adv FROM r0)"""
     if not whiten:
-        return base + "\nSELECT sample_id, t, round(returns, 6) AS advantages FROM rt"
+        return base + "\nSELECT sample_id, t, refused, round(adv, 6) AS advantages FROM rt"
     return base + """,
-mv AS (SELECT sum(returns * action_mask) / sum(action_mask) AS mean FROM rt),
-vv AS (SELECT sum(power(returns - mean, 2) * action_mask) / sum(action_mask) AS var FROM rt, mv)
-SELECT sample_id, t, round((returns - mean) / sqrt(greatest(var, 1e-8)), 6) AS advantages FROM rt, mv, vv"""
+mv AS (SELECT sum(adv * action_mask) / sum(action_mask) AS mean FROM rt WHERE adv IS NOT NULL),
+vv AS (SELECT sum(power(adv - mean, 2) * action_mask) / sum(action_mask) AS var FROM rt, mv WHERE adv IS NOT NULL)
+SELECT sample_id, t, refused, round((adv - mean) / sqrt(greatest(var, 1e-8)), 6) AS advantages FROM rt, mv, vv"""
 
 
-def _estimator(spark, sf, name):
-    d = adv.estimator_advantages(fx.fx_token_samples(spark, sf), fx.fx_tokens(spark, sf), name,
-                                 kl_coef=KL_COEF)
-    return d.select("sample_id", "t", rnd("advantages").alias("advantages"))
+def _estimator(spark, sf, name, **options):
+    samples = fx.fx_token_samples(spark, sf).withColumn("kd_mask", (F.col("reward") > 0).cast("double"))
+    d = adv.estimator_advantages(samples, fx.fx_tokens(spark, sf), name, kl_coef=KL_COEF, **options)
+    return d.select("sample_id", "t", F.col("error").isNotNull().alias("refused"), rnd("advantages").alias("advantages"))
 
 
-@query("estimator_dispatch", _estimator_sql("reward - avg(reward) OVER w", True), TS)
+@query("estimator_dispatch", _estimator_sql("reward - avg(reward) OVER w", True, paired=True), TS)
 def q_estimator_dispatch(spark, sf):
     """reinforce_baseline: group mean baseline, then whitening."""
     return _estimator(spark, sf, "reinforce_baseline")
 
 
 @query("estimator_rloo", _estimator_sql(
-    "reward - (sum(reward) OVER w - reward) / nullif(count(*) OVER w - 1, 0)", False), TS)
+    "reward - (sum(reward) OVER w - reward) / nullif(count(*) OVER w - 1, 0)", False, paired=True), TS)
 def q_estimator_rloo(spark, sf):
     return _estimator(spark, sf, "rloo")
 
 
 @query("estimator_group_norm", _estimator_sql(
-    "(reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-9)", False), TS)
+    "(reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-9)", False, paired=True), TS)
 def q_estimator_group_norm(spark, sf):
     return _estimator(spark, sf, "group_norm")
 
@@ -222,6 +235,32 @@ def q_estimator_reinforce(spark, sf):
     return _estimator(spark, sf, "reinforce")
 
 
+@query("estimator_reinforce_discounted", _estimator_sql("reward + 0.0e0 * count(*) OVER w", True, gamma=0.9), TS)
+def q_estimator_reinforce_discounted(spark, sf):
+    return _estimator(spark, sf, "reinforce", gamma=0.9)
+
+
+@query("estimator_dr_grpo", _estimator_sql("reward - avg(reward) OVER w", False), TS)
+def q_estimator_dr_grpo(spark, sf):
+    """Group mean baseline without whitening; a sample alone in its group gets 0 as reward."""
+    return _estimator(spark, sf, "dr_grpo", gamma=0.5)  # group estimators do not discount
+
+
+@query("estimator_overlay", _estimator_sql("reward - avg(reward) OVER w", True, paired=True, overlay=0.3), TS)
+def q_estimator_overlay(spark, sf):
+    """reinforce_baseline with the distillation overlay before whitening."""
+    return _estimator(spark, sf, "reinforce_baseline", kd_coef=0.3)
+
+
+@query("estimator_kd", """
+, x AS (SELECT sample_id, t, action_mask, (teacher_log_prob - log_prob) * action_mask AS v FROM fx_tokens),
+mv AS (SELECT sum(v * action_mask) / sum(action_mask) AS mean FROM x),
+vv AS (SELECT sum(power(v - mean, 2) * action_mask) / sum(action_mask) AS var FROM x, mv)
+SELECT sample_id, t, false AS refused, round((v - mean) / sqrt(greatest(var, 1e-8)), 6) AS advantages FROM x, mv, vv""", TS)
+def q_estimator_kd(spark, sf):
+    return _estimator(spark, sf, "kd")
+
+
 @query("hybrid_blend", """
 , x AS (SELECT sample_id, t, action_mask, log_prob - old_log_prob AS adv,
           (teacher_log_prob - log_prob) * action_mask AS kd FROM fx_tokens)

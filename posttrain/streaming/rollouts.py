@@ -133,15 +133,19 @@ def adaptive_kl_batch(steps: DataFrame, init: float, target: float, horizon: int
 
 def adaptive_kl_trace(steps: DataFrame, init: float, target: float, horizon: int, run_col: str = "run",
                       step_col: str = "step", kl_col: str = "kl", n_col: str = "n_steps") -> DataFrame:
-    """R4 per step: the coefficient after each step, init * exp(running sum
-    of log factors) (positive factors, the usual n < 5 * horizon case). The
-    running sum is the bucketed keyed prefix sum, so a long run is not one
-    task."""
-    from posttrain.operators.index import keyed_prefix_sum
+    """R4 per step: the coefficient after each step. A product of factors of any
+    sign is an associative scan of (log of its size, number of negative factors, number
+    of zeros): three running sums in one bucketed plan, so a long run is not one task.
+    From a factor of 0 on the coefficient is 0."""
+    from posttrain.operators.index import keyed_prefix_sums
     m = kl_multiplier(F.col(kl_col), F.col(n_col), target, horizon)
-    d = steps.withColumn("__lm", F.log(m))
-    d = keyed_prefix_sum(d, [run_col], step_col, "__lm", out="__pre", bounds=steps.select(step_col))
-    return d.withColumn("kl_coef", F.lit(float(init)) * F.exp(F.col("__pre") + F.col("__lm"))).drop("__lm", "__pre")
+    d = (steps.withColumn("__m", m).withColumn("__lm", F.when(F.col("__m") != 0, F.log(F.abs("__m"))).otherwise(0.0))
+         .withColumn("__neg", (F.col("__m") < 0).cast("long")).withColumn("__zero", (F.col("__m") == 0).cast("long")))
+    d = keyed_prefix_sums(d, [run_col], step_col, {"__plm": "__lm", "__pneg": "__neg", "__pzero": "__zero"}, bounds=steps.select(step_col))
+    size = F.lit(float(init)) * F.exp(F.col("__plm") + F.col("__lm"))
+    sign = F.when((F.col("__pneg") + F.col("__neg")) % 2 == 1, -1.0).otherwise(1.0)
+    coef = F.when(F.col("__pzero") + F.col("__zero") > 0, 0.0).otherwise(sign * size)
+    return d.withColumn("kl_coef", coef).drop("__m", "__lm", "__neg", "__zero", "__plm", "__pneg", "__pzero")
 
 
 _R4_STATE = "value double"
