@@ -11,6 +11,7 @@ is a pandas UDF over Arrow batches of steps.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,11 +195,9 @@ def collate_info(df: DataFrame, batch_col: str, cols: list[str], seq_col: str =
     return per.select(batch_col, *[field(c) for c in cols])
 
 
-def merge_batches(frames: list[DataFrame], pad_cols: dict[str, object], batch_col: str = "batch_id",
-                  map_col: str | None = None) -> DataFrame:
-    """Concatenate batches (columns unioned, missing ones null), right
-    pad array columns to the merged batch's longest. Info maps are not merged:
-    ``map_col`` has no effect yet."""
+def merge_batches(frames: list[DataFrame], pad_cols: dict[str, object], batch_col: str = "batch_id") -> DataFrame:
+    """A19 over rows: concatenate batches (columns unioned, missing ones null), right
+    pad array columns to the merged batch's longest, each with its own value."""
     from posttrain.operators.sft import pad_sequences
     out = frames[0]
     for f in frames[1:]:
@@ -206,6 +205,57 @@ def merge_batches(frames: list[DataFrame], pad_cols: dict[str, object], batch_co
     return pad_sequences(out, pad_cols, batch_col)
 
 
+def merge_experiences(batches: DataFrame, into_col: str, order_col: str, pad: dict[str, object] | None = None,
+                      lists: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
+    """A19 over whole batches: one row per ``into_col`` from the batches (rows) that go
+    into it, in ``order_col`` order.
+
+    ``pad``: columns of sequences (arrays of arrays) with the value each one is padded
+    with on the right, to the longest sequence of the merged batch. ``lists``: appended.
+    ``maps`` (of lists): the union of the keys; lists of a key that several batches have
+    are appended in batch order, so nothing is lost by a clash. A null column of a batch
+    adds nothing; a merged map has its keys in order; batches with equal orders are taken
+    by their content. A merged batch is bounded by
+    configuration; the work is one grouping."""
+    pad = pad or {}
+    kinds = {c: batches.schema[c].dataType for c in pad}
+    # maps have no order, their entries do
+    fields = [*pad, *lists, *(F.map_entries(c).alias(c) for c in maps)]
+    per = batches.groupBy(into_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("__o"), F.struct(*fields).alias("b")))).alias("__a"))
+
+    def column(c: str) -> Column:
+        return F.filter(F.transform("__a", lambda e: e["b"][c]), lambda x: x.isNotNull())
+
+    def padded(c: str, value: object) -> Column:
+        rows = F.flatten(column(c))
+        width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+        return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(value), width - F.size(r)))).cast(kinds[c]).alias(c)
+
+    def merged(c: str) -> Column:
+        entries = F.flatten(column(c))
+        keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+        full = F.filter(entries, lambda e: e["value"].isNotNull())
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.flatten(F.transform(F.filter(full, lambda e: e["key"] == k), lambda e: e["value"])))).alias(c)
+
+    out = [*(padded(c, v) for c, v in pad.items()), *(F.flatten(column(c)).alias(c) for c in lists), *(merged(c) for c in maps)]
+    return per.select(into_col, *out)
+
+
+def row_explode(batches: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """P25: batch arrays to rows: ``keys``, ``pos`` and one value of each of ``cols``. A
+    batch whose arrays differ in length is quarantined: one row with null values and
+    an ``error`` that names the lengths. A null array has length 0; an empty batch has
+    no rows."""
+    size = {c: F.coalesce(F.size(c), F.lit(0)) for c in cols}
+    same = reduce(lambda a, b: a & b, (size[c] == size[cols[0]] for c in cols))
+    told = F.concat_ws(", ", *(F.concat(F.lit(f"{c}: "), size[c].cast("string")) for c in cols))
+    none = F.struct(*(F.element_at(F.col(c), -1).alias(c) for c in cols))
+    item = F.arrays_zip(*(F.coalesce(F.col(c), F.array().cast(batches.schema[c].dataType)).alias(c) for c in cols))
+    refused = F.array(F.when(F.lit(False), none))
+    d = batches.select(*keys, F.when(~same, told).alias("error"), F.posexplode(F.when(same, item).otherwise(refused)).alias("pos", "__e"))
+    return d.select(*keys, F.when(F.col("error").isNull(), F.col("pos")).alias("pos"), *(F.col("__e")[c].alias(c) for c in cols), "error")
+
+
 # ------------------------------------------------------ sequential planners
 
 def first_fit_expr(lengths: Column, budget: int) -> Column:

@@ -10,7 +10,6 @@ md5-based (deterministic across engines), not a particular library's RNG.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,50 +26,67 @@ def hash_uniform(seed: int, t: Column) -> Column:
     return F.conv(F.substring(h, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** HEX_DIGITS))
 
 
-def concat_datasets(frames: Sequence[DataFrame], order_col: str) -> DataFrame:
-    """Union by name with ``(source_idx, row_idx)`` as the stable order."""
+def concat_datasets(frames: Sequence[DataFrame], order_col: str, tiebreak: Sequence[str] = (), max_count: int | None = None,
+                    overall: int | None = None) -> DataFrame:
+    """U1 with S9: union by name with ``(source_idx, row_idx)`` as the stable order; the
+    first ``max_count`` rows of each frame, then the first ``overall`` of all."""
     out = None
     for i, f in enumerate(frames):
-        g = keyed_row_number(f.withColumn("source_idx", F.lit(i)), [], order_col, out="row_idx")
+        g = keyed_row_number(f.withColumn("source_idx", F.lit(i)), [], order_col, tiebreak=tiebreak, out="row_idx")
+        g = g if max_count is None else g.where(F.col("row_idx") < max_count)
         out = g if out is None else out.unionByName(g, allowMissingColumns=True)
-    return out
+    return out if overall is None else out.orderBy("source_idx", "row_idx").limit(overall)
+
+
+#: Draws that one task numbers at once.
+DRAW_BLOCK = 1 << 16
 
 
 def interleave(spark: SparkSession, sources: DataFrame, probs: Sequence[float], seed: int = 42,
-               source_col: str = "source_idx", order_col: str = "id", slack: float = 2.0) -> DataFrame:
+               source_col: str = "source_idx", order_col: str = "id") -> DataFrame:
     """Weighted interleave with recycling until all sources are exhausted.
 
     ``sources`` holds every source's rows tagged by ``source_col`` (0..k-1);
     rows of a source are taken in ``order_col`` order. Output: the source
-    rows in draw order with ``draw`` (the position in the interleaved stream)."""
-    if abs(sum(probs) - 1.0) > 1e-6:
-        raise ValueError("probabilities must sum to 1")
+    rows in draw order with ``draw`` (the position in the interleaved stream).
+
+    No job runs while the plan is built. The number of draws comes from the counts of
+    the sources: the draws until a source of n rows and probability p is exhausted
+    lie twelve standard deviations and 300 / p draws above their mean with a probability
+    below 1e-30; a stream that needs more, or a source without rows, fails the query.
+    A row that is drawn again and again is listed once for each of its turns, so each
+    draw meets one row of its own and a small source is no hot key."""
+    if abs(sum(probs) - 1.0) > 1e-6 or min(probs) <= 0:
+        raise ValueError("probabilities must be above 0 and sum to 1")
     k = len(probs)
     cum = [sum(probs[: i + 1]) for i in range(k)]
-    counts = {r[0]: r[1] for r in sources.groupBy(source_col).count().collect()}  # k small rows
-    n = [int(counts.get(i, 0)) for i in range(k)]
-    if any(x == 0 for x in n):
-        raise ValueError("every source needs at least one row")
+    counts = sources.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(source_col).cast("int").alias("s"), "n"))).alias("m")).scalar()
+
+    def size(i: Column) -> Column:
+        return F.coalesce(F.try_element_at(counts, i), F.raise_error(F.lit("every source needs at least one row")).cast("long"))
+
+    need = [F.ceil((size(F.lit(i)) + 12 * F.sqrt(size(F.lit(i)) * (1 - p)) + 300) / p) for i, p in enumerate(probs)]
+    total = F.greatest(*need) if k > 1 else need[0]
+    blocks = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(total / DRAW_BLOCK).cast("long"))).alias("__block"))
+    first = F.col("__block") * DRAW_BLOCK
+    draws = blocks.repartition("__block").select(F.explode(F.sequence(first, first + DRAW_BLOCK - 1)).alias("draw"))
+    u = hash_uniform(seed, F.col("draw"))
+    pick = F.lit(k - 1)
+    for i in range(k - 2, -1, -1):
+        pick = F.when(u < F.lit(cum[i]), F.lit(i)).otherwise(pick)
+    draws = draws.withColumn(source_col, pick.cast("int"))
+    # k-th draw of each source; a popular source is spread by the keyed row number
+    draws = keyed_row_number(draws, [source_col], "draw", out="__k", buckets=spark.sparkContext.defaultParallelism)
+    n = size(F.col(source_col))
+    last = draws.where(F.col("__k") == n - 1).agg(F.when(F.count(F.lit(1)) == k, F.max("draw")).alias("end"))
+    end = F.coalesce(last.scalar(), F.raise_error(F.lit("the draws ended before every source was exhausted")).cast("long"))
+    drawn = draws.where(F.col("draw") <= end)
+    turns = drawn.groupBy(source_col).agg(F.max("__k").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(source_col, "n")))).scalar()
     rows = keyed_row_number(sources, [source_col], order_col, out="__row")
-    t_max = int(math.ceil(max(n_i / p for n_i, p in zip(n, probs)) * slack)) + 64
-    while True:
-        draws = spark.range(t_max).withColumnRenamed("id", "draw")
-        u = hash_uniform(seed, F.col("draw"))
-        pick = F.lit(k - 1)
-        for i in range(k - 2, -1, -1):
-            pick = F.when(u < F.lit(cum[i]), F.lit(i)).otherwise(pick)
-        draws = draws.withColumn(source_col, pick.cast("int"))
-        # k-th draw of each source; a popular source is spread by the keyed row number
-        draws = keyed_row_number(draws, [source_col], "draw", out="__k")
-        n_col = F.element_at(F.array(*[F.lit(x) for x in n]), F.col(source_col) + 1)
-        last = draws.filter(F.col("__k") == n_col - 1).groupBy().agg(
-            F.max("draw").alias("__end"), F.count(F.lit(1)).alias("__srcs"))
-        end, got = last.collect()[0]  # one small row: the stream's end and sources exhausted
-        if got == k:
-            break
-        t_max *= 2
-    d = draws.filter(F.col("draw") <= end).withColumn("__row", F.col("__k") % n_col)
-    return d.join(rows, [source_col, "__row"]).drop("__k", "__row")
+    most = F.try_element_at(turns, F.col(source_col).cast("int"))
+    rows = rows.withColumn("__k", F.explode(F.when(most >= F.col("__row"), F.sequence(F.col("__row"), most, size(F.col(source_col).cast("int"))))))
+    return drawn.withColumn(source_col, F.col(source_col).cast(sources.schema[source_col].dataType)).join(rows, [source_col, "__k"]).drop("__k", "__row")
 
 
 def shared_keys(keys_per_chunk: DataFrame, chunk_col: str, key_col: str) -> DataFrame:

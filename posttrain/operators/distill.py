@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posttrain.functions.text import guide_text, pystrip
+
+
 def zero_vec() -> Column:
     """The one-element zero vector used for rows without a teacher result."""
     return F.array(F.lit(0.0))
@@ -66,7 +69,7 @@ def guided_splice(query_ids: Column, p_len: Column, guide_ids: Column, suffix_id
     end = F.coalesce(suffix, F.lit(""))
     again = encode(F.concat(F.substring(prompt, F.lit(1), F.length(prompt) - F.length(end)), guide, end))
     n = F.size(again)
-    may = (p_len > 0) & F.endswith(prompt, end) & (F.trim(guide) != "") & (n > p_len)
+    may = (p_len > 0) & F.endswith(prompt, end) & (pystrip(guide) != "") & (n > p_len)
     return F.coalesce(out, F.when(may, F.struct(
         F.concat(again, resp).alias("ids"), n.alias("guided_len"), (n - p_len).alias("delta"), F.size(query_ids).alias("orig_len"))))
 
@@ -108,6 +111,46 @@ def align_to_mask(teacher: Column, mask_len: Column) -> Column:
     return pad_or_cut(teacher, mask_len)
 
 
+def guided_batch(batch: DataFrame, teacher: Callable[[Column], Column], encode: Callable[[Column], Column], chat_suffix: str,
+                 guide_prefix: str = "", guide_suffix: str = "", enabled: Column | None = None, query_col: str = "query_ids",
+                 prompt_col: str = "prompt", label_col: str = "label", hint_col: str | None = None,
+                 mask_len_col: str | None = None) -> DataFrame:
+    """Teacher values for a whole batch, one aligned array a row.
+
+    Where ``enabled`` (all rows by default) the prompt's end is found (D1), the guide
+    (prefix, label, suffix; T6) is put in before the chat suffix, by ids or by encoding
+    the text again (D2), and ``teacher`` (ids to log-probs; null for a failed call) is
+    asked about the guided ids; its values count if they cover the response (D3) and
+    are put back in the places of the original ids (D4). Other rows, and rows whose
+    guided values do not count, take the teacher's values for the original ids if there
+    is one for each id after the first (D3). What is left gets the one-element zero
+    vector. With ``mask_len_col`` the array is cut or padded to that length (D5).
+
+    Adds ``teacher_log_probs, guide_applied, guide_fallback, kd_valid``. Everything is
+    one projection: no row meets another."""
+    ids, prompt = F.col(query_col), F.col(prompt_col)
+    suffix = F.lit(chat_suffix)
+    guide = guide_text(F.col(label_col), guide_prefix, guide_suffix)
+    p_len = prompt_boundary(ids, encode(prompt), F.col(hint_col) if hint_col else None)
+    d = batch.withColumn("__p", p_len).withColumn("__guide", F.when(F.lit(True) if enabled is None else enabled, guide))
+    built = guided_splice(ids, F.col("__p"), encode(F.col("__guide")), encode(suffix), prompt, F.col("__guide"), suffix, encode)
+    d = d.withColumn("__in", F.when(F.col("__guide").isNotNull() & F.col("__p").isNotNull(), built))
+    g = F.col("__in")
+    d = d.withColumn("__lps", F.when(g.isNotNull(), teacher(g["ids"])))
+    # a failed call has no values, which is not the same as values for an empty response
+    good = F.col("__lps").isNotNull() & F.coalesce(validate_guided(F.col("__lps"), g["guided_len"], g["delta"], g["orig_len"]), F.lit(False))
+    d = d.withColumn("__good", good).withColumn("__plain", F.when(~F.col("__good"), teacher(ids)))
+    plain_good = F.col("__plain").isNotNull() & F.coalesce(validate_plain(F.col("__plain"), F.size(ids)), F.lit(False))
+    value = (F.when(F.col("__good"), recover_alignment(F.col("__lps"), g["guided_len"], g["delta"], g["orig_len"]))
+             .when(plain_good, F.col("__plain")))
+    valid = value.isNotNull()
+    value = F.when(valid & (F.size(value) > 0), value).otherwise(zero_vec())
+    if mask_len_col:
+        value = align_to_mask(value, F.col(mask_len_col))
+    return d.select(*batch.columns, value.alias("teacher_log_probs"), F.col("__good").cast("double").alias("guide_applied"),
+                    (g.isNotNull() & ~F.col("__good")).cast("double").alias("guide_fallback"), valid.cast("double").alias("kd_valid"))
+
+
 def kd_scatter(batch: DataFrame, results: DataFrame, key: str = "sample_id",
                value_col: str = "teacher_log_probs") -> DataFrame:
     """Teacher results for the KD subset back onto the whole batch; rows
@@ -143,20 +186,19 @@ def kd_diagnostics(tokens: DataFrame, sample_col: str = "sample_id", mask_col: s
     m = F.col(mask_col).cast("double")
     a = (F.col(teacher_col) - F.col(student_col)) * m
     fin = F.when(is_finite(F.col(teacher_col)) & is_finite(F.col(student_col)), 1.0).otherwise(0.0)
+    chosen = F.when(F.col(mask_col) == 1, F.col(teacher_col) - F.col(student_col))
     per = tokens.groupBy(sample_col).agg(
         F.sum(m).alias("__sm"), F.sum(F.col(teacher_col) * m).alias("__st"),
         F.sum(F.col(student_col) * m).alias("__ss"), F.sum(F.abs(a) * m).alias("__sa"),
-        F.sum(a * m).alias("__sam"), F.sum(a * a * m).alias("__saa"), F.sum(fin * m).alias("__sf"))
+        F.var_pop(chosen).alias("__var"), F.sum(fin * m).alias("__sf"))
     cnt = F.greatest(F.col("__sm"), F.lit(1.0))
-    mean = F.col("__sam") / cnt
-    # sum m (a - mean)^2 = saa - 2 mean sam + mean^2 sm
-    var = (F.col("__saa") - F.lit(2.0) * mean * F.col("__sam") + mean * mean * F.col("__sm")) / cnt
+    var = F.coalesce(F.col("__var"), F.lit(0.0))  # the variance that Spark merges without cancelling
     out = per.select(
         sample_col,
         (F.col("__st") / F.nullif(F.col("__sm"), F.lit(0.0))).alias("kd_teacher_logp_mean"),
         (F.col("__ss") / F.nullif(F.col("__sm"), F.lit(0.0))).alias("kd_student_logp_mean"),
         (F.col("__sa") / F.nullif(F.col("__sm"), F.lit(0.0))).alias("kd_adv_abs_mean"),
-        F.sqrt(F.greatest(var, F.lit(0.0)) + F.lit(1e-8)).alias("kd_adv_std"),
+        F.sqrt(var + F.lit(1e-8)).alias("kd_adv_std"),
         (F.col("__sf") / cnt).alias("kd_finite_ratio"),
         ((F.col("__sf") / cnt) < 1.0).alias("non_finite_warning"))
     if coverage is None:

@@ -280,16 +280,44 @@ def q_strip_padding(spark, sf):
 
 
 @query("row_explode", """
-, a AS (SELECT conv_id, list(turn ORDER BY turn) AS turns, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)
-SELECT conv_id, unnest(turns) AS turn, unnest(roles) AS role FROM a""")
+, a AS (SELECT conv_id, list(turn ORDER BY turn) AS turns, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id),
+b AS (SELECT conv_id, turns, CASE WHEN conv_id % 7 = 0 THEN roles[2:] ELSE roles END AS roles FROM a)
+SELECT conv_id, CAST(unnest(range(len(turns))) AS INTEGER) AS pos, unnest(turns) AS turn, unnest(roles) AS role, NULL AS error FROM b WHERE len(turns) = len(roles)
+UNION ALL SELECT conv_id, NULL, NULL, NULL, 'turn: ' || len(turns) || ', role: ' || len(roles) FROM b WHERE len(turns) <> len(roles)""")
 def q_row_explode(spark, sf):
-    """P25: batch arrays -> rows (arrays_zip + inline), equal sizes required."""
+    """P25: batch arrays to rows; every seventh conversation lacks a role and is quarantined."""
     c = table(spark, sf, "conversations")
     a = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
-    a = a.select("conv_id", F.transform("x", lambda e: e["turn"]).alias("turn"),
-                 F.transform("x", lambda e: e["role"]).alias("role"))
-    ok = F.size("turn") == F.size("role")
-    return a.filter(ok).select("conv_id", F.inline(F.arrays_zip("turn", "role")))
+    roles = F.transform("x", lambda e: e["role"])
+    short = F.slice(roles, 2, F.greatest(F.size("x") - 1, F.lit(0)))
+    a = a.select("conv_id", F.transform("x", lambda e: e["turn"]).alias("turn"), F.when(F.col("conv_id") % 7 == 0, short).otherwise(roles).alias("role"))
+    return bt.row_explode(a, ["turn", "role"], ["conv_id"])
+
+
+@query("merge_experiences", f"""
+, t AS (SELECT conv_id, turn, role, {_WL} AS ids, length(text) AS n FROM conversations),
+w AS (SELECT conv_id // 4 AS batch_id, max(len(ids)) AS L FROM t GROUP BY conv_id // 4),
+p AS (SELECT conv_id // 4 AS batch_id, conv_id, turn, role, n,
+    array_to_string(list_concat(ids, list_transform(range(L - len(ids)), lambda i: 77)), ',') AS seq,
+    array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(L - len(ids)), lambda i: 0)), ',') AS mask
+  FROM t JOIN w ON w.batch_id = t.conv_id // 4),
+k AS (SELECT batch_id, role, role || '=' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY conv_id, turn) AS kv FROM p GROUP BY batch_id, role),
+m AS (SELECT batch_id, string_agg(kv, ';' ORDER BY role) AS info FROM k GROUP BY batch_id)
+SELECT batch_id, string_agg(seq, ';' ORDER BY conv_id, turn) AS sequences, string_agg(mask, ';' ORDER BY conv_id, turn) AS masks,
+  string_agg(role, ',' ORDER BY conv_id, turn) AS roles, any_value(info) AS info FROM p JOIN m USING (batch_id) GROUP BY batch_id""")
+def q_merge_experiences(spark, sf):
+    """Conversations as small batches, four merged to one: sequences padded with
+    their own value, roles appended, info lists merged by key."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", _wl().alias("ids"), F.length("text").alias("n"))
+    info = (t.groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("x"))
+            .groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", F.transform("x", lambda e: e["n"])))).alias("info")))
+    b = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "ids"))).alias("x")).join(info, "conv_id")
+    b = b.select("conv_id", (F.col("conv_id") / 4).cast("long").alias("batch_id"), F.transform("x", lambda e: e["ids"]).alias("sequences"),
+                 F.transform("x", lambda e: F.transform(e["ids"], lambda v: F.lit(1))).alias("masks"), F.transform("x", lambda e: e["role"]).alias("roles"), "info")
+    m = bt.merge_experiences(b, "batch_id", "conv_id", pad={"sequences": 77, "masks": 0}, lists=("roles",), maps=("info",))
+    text = F.transform(F.map_entries("info"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"].cast("array<string>"), ",")))
+    return m.select("batch_id", *(F.array_join(F.transform(c, lambda r: F.array_join(r.cast("array<string>"), ",")), ";").alias(c) for c in ("sequences", "masks")),
+                    F.array_join("roles", ",").alias("roles"), F.array_join(text, ";").alias("info"))
 
 
 @query("exists_not_null", """

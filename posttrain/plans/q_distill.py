@@ -137,28 +137,62 @@ def q_align_to_mask(spark, sf):
                     rnd(F.aggregate("al", F.lit(0.0), lambda x, v: x + v)).alias("total"))
 
 
-@query("guided_batch", _TEACHER_SQL + """,
-v AS (SELECT *, (guided_len - delta >= 0 AND orig_len >= guided_len - delta
-   AND greatest(len(lps) - greatest(guided_len - 1, 0), 0) = orig_len - (guided_len - delta)) AS ok FROM te),
-allrows AS (SELECT conv_id, turn, role, len(query_ids) AS orig_len FROM pb)
-SELECT a.conv_id, a.turn, CASE WHEN v.ok THEN 1.0e0 ELSE 0.0e0 END AS guide_applied,
-  CASE WHEN v.ok IS NOT NULL AND NOT v.ok THEN 1.0e0 ELSE 0.0e0 END AS guide_fallback,
-  CASE WHEN coalesce(v.ok, false) OR a.role <> 'system' THEN 1.0e0 ELSE 0.0e0 END AS valid
-FROM allrows a LEFT JOIN v ON a.conv_id = v.conv_id AND a.turn = v.turn""")
+def _enc(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '\\w+'), lambda x: CAST(length(x) AS INT))"
+
+
+def _ask(ids: str) -> str:
+    """The logged teacher: fails on every 11th length, is one value short on every 5th."""
+    return (f"CASE WHEN len({ids}) % 11 = 0 THEN NULL WHEN len({ids}) % 5 = 0 THEN list_transform({ids}[2:len({ids}) - 1], lambda x: -x / 10.0e0) "
+            f"ELSE list_transform({ids}[2:], lambda x: -x / 10.0e0) END")
+
+
+def _zeros(n: str) -> str:
+    return f"list_transform(range(greatest({n}, 0)), lambda i: 0.0e0)"
+
+
+@query("guided_batch", f"""
+, a AS (SELECT conv_id, turn, role, text, {_enc("text")} AS ids, CASE WHEN turn % 3 = 2 THEN 3 ELSE 0 END AS hint,
+    text || CASE WHEN turn % 3 = 1 THEN ' eightlet' ELSE ' ninechars ninechars' END AS prompt,
+    CASE WHEN turn % 7 = 6 THEN ' ' ELSE ' hint ' || role || ' ' END AS guide FROM conversations),
+b AS (SELECT *, list_concat(list_concat(ids, [9, 9]), list_reverse(ids)) AS q, {_enc("prompt")} AS pi, {_enc("guide")} AS gi FROM a),
+c AS (SELECT *, CASE WHEN hint > 0 AND hint < len(q) THEN hint
+    ELSE nullif(coalesce(list_position(list_transform(range(1, least(len(q), len(pi)) + 1), lambda i: q[i] = pi[i]), false) - 1, least(len(q), len(pi))), 0) END AS p FROM b),
+d AS (SELECT *, CASE WHEN role = 'assistant' OR trim(guide) = '' OR p IS NULL THEN NULL
+    WHEN p >= 2 AND q[p - 1:p] = [9, 9] THEN list_concat(list_concat(q[1:p - 2], gi), [9, 9])
+    WHEN ends_with(prompt, ' ninechars ninechars') THEN {_enc("text || guide || ' ninechars ninechars'")} END AS gp FROM c),
+e AS (SELECT *, CASE WHEN len(gp) - p > 0 THEN list_concat(gp, q[p + 1:]) END AS input FROM d),
+f AS (SELECT *, len(q) AS n, CASE WHEN input IS NOT NULL THEN {_ask("input")} END AS lps, {_ask("q")} AS plain FROM e),
+g AS (SELECT *, coalesce(lps IS NOT NULL AND n >= p AND greatest(len(lps) - (len(gp) - 1), 0) = n - p, false) AS good,
+    coalesce(len(plain) = greatest(n - 1, 0), false) AS plain_good FROM f),
+h AS (SELECT *, CASE WHEN good THEN list_concat(list_concat({_zeros("p - 1")}, lps[len(gp):]), {_zeros("n - 1 - (p - 1) - (len(lps) - len(gp) + 1)")})[1:n - 1]
+    WHEN plain_good THEN plain END AS v0 FROM g),
+i AS (SELECT *, CASE WHEN len(v0) > 0 THEN v0 ELSE [0.0e0] END AS v, n - 2 + turn % 4 AS m FROM h)
+SELECT conv_id, turn, array_to_string(list_transform(CASE WHEN m <= 0 THEN [] ELSE list_concat(v, {_zeros("m - len(v)")})[1:m] END,
+    lambda x: CAST(round(x * 10) AS INT)), ',') AS teacher, CASE WHEN good THEN 1.0e0 ELSE 0.0e0 END AS guide_applied,
+  CASE WHEN input IS NOT NULL AND NOT good THEN 1.0e0 ELSE 0.0e0 END AS guide_fallback,
+  CASE WHEN v0 IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END AS kd_valid FROM i""")
 def q_guided_batch(spark, sf):
-    """Guided results where the guided path validates, else the plain
-    teacher result (valid for non-system turns here), flags per row."""
-    from posttrain.operators.routing import guided_fallback
-    allrows = _ids(spark, sf).select("conv_id", "turn", "role", F.size("query_ids").alias("orig_len"))
-    te = _teacher(spark, sf)
-    guided = te.select("conv_id", "turn", F.col("lps").alias("teacher_log_probs"),
-                       ds.validate_guided(F.col("lps"), F.col("guided_len"), F.col("delta"), F.col("orig_len")).alias("valid"))
-    plain = allrows.select("conv_id", "turn", F.array().cast("array<double>").alias("teacher_log_probs"),
-                           (F.col("role") != "system").alias("valid"))
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    b = allrows.withColumn("k", key)
-    d = guided_fallback(b, guided.withColumn("k", key), plain.withColumn("k", key), key="k")
-    return d.select("conv_id", "turn", "guide_applied", "guide_fallback", "valid")
+    """D6 over all turns: assistants are not guided, every seventh guide is blank, the
+    prompt ends with the suffix, with something else, or at a hint (encoded again)."""
+    def encode(text):
+        return F.transform(F.regexp_extract_all(text, F.lit(r"\w+"), 0), lambda x: F.length(x).cast("int"))
+
+    def teacher(ids):
+        n = F.size(ids)
+        full = F.transform(F.slice(ids, 2, F.greatest(n - F.when(n % 5 == 0, 2).otherwise(1), F.lit(0))), lambda x: -x / F.lit(10.0))
+        return F.when(n % 11 != 0, full)
+
+    c = table(spark, sf, "conversations").withColumn("ids", encode(F.col("text")))
+    d = c.select("conv_id", "turn", "role", F.concat("ids", F.array(F.lit(9), F.lit(9)), F.reverse("ids")).alias("query_ids"),
+                 F.concat("text", F.when(F.col("turn") % 3 == 1, " eightlet").otherwise(" ninechars ninechars")).alias("prompt"),
+                 F.when(F.col("turn") % 7 == 6, "").otherwise(F.concat(F.lit("hint "), F.col("role"), F.lit(" "))).alias("label"),
+                 F.when(F.col("turn") % 3 == 2, 3).otherwise(0).alias("hint"))
+    d = d.withColumn("mask_len", (F.size("query_ids") - 2 + F.col("turn") % 4).cast("int"))
+    out = ds.guided_batch(d, teacher, encode, " ninechars ninechars", guide_prefix=" ", enabled=F.col("role") != "assistant",
+                          hint_col="hint", mask_len_col="mask_len")
+    tenths = F.transform("teacher_log_probs", lambda x: F.round(x * 10).cast("int"))
+    return out.select("conv_id", "turn", F.array_join(tenths, ",").alias("teacher"), "guide_applied", "guide_fallback", "kd_valid")
 
 
 @query("finite_check", """
@@ -200,6 +234,18 @@ def q_kd_diagnostics(spark, sf):
         "non_finite_warning")
 
 
+@query("kd_coverage_warning", """
+, s AS (SELECT sample_id, count(*) AS n, sum(action_mask) AS m FROM fx_tokens GROUP BY sample_id)
+SELECT sample_id, round(least(CAST(n - 1 - sample_id % 2 AS DOUBLE), greatest(CAST(m AS DOUBLE), 1.0e0)) / greatest(CAST(m AS DOUBLE), 1.0e0), 6) AS teacher_cov_ratio,
+  least(CAST(n - 1 - sample_id % 2 AS DOUBLE), greatest(CAST(m AS DOUBLE), 1.0e0)) / greatest(CAST(m AS DOUBLE), 1.0e0) < 0.9e0 AS low_coverage_warning FROM s""", T)
+def q_kd_coverage_warning(spark, sf):
+    """A15 with A14: samples whose teacher covers less than nine tenths are marked."""
+    t = fx.fx_tokens(spark, sf)
+    cover = ds.teacher_coverage(t, t.groupBy("sample_id").agg((F.count(F.lit(1)) - 1 - F.col("sample_id") % 2).alias("teacher_len")))
+    d = ds.kd_diagnostics(t, coverage=cover).join(cover.select("sample_id", "teacher_cov_ratio"), "sample_id")
+    return d.select("sample_id", rnd("teacher_cov_ratio").alias("teacher_cov_ratio"), "low_coverage_warning")
+
+
 @query("hybrid_diagnostics", """
 , per AS (SELECT sample_id, sum(teacher_log_prob * action_mask) / nullif(sum(action_mask), 0) AS tm,
             sum(log_prob * action_mask) / nullif(sum(action_mask), 0) AS sm,

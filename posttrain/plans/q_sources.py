@@ -10,6 +10,7 @@ import hashlib
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posttrain.operators import metrics as met
 from posttrain.operators import sft
@@ -106,6 +107,12 @@ def _write_tree(spark, sf) -> str:
             if kind in ("json", "txt"):
                 fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{sub}/{stem}{ext}"))
     c.limit(0).select("text").write.mode("overwrite").text(f"{root}/d/notes")
+    # lines of text under a Parquet name: a file that cannot be read
+    c.filter(F.col("role") == "system").select("text").coalesce(1).write.text(f"{root}/a/damaged")
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/a/damaged")
+    for st in fs.listStatus(p):
+        if st.getPath().getName().startswith("part-"):
+            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/a/damaged/part-0.parquet"))
     return root
 
 
@@ -114,11 +121,42 @@ SELECT conv_id, turn, role, text FROM conversations""")
 def q_dir_scan(spark, sf):
     root = _write_tree(spark, sf)
     schema = "conv_id long, turn long, role string, text string"
-    from pyspark.sql import types as T
     d = io.scan_dir(spark, root, T._parse_datatype_string(schema))
     return d.select("conv_id", "turn", "role", "text")
 
 
+@query("dir_scan_rejects", """
+SELECT 'malformed line' AS reason, '{"conv_id": ' || conv_id || ', oops' AS line, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY conv_id
+UNION ALL SELECT 'no readable rows', NULL, 1""")
+def q_dir_scan_rejects(spark, sf):
+    """S3: what the scan leaves out: malformed lines, and the damaged Parquet file."""
+    root = _write_tree(spark, sf)
+    d = io.scan_dir_rejects(spark, root, T._parse_datatype_string("conv_id long, turn long, role string, text string"))
+    return d.groupBy("reason", F.col(io.CORRUPT).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dir_scan_order", """
+SELECT conv_id, turn, row_number() OVER (ORDER BY role, conv_id, turn) - 1 AS seq FROM conversations WHERE role <> 'system'""")
+def q_dir_scan_order(spark, sf):
+    """S3 with O1: JSONL and Parquet files written in order; (file, row) is that order."""
+    from posttrain.operators.index import global_index
+    root = io.scratch_dir(spark, f"lines_{_tag(sf)}")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    for role, kind, ext in (("assistant", "text", "jsonl"), ("user", "parquet", "parquet")):
+        part = c.filter(F.col("role") == role).repartitionByRange(3, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+        part = part.select(F.to_json(F.struct("*")).alias("value")) if kind == "text" else part
+        part.write.format(kind).save(f"{root}/{role}")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/assistant")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):  # three files: Spark's text writer has no other extension
+        name = st.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/assistant/{name[:-4]}.jsonl"))
+    d = io.scan_dir(spark, root, T._parse_datatype_string("conv_id long, turn long, role string"))
+    return global_index(d, "_file", tiebreak=["_row"], out="seq").select("conv_id", "turn", "seq")
+
+
 @query("stable_file_order", """
 SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS seq FROM conversations""")
 def q_stable_file_order(spark, sf):
@@ -206,6 +244,48 @@ def q_concat_datasets(spark, sf):
     return io.blend_sources(spark, spec, schema).select("doc_id", "source_idx")
 
 
+def _write_ordered_blend(spark, sf) -> str:
+    """The documents by language in four formats, in id order, with a split column."""
+    root = io.scratch_dir(spark, f"plan_{_tag(sf)}")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"))
+    for lang, name, kind in (("en", "en.jsonl", "json"), ("fr", "fr.csv", "csv"), ("de", "de.parquet", "parquet"), ("es", "es", "parquet")):
+        part = d.filter(F.col("lang") == lang).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+        part.write.format(kind).option("header", "true").save(f"{root}/{name}")
+    return root
+
+
+_PLAN_SCHEMA = "doc_id long, lang string, n_chars long, split string"
+_PLAN_SQL = """
+, src AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS source_idx FROM documents WHERE doc_id % 3 <> 0),
+head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) - 1 AS row_idx FROM src) x WHERE row_idx < 100)"""
+
+
+@query("blend_plan", _PLAN_SQL + """
+SELECT doc_id, source_idx, row_idx FROM head ORDER BY source_idx, row_idx LIMIT 250""")
+def q_blend_plan(spark, sf):
+    """S7 with S8, S9 and U1: the train split, a head of each source, then one of all."""
+    root = _write_ordered_blend(spark, sf)
+    d = io.blend_sources(spark, ",".join(f"{root}@{n}" for n in _SPEC), _PLAN_SCHEMA, split="train", max_count=100, overall=250)
+    return d.select("doc_id", "source_idx", "row_idx")
+
+
+@query("blend_drawn", _PLAN_SQL + """,
+n AS (SELECT source_idx, count(*) AS n FROM head GROUP BY source_idx),
+d0 AS (SELECT t, CAST(('0x' || substr(md5('7:' || CAST(t AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0e0 AS u FROM range(0, 20000) r(t)),
+d1 AS (SELECT t, CASE WHEN u < 0.4e0 THEN 0 WHEN u < 0.4e0 + 0.3e0 THEN 1 WHEN u < 0.4e0 + 0.3e0 + 0.2e0 THEN 2 ELSE 3 END AS source_idx FROM d0),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY t) - 1 AS k FROM d1),
+e AS (SELECT max(t) AS t_end FROM d2 JOIN n USING (source_idx) WHERE k = n.n - 1)
+SELECT d2.t AS draw, d2.source_idx, head.doc_id FROM d2 JOIN n USING (source_idx)
+  JOIN head ON head.source_idx = d2.source_idx AND head.row_idx = d2.k % n.n
+WHERE d2.t <= (SELECT t_end FROM e) AND d2.t < 300""")
+def q_blend_drawn(spark, sf):
+    """S7 with U2: heads of the train split, drawn from by probability, and the overall head."""
+    root = _write_ordered_blend(spark, sf)
+    d = io.blend_sources(spark, ",".join(f"{root}@{n}" for n in _SPEC), _PLAN_SCHEMA, split="train", max_count=100, overall=300,
+                         probabilities=[0.4, 0.3, 0.2, 0.1], seed=7)
+    return d.select("draw", "source_idx", "doc_id")
+
+
 @query("split_select", """
 SELECT doc_id FROM documents WHERE lang = 'en'""")
 def q_split_select(spark, sf):

@@ -107,6 +107,23 @@ def q_resume(spark, sf):
     return d.select("datasource", rnd("mean_reward").alias("mean_reward"), "count", "passed")
 
 
+@query("resume_state", """
+, p AS (SELECT episode, event_id, row_number() OVER (PARTITION BY episode ORDER BY
+    CAST('0x' || substr(md5(CAST(11 + episode AS VARCHAR) || ':' || CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT), event_id) - 1 AS pos
+  FROM events, (SELECT unnest([0, 1, 2]) AS episode) e),
+c AS (SELECT *, CAST(pos % 4 AS INTEGER) AS rank, pos // 4 AS i, (SELECT count(*) FROM events) // 4 // 25 AS per FROM p)
+SELECT episode * per + i // 25 + 1 AS global_step, episode, rank, CAST(i % 25 AS INTEGER) AS slot, event_id FROM c WHERE i // 25 < per""")
+def q_resume_state(spark, sf):
+    """Three episodes by a run that stops in the middle of the first one, a second
+    that stops in the second one, and a third that ends it, each from the state table."""
+    e = table(spark, sf, "events").select("event_id")
+    per = e.count() // 4 // 25
+    root = _fresh(spark, "s12")
+    for steps in (per // 2, per, None):
+        st.run_steps(e, root, "event_id", replicas=4, per_rank=25, episodes=3, seed=11, max_steps=steps)
+    return spark.read.parquet(f"{root}/steps").select("global_step", "episode", "rank", "slot", "event_id")
+
+
 @query("running_datasource_stats", _RUNNING_SQL, R)
 def q_running_datasource_stats(spark, sf):
     root = _fresh(spark, "r6")

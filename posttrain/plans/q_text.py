@@ -166,6 +166,38 @@ def q_tokenize(spark, sf):
     return c.select("conv_id", "turn", F.size(tx.tokenize(F.col("text"))).alias("n_tokens"))
 
 
+_PIECES = r"regexp_extract_all(text, '[\x20\x09-\x0D]+|[0-9A-Za-z_]+|[^\x20\x09-\x0D0-9A-Za-z_]+')"
+
+
+@query("tokenize_vocabulary", f"""
+, p AS (SELECT conv_id, turn, text, {_PIECES} AS ps FROM conversations),
+e AS (SELECT conv_id, turn, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM p),
+v AS (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) AS id FROM (
+  SELECT piece, count(*) AS n FROM e GROUP BY piece HAVING count(*) >= 2)),
+x AS (SELECT conv_id, turn, array_to_string(list(coalesce(v.id, 0) ORDER BY k), ',') AS ids,
+        array_to_string(list(coalesce(v.piece, '?') ORDER BY k), '') AS decoded FROM e LEFT JOIN v USING (piece) WHERE k <= 200 GROUP BY conv_id, turn)
+SELECT p.conv_id, p.turn, coalesce(ids, '') AS ids, coalesce(decoded, '') AS decoded FROM p LEFT JOIN x USING (conv_id, turn)""")
+def q_tokenize_vocabulary(spark, sf):
+    """T12 with a vocabulary built from all turns: ids, cut at 200, and their text."""
+    from posttrain.operators import vocab
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    words = vocab.build_vocabulary(c, min_count=2)
+    ids = vocab.encode(c, words, ["conv_id", "turn"], max_length=200)
+    text = vocab.decode(ids, words, ["conv_id", "turn"], unknown="?", out="decoded")
+    return ids.join(text, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), "decoded")
+
+
+@query("detokenize", """
+SELECT doc_id, coalesce(text, '') AS text FROM documents""")
+def q_detokenize(spark, sf):
+    """T12 there and back over whole documents: with every piece in the vocabulary the
+    ids give the text again."""
+    from posttrain.operators import vocab
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    words = vocab.build_vocabulary(d)
+    return vocab.decode(vocab.encode(d, words, ["doc_id"]), words, ["doc_id"])
+
+
 @query("candidates_x_tests", """
 , c AS (SELECT source AS task_id, doc_id AS completion_id,
           coalesce(regexp_replace(regexp_extract_all(response, '(?s)```(?:python|go|ts|php|csharp|bash|javascript|cpp|cs|java|typescript|js|sh)(.*?)```', 1)[-1], '^\\s+|\\s+$', '', 'g'), 'raise') AS candidate

@@ -116,6 +116,25 @@ def q_trajectory_assembly(spark, sf):
                     "reward", rnd("score").alias("score"), rnd("lp_sum").alias("lp_sum"))
 
 
+@query("trajectory_arrays", f"""
+, t AS (SELECT conv_id, turn, role, {_WL} AS ids FROM conversations),
+s AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st,
+    min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS first_act FROM t),
+o AS (SELECT conv_id, any_value(first_act) AS first_act, sum(len(ids)) AS n, string_agg(array_to_string(ids, ','), ',' ORDER BY turn) FILTER (WHERE len(ids) > 0) AS obs FROM s GROUP BY conv_id),
+v AS (SELECT conv_id, CASE WHEN turn = first_act THEN 0 ELSE st END + unnest(range(len(ids))) AS pos, -unnest(ids) AS tenths FROM s WHERE role = 'assistant'),
+p AS (SELECT conv_id, unnest(range(CAST(n AS BIGINT))) AS pos FROM o WHERE first_act IS NOT NULL),
+l AS (SELECT p.conv_id, string_agg(CAST(coalesce(tenths, 0) AS VARCHAR), ',' ORDER BY p.pos) AS lps FROM p LEFT JOIN v ON p.conv_id = v.conv_id AND p.pos = v.pos GROUP BY p.conv_id)
+SELECT o.conv_id, coalesce(obs, '') AS observation_tokens, coalesce(lps, '') AS rollout_tenths FROM o LEFT JOIN l USING (conv_id)""")
+def q_trajectory_arrays(spark, sf):
+    """F5's arrays: the observation's tokens, and the rollout log-probs beside them."""
+    d = _turn_ids(spark, sf).select("*", F.lit(0.0).alias("step_reward"), F.lit(0.0).alias("step_score"),
+                                    F.transform("ids", lambda x: -x / F.lit(10.0)).alias("action_lps"))
+    a = agents.trajectory_assembly(d)
+    tenths = F.transform("rollout_log_probs", lambda x: F.round(x * 10).cast("int").cast("string"))
+    return a.select("conv_id", F.array_join(F.col("observation_tokens").cast("array<string>"), ",").alias("observation_tokens"),
+                    F.array_join(tenths, ",").alias("rollout_tenths"))
+
+
 @query("single_turn_output", f"""
 , u AS (SELECT conv_id, turn, {_WL} AS p FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn - 1 AS turn, {_WL} AS r FROM conversations WHERE role = 'assistant'),

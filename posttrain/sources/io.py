@@ -12,6 +12,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +56,54 @@ def _any_case(ext: str) -> str:
     return "*." + "".join(f"[{c}{c.upper()}]" for c in ext)
 
 
+def _places(df: DataFrame) -> DataFrame:
+    """``__f, __b, __m``: file, split and place within the task of each row of a file
+    scan; in this order the rows of a file are in file order, however it is split."""
+    return df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
+                     F.monotonically_increasing_id().alias("__m"))
+
+
+def _tree(spark: SparkSession, ext: str):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(ext)).option("ignoreCorruptFiles", "true")
+
+
+def _parquet_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All readable Parquet files; the schema is that of all footers, so a damaged file
+    does not decide it."""
+    return _tree(spark, "parquet").option("mergeSchema", "true").parquet(root)
+
+
+def _json_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Numbered, parsed lines of a text scan: ``_file, _row`` (line number from 0, blank
+    lines counted), the fields, and ``_corrupt_record`` where a line is malformed."""
+    from posttrain.operators.index import keyed_row_number
+    rows = keyed_row_number(_places(lines), ["__f"], "__b", tiebreak=["__m"], out="_row")
+    full = _with_corrupt(schema)
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    d = rows.where(F.col("value").rlike(r"[^\x20\x09-\x0D]")).select(F.col("__f").alias("_file"), "_row", parsed.alias("__j"))
+    return d.select("_file", "_row", *(F.col("__j")[f.name].alias(f.name) for f in full.fields))
+
+
 def scan_dir_rejects(spark: SparkSession, root: str, jsonl_schema: T.StructType) -> DataFrame:
-    """``_file, _corrupt_record``: the malformed lines of the JSONL files under root."""
-    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case("jsonl"))
-    _, bad = _split_json(r.schema(_with_corrupt(jsonl_schema)).json(root), jsonl_schema)
-    return bad
+    """``_file, _row, _corrupt_record, reason`` of what :func:`scan_dir` leaves out: the
+    malformed lines of JSONL files with their line numbers, and Parquet files that give
+    no row (damaged ones, and whole files that are empty)."""
+    out = None
+    try:
+        lines = _json_lines(_tree(spark, "jsonl").text(root), jsonl_schema)
+        out = lines.where(F.col(CORRUPT).isNotNull()).select("_file", "_row", CORRUPT, F.lit("malformed line").alias("reason"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    files = _tree(spark, "parquet").format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("_file"), "length")
+    try:
+        read = _parquet_tree(spark, root).select(F.col("_metadata.file_path").alias("_file")).distinct()
+        files = files.join(read, "_file", "left_anti")
+    except AnalysisException as e:  # no file has a schema
+        if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    bad = files.select("_file", F.lit(None).cast("long").alias("_row"), F.lit(None).cast("string").alias(CORRUPT), F.lit("no readable rows").alias("reason"))
+    return bad if out is None else out.unionByName(bad)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -68,24 +112,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_dir(spark: SparkSession, root: str, jsonl_schema: T.StructType | None = None) -> DataFrame:
-    """S3: recursive scan of ``.jsonl`` and ``.parquet`` files (any case),
-    one read per format, columns unioned by name. Malformed JSONL lines are left
-    out here and listed by :func:`scan_dir_rejects`; unreadable files are skipped
-    (``ignoreCorruptFiles``). Rows carry ``_file``, and Parquet rows ``_row``, their
-    place in it (O1); line numbers of JSONL files are not known to Spark's reader."""
+    """S3: recursive scan of ``.jsonl`` and ``.parquet`` files (any case), one read per
+    format, columns unioned by name. Rows carry ``_file`` and ``_row``, their line or row
+    in it from 0 (O1); line numbers are bucketed positions, so a large file is numbered by
+    many tasks. What cannot be read is left out here and listed by
+    :func:`scan_dir_rejects`."""
     frames = []
-    for ext, reader in (("parquet", "parquet"), ("jsonl", "json")):
-        glob = _any_case(ext)
-        r = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-             .option("ignoreCorruptFiles", "true"))
+    for ext in ("parquet", "jsonl"):
         try:
-            if reader == "json":
-                schema = jsonl_schema if jsonl_schema is not None else r.json(root).schema
-                good, _ = _split_json(r.schema(_with_corrupt(schema)).json(root), schema)
-                df = good.withColumn("_row", F.lit(None).cast("long"))
+            if ext == "jsonl":
+                schema = jsonl_schema if jsonl_schema is not None else _tree(spark, ext).json(root).schema
+                lines = _json_lines(_tree(spark, ext).text(root), schema)
+                df = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
             else:
-                df = r.parquet(root).withColumn("_file", F.col("_metadata.file_path")).withColumn(
-                    "_row", F.col("_metadata.row_index"))
+                df = _parquet_tree(spark, root).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         except Exception as e:  # no file of this format under root
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "empty" in str(e).lower():
                 continue
@@ -161,21 +201,53 @@ def load_source(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return spark.read.parquet(path)
 
 
-def blend_sources(spark: SparkSession, spec: str, schema: str | None = None) -> DataFrame:
-    """S7 + U1: a comma list of ``path`` or ``path@data_dir`` items, each
-    read by its format and concatenated in list order with
-    ``(source_idx, row_idx)`` for a stable order. Hub/script loaders are
-    not supported (network, arbitrary code)."""
+def placed_source(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A source with ``__f, __b, __m``, an order of its rows that follows the files. All
+    columns of a JSON or CSV row are parsed whatever a plan needs, so every pass over
+    the files sees the same rows."""
+    kind = path.lower().rstrip("/").rpartition(".")[2]
+    if kind in ("json", "jsonl"):
+        kinds = T._parse_datatype_string(schema) if schema else spark.read.json(path).schema
+        lines = _places(spark.read.text(path)).where(F.col("value").rlike(r"[^\x20\x09-\x0D]"))
+        return lines.select(F.from_json("value", kinds).alias("__j"), "__f", "__b", "__m").select("__j.*", "__f", "__b", "__m")
+    if kind == "csv":
+        r = spark.read.option("header", "true").option("columnPruning", "false")
+        return _places(r.schema(schema).csv(path) if schema else r.option("inferSchema", "true").csv(path))
+    if kind == "arrow":
+        df = load_source(spark, path, schema)
+        return df.select("*", F.lit("").alias("__f"), F.lit(0).cast("long").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    return _places(spark.read.parquet(path))
+
+
+def blend_sources(spark: SparkSession, spec: str, schema: str | None = None, split: str | None = None, max_count: int | None = None,
+                  overall: int | None = None, probabilities: Sequence[float] | None = None, seed: int = 42) -> DataFrame:
+    """S7 with S8, S9, U1 and U2: a comma list of ``path`` or ``path@data_dir`` items, each
+    read by its format. Of each source the rows of ``split`` are taken (all, where it has
+    no ``split`` column), then its first ``max_count`` rows in file order. Sources are
+    put one after the other, or, with ``probabilities`` (one for each), drawn from with
+    recycling; ``overall`` cuts the head of the result.
+
+    Rows carry ``source_idx`` and ``row_idx``, their place in what was taken of the
+    source, and ``draw`` when drawn. Hub and script loaders are not supported (network,
+    arbitrary code)."""
+    from posttrain.operators import blend
+    from posttrain.session import materialize
+    items = [x.strip() for x in spec.split(",") if x.strip()]
+    if probabilities is not None and len(probabilities) != len(items):
+        raise ValueError("one probability for each source is needed")
     frames = []
-    for i, item in enumerate(s.strip() for s in spec.split(",") if s.strip()):
+    for item in items:
         path, _, sub = item.partition("@")
-        full = os.path.join(path, sub) if sub else path
-        df = load_source(spark, full, schema)
-        frames.append(df.withColumn("source_idx", F.lit(i)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+        df = placed_source(spark, os.path.join(path.strip(), sub.strip()) if sub else path, schema)
+        frames.append(split_select(df, split) if split else df)
+    places = ["__f", "__b", "__m"]
+    out = blend.concat_datasets(frames, places[0], tiebreak=places[1:], max_count=max_count,
+                                overall=overall if probabilities is None else None).drop(*places)
+    if probabilities is None:
+        return out
+    # the draws read the sources several times: from a written table, not from the files
+    drawn = blend.interleave(spark, materialize(out, "blend"), probabilities, seed=seed, order_col="row_idx")
+    return drawn if overall is None else drawn.where(F.col("draw") < overall)
 
 
 def split_select(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:

@@ -16,10 +16,12 @@ from __future__ import annotations
 import os
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from posttrain.operators.batching import epoch_shuffle, rank_shard
 from posttrain.session import checkpoint_dir
 
 
@@ -178,6 +180,60 @@ def running_datasource_stats(stream: DataFrame, ds_col: str = "datasource", rewa
                                       F.sum(F.when(F.col(reward_col) > 0, 1).otherwise(0)).cast("long").alias("passed"))
 
 
+# ------------------------------------------------------- S12 resume state
+
+STATE_SCHEMA = "global_step long, episode int, offset long"
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[int, int, int, int]:
+    """``(global_step, episode, offset, batch_id)`` of the last commit under
+    ``path``; zeros and batch -1 when nothing was committed."""
+    try:
+        rows = spark.read.schema(STATE_SCHEMA + ", batch_id long").parquet(f"{path}/state")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0, 0, 0, -1
+    last = rows.orderBy(F.desc("batch_id")).first()  # one row a commit
+    return (0, 0, 0, -1) if last is None else (last["global_step"], last["episode"], last["offset"], last["batch_id"])
+
+
+def run_steps(samples: DataFrame, path: str, id_col: str, replicas: int, per_rank: int, episodes: int, seed: int = 0,
+              max_steps: int | None = None) -> bool:
+    """S12 with K1 and O4: the loader's part of a training run, from the committed state
+    on: each episode is a permutation seeded by ``seed + episode``, dealt to ``replicas``
+    ranks, ``per_rank`` samples a rank and step, full steps only. ``max_steps`` ends the
+    run early, in the middle of an episode too.
+
+    Rows ``global_step, episode, rank, slot, <id>`` go to ``path/steps``; then the state
+    (last step, episode, samples of the episode that are consumed) is committed with the
+    same batch id. A run that dies between the two is done again by the next one, which
+    overwrites its rows, so the table is that of one uninterrupted run. Returns whether
+    all episodes are done."""
+    spark = samples.sparkSession
+    step, episode, offset, batch = load_state(spark, path)
+    per_step = replicas * per_rank
+    per_episode = samples.count() // replicas // per_rank
+    left = per_episode * episodes if max_steps is None else max_steps
+    out = None
+    while episode < episodes and per_episode and left > 0:
+        done = offset // per_step
+        take = min(left, per_episode - done)
+        rows = rank_shard(epoch_shuffle(samples.select(id_col), id_col, seed, episode), replicas, drop_last=True, consumed_samples=offset)
+        rows = rows.withColumn("__s", F.floor(F.col("local_idx") / per_rank).cast("long")).where(F.col("__s") < take)
+        rows = rows.select((F.col("__s") + step + 1).alias("global_step"), F.lit(episode).alias("episode"), "rank",
+                           (F.col("local_idx") % per_rank).cast("int").alias("slot"), id_col)
+        out = rows if out is None else out.unionByName(rows)
+        step, left, offset = step + take, left - take, (done + take) * per_step
+        if done + take == per_episode:
+            episode, offset = episode + 1, 0
+    if out is not None:
+        out.write.mode("overwrite").parquet(f"{path}/steps/batch_id={batch + 1}")
+        state = spark.createDataFrame([(step, episode, offset)], STATE_SCHEMA)
+        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch + 1}")
+    return episode >= episodes or not per_episode
+
+
 # ------------------------------------------------------------------ runner
 
 def run_to_parquet(df: DataFrame, name: str, out_path: str, mode: str = "append",

@@ -99,3 +99,129 @@ def test_groups_of_one(spark, estimator):
         assert all(r["advantages"] == 0 for r in alone)
     if estimator == "reinforce_baseline":  # whitened over the two samples that count
         assert math.isclose(pair[0][1], 1.0, rel_tol=1e-9) and math.isclose(pair[-1][1], -1.0, rel_tol=1e-9)
+
+
+# --- guided batches, vocabulary, merged batches
+
+def test_guided_batch_has_all_outcomes(spark):
+    from pyspark.sql import Column
+
+    from posttrain.operators import distill
+
+    def encode(text: Column) -> Column:  # one id a word: its length
+        return F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.length(w).cast("int"))
+
+    def teacher(ids: Column) -> Column:  # no answer for 9 ids, one value short for 10
+        n = F.size(ids)
+        return F.when(n != 9, F.transform(F.slice(ids, 2, F.greatest(n - 1 - (n == 10).cast("int"), F.lit(0))), lambda x: x.cast("double")))
+
+    rows = [("guided", [1, 2, 5, 7, 7], "a bb sssss", "gg ", 6, True),             # ids 1 2 2 5 7 7: spliced
+            ("again", [1, 2, 9, 7], "a bb sssss", "gg ", 3, True),                 # prompt cut at the common prefix: encoded again
+            ("fallback", [1, 2, 3, 4, 5, 6, 5, 8], "a bb ccc dddd eeeee ffffff sssss", "gg ", 7, True),  # 9 guided ids: the plain answer
+            ("failed", [1, 2, 3, 4, 5, 6, 7, 5], "a bb ccc dddd eeeee ffffff ggggggg sssss", "gg ", 7, True),  # no response at all
+            ("short", [1, 2, 3, 4, 5, 6, 7, 5, 8], "a bb ccc dddd eeeee ffffff ggggggg sssss", "gg ", 8, True),  # neither counts
+            ("blank", [1, 5, 4], "a sssss", "  ", 2, True), ("off", [1, 5, 4], "a sssss", "gg ", 2, False)]
+    df = spark.createDataFrame(rows, "k string, query_ids array<int>, prompt string, label string, mask_len int, on boolean")
+    got = {r["k"]: r for r in distill.guided_batch(df, teacher, encode, " sssss", guide_prefix=" ", enabled=F.col("on"), mask_len_col="mask_len").collect()}
+    flags = {k: (r["guide_applied"], r["guide_fallback"], r["kd_valid"]) for k, r in got.items()}
+    assert flags == {"guided": (1, 0, 1), "again": (1, 0, 1), "fallback": (0, 1, 1), "failed": (0, 1, 1), "short": (0, 1, 0), "blank": (0, 0, 1), "off": (0, 0, 1)}
+    assert got["guided"]["teacher_log_probs"] == [0, 0, 7, 7, 0, 0]
+    assert got["again"]["teacher_log_probs"] == [0, 9, 7]
+    assert got["fallback"]["teacher_log_probs"] == [2, 3, 4, 5, 6, 5, 8]
+    assert got["short"]["teacher_log_probs"] == [0] * 8
+    assert got["blank"]["teacher_log_probs"] == got["off"]["teacher_log_probs"] == [5, 4]
+
+
+def test_vocabulary_round_trip(spark):
+    from posttrain.operators import vocab
+    texts = [(0, "the cat, the dog\n the  end"), (1, None), (2, ""), (3, "čaj и чай ☕ 中文 the"), (4, " \t\x0b x"), (5, "rare"), (5, "the the")]
+    df = spark.createDataFrame([(i, j, t) for j, (i, t) in enumerate(texts)], "id long, no long, text string").repartition(3)
+    words = vocab.build_vocabulary(df)
+    ids = [r["id"] for r in words.orderBy(F.desc("n"), "piece").collect()]
+    assert ids == list(range(1, len(ids) + 1))
+    back = vocab.decode(vocab.encode(df, words, ["id", "no"]), words, ["id", "no"])
+    assert sorted((r["no"], r["text"]) for r in back.collect()) == [(j, t or "") for j, (_, t) in enumerate(texts)]
+    few = vocab.build_vocabulary(df, min_count=2)
+    cut = vocab.encode(df, few, ["no"], max_length=3)
+    got = {r["no"]: r["text"] for r in vocab.decode(cut, few, ["no"], unknown="?").collect()}
+    assert got[0] == "the ?" and got[5] == "?" and got[6] == "the the" and got[1] == ""
+    assert all(x >= 0 for r in cut.collect() for x in r["ids"])
+
+
+def test_rows_of_unequal_batches_are_quarantined(spark):
+    from posttrain.operators.batching import row_explode
+    df = spark.createDataFrame([(1, [1, 2], ["a", None]), (2, [1], ["a", "b"]), (3, [], []), (4, None, None), (5, None, ["x"])], "b long, x array<int>, y array<string>")
+    got = sorted(tuple(r) for r in row_explode(df, ["x", "y"], ["b"]).fillna("-", ["error"]).collect())
+    assert [g for g in got if g[0] == 1] == [(1, 0, 1, "a", "-"), (1, 1, 2, None, "-")]
+    assert [g[0] for g in got] == [1, 1, 2, 5]
+    assert [g[4] for g in got if g[0] in (2, 5)] == ["x: 1, y: 2", "x: 0, y: 1"] and all(g[1] is None for g in got if g[0] == 2)
+
+
+def test_merged_experiences(spark):
+    from posttrain.operators.batching import merge_experiences
+    rows = [(0, 1, [[1, 2], [3]], ["p"], {"b": [1.0], "a": [2.0]}), (0, 0, [[4, 5, 6]], ["q", "r"], {"b": [3.0, 4.0]}), (0, 2, None, None, None), (1, 0, [[]], [], {})]
+    df = spark.createDataFrame(rows, "g long, o long, s array<array<int>>, l array<string>, m map<string, array<double>>")
+    got = {r["g"]: r for r in merge_experiences(df, "g", "o", pad={"s": 9}, lists=("l",), maps=("m",)).collect()}
+    assert got[0]["s"] == [[4, 5, 6], [1, 2, 9], [3, 9, 9]] and got[0]["l"] == ["q", "r", "p"]
+    assert got[0]["m"] == {"a": [2.0], "b": [3.0, 4.0, 1.0]} and got[1]["s"] == [[]] and got[1]["m"] == {}
+
+
+# --- sources, draws, resume
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from posttrain.sources import io
+    (tmp_path / "in").mkdir()
+    for name in ("a.jsonl", "b.JSONL"):
+        with open(tmp_path / "in" / name, "w") as f:
+            for i in range(900):
+                f.write("\n" if i % 50 == 7 else f'{{"i": {i}, oops\n' if i % 90 == 3 else f'{{"i": {i}}}\n')
+    (tmp_path / "in" / "c.parquet").write_bytes(b"not parquet")
+    schema = T._parse_datatype_string("i long")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = io.scan_dir(spark, str(tmp_path / "in"), schema)
+        assert rows.where("_row <> i").count() == 0 and rows.count() == 2 * len([i for i in range(900) if i % 50 != 7 and i % 90 != 3])
+        bad = io.scan_dir_rejects(spark, str(tmp_path / "in"), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["_row"] for r in bad if r["reason"] == "malformed line") == sorted(2 * [i for i in range(900) if i % 90 == 3 and i % 50 != 7])
+    assert [r["_file"].rpartition("/")[2] for r in bad if r["reason"] == "no readable rows"] == ["c.parquet"]
+
+
+def test_draws_need_no_job_and_no_hot_key(spark):
+    from posttrain.operators.blend import interleave
+    sources = spark.range(2001).select(F.col("id"), F.when(F.col("id") == 0, 1).otherwise(0).alias("source_idx"))
+    failing = sources.withColumn("id", F.when(F.assert_true(F.col("id") < 0).isNull(), F.col("id")))
+    interleave(spark, failing, [0.5, 0.5])  # builds without running
+    got = interleave(spark, sources, [0.5, 0.5]).collect()
+    draws = sorted(r["draw"] for r in got)
+    assert draws == list(range(len(draws))) and len(draws) > 3500
+    small = [r for r in got if r["source_idx"] == 1]
+    assert {r["id"] for r in small} == {0} and abs(len(small) / len(got) - 0.5) < 0.05
+    first = [r["id"] for r in sorted(got, key=lambda r: r["draw"]) if r["source_idx"] == 0]
+    assert first == list(range(1, 2001))
+    with pytest.raises(Exception, match="at least one row"):
+        interleave(spark, sources.where("source_idx = 0"), [0.5, 0.5]).collect()
+
+
+def test_a_run_that_dies_before_its_commit_is_done_again(spark, tmp_path):
+    samples = spark.range(101).withColumnRenamed("id", "sample_id")
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    assert st.run_steps(samples, whole, "sample_id", replicas=2, per_rank=5, episodes=2, seed=3)
+    assert not st.run_steps(samples, parts, "sample_id", replicas=2, per_rank=5, episodes=2, seed=3, max_steps=4)
+    assert st.load_state(spark, parts) == (4, 0, 40, 0)
+    # rows of batch 1 without their state: as after a crash
+    spark.read.parquet(f"{parts}/steps/batch_id=0").write.parquet(f"{parts}/steps/batch_id=1")
+    assert not st.run_steps(samples, parts, "sample_id", replicas=2, per_rank=5, episodes=2, seed=3, max_steps=9)
+    assert st.run_steps(samples, parts, "sample_id", replicas=2, per_rank=5, episodes=2, seed=3)
+    cols = ["global_step", "episode", "rank", "slot", "sample_id"]
+
+    def rows(path):
+        return sorted(tuple(r) for r in spark.read.parquet(f"{path}/steps").select(*cols).collect())
+
+    assert rows(whole) == rows(parts) and len(rows(whole)) == 200
+    assert st.run_steps(samples, parts, "sample_id", replicas=2, per_rank=5, episodes=2, seed=3)  # nothing is left to do
+    assert rows(parts) == rows(whole)
