@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posttrain.llm import kernels as K
-from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, narrow, stored
+from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, narrow, release, stored
 
 #: Words of an anchor phrase.
 ANCHOR = 6
@@ -179,7 +179,9 @@ def _passages(segments: DataFrame, window: int) -> DataFrame:
     whole = told.where("kinds = 1").select("anchor", F.col("segment").alias("passage"), "first_id", "last_id")
     cut = (_windows(told.where("kinds > 1"), window)
            .groupBy("anchor", "passage").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")))
-    return whole.unionByName(cut).where("first_id < last_id").drop("last_id")
+    out = stored(whole.unionByName(cut).where("first_id < last_id").drop("last_id"), "passages")
+    release(distinct)
+    return out
 
 
 class _Shard:
@@ -269,11 +271,15 @@ def repeated_ranges(docs: DataFrame, window: int = 13, id_col: str = ID, text_co
     shared = stored(found.select(ID, F.explode("anchors").alias("anchor")).groupBy("anchor")
                     .agg(F.min(ID).alias("first_id"), F.max(ID).alias("last_id")).where("first_id < last_id").drop("last_id"), "shared_anchors")
     marked = stored(_marked(found, shared), "marked")
+    release(found, shared)
     # rows that repeat id and text are cut once
     segments = stored(_segments(rows, marked, window), "segments")
-    passages = stored(_passages(segments, window), "passages")
-    return (_located(segments, passages, window).groupBy(ID, "version")
-            .agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("ranges")))
+    release(marked)
+    passages = _passages(segments, window)
+    ranges = stored(_located(segments, passages, window).groupBy(ID, "version")
+                    .agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("ranges")), "ranges")
+    release(segments, passages)
+    return ranges
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -285,7 +291,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = ID, text_co
     a repeat, so rows that share an id do not touch each other, and rows without an
     id neither lose words nor make others lose them. An empty table gives no rows;
     other columns are left out, whatever their names."""
-    ranges = stored(repeated_ranges(docs, window, id_col, text_col), "ranges")
+    ranges = repeated_ranges(docs, window, id_col, text_col)
     rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
     body = rows.join(ranges, [ID, "version"], "left").select(ID, TEXT, "ranges")
 
