@@ -36,8 +36,10 @@ from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, nar
 
 #: Words of an anchor phrase.
 ANCHOR = 6
-#: Passages that one anchor may bring into a shard, and passages of a shard on average.
+#: Passages that one anchor may bring into a shard.
 PATTERNS = 4096
+#: Passages of a shard on average: so small an automaton stays in a core's cache.
+SHARD = 1024
 #: Segments that one split of a shard streams, on average.
 SEGMENTS = 50_000
 #: Bits of the bitmap that keeps anchors of one document out of a join (4 MB).
@@ -208,7 +210,7 @@ class _Shard:
             self.ready = True
         get = self.letters.get
         out: list[tuple[int, int]] = []
-        for end, (size, first_id) in self.automaton.iter("".join([get(x, "\0") for x in segment.split(" ")])):
+        for end, (size, first_id) in self.automaton.iter("".join([get(x) or "\0" for x in segment.split(" ")])):
             if first_id < doc_id:
                 a = end + 1 - size
                 while out and out[-1][1] >= a:
@@ -222,15 +224,17 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, shard = None, _Shard()
     for batch in batches:
         out: list[tuple[int, int, int, int]] = []
-        columns = [batch.column(i).to_pylist() for i in range(7)]
-        for no, split, kind, doc_id, version, at, text in zip(*columns, strict=True):
+        numbers = [batch.column(i).to_numpy().tolist() for i in range(6)]
+        for no, split, kind, doc_id, version, at, text in zip(*numbers, batch.column(6).to_pylist(), strict=True):
             if (no, split) != now:
                 now, shard = (no, split), _Shard()
             if kind == 0:
                 shard.add(text, doc_id)
             elif shard.letters:
-                out += [(doc_id, version, at + a, at + b) for a, b in shard.ranges(text, doc_id)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                for a, b in shard.ranges(text, doc_id):
+                    out.append((doc_id, version, at + a, at + b))
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
                                          names=[ID, "version", "from", "to"])
 
 
@@ -239,7 +243,7 @@ def _located(segments: DataFrame, passages: DataFrame, window: int) -> DataFrame
     spark = segments.sparkSession
     per = passages.groupBy("anchor").agg(F.count("*").alias("n"))
     wide = stored(per.where(F.col("n") > PATTERNS).select("anchor", F.lit(True).alias("wide")), "wide_anchors")
-    shards = max(1, passages.count() // PATTERNS + 1)
+    shards = passages.count() // SHARD + 1
 
     def dealt(rows: DataFrame, text: str) -> DataFrame:
         key = F.when(F.col("wide"), F.xxhash64("anchor", text)).otherwise(F.col("anchor"))

@@ -69,6 +69,7 @@ def mixed():
 def test_brute_force_with_small_shards(spark, mixed, monkeypatch, window, patterns, segments):
     if patterns:  # anchors with more passages than a shard takes, shards with many splits
         monkeypatch.setattr(substring_dedup, "PATTERNS", patterns)
+        monkeypatch.setattr(substring_dedup, "SHARD", patterns)
         monkeypatch.setattr(substring_dedup, "SEGMENTS", segments)
     df = spark.createDataFrame([(i, t, 1, "k", [2]) for i, t in mixed], "doc_id long, text string, version int, anchor string, ranges array<int>").repartition(6)
     assert _got(substring_dedup.substring_dedup(df, window)) == _brute(mixed, window)
