@@ -14,8 +14,8 @@ whether or not that one is removed itself, so the result has no order of work.
 4. Each set is verified against the best candidate among the first sets of its
    tokens; this settles the members of a large group of near copies, one pair for
    each. Sets that are still open meet all earlier sets of their tokens, behind
-   length, position and 64-bit overlap bounds, which lose nothing; the rest is
-   verified on full token sets."""
+   length, position and 64-bit overlap bounds, and a 256-bit one for what is left;
+   they lose nothing. The rest is verified on full token sets."""
 
 from __future__ import annotations
 
@@ -27,12 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posttrain.llm import kernels as K
-from posttrain.llm.common import ID, TEXT, arrow_map, in_bitmap, key_bitmap, narrow, stored
+from posttrain.llm.common import ID, TEXT, arrow_map, give_back, in_bitmap, key_bitmap, narrow, release, stored
 from posttrain.llm.set_check import verified
 
 #: Lines without a word have nothing to compare.
 MIN_TOKENS = 1
 SKETCH_BITS = 18
+#: Bytes of text whose lines are cut at once; tens of bytes of arrays go with each.
+SLICE_BYTES = 1 << 18
+#: 64-bit words of the wider overlap sketch that a pair must pass before its tokens are read.
+SKETCH_WORDS = 4
+_WORDS = [f"w{i}" for i in range(SKETCH_WORDS)]
 
 
 def _line_tokens(part: K.Slice, sketch: np.ndarray | None):
@@ -81,8 +86,9 @@ def token_sketch(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in K.slices(batch.column(1)):
+            for part in K.slices(batch.column(1), SLICE_BYTES):
                 total += np.bincount(_slots(_line_tokens(part, None)[2]), minlength=len(total))
+        give_back()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
@@ -98,7 +104,7 @@ def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(sketch)  # fixed size
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batch.column(1)):
+        for part in K.slices(batch.column(1), SLICE_BYTES):
             doc, number, tokens, first = _line_tokens(part, shared.value)
             if len(doc) == 0:
                 continue
@@ -107,15 +113,19 @@ def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
             out_first = np.concatenate([[0], np.cumsum(size)])
             at = np.repeat(first[:-1] - out_first[:-1], size) + np.arange(out_first[-1])
             bits = np.bitwise_or.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first[:-1])
+            place = tokens >> np.uint64(6)
+            word, bit = place >> np.uint64(6) & np.uint64(SKETCH_WORDS - 1), np.uint64(1) << (place & np.uint64(63))
+            sketch_words = [np.bitwise_or.reduceat(np.where(word == i, bit, np.uint64(0)), first[:-1]) for i in range(SKETCH_WORDS)]
             key = K.set_keys(tokens, first)
             of = pa.array(doc + part.first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(of), batch.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
                  K.key_array(key), pa.array(key[:, 0].view(np.int64)), pa.array(bits.view(np.int64)),
-                 K.list_array(tokens[at].view(np.int64), out_first, pa.int64())],
-                names=[ID, "version", "line", "n", "key", "short", "bits", "prefix"])
+                 *(pa.array(w.view(np.int64)) for w in sketch_words), K.list_array(tokens[at].view(np.int64), out_first, pa.int64())],
+                names=[ID, "version", "line", "n", "key", "short", "bits", *_WORDS, "prefix"])
 
-    return arrow_map(rows, run, f"{ID} long, version long, line int, n int, key binary, short long, bits long, prefix array<long>")
+    words = ", ".join(f"{w} long" for w in _WORDS)
+    return arrow_map(rows, run, f"{ID} long, version long, line int, n int, key binary, short long, bits long, {words}, prefix array<long>")
 
 
 def _token_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -129,7 +139,7 @@ def _token_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if len(batch) == 0:
             return
-        for part in K.slices(batch.column(0).filter(pa.array(in_bitmap(docs, batch.column(1).to_numpy())))):
+        for part in K.slices(batch.column(0).filter(pa.array(in_bitmap(docs, batch.column(1).to_numpy()))), SLICE_BYTES):
             _, _, tokens, first = _line_tokens(part, None)
             key = K.set_keys(tokens, first)
             hit = np.flatnonzero(in_bitmap(lines, key[:, 0])) if len(key) else []
@@ -141,7 +151,16 @@ def _token_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame
                                                  names=["full", "items"])
 
     found = arrow_map(rows.select(TEXT, "version"), run, "full binary, items array<long>")
-    return stored(found.join(wanted.select("key", "full"), "full").dropDuplicates(["full"]).select("key", "items"), "token_sets")
+    out = stored(found.join(wanted.select("key", "full"), "full").dropDuplicates(["full"]).select("key", "items"), "token_sets")
+    release(wanted)
+    return out
+
+
+def _matches(rows: DataFrame, known: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    items = _token_sets(rows, known, pairs)
+    out = stored(verified(pairs, items, percent), name)
+    release(items)
+    return out
 
 
 def _bounds(percent: int) -> str:
@@ -153,17 +172,22 @@ def _bounds(percent: int) -> str:
             f"AND (l.n + r.n - bit_count(l.bits ^ r.bits)) * {100 + percent} >= 2 * {need}")
 
 
-def matched_sets(rows: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (``key, short, place`` = first place) and those that an earlier
-    set matches (``short, by``). A set is known by ``short``, a 64-bit hash, as words are."""
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """The distinct token sets of the lines, with their first places."""
     sets = lines.groupBy("key").agg(
         F.min(F.struct(F.col(ID).alias("doc"), "line", "short", "version")).alias("p"), F.first("n").alias("n"),
-        F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = stored(sets.select("key", F.struct("p.doc", "p.line", "p.short").alias("place"), "p.short", "p.version", "n", "bits", "prefix"), "line_sets")
+        F.first("bits").alias("bits"), *(F.first(w).alias(w) for w in _WORDS), F.first("prefix").alias("prefix"))
+    return stored(sets.select("key", F.struct("p.doc", "p.line").alias("place"), "p.short", "p.version", "n", "bits", *_WORDS, "prefix"), "line_sets")
+
+
+def matched_sets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct sets that an earlier set matches (``short, by``). A set is known by
+    ``short``, a 64-bit hash, as words are."""
     known = sets.select(F.col("short").alias("key"), "short", "version", F.col("key").alias("full"))
     bounds = _bounds(percent)
 
     # each set against the best of the first sets of its tokens
+    sets = sets.withColumn("place", F.struct("place.doc", "place.line", "short"))
     member = F.struct("place", "short", "n", "bits", "i")
     leaders = (sets.select("place", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
                .groupBy("token").agg(F.min(member).alias("r"), F.count("*").alias("c")).where("c > 1"))
@@ -172,7 +196,8 @@ def matched_sets(rows: DataFrame, lines: DataFrame, percent: int) -> tuple[DataF
     led = sets.select("short", "n", "bits", F.posexplode("prefix").alias("i", "token")).alias("l").join(leaders, "token")
     best = stored(led.where(f"l.short <> r.short AND {bounds}").groupBy(F.col("l.short").alias("a")).agg(
         F.min(F.struct(F.expr("bit_count(l.bits ^ r.bits)").alias("h"), F.col("r.short").alias("b")))["b"].alias("b")), "first_pairs")
-    done = stored(verified(best, _token_sets(rows, known, best), percent), "first_matches")
+    release(leaders)
+    done = _matches(rows, known, best, percent, "first_matches")
 
     # sets that are still open against all sets of their tokens: the longer one of a pair
     # has one of its prefix tokens among the few of the shorter one's index prefix
@@ -185,15 +210,20 @@ def matched_sets(rows: DataFrame, lines: DataFrame, percent: int) -> tuple[DataF
     met = (posted.alias("l").join(index.alias("r"), F.expr(
         f"l.token = r.token AND l.short <> r.short AND shiftright(r.no, 1) <= shiftright(l.no, 1) AND (l.no | r.no) % 2 = 1 AND {on}"))
         .select(F.least("l.short", "r.short").alias("x"), F.greatest("l.short", "r.short").alias("y")).distinct())
-    where = sets.select("short", "place")
-    met = (met.join(where.select(F.col("short").alias("x"), F.col("place").alias("px")), "x")
-           .join(where.select(F.col("short").alias("y"), F.col("place").alias("py")), "y"))
+    met_pairs = stored(met, "met_pairs")
+    x, y = (sets.select(F.col("short").alias(a), F.struct("place", "n", *_WORDS).alias(f"s{a}")) for a in "xy")
+    far = " + ".join(f"bit_count(sx.{w} ^ sy.{w})" for w in _WORDS)
+    # more different bits than the tokens of a match can differ in: the tokens are not read
+    met = (met_pairs.join(x, "x").join(y, "y")
+           .where(f"(sx.n + sy.n - ({far})) * {100 + percent} >= {2 * percent} * (sx.n + sy.n)")
+           .select("x", "y", F.col("sx.place").alias("px"), F.col("sy.place").alias("py")))
     pairs = (met.select(F.greatest("px", "py")["short"].alias("a"), F.least("px", "py")["short"].alias("b"))
              .join(done.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti"))
     pairs = stored(pairs, "other_pairs")
-    later = stored(verified(pairs, _token_sets(rows, known, pairs), percent), "other_matches")
-    found = done.union(later).groupBy(F.col("a").alias("short")).agg(F.min("b").alias("by"))
-    return sets.select("key", "short", "place"), found
+    release(best, met_pairs)
+    later = _matches(rows, known, pairs, percent, "other_matches")
+    release(pairs)
+    return done.union(later).groupBy(F.col("a").alias("short")).agg(F.min("b").alias("by"))
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -202,18 +232,24 @@ def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col
     the first places of their matches. ``version`` is a hash of the text, so rows
     that repeat an id with another text are told apart."""
     rows = narrow(docs, id_col, text_col).withColumn("version", F.xxhash64(TEXT))
-    lines = stored(_lines(rows, token_sketch(rows), percent), "lines")
-    sets, found = matched_sets(rows, lines, percent)
+    wide = stored(_lines(rows, token_sketch(rows), percent), "lines")
+    sets = distinct_sets(wide)
+    # from here on only the places of the lines are needed
+    lines = stored(wide.select("key", ID, "version", "line"), "line_places")
+    release(wide)
+    found = matched_sets(rows, sets, percent)
     origin = sets.select(F.col("short").alias("by"), F.col("place.doc").alias("by_doc"))
     known = (sets.join(found, "short", "left").join(origin, "by", "left")
              .select("key", "place", F.col("by").isNotNull().alias("late"),
                      F.when(F.col("by").isNull(), F.col("place.doc")).otherwise(F.col("by_doc")).alias("by_doc")))
     repeated = lines.groupBy("key").agg(F.count("*").alias("c"))
     known = known.join(repeated, "key").where("c > 1 OR late").drop("c")
-    gone = (lines.select("key", ID, "version", "line", "short").join(known, "key")
-            .where(F.col("late") | ~F.struct(F.col(ID).alias("doc"), "line", "short").eqNullSafe(F.col("place"))))
-    return gone.groupBy(ID, "version").agg(F.array_sort(F.collect_set("line")).alias("lines"),
-                                           F.array_sort(F.collect_set("by_doc")).alias("seen_in"))
+    gone = (lines.join(known, "key")
+            .where(F.col("late") | ~F.struct(F.col(ID).alias("doc"), "line").eqNullSafe(F.col("place"))))
+    out = stored(gone.groupBy(ID, "version").agg(F.array_sort(F.collect_set("line")).alias("lines"),
+                                                 F.array_sort(F.collect_set("by_doc")).alias("seen_in")), "dropped_lines")
+    release(lines, sets)
+    return out
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -225,7 +261,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col: s
     order of lines is by doc_id (nulls first), then line number; rows that repeat
     both id and text share one decision. Input columns of the added names are
     replaced. An empty table gives no rows."""
-    gone = stored(dropped_lines(docs, percent, id_col, text_col), "dropped_lines").select(
+    gone = dropped_lines(docs, percent, id_col, text_col).select(
         F.col(ID).alias("__id"), F.col("version").alias("__version"), F.col("lines").alias("__lines"), F.col("seen_in").alias("__seen"))
     names = [c for c in docs.columns if c not in ("dropped_lines", "seen_in")]
     body = F.col(text_col).cast("string")
