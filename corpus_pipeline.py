@@ -17,14 +17,19 @@ from posttrain.llm.common import split_no
 from posttrain.session import checkpoint_dir, ship_package, table
 
 
+#: A language that gets less than this of all the machines' shares is not identified.
+LEAST_SCORE = 0.25
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without a language (no letter, null text) go."""
+    """Operator 4: documents without a language (null text, no letter) go, and those
+    whose best language gets a score below ``LEAST_SCORE``."""
     model = language_id.fit(docs.where((split_no("doc_id", 4) != 2) & F.col("lang").isNotNull()))
-    found = (language_id.predict(docs, model).where(F.col("lang_pred") == language_id.UNKNOWN)
-             .select(F.col("doc_id").alias("__id")).distinct())
-    # only rows without a letter can be rejected, so the text decides between rows of one id
-    none = F.col("doc_id").eqNullSafe(F.col("__id")) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    return docs.join(found, none, "left_anti")
+    told = language_id.tagged(docs, model)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    if model is None:  # nothing to learn from: only texts without a letter go
+        known = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+    return told.where(known).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: ids of each text, with the digests of ids and decoded bytes."""
-    return (bpe.decode(bpe.encode(docs))
+    return (bpe.encode_and_decode(docs)
             .select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")))
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posttrain.llm.common import ID, TEXT, arrow_map, narrow
+from posttrain.llm.common import ID, TEXT, arrow_map, give_back, narrow
 
 CACHE_UNITS = 250_000
 #: Bytes of the texts that are handled together (a longer text: alone).
@@ -177,6 +177,32 @@ def _groups(size: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _encoded(batch: pa.RecordBatch, codec: "Codec") -> Iterator[pa.RecordBatch]:
+    """Id and text to id, token ids and, with offsets, token ends."""
+    texts = batch.column(1).fill_null("")
+    for a, b in _groups(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)):
+        ids, first, ends = codec.encode(texts.slice(a, b - a).to_pylist())
+        rows = pa.array(first.astype(np.int32))
+        cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(rows, pa.array(ids))]
+        names = [ID, "ids"]
+        if codec.offsets:
+            cols.append(pa.ListArray.from_arrays(rows, pa.array(ends)))
+            names.append("token_ends")
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _decoded(batch: pa.RecordBatch, codec: "Codec", at: int) -> Iterator[pa.RecordBatch]:
+    """The batch with the bytes of the ids in column ``at``."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    for a, b in _groups(lengths.astype(np.int64) * 4):
+        part = batch.slice(a, b - a)
+        lists = part.column(at).fill_null([])
+        first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        data, bounds = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first)
+        out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*batch.schema.names, "decoded"])
+
+
 def encode(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, offsets: bool = False,
            path: str | None = None) -> DataFrame:
     """``doc_id, ids array<int>`` (and ``token_ends array<int>``, character
@@ -187,17 +213,7 @@ def encode(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, offsets: boo
     path = path or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec = Codec.at(path, offsets)
-        texts = batch.column(1).fill_null("")
-        for a, b in _groups(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)):
-            ids, first, ends = codec.encode(texts.slice(a, b - a).to_pylist())
-            rows = pa.array(first.astype(np.int32))
-            cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(rows, pa.array(ids))]
-            names = [ID, "ids"]
-            if offsets:
-                cols.append(pa.ListArray.from_arrays(rows, pa.array(ends)))
-                names.append("token_ends")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        yield from _encoded(batch, Codec.at(path, offsets))
 
     return arrow_map(narrow(docs, id_col, text_col), run,
                      f"{ID} long, ids array<int>" + (", token_ends array<int>" if offsets else ""))
@@ -211,19 +227,28 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec = Codec.at(path, False)
-        lengths = pc.fill_null(pc.list_value_length(batch.column(names.index(ids_col))), 0).to_numpy(zero_copy_only=False)
-        for a, b in _groups(lengths.astype(np.int64) * 4):
-            part = batch.slice(a, b - a)
-            lists = part.column(names.index(ids_col)).fill_null([])
-            first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            data, bounds = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first)
-            out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*names, "decoded"])
+        yield from _decoded(batch, Codec.at(path, False), names.index(ids_col))
 
     return arrow_map(encoded.select(*names), run, schema)
 
 
+def encode_and_decode(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, path: str | None = None) -> DataFrame:
+    """``doc_id, ids, decoded`` as ``decode(encode(docs))``, in one Python worker a task.
+    The pieces that a task has met are dropped at its end, for jobs that go on to
+    other work on the same executors."""
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.at(path, False)
+        for batch in batches:
+            for part in _encoded(batch, codec):
+                yield from _decoded(part, codec, 1)
+        codec._reset()
+        give_back()
+
+    return narrow(docs, id_col, text_col).mapInArrow(run, f"{ID} long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """``n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows."""
     return decoded.select(

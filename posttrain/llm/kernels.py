@@ -64,7 +64,7 @@ class Slice:
         return len(self.offsets) - 1
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[Slice]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if len(texts) == 0:
@@ -76,6 +76,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = end if rows is None else min(end, at + rows)
         yield Slice(data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at], at)
         at = end
 

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from posttrain.llm import kernels as K
-from posttrain.llm.common import ID, TEXT, arrow_map, narrow
+from posttrain.llm.common import ID, TEXT, arrow_map, narrow, ship_package
 
 #: Families of related languages; a language that is not listed is its own family.
 FAMILIES = {
@@ -29,6 +30,8 @@ FAMILIES = {
     "turkic": "az kk ky tr uz",
 }
 UNKNOWN = "und"
+#: Texts whose features are held at once (16 KB each).
+SLICE_ROWS = 128
 TRIGRAM_BITS, WORD_BITS = 11, 11
 DIMS = (1 << TRIGRAM_BITS) + (1 << WORD_BITS)
 
@@ -151,7 +154,7 @@ def fit(labelled: DataFrame, id_col: str = ID, text_col: str = TEXT, lang_col: s
     pick = F.pmod(F.xxhash64(F.lit(4), F.col(ID)), F.lit(1 << 30)) / (1 << 30)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batch.column(1)):
+        for part in K.slices(batch.column(1), rows=SLICE_ROWS):
             x = features(part)
             rows_ = batch.column(2).slice(part.first, len(part))
             flat = pa.array(x.ravel(), pa.float32())
@@ -164,19 +167,39 @@ def fit(labelled: DataFrame, id_col: str = ID, text_col: str = TEXT, lang_col: s
     return Model(np.stack(got["x"].to_numpy()).astype(np.float32), got["lang"].to_numpy(object), families or FAMILIES)
 
 
+def _told(texts: pa.Array, model: Model | None) -> Iterator[tuple[K.Slice, np.ndarray, np.ndarray]]:
+    """Language and score of each text, slice by slice."""
+    for part in K.slices(texts, rows=SLICE_ROWS):
+        lettered = np.array([has_letter(t) for t in texts.slice(part.first, len(part)).to_pylist()], bool)
+        lang, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
+        if model is not None and lettered.any():
+            lang[lettered], score[lettered] = model.predict(features(part)[lettered])
+        yield part, lang, score
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """``doc_id, lang_pred, score`` per input row. ``und`` with score 0 for a text
     that is null or has no letter, and for every text without a model. Repeated
     rows get equal results; an empty table gives none; other columns are ignored."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batch.column(1)):
-            ids = batch.column(0).slice(part.first, len(part))
-            texts = batch.column(1).slice(part.first, len(part)).to_pylist()
-            lettered = np.array([has_letter(t) for t in texts], bool)
-            lang, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
-            if model is not None and lettered.any():
-                got, s = model.predict(features(part)[lettered])
-                lang[lettered], score[lettered] = got, s
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score)], names=[ID, "lang_pred", "score"])
+        for part, lang, score in _told(batch.column(1), model):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(lang, pa.string()), pa.array(score)],
+                                             names=[ID, "lang_pred", "score"])
 
     return arrow_map(narrow(docs, id_col, text_col), run, f"{ID} long, lang_pred string, score double")
+
+
+def tagged(docs: DataFrame, model: Model | None, text_col: str = TEXT) -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred`` and ``score`` as in ``predict`` (columns of
+    these names are replaced), in one pass and without a join."""
+    ship_package(docs.sparkSession)
+    rows = docs.drop("lang_pred", "score")
+    at = rows.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part, lang, score in _told(batch.column(at), model):
+            own = [c.slice(part.first, len(part)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+
+    more = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return arrow_map(rows, run, StructType([*rows.schema.fields, *more.fields]))
