@@ -4,12 +4,14 @@ Base kinds are regular expressions over the whole text. The method adds spans of
 kind ``novel``: a long token after a sensitive word is a candidate; its novelty is
 the number of bytes it adds to a zstandard frame that is primed with a dictionary
 of identifiers and already holds the text around it. A name, a path or a repeated
-string costs little; a random string costs about its own length, and is reported.
-Rows are independent, so there is no shuffle."""
+string costs little; a random string costs what any string of its length over its own
+characters costs at that place, and is reported. Rows are independent, so there is no
+shuffle."""
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -34,7 +36,11 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile("|".join(_either_case(w) for w in (
     "password", "passwd", "secret", "token", "key", "credential", "auth", "bearer", "private", "login", "signature")))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
-MIN_CHARS, REACH, AROUND, NOVELTY = 16, 40, 200, 0.8
+MIN_CHARS, REACH, AROUND = 16, 40, 200
+#: A token is novel if it adds ``NOVELTY`` of the bytes that random strings over its own
+#: characters add (the mean of ``REFERENCES``), and ``LEAST`` bytes a byte: random hex
+#: digits, the smallest alphabet of a secret, add 0.5 at any length.
+NOVELTY, REFERENCES, LEAST = 0.95, 4, 0.45
 
 #: Identifiers that prime the dictionary.
 IDENTIFIERS = (
@@ -63,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Novelty:
-    """Marginal compressed bytes per byte, against identifiers and surroundings."""
+    """Marginal compressed bytes of a token, against identifiers and surroundings."""
 
     def __init__(self, identifiers: str = IDENTIFIERS):
         import zstandard
@@ -71,15 +77,24 @@ class Novelty:
         self.compress = zstandard.ZstdCompressor(
             level=19, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def __call__(self, text: str, start: int, end: int) -> float:
+    def is_novel(self, text: str, start: int, end: int) -> bool:
         around = (text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]).encode()
-        found = text[start:end].encode()
-        return (len(self.compress(around + found)) - len(self.compress(around))) / len(found)
+        token = text[start:end]
+        before = len(self.compress(around))
+        added = len(self.compress(around + token.encode())) - before
+        if added < LEAST * len(token):
+            return False
+        # the same strings for the same token, on every machine
+        letters, draw = sorted(set(token)), random.Random(token)
+        usual = sum(len(self.compress(around + "".join(draw.choices(letters, k=len(token))).encode())) - before for _ in range(REFERENCES))
+        return added * REFERENCES >= NOVELTY * usual
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible tokens after a sensitive word that no base span touches.
-    They have digits and letters and start within ``REACH`` characters."""
+    They have digits and letters and start within ``REACH`` characters. Of spans that
+    overlap (a token after or around several sensitive words) the longest stays: words
+    are taken in order, so it comes first."""
     out, seen = [], set()
     for word in SENSITIVE.finditer(text):
         at = word.end()
@@ -87,11 +102,11 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty)
             if m.start() > at + REACH:
                 break
             s, e = m.span()
-            if e - s < MIN_CHARS or s in seen or any(a < e and s < b for a, _, b in taken):
+            if e - s < MIN_CHARS or s in seen or (out and s < out[-1][2]) or any(a < e and s < b for a, _, b in taken):
                 continue
             seen.add(s)
             token = m[0]
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and novelty(text, s, e) >= NOVELTY:
+            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and novelty.is_novel(text, s, e):
                 out.append((s, 3, e))
     return out
 

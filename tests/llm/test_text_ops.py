@@ -131,6 +131,35 @@ def test_novelty_tells_random_strings_from_names():
     assert secret_scan.novel_spans(copied, [], novelty) == []
 
 
+ALPHABETS = {"upper hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+             "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+@pytest.mark.parametrize("name", list(ALPHABETS))
+@pytest.mark.parametrize("size", [20, 32, 48, 128, 256, 2048])
+def test_random_tokens_are_found_at_any_length(name, size):
+    rng, novelty, found = np.random.default_rng(size), secret_scan.Novelty(), 0
+    for _ in range(40):
+        token = "".join(rng.choice(list(ALPHABETS[name]), size))
+        text = f"the gateway wants a bearer {token} for all of its calls, as the manual of the service says"
+        found += [text[s:e] for s, _, e in secret_scan.novel_spans(text, [], novelty)] == [token]
+    assert found >= 36
+
+
+def test_structured_tokens_are_not_novel():
+    novelty = secret_scan.Novelty()
+    for token in ("a" * 40 + "1", "ab1" * 12, "x1" * 40, "abcdefghijklmnop0123456789", "authorization_session_manager2", "00000000000000000000000000a1"):
+        assert secret_scan.novel_spans(f"the private key is {token} here", [], novelty) == []
+
+
+def test_a_token_after_two_sensitive_words_is_one_span():
+    novelty = secret_scan.Novelty()
+    text = "set secretkeyA7fWq2Hs9Jd4Ug6Nc1Xo8Ri3Bp5 now; bearer token Zx81Qw9LmR47TbVy20PkcE"
+    spans = secret_scan.novel_spans(text, [], novelty)
+    assert len(spans) == 2 and spans[0][2] == text.index(" now") and text[spans[1][0]:spans[1][2]] == "Zx81Qw9LmR47TbVy20PkcE"
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_secret_edges(odd, nothing):
     rows = secret_scan.scan(odd).collect()
     assert len(rows) == len(ODD) and all(r["kinds"] == [] for r in rows)
