@@ -1,7 +1,9 @@
 """Toxicity by weak supervision (operator 3).
 
 1. A lexicon is learned from a bounded sample of labelled rows (document counts
-   per word and label, summed by Spark).
+   per word and label, summed by Spark). Every word that passes the tests is in it:
+   the first ``SINGLE_WORDS`` and the seed words have a count each, all others share
+   ``WORD_BINS`` counts by hash.
 2. Voters read every whole text: each lexicon group fires or abstains; pattern
    voters look at the number, the share and the variety of lexicon words, at
    shouting and at exclamation.
@@ -26,7 +28,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from posttrain.llm import kernels as K
 from posttrain.llm.common import ID, TEXT, arrow_map, bounded_sample, log_odds_fit, narrow, stored
 
-MAX_LABELLED, MAX_TRAIN, MAX_WORDS, GROUPS = 20_000, 20_000, 40, 8
+MAX_LABELLED, MAX_TRAIN, GROUPS = 20_000, 20_000, 8
+SINGLE_WORDS, WORD_BINS = 40, 16
 #: Words every lexicon starts with; learned words come on top.
 SEED_WORDS = "idiot moron stupid scum loser pathetic worthless disgusting trash bastard bitch retard dumb filthy".split()
 _A_Z, _a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,18 +42,25 @@ PATTERNS = ("several_words", "dense", "varied", "shouting", "exclaiming")
 
 
 class Lexicon:
-    def __init__(self, words: list[str]):
-        raw = [w.encode() for w in words]
+    """``single`` words have a column each; ``binned`` ones share ``WORD_BINS`` columns
+    behind them."""
+
+    def __init__(self, single: list[str], binned: list[str] = ()):
+        raw = [w.encode() for w in (*single, *binned)]
         ends = np.cumsum([len(b) for b in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
         hashes = K.span_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
         order = np.argsort(hashes)
-        self.words, self.sorted, self.column = words, hashes[order], order
+        column = np.arange(len(raw))
+        column[len(single):] = len(single) + (hashes[len(single):] % np.uint64(WORD_BINS)).astype(np.int64)
+        self.words, self.sorted, self.column = [*single, *binned], hashes[order], column[order]
+        self.width = len(single) + (WORD_BINS if binned else 0)
 
 
-def learn_lexicon(labelled: DataFrame, limit: int = MAX_WORDS) -> Lexicon:
-    """Seed words, then words whose document counts differ most between the labels
-    (z of the smoothed log odds), from ``doc_id, text, y`` rows."""
+def learn_lexicon(labelled: DataFrame) -> Lexicon:
+    """Seed words and all words whose document counts differ between the labels (z of
+    the smoothed log odds), from ``doc_id, text, y`` rows. Their number is bounded by
+    the sample: each stands in five of its positive rows at least."""
     rows = bounded_sample(labelled, ID, MAX_LABELLED, 3)
     words = (rows.select("y", F.explode(F.array_distinct(F.split(F.translate(F.coalesce(TEXT, F.lit("")), _A_Z, _a_z), _NOT_LETTERS))).alias("word"))
              .where("word <> ''").groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
@@ -58,15 +68,17 @@ def learn_lexicon(labelled: DataFrame, limit: int = MAX_WORDS) -> Lexicon:
     odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     best = (words.where("pos >= 5").withColumn("odds", odds).withColumn("z", z).where("z >= 4 AND odds >= 1.5")
-            .orderBy(F.desc("z"), "word").limit(limit).collect())  # a top-k report of fixed size
-    return Lexicon(list(dict.fromkeys([r["word"] for r in best] + SEED_WORDS)))
+            .orderBy(F.desc("z"), "word").select("word").collect())
+    learned = [r["word"] for r in best]
+    single = list(dict.fromkeys(learned[:SINGLE_WORDS] + SEED_WORDS))
+    return Lexicon(single, [w for w in learned[SINGLE_WORDS:] if w not in SEED_WORDS])
 
 
 def measures(part: K.Slice, lexicon: Lexicon) -> np.ndarray:
-    """Per document: counts of the lexicon words, then the number of words, the
+    """Per document: counts of the lexicon's columns, then the number of words, the
     share of upper-case bytes and the share of exclamation marks."""
     n, size = len(part), np.diff(part.offsets)
-    width = len(lexicon.words)
+    width = lexicon.width
     out = np.zeros((n, width + 3))
     if len(part.data) == 0:
         return out
@@ -74,7 +86,7 @@ def measures(part: K.Slice, lexicon: Lexicon) -> np.ndarray:
     w = K._runs(_LETTER[data], part.offsets)
     of = np.repeat(np.arange(n), np.diff(w.first))
     hashes = K.span_hashes(data, w.starts, w.ends)
-    at = np.minimum(np.searchsorted(lexicon.sorted, hashes), width - 1)
+    at = np.minimum(np.searchsorted(lexicon.sorted, hashes), len(lexicon.sorted) - 1)
     hit = lexicon.sorted[at] == hashes
     out[:, :width] = np.bincount(of[hit] * width + lexicon.column[at[hit]], minlength=n * width).reshape(n, width)
     out[:, width] = np.diff(w.first)
@@ -85,7 +97,7 @@ def measures(part: K.Slice, lexicon: Lexicon) -> np.ndarray:
 
 
 def votes(m: np.ndarray) -> np.ndarray:
-    """One column per voter, 1 where it fires: lexicon groups (words dealt round by
+    """One column per voter, 1 where it fires: lexicon groups (columns dealt round by
     rank), then ``PATTERNS``."""
     width = m.shape[1] - 3
     counts, words = m[:, :width], m[:, width]
@@ -163,7 +175,7 @@ class LabelModel:
 
 def _measured(docs: DataFrame, lexicon: Lexicon, *extra: str) -> DataFrame:
     """``doc_id, m array<double>`` and the extra columns, per input row."""
-    width = len(lexicon.words) + 3
+    width = lexicon.width + 3
     schema = docs.select(ID, *extra).schema.add("m", ArrayType(DoubleType()))
     text_at = docs.columns.index(TEXT)
 
@@ -202,7 +214,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = ID, text_col
              .where("y IS NOT NULL").groupBy(ID).agg(F.max("y").alias("y")))
     picked = bounded_sample(known, ID, MAX_LABELLED, 3)
     lexicon = learn_lexicon(rows.join(picked, ID).select(ID, TEXT, "y"))
-    width = len(lexicon.words) + 3
+    width = lexicon.width + 3
     measured = stored(_measured(rows, lexicon), "toxicity_measures")
 
     def patterns(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -244,6 +244,23 @@ def test_toxicity_edges(spark, odd, nothing):
     assert scored.count() == len(ODD)
 
 
+def test_toxicity_uses_words_beyond_the_single_ones(spark):
+    spell = lambda i: "".join("bcdfghjklm"[int(d)] + "aeiou"[int(d) % 5] for d in f"{i:03d}")
+    bad, plain = [spell(i) + "x" for i in range(120)], [spell(i) for i in range(300)]
+    rng, rows = np.random.default_rng(5), []
+    for i in range(3600):
+        toxic = int(i % 6 == 0)
+        words = list(rng.choice(plain, 12)) + [bad[(i // 6 + 17 * k) % 120] for k in range(6)] * toxic
+        rows.append((i, " ".join(rng.permutation(words)), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    probes = docs.select("doc_id", "text").union(spark.createDataFrame(
+        [(10_000 + i, " ".join(plain[:10]) + f" {w} {w}") for i, w in enumerate(bad)] + [(20_000, " ".join(plain[:12]))], "doc_id long, text string"))
+    scored, model = toxicity.fit_and_score(probes, docs.select("doc_id", "toxic"))
+    assert set(bad) <= set(model.lexicon.words) and model.lexicon.width == toxicity.SINGLE_WORDS + len(toxicity.SEED_WORDS) + toxicity.WORD_BINS
+    score = {r["doc_id"]: r["score"] for r in scored.where("doc_id >= 10000").collect()}
+    assert score[20_000] < 0.1 and all(score[10_000 + i] > 0.5 for i in range(len(bad)))
+
+
 def test_label_model_recovers_accuracies_and_correlation():
     rng = np.random.default_rng(2)
     n, voters = 40_000, toxicity.GROUPS + len(toxicity.PATTERNS)
