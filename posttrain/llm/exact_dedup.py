@@ -9,8 +9,10 @@
 4. Full hashes are grouped; the largest id of each group stays.
 
 All grouping is by hash aggregation with partial sums before the shuffle; a group
-of a third of all rows costs one row per task. The last join carries two hashes
-per row and lets Spark split a skewed group (its small side has one row a group).
+of a third of all rows costs one row per task. The last join, which carries two hashes
+per row, meets no hot key: groups that hold ``1 / HOT_GROUPS`` of all repeated rows or
+more, of which there are ``HOT_GROUPS`` at most, are broadcast, and rows that need no
+group are spread by their id.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from posttrain.llm.common import ID, TEXT, narrow, stored
 
 #: Bits of the survivors' bitmap: 2^23 bits are 1 MB, whatever the input.
 FILTER_BITS = 23
+HOT_GROUPS = 256
 _ROW_BITS = 15  # bits of one bitmap row: what bitmap_construct_agg makes
 
 
@@ -57,10 +60,19 @@ def exact_dedup(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, prefix_
     sha = F.sha2(TEXT, 256)
     full = stored(marked.select(ID, "len", "head", sha.alias("digest") if with_sha else F.when(F.col("alive"), sha).alias("digest"), "alive"), "digests")
 
-    same = (full.where("alive").groupBy("len", "digest")
-            .agg(F.max(ID).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
-    out = full.join(same, ["len", "digest"], "left")
-    return out.select(
-        ID, F.coalesce("keep_id", ID).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col(ID).eqNullSafe(F.coalesce("keep_id", ID)).alias("kept"), "digest")
+    same = stored(full.where("alive").groupBy("len", "digest")
+                  .agg(F.max(ID).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    repeated = same.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    hot = F.col("group_size") * HOT_GROUPS >= repeated
+    few = same.where(hot).select("len", "digest", F.struct("keep_id", "group_size").alias("hot"))
+    rest = same.where(~hot).select(F.col("len").alias("key_len"), F.col("digest").alias("key"), F.struct("keep_id", "group_size").alias("rest"))
+    asks = F.col("hot").isNull() & F.col("alive")
+    found = (full.join(F.broadcast(few), ["len", "digest"], "left")
+             .withColumn("key", F.when(asks, F.col("digest")).otherwise(F.col(ID).cast("string")))
+             .withColumn("key_len", F.when(asks, F.col("len")).otherwise(F.lit(-1)))
+             .join(rest, ["key_len", "key"], "left"))
+    group = F.coalesce("hot", "rest")
+    keep = F.when(group.isNull(), F.col(ID)).otherwise(group["keep_id"])
+    return found.select(
+        ID, keep.alias("keep_id"), F.coalesce(group["group_size"], F.lit(1)).cast("long").alias("group_size"),
+        F.col(ID).eqNullSafe(keep).alias("kept"), "digest")
