@@ -136,7 +136,9 @@ FROM cap c LEFT JOIN got g ON c.page_id = g.page_id
 
 @_query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+    found = minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+    # by id alone: the operator's own choice among texts of one id is in kept_version
+    return found.withColumnRenamed("kept", "kept_version").withColumn("kept", F.col(ID).eqNullSafe(F.col("component_id")))
 
 
 @_query

@@ -273,6 +273,24 @@ def test_exact_dedup_brute_force(corpus):
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()} == want
 
 
+def test_exact_dedup_many_groups_and_one_hot_group(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(1200)] + [(i, "hot") for i in range(2000, 4000)] + [(i, f"alone {i}") for i in range(5000, 5300)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    want = {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == want
+
+
+def test_near_dedup_query_keeps_every_row_whose_id_names_the_component(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(7, long + " a"), (7, long + " b"), (9, long), (11, "other words here")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "documents", lambda *_: df)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in queries.op1_near_dedup(spark, "").collect())
+    assert got == [(7, 7, True), (7, 7, True), (9, 7, False), (11, 11, True)]
+
+
 # --- operator 6
 
 def _lines_to_drop(rows):
