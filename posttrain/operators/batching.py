@@ -195,6 +195,42 @@ def collate_info(df: DataFrame, batch_col: str, cols: list[str], seq_col: str =
     return per.select(batch_col, *[field(c) for c in cols])
 
 
+#: Variant types by their kind; the precision of a decimal and the fields of an object do not count.
+_KINDS = {"BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float", "STRING": "str", "BOOLEAN": "bool",
+          "VOID": "null", "ARRAY": "list", "OBJECT": "map"}
+
+
+def collate_typed_info(df: DataFrame, batch_col: str, order_col: str, info_col: str) -> DataFrame:
+    """A22 over info objects (JSON text whose values may have any type): one row per
+    batch and key of the batch's first row, ``key, kind, numbers, texts, error``.
+
+    ``numbers`` holds the values in row order where all of them are numbers or
+    booleans, ``texts`` their JSON text otherwise. The values of a key must have one
+    kind, that of the first row (booleans count as integers behind an integer), and
+    every row must have the key; else ``error`` says so and there are no values. Keys
+    that the first row lacks are left out. Malformed or null info has no keys. Rows of a
+    batch differ in ``order_col``. One grouping by batch and key, one by batch; both
+    are bounded by the batch."""
+    rows = df.select(F.col(batch_col).alias("__b"), F.col(order_col).alias("__o"), F.try_parse_json(info_col).alias("__v"))
+    entries = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__v").outer())).where(F.col("key").isNotNull())
+    kinds = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
+    kind = kinds[F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)]
+    entry = F.struct(F.col("__o").alias("o"), kind.alias("kind"), F.to_json("value").alias("text"),
+                     F.expr("try_variant_get(value, '$', 'double')").alias("number"))
+    per_key = entries.select("__b", "key", entry.alias("e")).groupBy("__b", "key").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    per_batch = rows.groupBy("__b").agg(F.count("*").alias("n"), F.min("__o").alias("first"))
+    d = per_key.join(per_batch, "__b").where(F.col("es")[0]["o"].eqNullSafe(F.col("first"))).withColumn("kind", F.col("es")[0]["kind"])
+    fits = lambda e: (e["kind"] == F.col("kind")) | ((F.col("kind") == "int") & (e["kind"] == "bool"))
+    found = F.array_join(F.array_sort(F.array_distinct(F.transform("es", lambda e: e["kind"]))), ", ")
+    error = (F.when(F.size("es") < F.col("n"), F.concat(F.lit("missing in "), (F.col("n") - F.size("es")).cast("string"), F.lit(" rows")))
+             .when(~F.forall("es", fits), F.concat(F.lit("inconsistent types: "), found)))
+    numeric = F.col("kind").isin("int", "float", "bool")
+    d = d.withColumn("error", error)
+    return d.select(F.col("__b").alias(batch_col), "key", "kind",
+                    F.when(F.col("error").isNull() & numeric, F.transform("es", lambda e: e["number"])).alias("numbers"),
+                    F.when(F.col("error").isNull() & ~numeric, F.transform("es", lambda e: e["text"])).alias("texts"), "error")
+
+
 def merge_batches(frames: list[DataFrame], pad_cols: dict[str, object], batch_col: str = "batch_id") -> DataFrame:
     """A19 over rows: concatenate batches (columns unioned, missing ones null), right
     pad array columns to the merged batch's longest, each with its own value."""

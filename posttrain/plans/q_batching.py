@@ -245,6 +245,29 @@ def q_collate_info(spark, sf):
                                                                     F.col("turn").alias("turns"))
 
 
+@query("collate_typed_info", """
+, e AS (SELECT event_id // 4 AS batch_id, event_id, replace(props, '}', CASE event_type
+    WHEN 'error' THEN ', "score": "low"}' WHEN 'view' THEN '}' ELSE ', "score": ' || CAST(value AS VARCHAR) || '}' END) AS info FROM events),
+x AS (SELECT batch_id, event_id, key, json_type(info, '$."' || key || '"') AS jt, json_extract_string(info, '$."' || key || '"') AS v
+  FROM (SELECT *, unnest(json_keys(info)) AS key FROM e)),
+y AS (SELECT *, CASE WHEN jt IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN jt = 'DOUBLE' THEN 'float' ELSE 'str' END AS kind FROM x),
+n AS (SELECT batch_id, count(*) AS n, min(event_id) AS first FROM e GROUP BY batch_id),
+g AS (SELECT batch_id, key, count(*) AS c, min(event_id) AS o, arg_min(kind, event_id) AS kind, count(DISTINCT kind) AS kinds,
+    string_agg(DISTINCT kind, ', ' ORDER BY kind) AS told, string_agg(CAST(TRY_CAST(v AS DOUBLE) AS VARCHAR), ',' ORDER BY event_id) AS nums,
+    string_agg('"' || v || '"', ',' ORDER BY event_id) AS strs FROM y GROUP BY batch_id, key)
+SELECT g.batch_id, key, kind, CASE WHEN c = n AND kinds = 1 THEN CASE WHEN kind = 'str' THEN strs ELSE nums END END AS vals,
+  CASE WHEN c < n THEN 'missing in ' || (n - c) || ' rows' WHEN kinds > 1 THEN 'inconsistent types: ' || told END AS error
+FROM g JOIN n ON n.batch_id = g.batch_id AND o = first""")
+def q_collate_typed_info(spark, sf):
+    """A22 with its type check: four events to a batch; scores are numbers, words or missing."""
+    score = (F.when(F.col("event_type") == "error", ', "score": "low"}').when(F.col("event_type") == "view", "}")
+             .otherwise(F.concat(F.lit(', "score": '), F.col("value").cast("string"), F.lit("}"))))
+    e = table(spark, sf, "events").select((F.col("event_id") / 4).cast("long").alias("batch_id"), "event_id",
+                                          F.replace("props", F.lit("}"), score).alias("info"))
+    d = bt.collate_typed_info(e, "batch_id", "event_id", "info")
+    return d.select("batch_id", "key", "kind", F.array_join(F.coalesce(F.col("numbers").cast("array<string>"), "texts"), ",").alias("vals"), "error")
+
+
 @query("all_gather", _SEQ + """,
 p AS (SELECT sample_id, CAST(seq % 7 AS INT) AS rank, seq // 7 AS local_idx,
         CAST(ceil((SELECT count(*) FROM s) / 7.0) AS BIGINT) AS ns FROM s)

@@ -225,3 +225,18 @@ def test_a_run_that_dies_before_its_commit_is_done_again(spark, tmp_path):
     assert rows(whole) == rows(parts) and len(rows(whole)) == 200
     assert st.run_steps(samples, parts, "sample_id", replicas=2, per_rank=5, episodes=2, seed=3)  # nothing is left to do
     assert rows(parts) == rows(whole)
+
+
+def test_typed_info_is_checked_by_batch(spark):
+    from posttrain.operators import batching as bt
+    rows = [("a", 1, '{"n": 1, "s": "x", "f": 1.5, "o": {"z": 1}, "l": [1], "e": null}'), ("a", 2, '{"n": true, "s": "y", "f": 2e0, "o": {}, "l": [], "e": null, "later": 1}'),
+            ("b", 1, '{"n": true, "m": 1}'), ("b", 2, '{"n": 1, "m": 1.0}'), ("c", 1, '{"n": 7}'), ("c", 2, "broken"), ("c", 3, None),
+            ("d", 1, None), ("d", 2, '{"n": 7}')]
+    d = spark.createDataFrame(rows, "b string, o int, info string")
+    got = {(r["b"], r["key"]): (r["kind"], r["numbers"], r["texts"], r["error"]) for r in bt.collate_typed_info(d, "b", "o", "info").collect()}
+    assert got == {
+        ("a", "n"): ("int", [1.0, 1.0], None, None), ("a", "s"): ("str", None, ['"x"', '"y"'], None),
+        ("a", "f"): ("float", [1.5, 2.0], None, None), ("a", "o"): ("map", None, ['{"z":1}', "{}"], None),
+        ("a", "l"): ("list", None, ["[1]", "[]"], None), ("a", "e"): ("null", None, ["null", "null"], None),
+        ("b", "n"): ("bool", None, None, "inconsistent types: bool, int"), ("b", "m"): ("int", None, None, "inconsistent types: float, int"),
+        ("c", "n"): ("int", None, None, "missing in 2 rows")}
