@@ -82,20 +82,22 @@ _R2_STATE = "items array<long>, appends long, step long"
 
 def fifo_buffer(stream: DataFrame, limit: int, appends_per_step: int, run_col: str = "run",
                 id_col: str = "sample_id", batch_col: str = "batch_id") -> DataFrame:
-    """R2 (+O6): each micro-batch appends its samples; over ``limit`` the
+    """R2 (+O6): each generation batch appends its samples; over ``limit`` the
     oldest are evicted; after ``appends_per_step`` appends a training step
-    consumes the buffer (emitted) and it is cleared."""
+    consumes the buffer (emitted) and it is cleared. The generation batches of one
+    micro-batch are taken one by one."""
     def step(key, pdfs, state):
         items, appends, stp = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values([batch_col, id_col])
-        items += [int(x) for x in batch[id_col]]
-        if limit > 0 and len(items) > limit:
-            items = items[len(items) - limit:]
-        appends += 1
         out = []
-        if appends >= appends_per_step:
-            out = [(key[0], stp, x) for x in items]
-            items, appends, stp = [], 0, stp + 1
+        for _, b in batch.groupby(batch_col, sort=True, dropna=False):
+            items += [int(x) for x in b[id_col]]
+            if limit > 0 and len(items) > limit:
+                items = items[len(items) - limit:]
+            appends += 1
+            if appends >= appends_per_step:
+                out += [(key[0], stp, x) for x in items]
+                items, appends, stp = [], 0, stp + 1
         state.update((items, appends, stp))
         yield pd.DataFrame(out, columns=["run", "step", "sample_id"])
 

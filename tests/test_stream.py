@@ -94,3 +94,14 @@ def test_resume_processes_only_new_files(spark):
     final = {r.datasource: (r["count"], r.passed) for r in spark.read.parquet(f"{root}/out").collect()}
     assert sum(c for c, _ in final.values()) == 20
     assert final == {"a": (8, 4), "b": (12, 4)}
+
+
+def test_fifo_buffer_takes_the_batches_of_one_file_one_by_one(spark):
+    schema = "run long, batch_id long, group_id long, sample_id long, datasource string, reward double, score double"
+    rows = [(0, b, b, b * 10 + i, "a", 0.0, 0.5) for b in range(6) for i in range(5)]
+    root = _root(spark, "fb")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/in")
+    out = st.fifo_buffer(st.rollout_stream(spark, f"{root}/in", schema), limit=7, appends_per_step=2)
+    st.run_to_parquet(out, "fb", f"{root}/out", checkpoint=f"{root}/ck")
+    got = sorted((x.step, x.sample_id) for x in spark.read.parquet(f"{root}/out").collect())
+    assert got == [(s, x) for s in range(3) for x in [s * 20 + 3, s * 20 + 4, *range(s * 20 + 10, s * 20 + 15)]]
