@@ -42,12 +42,14 @@ def filter_accumulate(stream: DataFrame, n_samples: int, batch_groups: int,
                       reward_range: tuple[float, float] = (0.0, 1.0), run_col: str = "run",
                       group_col: str = "group_id", batch_col: str = "batch_id",
                       score_col: str = "score") -> DataFrame:
-    """R1 (+P17, A12): within each micro-batch, a group is admitted when it is
+    """R1 (+P17, A12): within each generation batch, a group is admitted when it is
     complete and lo + 1e-6 < mean score < hi - 1e-6; admitted groups
     accumulate per run until ``batch_groups`` are pending, then exactly that
     many (in arrival order) are emitted, the surplus is discarded and the
-    counters reset. The state holds only group ids and two counters; the
-    per-batch admission works on the run's rows of one micro-batch."""
+    counters reset. The generation batches of one micro-batch are taken one by one,
+    so how many of them arrive together (each as a whole) changes nothing. The state
+    holds only group ids and two counters; admission works on the run's rows of one
+    micro-batch."""
     lo, hi = reward_range
 
     def step(key, pdfs, state):
@@ -58,14 +60,15 @@ def filter_accumulate(stream: DataFrame, n_samples: int, batch_groups: int,
             pending, seen, kept, emitted = [], 0, 0, 0
         rows = pd.concat(list(pdfs), ignore_index=True)
         g = rows.groupby([batch_col, group_col], sort=True)[score_col].agg(["count", "mean"]).reset_index()
-        seen += int(g["count"].sum())
-        adm = g[(g["count"] == n_samples) & (g["mean"] > lo + 1e-6) & (g["mean"] < hi - 1e-6)]
-        kept += int(adm["count"].sum())
-        pending += [int(x) for x in adm[group_col]]
         out = []
-        if len(pending) >= batch_groups:
-            out = [(key[0], emitted, gid, seen, kept) for gid in pending[:batch_groups]]
-            pending, seen, kept, emitted = [], 0, 0, emitted + 1  # surplus discarded
+        for _, b in g.groupby(batch_col, sort=True):
+            seen += int(b["count"].sum())
+            adm = b[(b["count"] == n_samples) & (b["mean"] > lo + 1e-6) & (b["mean"] < hi - 1e-6)]
+            kept += int(adm["count"].sum())
+            pending += [int(x) for x in adm[group_col]]
+            if len(pending) >= batch_groups:
+                out += [(key[0], emitted, gid, seen, kept) for gid in pending[:batch_groups]]
+                pending, seen, kept, emitted = [], 0, 0, emitted + 1  # surplus discarded
         state.update((pending, seen, kept, emitted))
         yield pd.DataFrame(out, columns=["run", "emit_step", "group_id", "n_seen", "n_kept"])
 

@@ -105,3 +105,15 @@ def test_fifo_buffer_takes_the_batches_of_one_file_one_by_one(spark):
     st.run_to_parquet(out, "fb", f"{root}/out", checkpoint=f"{root}/ck")
     got = sorted((x.step, x.sample_id) for x in spark.read.parquet(f"{root}/out").collect())
     assert got == [(s, x) for s in range(3) for x in [s * 20 + 3, s * 20 + 4, *range(s * 20 + 10, s * 20 + 15)]]
+
+
+def test_filter_accumulate_takes_the_batches_of_one_file_one_by_one(spark):
+    schema = "run long, batch_id long, group_id long, sample_id long, datasource string, reward double, score double"
+    rows = [(0, b, b * 10 + g, b * 100 + g * 4 + i, "ds", 0.0, 0.1 * (g + 1)) for b in range(5) for g in range(5) for i in range(4)]
+    root = _root(spark, "fo")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/in")
+    out = st.filter_accumulate(st.rollout_stream(spark, f"{root}/in", schema), 4, 6, (0.15, 0.45))
+    st.run_to_parquet(out, "fo", f"{root}/out", checkpoint=f"{root}/ck")
+    got = sorted((x.emit_step, x.group_id) for x in spark.read.parquet(f"{root}/out").collect())
+    want = sorted(simulate_filter_accumulate(rows, 4, 6, 0.15, 0.45))
+    assert got == want and len(want) == 12
