@@ -1,8 +1,9 @@
 """Query keys for the incremental loop (R1-R6, S12) and blending.
 
-Streaming keys replay the rollouts as one file per generation batch into the
-shared checkpoint folder, run the stream to the end of the input
-(``availableNow``) and return what the sink holds."""
+Streaming keys replay the rollouts as files into the shared checkpoint folder, run the
+stream to the end of the input (``availableNow``), one file a trigger, and return what
+the sink holds. A file holds ``FILE_BATCHES`` whole generation batches, which the
+operators take one by one; in ``bounded_pipeline``, which reports each, one."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from posttrain.streaming import rollouts as st
 
 R = ("fx_rollouts",)
 N_RUNS = 2  # runs in the replay: prompt parity
+#: Generation batches, and steps of the KL log, that arrive in one file.
+FILE_BATCHES, FILE_STEPS = 64, 160_000
 SCHEMA = ("run long, batch_id long, group_id long, sample_id long, datasource string, "
           "reward double, score double")
 
@@ -27,18 +30,36 @@ def _fresh(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _replay(spark, sf, root: str, batches: list[int] | None = None) -> list[int]:
-    """Write fx_rollouts as generation batches (10 prompts' users per batch,
-    runs by user parity), one file per batch, in batch order."""
-    r = fx.fx_rollouts(spark, sf).select(
+def _arrive(rows, number, path: str) -> None:
+    """Add ``rows`` to ``path``, one file for each value of ``number`` (whole numbers, null
+    last), by one write. A file source takes files by their times, so each file is
+    dated a second after the one before it."""
+    spark = rows.sparkSession
+    rows.withColumn("file", number).repartitionByRange("file").sortWithinPartitions("file").write.partitionBy("file").mode("append").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []  # name and time of each file
+    for f in fs.globStatus(hadoop.Path(folder, "file=*/*.parquet")):
+        value = f.getPath().getParent().getName().removeprefix("file=")
+        found.append((float("inf") if value.startswith("__") else int(value), f.getPath(), f.getModificationTime()))
+    base = min((t for *_, t in found), default=0) // 1000 * 1000
+    for i, (_, name, _) in enumerate(sorted(found, key=lambda x: x[0])):
+        fs.setTimes(name, base + 1000 * i, -1)
+        if fs.getFileStatus(name).getModificationTime() != base + 1000 * i:
+            raise RuntimeError(f"{path}: this file system keeps no file times, so files would not arrive in order")
+
+
+def _rollouts(spark, sf):
+    """fx_rollouts in generation batches (10 prompts' users per batch), runs by user parity."""
+    return fx.fx_rollouts(spark, sf).select(
         (F.col("prompt_id") % 2).alias("run"), (F.floor(F.col("prompt_id") / 10)).cast("long").alias("batch_id"),
         "group_id", "sample_id", "datasource", (F.col("raw_score") - F.lit(0.3)).alias("reward"),
         F.col("raw_score").alias("score"))
-    ids = batches if batches is not None else sorted(
-        x[0] for x in r.select("batch_id").distinct().collect())  # one small row per batch
-    for b in ids:  # one Spark write per batch: file order = arrival order
-        r.filter(F.col("batch_id") == b).coalesce(1).write.mode("overwrite").parquet(f"{root}/in/b{b:06d}")
-    return ids
+
+
+def _replay(rows, root: str, per_file: int = FILE_BATCHES) -> None:
+    _arrive(rows, F.floor(F.col("batch_id") / per_file), f"{root}/in")
 
 
 def _stream(spark, root):
@@ -48,7 +69,7 @@ def _stream(spark, root):
 @query("filter_accumulate")
 def q_filter_accumulate(spark, sf):
     root = _fresh(spark, "r1")
-    _replay(spark, sf, root)
+    _replay(_rollouts(spark, sf), root)
     out = st.filter_accumulate(_stream(spark, root), 4, 40, (0.2, 0.6))
     st.run_to_parquet(out, "r1", f"{root}/out", checkpoint=f"{root}/ck", state_partitions=N_RUNS)
     return spark.read.schema(st._R1_OUT).parquet(f"{root}/out")
@@ -57,7 +78,7 @@ def q_filter_accumulate(spark, sf):
 @query("fifo_buffer")
 def q_fifo_buffer(spark, sf):
     root = _fresh(spark, "r2")
-    _replay(spark, sf, root)
+    _replay(_rollouts(spark, sf), root)
     out = st.fifo_buffer(_stream(spark, root), limit=300, appends_per_step=2)
     st.run_to_parquet(out, "r2", f"{root}/out", checkpoint=f"{root}/ck", state_partitions=N_RUNS)
     return spark.read.schema(st._R2_OUT).parquet(f"{root}/out")
@@ -70,7 +91,7 @@ def q_bounded_pipeline(spark, sf):
     """One file per trigger; each micro-batch reports its size into a folder of
     its own, so a batch that is run again replaces its row."""
     root = _fresh(spark, "r3")
-    _replay(spark, sf, root)
+    _replay(_rollouts(spark, sf), root, per_file=1)
     s = _stream(spark, root)
     out = f"{root}/out"
 
@@ -79,7 +100,7 @@ def q_bounded_pipeline(spark, sf):
             "micro_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch_id:09d}")
     q = s.writeStream.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return spark.read.schema("n_rows long, gen_batch long, micro_batch long").option("recursiveFileLookup", "true").parquet(out)
 
 
 _RUNNING_SQL = """
@@ -94,13 +115,13 @@ def q_resume(spark, sf):
     restarted on the same checkpoint after the rest arrived; the restarted
     run processes only the new files."""
     root = _fresh(spark, "r5")
-    r = fx.fx_rollouts(spark, sf).select(F.floor(F.col("prompt_id") / 10).cast("long").alias("b")).distinct()
-    ids = sorted(x[0] for x in r.collect())
-    half = ids[: len(ids) // 2]
-    _replay(spark, sf, root, half)
+    rows = _rollouts(spark, sf)
+    ids = sorted(x[0] for x in rows.select("batch_id").distinct().where("batch_id IS NOT NULL").collect())  # one small row per batch
+    first = F.coalesce(F.col("batch_id") < ids[len(ids) // 2], F.lit(False))
+    _replay(rows.where(first), root)
     agg = st.running_datasource_stats(_stream(spark, root))
     st.run_to_parquet(agg, "r5", f"{root}/out", mode="complete", checkpoint=f"{root}/ck", state_partitions=2)
-    _replay(spark, sf, root, ids[len(ids) // 2:])
+    _replay(rows.where(~first), root)
     agg = st.running_datasource_stats(_stream(spark, root))
     st.run_to_parquet(agg, "r5", f"{root}/out", mode="complete", checkpoint=f"{root}/ck", state_partitions=2)
     d = spark.read.parquet(f"{root}/out")
@@ -127,7 +148,7 @@ def q_resume_state(spark, sf):
 @query("running_datasource_stats", _RUNNING_SQL, R)
 def q_running_datasource_stats(spark, sf):
     root = _fresh(spark, "r6")
-    _replay(spark, sf, root)
+    _replay(_rollouts(spark, sf), root)
     agg = st.running_datasource_stats(_stream(spark, root))
     st.run_to_parquet(agg, "r6", f"{root}/out", mode="complete", checkpoint=f"{root}/ck", state_partitions=2)
     d = spark.read.parquet(f"{root}/out")
@@ -188,9 +209,7 @@ def q_fixed_kl(spark, sf):
 def q_adaptive_kl_stream(spark, sf):
     """R4 incremental: the last emitted value of each run equals the batch fold."""
     root = _fresh(spark, "r4")
-    steps = _kl_steps(spark, sf).withColumn("chunk", F.floor(F.col("step") / 2500).cast("long"))
-    for c in sorted(x[0] for x in steps.select("chunk").distinct().collect()):
-        steps.filter(F.col("chunk") == c).drop("chunk").coalesce(1).write.mode("overwrite").parquet(f"{root}/in/c{c:06d}")
+    _arrive(_kl_steps(spark, sf), F.floor(F.col("step") / FILE_STEPS), f"{root}/in")
     s = spark.readStream.schema("run long, step long, kl double, n_steps long").option(
         "maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
     out = st.adaptive_kl_stream(s, 0.05, 0.3, 1000)

@@ -117,3 +117,35 @@ def test_filter_accumulate_takes_the_batches_of_one_file_one_by_one(spark):
     got = sorted((x.emit_step, x.group_id) for x in spark.read.parquet(f"{root}/out").collect())
     want = sorted(simulate_filter_accumulate(rows, 4, 6, 0.15, 0.45))
     assert got == want and len(want) == 12
+
+
+def _files_in_order_of_time(path):
+    names = [(os.stat(os.path.join(d, f)).st_mtime, os.path.basename(d)) for d, _, fs in os.walk(path) for f in fs
+             if f.endswith(".parquet")]
+    return [d for _, d in sorted(names)]
+
+
+def test_replayed_files_arrive_in_order_from_one_write(spark):
+    from posttrain.plans.q_stream import _arrive
+    root = _root(spark, "ar")
+    rows = spark.range(300).select(F.when(F.col("id") % 30 != 29, F.col("id") % 30).alias("batch_id"), "id").repartition(7)
+    _arrive(rows, F.col("batch_id"), f"{root}/in")
+    assert _files_in_order_of_time(f"{root}/in") == [f"file={b}" for b in range(29)] + ["file=__HIVE_DEFAULT_PARTITION__"]
+    back = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    assert sorted(r.id for r in back.collect()) == list(range(300))
+    s = spark.readStream.schema(back.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    met = []
+    q = s.writeStream.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).foreachBatch(
+        lambda b, i: met.append([r.batch_id for r in b.select("batch_id").distinct().collect()])).start()
+    q.awaitTermination()
+    assert met == [[b] for b in range(29)] + [[None]]
+
+
+def test_replay_keeps_whole_batches_in_a_file(spark, tmp_path):
+    from posttrain.plans.q_stream import _replay
+    rows = spark.range(200).select((F.col("id") % 10).alias("batch_id"), "id")
+    _replay(rows.where("batch_id < 5"), str(tmp_path), per_file=4)
+    _replay(rows.where("batch_id >= 5"), str(tmp_path), per_file=4)
+    back = spark.read.parquet(f"{tmp_path}/in")
+    assert back.count() == 200
+    assert sorted((r.file, r.n) for r in back.groupBy("file").agg(F.countDistinct("batch_id").alias("n")).collect()) == [(0, 4), (1, 4), (2, 2)]
