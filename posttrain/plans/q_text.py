@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from posttrain.functions import text as tx
 from posttrain.plans import fixtures as fx
 from posttrain.plans.registry import query, rnd
-from posttrain.session import table
+from posttrain.session import materialize, table
 
 RS = ("fx_responses",)
 T = ("fx_tokens",)
@@ -194,8 +194,9 @@ def q_detokenize(spark, sf):
     ids give the text again."""
     from posttrain.operators import vocab
     d = table(spark, sf, "documents").select("doc_id", "text")
-    words = vocab.build_vocabulary(d)
-    return vocab.decode(vocab.encode(d, words, ["doc_id"]), words, ["doc_id"])
+    words = materialize(vocab.build_vocabulary(d), "vocabulary")
+    ids = materialize(vocab.encode(d, words, ["doc_id"]), "ids")  # both are read more than once
+    return vocab.decode(ids, words, ["doc_id"])
 
 
 @query("candidates_x_tests", """
