@@ -14,8 +14,9 @@ whether or not that one is removed itself, so the result has no order of work.
 4. Each set is verified against the best candidate among the first sets of its
    tokens; this settles the members of a large group of near copies, one pair for
    each. Sets that are still open meet all earlier sets of their tokens, behind
-   length, position and 64-bit overlap bounds, and a 256-bit one for what is left;
-   they lose nothing. The rest is verified on full token sets."""
+   length and position bounds and the parities of their tokens in 64 slots (256 for
+   long sets), which differ in no more slots than the sets have different tokens; they
+   lose nothing. The rest is verified on full token sets."""
 
 from __future__ import annotations
 
@@ -35,9 +36,12 @@ MIN_TOKENS = 1
 SKETCH_BITS = 18
 #: Bytes of text whose lines are cut at once; tens of bytes of arrays go with each.
 SLICE_BYTES = 1 << 18
-#: 64-bit words of the wider overlap sketch that a pair must pass before its tokens are read.
-SKETCH_WORDS = 4
-_WORDS = [f"w{i}" for i in range(SKETCH_WORDS)]
+#: 64-bit words of the wide parities, which sets of more than ``LONG`` tokens have: those
+#: of unrelated sets differ in half their slots, and 64 slots are too few to tell there.
+PARITY_WORDS = 4
+LONG = 64
+#: Parities in 64 slots (the wide words folded), and the wide words but the first.
+_PARITY = ["parity", *(f"w{i}" for i in range(1, PARITY_WORDS))]
 
 
 def _line_tokens(part: K.Slice, sketch: np.ndarray | None):
@@ -99,8 +103,9 @@ def token_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """``doc_id, version, line, n, key, short, bits, prefix`` of the participating
-    lines; ``short`` is the first word of the key, ``bits`` has a bit for each token."""
+    """``doc_id, version, line, n, key, short, bits, parity, w1.., prefix`` of the
+    participating lines; ``short`` is the first word of the key, ``bits`` has a bit for
+    each token, the parities one for each slot with an odd number of tokens."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)  # fixed size
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -114,17 +119,20 @@ def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
             at = np.repeat(first[:-1] - out_first[:-1], size) + np.arange(out_first[-1])
             bits = np.bitwise_or.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first[:-1])
             place = tokens >> np.uint64(6)
-            word, bit = place >> np.uint64(6) & np.uint64(SKETCH_WORDS - 1), np.uint64(1) << (place & np.uint64(63))
-            sketch_words = [np.bitwise_or.reduceat(np.where(word == i, bit, np.uint64(0)), first[:-1]) for i in range(SKETCH_WORDS)]
+            word, bit = place >> np.uint64(6) & np.uint64(PARITY_WORDS - 1), np.uint64(1) << (place & np.uint64(63))
+            # short sets have zeros for wide words, which take next to no space
+            bit_of_long = np.where(np.repeat(n > LONG, n), bit, np.uint64(0))
+            parity = [np.bitwise_xor.reduceat(bit, first[:-1]),
+                      *(np.bitwise_xor.reduceat(np.where(word == i, bit_of_long, np.uint64(0)), first[:-1]) for i in range(1, PARITY_WORDS))]
             key = K.set_keys(tokens, first)
             of = pa.array(doc + part.first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(of), batch.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
                  K.key_array(key), pa.array(key[:, 0].view(np.int64)), pa.array(bits.view(np.int64)),
-                 *(pa.array(w.view(np.int64)) for w in sketch_words), K.list_array(tokens[at].view(np.int64), out_first, pa.int64())],
-                names=[ID, "version", "line", "n", "key", "short", "bits", *_WORDS, "prefix"])
+                 *(pa.array(w.view(np.int64)) for w in parity), K.list_array(tokens[at].view(np.int64), out_first, pa.int64())],
+                names=[ID, "version", "line", "n", "key", "short", "bits", *_PARITY, "prefix"])
 
-    words = ", ".join(f"{w} long" for w in _WORDS)
+    words = ", ".join(f"{w} long" for w in _PARITY)
     return arrow_map(rows, run, f"{ID} long, version long, line int, n int, key binary, short long, bits long, {words}, prefix array<long>")
 
 
@@ -163,28 +171,38 @@ def _matches(rows: DataFrame, known: DataFrame, pairs: DataFrame, percent: int,
     return out
 
 
-def _bounds(percent: int) -> str:
-    """Length, position and overlap bounds of a candidate pair; a true match passes
-    them at its first common token, whose position from 0 is ``i``."""
+def _parity_distance() -> str:
+    """A number of tokens that a pair differs in at least: the slots whose parities
+    differ."""
+    wide = [f"l.{w} ^ r.{w}" for w in _PARITY]
+    first = " ^ ".join(wide)  # the word that is not stored
+    total = " + ".join(f"bit_count({w})" for w in (first, *wide[1:]))
+    return f"if(least(l.n, r.n) > {LONG}, {total}, bit_count(l.parity ^ r.parity))"
+
+
+def _bounds(percent: int, apart: str) -> str:
+    """Length, position and overlap bounds of a candidate pair that differs in
+    ``apart`` tokens at least; a true match passes them at its first common token,
+    whose position from 0 is ``i``."""
     need = f"{percent} * (l.n + r.n)"
     return (f"least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} "
             f"AND least(l.n - l.i, r.n - r.i) * {100 + percent} >= {need} "
-            f"AND (l.n + r.n - bit_count(l.bits ^ r.bits)) * {100 + percent} >= 2 * {need}")
+            f"AND (l.n + r.n - ({apart})) * {100 + percent} >= 2 * {need}")
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """The distinct token sets of the lines, with their first places."""
     sets = lines.groupBy("key").agg(
         F.min(F.struct(F.col(ID).alias("doc"), "line", "short", "version")).alias("p"), F.first("n").alias("n"),
-        F.first("bits").alias("bits"), *(F.first(w).alias(w) for w in _WORDS), F.first("prefix").alias("prefix"))
-    return stored(sets.select("key", F.struct("p.doc", "p.line").alias("place"), "p.short", "p.version", "n", "bits", *_WORDS, "prefix"), "line_sets")
+        F.first("bits").alias("bits"), *(F.first(w).alias(w) for w in _PARITY), F.first("prefix").alias("prefix"))
+    return stored(sets.select("key", F.struct("p.doc", "p.line").alias("place"), "p.short", "p.version", "n", "bits", *_PARITY, "prefix"), "line_sets")
 
 
 def matched_sets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct sets that an earlier set matches (``short, by``). A set is known by
     ``short``, a 64-bit hash, as words are."""
     known = sets.select(F.col("short").alias("key"), "short", "version", F.col("key").alias("full"))
-    bounds = _bounds(percent)
+    bounds = _bounds(percent, "bit_count(l.bits ^ r.bits)")
 
     # each set against the best of the first sets of its tokens
     sets = sets.withColumn("place", F.struct("place.doc", "place.line", "short"))
@@ -202,21 +220,17 @@ def matched_sets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # sets that are still open against all sets of their tokens: the longer one of a pair
     # has one of its prefix tokens among the few of the shorter one's index prefix
     flagged = (sets.join(done.select(F.col("a").alias("short"), F.lit(0).alias("open")).distinct(), "short", "left")
-               .select("short", "n", "bits", "prefix", F.coalesce("open", F.lit(1)).alias("open")))
-    posted = flagged.select("short", "n", "bits", "open", F.posexplode("prefix").alias("i", "token"))
-    posted = posted.select("token", "short", "bits", (F.col("n") * 2 + F.col("open")).alias("no"), "i")
+               .select("short", "n", *_PARITY, "prefix", F.coalesce("open", F.lit(1)).alias("open")))
+    posted = flagged.select("short", "n", *_PARITY, "open", F.posexplode("prefix").alias("i", "token"))
+    posted = posted.select("token", "short", *_PARITY, (F.col("n") * 2 + F.col("open")).alias("no"), "i")
     index = posted.where(f"i < shiftright(no, 1) - (2 * {percent} * shiftright(no, 1) + {99 + percent}) div {100 + percent} + 1")
-    on = bounds.replace("l.n", "shiftright(l.no, 1)").replace("r.n", "shiftright(r.no, 1)")
+    on = _bounds(percent, _parity_distance()).replace("l.n", "shiftright(l.no, 1)").replace("r.n", "shiftright(r.no, 1)")
     met = (posted.alias("l").join(index.alias("r"), F.expr(
         f"l.token = r.token AND l.short <> r.short AND shiftright(r.no, 1) <= shiftright(l.no, 1) AND (l.no | r.no) % 2 = 1 AND {on}"))
         .select(F.least("l.short", "r.short").alias("x"), F.greatest("l.short", "r.short").alias("y")).distinct())
     met_pairs = stored(met, "met_pairs")
-    x, y = (sets.select(F.col("short").alias(a), F.struct("place", "n", *_WORDS).alias(f"s{a}")) for a in "xy")
-    far = " + ".join(f"bit_count(sx.{w} ^ sy.{w})" for w in _WORDS)
-    # more different bits than the tokens of a match can differ in: the tokens are not read
-    met = (met_pairs.join(x, "x").join(y, "y")
-           .where(f"(sx.n + sy.n - ({far})) * {100 + percent} >= {2 * percent} * (sx.n + sy.n)")
-           .select("x", "y", F.col("sx.place").alias("px"), F.col("sy.place").alias("py")))
+    met = (met_pairs.join(sets.select(F.col("short").alias("x"), F.col("place").alias("px")), "x")
+           .join(sets.select(F.col("short").alias("y"), F.col("place").alias("py")), "y"))
     pairs = (met.select(F.greatest("px", "py")["short"].alias("a"), F.least("px", "py")["short"].alias("b"))
              .join(done.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti"))
     pairs = stored(pairs, "other_pairs")

@@ -352,6 +352,35 @@ def test_line_dedup_edges(spark, nothing):
     assert line_dedup.line_dedup(nothing).collect() == []
 
 
+def _spied_tables(monkeypatch, name):
+    """Rows of each stage table of that name."""
+    seen, store = [], line_dedup.stored
+
+    def spy(df, called):
+        out = store(df, called)
+        if called == name:
+            seen.append({tuple(r) for r in out.collect()})
+        return out
+    monkeypatch.setattr(line_dedup, "stored", spy)
+    return seen
+
+
+def _long_lines():
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{k}" for k in rng.choice(900, 150, replace=False)) for _ in range(80)]
+    near = lines[::10]
+    return [(i, t) for i, t in enumerate(lines)] + [(100 + i, " ".join(["x", *t.split()[3:]])) for i, t in enumerate(near)]
+
+
+def test_line_dedup_long_lines_that_only_share_words_are_no_candidates(spark, monkeypatch):
+    rows = _long_lines()
+    met = _spied_tables(monkeypatch, "met_pairs")
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["dropped_lines"] for r in got if r["dropped_lines"]} == _lines_to_drop(rows)
+    # 80 unrelated lines share words pair by pair; eight have a near copy
+    assert len(set().union(*met)) <= 16
+
+
 # --- operator 7
 
 def test_url_lists_intervals_and_matches(spark, nothing):
