@@ -21,6 +21,7 @@ whether or not that one is removed itself, so the result has no order of work.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,50 +35,63 @@ from posttrain.llm.set_check import verified
 #: Lines without a word have nothing to compare.
 MIN_TOKENS = 1
 SKETCH_BITS = 18
+#: Slots whose counts travel in one row.
+SKETCH_ROW = 1 << 10
 #: Bytes of text whose lines are cut at once; tens of bytes of arrays go with each.
 SLICE_BYTES = 1 << 18
 #: 64-bit words of the wide parities, which sets of more than ``LONG`` tokens have: those
 #: of unrelated sets differ in half their slots, and 64 slots are too few to tell there.
 PARITY_WORDS = 4
 LONG = 64
+#: Parts in which sets meet.
+ROUNDS = 4
 #: Parities in 64 slots (the wide words folded), and the wide words but the first.
 _PARITY = ["parity", *(f"w{i}" for i in range(1, PARITY_WORDS))]
 
 
-def _line_tokens(part: K.Slice, sketch: np.ndarray | None):
-    """Participating lines of a slice: document row, line number, flat distinct
-    token hashes in order of rarity, range of each line."""
+def _split(part: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of a slice: its hash, its document's row, the number of its line in
+    the document, and the number of its line among the slice's lines that have a word."""
     w = K.words(part)
     hashes = K.span_hashes(K.lower(part.data), w.starts, w.ends)
     if len(hashes) == 0:
         zero = np.zeros(0, np.int64)
-        return zero, zero, hashes, np.zeros(1, np.int64)
+        return hashes, zero, zero, zero
     breaks = np.cumsum(part.data == 0x0A, dtype=np.int64)
     doc = np.repeat(np.arange(len(part)), np.diff(w.first))
     line = breaks[w.starts]  # a word never starts at a break
     begin = np.where(part.offsets[:-1] > 0, breaks[np.maximum(part.offsets[:-1] - 1, 0)], 0)
-    number = line - begin[doc]
-    group = line + doc  # distinct for lines of different documents
-    distinct, where = np.unique(hashes, return_inverse=True)
-    if sketch is None:
-        rank, order = where, np.arange(len(distinct))
-    else:
-        order = np.lexsort((distinct, sketch[_slots(distinct)]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        rank = place[where]
-    code = np.unique(group.astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64))
-    of = (code >> np.uint64(32)).astype(np.int64)
-    tokens = distinct[order[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)]]
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    first = np.append(starts, len(of))
-    n = np.diff(first)
-    # document and number of each line, from its first word
-    word_at = np.searchsorted(group, of[starts])
+    change = line + doc  # distinct for lines of different documents
+    group = np.cumsum(np.concatenate([[False], change[1:] != change[:-1]]))
+    return hashes, doc, line - begin[doc], group
+
+
+def _line_tokens(part: K.Slice, ranks: np.ndarray | None):
+    """Participating lines of a slice: document row, line number, flat distinct
+    token hashes in order of rarity, range of each line. ``ranks`` orders the slots
+    of the sketch; tokens of one slot follow their hashes."""
+    hashes, doc, number, group = _split(part)
+    if len(hashes) == 0:
+        return doc, number, hashes, np.zeros(1, np.int64)
+    place = hashes if ranks is None else ranks[_slots(hashes)] << np.uint64(64 - SKETCH_BITS) | hashes & np.uint64((1 << 64 - SKETCH_BITS) - 1)
+    same_line = group[1:] == group[:-1]
+    order = None
+    if group[-1] < 1 << 18:  # line and most of the place in one word: a single sort
+        order = np.argsort(group.astype(np.uint64) << np.uint64(46) | place >> np.uint64(18))
+        at = place[order]
+        if (same_line & (at[1:] < at[:-1])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((place, group))
+        at = place[order]
+    # the lines stay where they are, each one's words change places
+    new = np.concatenate([[True], ~same_line | (at[1:] != at[:-1])])
+    of, tokens = group[new], hashes[order[new]]
+    n = np.bincount(of)
+    word_at = np.flatnonzero(np.concatenate([[True], ~same_line]))
     use = n >= MIN_TOKENS
-    keep = np.repeat(use, n)
     out_first = np.concatenate([[0], np.cumsum(n[use])])
-    return doc[word_at][use], number[word_at][use], tokens[keep], out_first
+    return doc[word_at][use], number[word_at][use], tokens if use.all() else tokens[np.repeat(use, n)], out_first
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -86,27 +100,45 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 
 def token_sketch(rows: DataFrame) -> np.ndarray:
     """Counts of lines per token, hashed into ``2^SKETCH_BITS`` slots, over all
-    rows. Every task adds up its own lines first; the driver gets one number a slot."""
+    rows. Every task adds up its own lines first, in rows of ``SKETCH_ROW`` slots; the
+    driver gets one number a slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for part in K.slices(batch.column(1), SLICE_BYTES):
-                total += np.bincount(_slots(_line_tokens(part, None)[2]), minlength=len(total))
+                hashes, _, _, group = _split(part)
+                if len(hashes) == 0:
+                    continue
+                # a word of a line once: 46 bits of a hash of both, and the slot
+                both = K.mix64(hashes + group.astype(np.uint64) * K.MIX_GOLDEN) << np.uint64(SKETCH_BITS) | hashes >> np.uint64(64 - SKETCH_BITS)
+                both.sort()
+                once = both[np.concatenate([[True], both[1:] != both[:-1]])]
+                total += np.bincount((once & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(total))
         give_back()
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+        total = total.reshape(-1, SKETCH_ROW)
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].tobytes() for i in used], pa.binary())],
+                                         schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.int64) for c in rows.column("counts"))
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return sketch
+    schema = "part int, counts binary"
+    got = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, SKETCH_ROW)
+    for part, counts in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        sketch[part] = np.frombuffer(counts, np.int64)
+    return sketch.ravel()
 
 
 def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """``doc_id, version, line, n, key, short, bits, parity, w1.., prefix`` of the
     participating lines; ``short`` is the first word of the key, ``bits`` has a bit for
     each token, the parities one for each slot with an odd number of tokens."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)  # fixed size
+    ranks = np.empty(len(sketch), np.uint64)
+    ranks[np.argsort(sketch, kind="stable")] = np.arange(len(sketch), dtype=np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)  # fixed size
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batch.column(1), SLICE_BYTES):
@@ -171,23 +203,17 @@ def _matches(rows: DataFrame, known: DataFrame, pairs: DataFrame, percent: int,
     return out
 
 
-def _parity_distance() -> str:
-    """A number of tokens that a pair differs in at least: the slots whose parities
-    differ."""
-    wide = [f"l.{w} ^ r.{w}" for w in _PARITY]
-    first = " ^ ".join(wide)  # the word that is not stored
-    total = " + ".join(f"bit_count({w})" for w in (first, *wide[1:]))
-    return f"if(least(l.n, r.n) > {LONG}, {total}, bit_count(l.parity ^ r.parity))"
+def _bounds(percent: int) -> str:
+    """Length and position bounds of a candidate pair; a true match passes them at
+    its first common token, whose position from 0 is ``i``."""
+    return (f"least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} "
+            f"AND least(l.n - l.i, r.n - r.i) * {100 + percent} >= {percent} * (l.n + r.n)")
 
 
-def _bounds(percent: int, apart: str) -> str:
-    """Length, position and overlap bounds of a candidate pair that differs in
-    ``apart`` tokens at least; a true match passes them at its first common token,
-    whose position from 0 is ``i``."""
-    need = f"{percent} * (l.n + r.n)"
-    return (f"least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} "
-            f"AND least(l.n - l.i, r.n - r.i) * {100 + percent} >= {need} "
-            f"AND (l.n + r.n - ({apart})) * {100 + percent} >= 2 * {need}")
+def _apart(percent: int, slots: str) -> str:
+    """Bound on the tokens that only one set of a pair has, given slots that differ: no
+    more than those tokens."""
+    return f"({slots}) * {100 + percent} <= {100 - percent} * (l.n + r.n)"
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
@@ -202,7 +228,7 @@ def matched_sets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct sets that an earlier set matches (``short, by``). A set is known by
     ``short``, a 64-bit hash, as words are."""
     known = sets.select(F.col("short").alias("key"), "short", "version", F.col("key").alias("full"))
-    bounds = _bounds(percent, "bit_count(l.bits ^ r.bits)")
+    bounds = f"{_bounds(percent)} AND {_apart(percent, 'bit_count(l.bits ^ r.bits)')}"
 
     # each set against the best of the first sets of its tokens
     sets = sets.withColumn("place", F.struct("place.doc", "place.line", "short"))
@@ -219,22 +245,29 @@ def matched_sets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # sets that are still open against all sets of their tokens: the longer one of a pair
     # has one of its prefix tokens among the few of the shorter one's index prefix
-    flagged = (sets.join(done.select(F.col("a").alias("short"), F.lit(0).alias("open")).distinct(), "short", "left")
-               .select("short", "n", *_PARITY, "prefix", F.coalesce("open", F.lit(1)).alias("open")))
+    flagged = stored(sets.join(done.select(F.col("a").alias("short"), F.lit(0).alias("open")).distinct(), "short", "left")
+                     .select("short", "n", *_PARITY, "prefix", F.coalesce("open", F.lit(1)).alias("open")), "open_sets")
     posted = flagged.select("short", "n", *_PARITY, "open", F.posexplode("prefix").alias("i", "token"))
     posted = posted.select("token", "short", *_PARITY, (F.col("n") * 2 + F.col("open")).alias("no"), "i")
     index = posted.where(f"i < shiftright(no, 1) - (2 * {percent} * shiftright(no, 1) + {99 + percent}) div {100 + percent} + 1")
-    on = _bounds(percent, _parity_distance()).replace("l.n", "shiftright(l.no, 1)").replace("r.n", "shiftright(r.no, 1)")
-    met = (posted.alias("l").join(index.alias("r"), F.expr(
-        f"l.token = r.token AND l.short <> r.short AND shiftright(r.no, 1) <= shiftright(l.no, 1) AND (l.no | r.no) % 2 = 1 AND {on}"))
-        .select(F.least("l.short", "r.short").alias("x"), F.greatest("l.short", "r.short").alias("y")).distinct())
-    met_pairs = stored(met, "met_pairs")
-    met = (met_pairs.join(sets.select(F.col("short").alias("x"), F.col("place").alias("px")), "x")
+    changed = [f"l.{w} ^ r.{w}" for w in _PARITY]
+    changed = [" ^ ".join(changed), *changed[1:]]  # the first wide word is not stored
+    # most pairs end at the first bound
+    on = (f"{_apart(percent, 'bit_count(l.parity ^ r.parity)')} AND r.n <= l.n AND {_bounds(percent)} "
+          f"AND (r.n <= {LONG} OR {_apart(percent, ' + '.join(f'bit_count({w})' for w in changed))})")
+    on = on.replace("l.n", "shiftright(l.no, 1)").replace("r.n", "shiftright(r.no, 1)")
+    # tokens in a few rounds, so that only a share of the postings is on disk at a time
+    rounds = [stored(posted.where(f"pmod(token, {ROUNDS}) = {k}").alias("l").join(index.where(f"pmod(token, {ROUNDS}) = {k}").alias("r"), F.expr(
+        f"l.token = r.token AND l.short <> r.short AND {on} AND (l.no | r.no) % 2 = 1"))
+        .select(F.least("l.short", "r.short").alias("x"), F.greatest("l.short", "r.short").alias("y")).distinct(), "met_pairs") for k in range(ROUNDS)]
+    release(flagged)
+    met = reduce(DataFrame.union, rounds).distinct()
+    met = (met.join(sets.select(F.col("short").alias("x"), F.col("place").alias("px")), "x")
            .join(sets.select(F.col("short").alias("y"), F.col("place").alias("py")), "y"))
     pairs = (met.select(F.greatest("px", "py")["short"].alias("a"), F.least("px", "py")["short"].alias("b"))
              .join(done.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti"))
     pairs = stored(pairs, "other_pairs")
-    release(best, met_pairs)
+    release(best, *rounds)
     later = _matches(rows, known, pairs, percent, "other_matches")
     release(pairs)
     return done.union(later).groupBy(F.col("a").alias("short")).agg(F.min("b").alias("by"))

@@ -381,6 +381,44 @@ def test_line_dedup_long_lines_that_only_share_words_are_no_candidates(spark, mo
     assert len(set().union(*met)) <= 16
 
 
+def test_line_dedup_meets_in_rounds(spark, monkeypatch):
+    rows = _long_lines()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = _spied_tables(monkeypatch, "met_pairs")
+    line_dedup.line_dedup(df).collect()
+    parts = list(met)
+    assert len(parts) == line_dedup.ROUNDS > 1
+    met.clear()
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1)
+    line_dedup.line_dedup(df).collect()
+    assert set().union(*parts) == met[0]
+
+
+def test_token_sketch_counts_lines_and_travels_in_few_rows(spark):
+    rows = [(1, "a b a\nb\n\nc"), (2, None), (3, "A  b"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = np.zeros(1 << line_dedup.SKETCH_BITS, np.int64)
+    for word, n in (("a", 2), ("b", 3), ("c", 1)):
+        data = np.frombuffer(word.encode(), np.uint8)
+        want[line_dedup._slots(kernels.span_hashes(data, np.array([0]), np.array([len(data)])))] += n
+    assert np.array_equal(line_dedup.token_sketch(df), want)
+    assert line_dedup.SKETCH_ROW > 1
+
+
+@pytest.mark.parametrize("text", ["b a b\n\na c\n \nc c", "a b a\n" * (1 << 18) + "b"])
+def test_line_tokens_of_a_slice_by_the_slots_ranks(text):
+    # the second text has more lines than the single sort takes
+    import pyarrow as pa
+    ranks = np.random.default_rng(1).permutation(1 << line_dedup.SKETCH_BITS).astype(np.uint64)
+    (part,) = kernels.slices(pa.array(["", text]), 1 << 24)
+    doc, number, tokens, first = line_dedup._line_tokens(part, ranks)
+    lines = [(k, set(_words(x))) for k, x in enumerate(text.split("\n")) if _words(x)]
+    assert set(doc) == {1} and number.tolist() == [k for k, _ in lines] and np.diff(first).tolist() == [len(x) for _, x in lines]
+    hashed = {w: kernels.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([1]))[0] for w in "abc"}
+    ordered = sorted("abc", key=lambda w: ranks[line_dedup._slots(hashed[w])])
+    assert tokens[:first[4] if len(lines) > 4 else None].tolist() == [hashed[w] for _, x in lines[:4] for w in ordered if w in x]
+
+
 # --- operator 7
 
 def test_url_lists_intervals_and_matches(spark, nothing):
