@@ -20,12 +20,13 @@ whether or not that one is removed itself, so the result has no order of work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from posttrain.llm import kernels as K
@@ -43,8 +44,14 @@ SLICE_BYTES = 1 << 18
 #: of unrelated sets differ in half their slots, and 64 slots are too few to tell there.
 PARITY_WORDS = 4
 LONG = 64
-#: Parts in which sets meet.
-ROUNDS = 4
+#: Parts in which sets meet, and in which they meet the first sets of their tokens.
+ROUNDS = 2
+LEADER_ROUNDS = 1
+#: Postings of a bucket of tokens, more or less; those of a slot that are dealt over
+#: several buckets; pairs that are compared at once.
+BUCKET = 1 << 17
+HOT = 1 << 15
+PAIRS = 1 << 18
 #: Parities in 64 slots (the wide words folded), and the wide words but the first.
 _PARITY = ["parity", *(f"w{i}" for i in range(1, PARITY_WORDS))]
 
@@ -98,6 +105,28 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+_SKETCH_SCHEMA = "part int, counts binary"
+
+
+def _sketch_rows(total: np.ndarray) -> pa.RecordBatch:
+    total = total.reshape(-1, SKETCH_ROW)
+    used = np.flatnonzero(total.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].tobytes() for i in used], pa.binary())], names=["part", "counts"])
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counts; the driver gets one number a slot."""
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.int64) for c in rows.column("counts"))
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    got = rows.groupBy("part").applyInArrow(add, _SKETCH_SCHEMA).toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, SKETCH_ROW)
+    for part, counts in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        sketch[part] = np.frombuffer(counts, np.int64)
+    return sketch.ravel()
+
+
 def token_sketch(rows: DataFrame) -> np.ndarray:
     """Counts of lines per token, hashed into ``2^SKETCH_BITS`` slots, over all
     rows. Every task adds up its own lines first, in rows of ``SKETCH_ROW`` slots; the
@@ -115,21 +144,9 @@ def token_sketch(rows: DataFrame) -> np.ndarray:
                 once = both[np.concatenate([[True], both[1:] != both[:-1]])]
                 total += np.bincount((once & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(total))
         give_back()
-        total = total.reshape(-1, SKETCH_ROW)
-        used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].tobytes() for i in used], pa.binary())],
-                                         schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+        yield _sketch_rows(total)
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), np.int64) for c in rows.column("counts"))
-        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part int, counts binary"
-    got = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, SKETCH_ROW)
-    for part, counts in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        sketch[part] = np.frombuffer(counts, np.int64)
-    return sketch.ravel()
+    return _summed(rows.mapInArrow(run, _SKETCH_SCHEMA))
 
 
 def _lines(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -174,15 +191,18 @@ def _token_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame
     documents and lines; the join is exact."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = stored(sets.join(keys, "key", "left_semi"), "wanted")
-    docs, lines = key_bitmap(wanted, F.col("version")), key_bitmap(wanted, F.col("short"))
+    docs, lines = key_bitmap(wanted, F.col("version")), key_bitmap(wanted, F.expr("version ^ short"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if len(batch) == 0:
             return
-        for part in K.slices(batch.column(0).filter(pa.array(in_bitmap(docs, batch.column(1).to_numpy()))), SLICE_BYTES):
-            _, _, tokens, first = _line_tokens(part, None)
+        version = batch.column(1).to_numpy()
+        use = in_bitmap(docs, version)
+        version = version[use].view(np.uint64)
+        for part in K.slices(batch.column(0).filter(pa.array(use)), SLICE_BYTES):
+            doc, _, tokens, first = _line_tokens(part, None)
             key = K.set_keys(tokens, first)
-            hit = np.flatnonzero(in_bitmap(lines, key[:, 0])) if len(key) else []
+            hit = np.flatnonzero(in_bitmap(lines, version[doc + part.first] ^ key[:, 0])) if len(key) else []
             if len(hit):
                 size = np.diff(first)[hit]
                 out_first = np.concatenate([[0], np.cumsum(size)])
@@ -203,69 +223,204 @@ def _matches(rows: DataFrame, known: DataFrame, pairs: DataFrame, percent: int,
     return out
 
 
-def _bounds(percent: int) -> str:
-    """Length and position bounds of a candidate pair; a true match passes them at
-    its first common token, whose position from 0 is ``i``."""
-    return (f"least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} "
-            f"AND least(l.n - l.i, r.n - r.i) * {100 + percent} >= {percent} * (l.n + r.n)")
+def prefix_counts(sets: DataFrame) -> np.ndarray:
+    """Prefix tokens of the sets in each slot of the sketch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slots(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=len(total))
+        yield _sketch_rows(total)
+
+    return _summed(sets.select("prefix").mapInArrow(run, _SKETCH_SCHEMA))
+
+
+def _by_token(sets: DataFrame, counts: np.ndarray, rounds: int, k: int, percent: int) -> GroupedData:
+    """The postings of the sets' prefix tokens of round ``k``, grouped by buckets of tokens.
+    A row holds what a batch of sets has for a bucket, as an array of ``_posting`` records.
 
+    ``asks``: the posting looks for others, ``told``: it is looked up (if it stands in the
+    shorter set's prefix, when sets have parities). Tokens in a slot of more than
+    ``HOT`` postings are dealt over several buckets: each posting asks in one of them
+    and is told in all."""
+    words = [c for c in ("bits", *_PARITY) if c in sets.columns]
+    lead = "bits" in words
+    kind = _posting(words)
+    buckets = int(counts.sum()) // rounds // BUCKET + 1
+    split = sets.sparkSession.sparkContext.broadcast(np.minimum(counts // HOT + 1, buckets))  # fixed size
 
-def _apart(percent: int, slots: str) -> str:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if len(batch) == 0:
+            return
+        prefix = batch.column("prefix")
+        token = prefix.flatten().to_numpy()
+        size = pc.list_value_length(prefix).to_numpy()
+        of = np.repeat(np.arange(len(batch)), size)
+        at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        use = np.flatnonzero(np.mod(token, rounds) == k)
+        token, of, at = token[use], of[use], at[use]
+        # null ids come first
+        doc, line = batch.column("doc"), batch.column("line").to_numpy().astype(np.int64)
+        null = doc.is_null().to_numpy(zero_copy_only=False)
+        own = {"short": batch.column("short").to_numpy(), "n": batch.column("n").to_numpy(),
+               "doc": doc.fill_null(np.iinfo(np.int64).min).to_numpy(), "line": np.where(null, line - (1 << 31), line),
+               **{w: batch.column(w).to_numpy() for w in words}}
+        own["open"] = np.zeros(len(batch), bool) if lead else batch.column("open").to_numpy(zero_copy_only=False)
+        rec = np.empty(len(token), kind)
+        rec["token"], rec["i"], rec["asks"] = token, at, True
+        for name, values in own.items():
+            rec[name] = values[of]
+        n = rec["n"].astype(np.int64)
+        rec["told"] = True if lead else at < n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+        mixed, parts = K.mix64(token.view(np.uint64)), split.value[_slots(token.view(np.uint64))]
+        deal = K.mix64(rec["short"].view(np.uint64)) % parts.astype(np.uint64)
+        hot = np.flatnonzero((parts > 1) & rec["told"])
+        if len(hot):
+            more = np.repeat(hot, parts[hot])
+            part = np.arange(len(more)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
+            copies = rec[more]
+            copies["asks"] = False
+            rec["told"][hot] = False
+            rec, mixed, deal = np.concatenate([rec, copies]), np.concatenate([mixed, mixed[more]]), np.concatenate([deal, part.astype(np.uint64)])
+        bucket = ((mixed + deal) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rec = bucket[order], rec[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else order
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[first]), pa.array([x.tobytes() for x in np.split(rec, first[1:])] if len(first) else [], pa.binary())], names=["bucket", "postings"])
+
+    return arrow_map(sets, run, "bucket int, postings binary").groupBy("bucket")
+
+
+def _posting(words: list[str]) -> np.dtype:
+    """A set's prefix token, ``i`` from the front; ``doc, line, short`` is its place."""
+    return np.dtype([("token", "<i8"), ("short", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("i", "<i4"),
+                     ("asks", "?"), ("told", "?"), ("open", "?"), *((w, "<u8") for w in words)])
+
+
+def _columns(postings: pa.Table, words: list[str]) -> dict[str, np.ndarray]:
+    rec = np.frombuffer(b"".join(postings.column("postings").to_pylist()), _posting(words))
+    return {name: rec[name].astype(np.int64) if name in ("line", "n", "i") else np.ascontiguousarray(rec[name]) for name in rec.dtype.names}
+
+
+def _bounds(percent: int, n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length and position bounds of candidate pairs of ``n`` and ``m`` tokens; a true match
+    passes them at its first common token, whose positions from 0 are ``i`` and ``j``."""
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - i, m - j) * (100 + percent) >= percent * (n + m))
+
+
+def _apart(percent: int, slots: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Bound on the tokens that only one set of a pair has, given slots that differ: no
     more than those tokens."""
-    return f"({slots}) * {100 + percent} <= {100 - percent} * (l.n + r.n)"
+    return slots.astype(np.int64) * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def _led(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """``a, h, b``: sets and the first sets of their tokens, within bounds; ``h`` bits differ."""
+    def run(postings: pa.Table) -> pa.Table:
+        c = _columns(postings, ["bits"])
+        lead = np.flatnonzero(c["told"])
+        lead = lead[np.argsort(c["token"][lead], kind="stable")]
+        for name in ("doc", "line", "short"):  # the first place of each token
+            token, value = c["token"][lead], c[name][lead]
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            least = np.minimum.reduceat(value, np.flatnonzero(new))
+            lead = lead[value == least[np.cumsum(new) - 1]]
+        token = c["token"][lead]
+        asks = np.flatnonzero(c["asks"])
+        to = lead[np.searchsorted(token, c["token"][asks])]
+        other = c["short"][asks] != c["short"][to]
+        asks, to = asks[other], to[other]
+        apart = np.bitwise_count(c["bits"][asks] ^ c["bits"][to])
+        n, m = c["n"][asks], c["n"][to]
+        ok = _bounds(percent, n, c["i"][asks], m, c["i"][to]) & _apart(percent, apart, n, m)
+        return pa.table({"a": c["short"][asks[ok]], "h": apart[ok].astype(np.int32), "b": c["short"][to[ok]]})
+
+    return run
+
+
+def _meet(c: dict[str, np.ndarray], asks: np.ndarray, told: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Pairs (``a, b`` of ``_met``) of postings ``asks`` and ``told``, those in order of
+    token and ``n``."""
+    token = c["token"][told]
+    new = np.concatenate([[True], token[1:] != token[:-1]])[:len(token)]
+    known, place = token[new], (np.cumsum(new) - 1 << 32) + c["n"][told]
+    group = np.searchsorted(known, c["token"][asks])
+    has = group < len(known)
+    has[has] = known[group[has]] == c["token"][asks[has]]
+    asks, group = asks[has], group[has]
+    n = c["n"][asks]
+    low = np.searchsorted(place, (group << 32) + (n * percent + 99) // 100)
+    count = np.searchsorted(place, (group << 32) + n, "right") - low
+    end = np.cumsum(count)
+    at = 0
+    while at < len(asks):  # a bounded number of pairs at a time
+        begin = end[at] - count[at]
+        stop = max(at + 1, int(np.searchsorted(end, begin + PAIRS, "right")))
+        x = np.repeat(asks[at:stop], count[at:stop])
+        y = told[np.arange(len(x)) + np.repeat(low[at:stop] - (end[at:stop] - count[at:stop] - begin), count[at:stop])]
+        at = stop
+        # most pairs end at the first bound
+        near = np.flatnonzero(_apart(percent, np.bitwise_count(c["parity"][x] ^ c["parity"][y]), c["n"][x], c["n"][y]))
+        x, y = x[near], y[near]
+        ok = (c["short"][x] != c["short"][y]) & _bounds(percent, c["n"][x], c["i"][x], c["n"][y], c["i"][y])
+        x, y = x[ok], y[ok]
+        wide = [c[w][x] ^ c[w][y] for w in _PARITY]
+        wide[0] = np.bitwise_xor.reduce(wide)  # the first wide word is not stored
+        ok = (c["n"][y] <= LONG) | _apart(percent, sum(np.bitwise_count(w).astype(np.int64) for w in wide), c["n"][x], c["n"][y])
+        x, y = x[ok], y[ok]
+        late = np.zeros(len(x), bool)
+        for name in ("short", "line", "doc"):
+            late = np.where(c[name][x] == c[name][y], late, c[name][x] > c[name][y])
+        a, b = np.where(late, x, y), np.where(late, y, x)
+        use = c["open"][a]
+        yield np.unique(np.stack([c["short"][a[use]], c["short"][b[use]]], axis=1), axis=0)
+
+
+def _met(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """``a, b``: open sets and earlier sets of their tokens, within bounds. The longer set
+    of a pair has one of its prefix tokens among the few of the shorter one's."""
+    def run(postings: pa.Table) -> pa.Table:
+        c = _columns(postings, _PARITY)
+        asks, told, settled = np.flatnonzero(c["asks"]), np.flatnonzero(c["told"]), ~c["open"]
+        told = told[np.lexsort((c["n"][told], c["token"][told]))]
+        # settled sets need not meet each other
+        out = [np.zeros((0, 2), np.int64), *_meet(c, asks[~settled[asks]], told, percent), *_meet(c, asks[settled[asks]], told[~settled[told]], percent)]
+        got = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
+
+    return run
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """The distinct token sets of the lines, with their first places."""
     sets = lines.groupBy("key").agg(
         F.min(F.struct(F.col(ID).alias("doc"), "line", "short", "version")).alias("p"), F.first("n").alias("n"),
-        F.first("bits").alias("bits"), *(F.first(w).alias(w) for w in _PARITY), F.first("prefix").alias("prefix"))
-    return stored(sets.select("key", F.struct("p.doc", "p.line").alias("place"), "p.short", "p.version", "n", "bits", *_PARITY, "prefix"), "line_sets")
+        F.first("bits").alias("bits"), *(F.first(w).alias(w) for w in _PARITY), F.first("prefix").alias("prefix"), F.count("*").alias("c"))
+    return stored(sets.select("key", "c", F.struct("p.doc", "p.line").alias("place"), "p.short", "p.version", "n", "bits", *_PARITY, "prefix"), "line_sets")
 
 
 def matched_sets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct sets that an earlier set matches (``short, by``). A set is known by
     ``short``, a 64-bit hash, as words are."""
     known = sets.select(F.col("short").alias("key"), "short", "version", F.col("key").alias("full"))
-    bounds = f"{_bounds(percent)} AND {_apart(percent, 'bit_count(l.bits ^ r.bits)')}"
+    counts = prefix_counts(sets)
+    places = ["short", F.col("place.doc").alias("doc"), F.col("place.line").alias("line"), "n"]
 
     # each set against the best of the first sets of its tokens
-    sets = sets.withColumn("place", F.struct("place.doc", "place.line", "short"))
-    member = F.struct("place", "short", "n", "bits", "i")
-    leaders = (sets.select("place", "short", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-               .groupBy("token").agg(F.min(member).alias("r"), F.count("*").alias("c")).where("c > 1"))
-    leaders = stored(leaders.select("token", F.struct("r.short", "r.n", "r.bits", "r.i").alias("r")), "leaders")
-    # narrow rows: they are what is shuffled most
-    led = sets.select("short", "n", "bits", F.posexplode("prefix").alias("i", "token")).alias("l").join(leaders, "token")
-    best = stored(led.where(f"l.short <> r.short AND {bounds}").groupBy(F.col("l.short").alias("a")).agg(
-        F.min(F.struct(F.expr("bit_count(l.bits ^ r.bits)").alias("h"), F.col("r.short").alias("b")))["b"].alias("b")), "first_pairs")
-    release(leaders)
+    led = [stored(_by_token(sets.select(*places, "bits", "prefix"), counts, LEADER_ROUNDS, k, percent).applyInArrow(
+        _led(percent), "a long, h int, b long"), "led") for k in range(LEADER_ROUNDS)]
+    best = stored(reduce(DataFrame.union, led).groupBy("a").agg(F.min(F.struct("h", "b"))["b"].alias("b")), "first_pairs")
+    release(*led)
     done = _matches(rows, known, best, percent, "first_matches")
 
-    # sets that are still open against all sets of their tokens: the longer one of a pair
-    # has one of its prefix tokens among the few of the shorter one's index prefix
-    flagged = stored(sets.join(done.select(F.col("a").alias("short"), F.lit(0).alias("open")).distinct(), "short", "left")
-                     .select("short", "n", *_PARITY, "prefix", F.coalesce("open", F.lit(1)).alias("open")), "open_sets")
-    posted = flagged.select("short", "n", *_PARITY, "open", F.posexplode("prefix").alias("i", "token"))
-    posted = posted.select("token", "short", *_PARITY, (F.col("n") * 2 + F.col("open")).alias("no"), "i")
-    index = posted.where(f"i < shiftright(no, 1) - (2 * {percent} * shiftright(no, 1) + {99 + percent}) div {100 + percent} + 1")
-    changed = [f"l.{w} ^ r.{w}" for w in _PARITY]
-    changed = [" ^ ".join(changed), *changed[1:]]  # the first wide word is not stored
-    # most pairs end at the first bound
-    on = (f"{_apart(percent, 'bit_count(l.parity ^ r.parity)')} AND r.n <= l.n AND {_bounds(percent)} "
-          f"AND (r.n <= {LONG} OR {_apart(percent, ' + '.join(f'bit_count({w})' for w in changed))})")
-    on = on.replace("l.n", "shiftright(l.no, 1)").replace("r.n", "shiftright(r.no, 1)")
-    # tokens in a few rounds, so that only a share of the postings is on disk at a time
-    rounds = [stored(posted.where(f"pmod(token, {ROUNDS}) = {k}").alias("l").join(index.where(f"pmod(token, {ROUNDS}) = {k}").alias("r"), F.expr(
-        f"l.token = r.token AND l.short <> r.short AND {on} AND (l.no | r.no) % 2 = 1"))
-        .select(F.least("l.short", "r.short").alias("x"), F.greatest("l.short", "r.short").alias("y")).distinct(), "met_pairs") for k in range(ROUNDS)]
+    # sets that are still open against all earlier sets of their tokens, in a few rounds, so
+    # that only a share of the postings is on disk at a time
+    flagged = stored(sets.select(*places, *_PARITY, "prefix").join(done.select(F.col("a").alias("short"), F.lit(False).alias("open")).distinct(), "short", "left")
+                     .select("short", "doc", "line", "n", F.coalesce("open", F.lit(True)).alias("open"), *_PARITY, "prefix"), "open_sets")
+    rounds = [stored(_by_token(flagged, counts, ROUNDS, k, percent).applyInArrow(_met(percent), "a long, b long").distinct(), "met_pairs")
+              for k in range(ROUNDS)]
     release(flagged)
-    met = reduce(DataFrame.union, rounds).distinct()
-    met = (met.join(sets.select(F.col("short").alias("x"), F.col("place").alias("px")), "x")
-           .join(sets.select(F.col("short").alias("y"), F.col("place").alias("py")), "y"))
-    pairs = (met.select(F.greatest("px", "py")["short"].alias("a"), F.least("px", "py")["short"].alias("b"))
-             .join(done.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti"))
+    pairs = reduce(DataFrame.union, rounds).distinct().join(best, ["a", "b"], "left_anti")
     pairs = stored(pairs, "other_pairs")
     release(best, *rounds)
     later = _matches(rows, known, pairs, percent, "other_matches")
@@ -287,10 +442,9 @@ def dropped_lines(docs: DataFrame, percent: int = 80, id_col: str = ID, text_col
     found = matched_sets(rows, sets, percent)
     origin = sets.select(F.col("short").alias("by"), F.col("place.doc").alias("by_doc"))
     known = (sets.join(found, "short", "left").join(origin, "by", "left")
-             .select("key", "place", F.col("by").isNotNull().alias("late"),
+             .select("key", "c", "place", F.col("by").isNotNull().alias("late"),
                      F.when(F.col("by").isNull(), F.col("place.doc")).otherwise(F.col("by_doc")).alias("by_doc")))
-    repeated = lines.groupBy("key").agg(F.count("*").alias("c"))
-    known = known.join(repeated, "key").where("c > 1 OR late").drop("c")
+    known = known.where("c > 1 OR late").drop("c")
     gone = (lines.join(known, "key")
             .where(F.col("late") | ~F.struct(F.col(ID).alias("doc"), "line").eqNullSafe(F.col("place"))))
     out = stored(gone.groupBy(ID, "version").agg(F.array_sort(F.collect_set("line")).alias("lines"),

@@ -394,6 +394,33 @@ def test_line_dedup_meets_in_rounds(spark, monkeypatch):
     assert set().union(*parts) == met[0]
 
 
+def test_line_dedup_postings_travel_as_arrays_and_hot_tokens_are_split(spark, monkeypatch):
+    rows = _long_lines() + [(200 + i, f"a b c d e{i}") for i in range(30)] + [(None, "a b c d f"), (None, "a b c d f g")]
+    rows += [(400 + i, " ".join(["near", "copies", *"abcdefgh", f"z{i}"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = [(-1 if i is None else i, t) for i, t in rows]  # null ids come first
+    met, seen = _spied_tables(monkeypatch, "met_pairs"), []
+
+    def spy(sets, counts, *rest, by_token=line_dedup._by_token):
+        out = by_token(sets, counts, *rest)
+        seen.append((int(counts.sum()), out._df.count()))
+        return out
+    monkeypatch.setattr(line_dedup, "_by_token", spy)
+    pairs = []
+    for bucket, hot in ((line_dedup.BUCKET, line_dedup.HOT), (50, 3)):
+        monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = line_dedup.line_dedup(df).collect()
+        drops = defaultdict(list)
+        for r in got:
+            drops[-1 if r["doc_id"] is None else r["doc_id"]] += r["dropped_lines"]
+        assert {i: d for i, d in drops.items() if d} == _lines_to_drop(own)
+        pairs.append(set().union(*met))
+        met.clear()
+    assert pairs[0] == pairs[1]
+    assert all(10 * n < postings for postings, n in seen[:line_dedup.LEADER_ROUNDS + line_dedup.ROUNDS])
+
+
 def test_token_sketch_counts_lines_and_travels_in_few_rows(spark):
     rows = [(1, "a b a\nb\n\nc"), (2, None), (3, "A  b"), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
