@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from posttrain.llm import components, decontaminate, exact_dedup, kernels, line_dedup, minhash, queries, url_lists
 
@@ -421,6 +422,50 @@ def test_line_dedup_postings_travel_as_arrays_and_hot_tokens_are_split(spark, mo
     assert all(10 * n < postings for postings, n in seen[:line_dedup.LEADER_ROUNDS + line_dedup.ROUNDS])
 
 
+@pytest.mark.parametrize("pivots", [1, 16])
+def test_line_dedup_crowds_meet_their_pivots_first(spark, monkeypatch, pivots):
+    # near copies of one line, each too far from most others; their sets meet no more than needed
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    lines = [" ".join([*rng.choice(words, int(rng.integers(34, 41)), replace=False), *(f"x{i}_{j}" for j in range(int(rng.integers(0, 6))))]) for i in range(60)]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(lines)] + [(100 + i, " ".join(words + [f"y{i}"])) for i in range(40)]
+    own = [(-1 if i is None else i, t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs, tokens = _spied_tables(monkeypatch, "pairs"), _spied_tables(monkeypatch, "crowd")
+    monkeypatch.setattr(line_dedup, "PIVOTS", pivots)
+    for crowd in (256, 5):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        got = defaultdict(list)
+        for r in line_dedup.line_dedup(df).collect():
+            got[-1 if r["doc_id"] is None else r["doc_id"]].append((r["text"], r["dropped_lines"]))
+        # rows of one id: equal lines are dropped alike
+        seen, want = [], defaultdict(list)
+        for i, t in own:
+            if i >= 0:
+                continue
+            seen.append(set(_words(t)))
+        for i, t in sorted(x for x in own if x[0] >= 0):
+            near = any(100 * len(set(_words(t)) & x) >= 80 * len(set(_words(t)) | x) for x in seen)
+            want[i] = [("" if near else t, [0] if near else [])]
+            seen.append(set(_words(t)))
+        assert {i: x for i, x in got.items() if i >= 0} == want
+    assert len(pairs[1]) < len(pairs[0]) and not tokens[0] and tokens[1]
+
+
+def test_line_dedup_reads_sets_of_first_places_and_marks_repeats_in_slices(spark, monkeypatch):
+    # what the pairs need comes from the pairs: their sets are cut once and not looked up among all sets
+    rows = _long_lines()
+    seen, store = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: (seen.append(name), store(df, name))[1])
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").coalesce(1)
+    got = line_dedup.line_dedup(df).collect()
+    assert {r["doc_id"]: r["dropped_lines"] for r in got if r["dropped_lines"]} == _lines_to_drop(rows)
+    assert seen.count("token_sets") == 1 and "wanted" not in seen and "open_sets" not in seen
+    lines = line_dedup._lines(line_dedup.narrow(df).withColumn("version", F.xxhash64("text")), line_dedup.token_sketch(df), 80).collect()
+    assert sum(r["c"] for r in lines) == len(lines) == 91 and sorted(r["c"] for r in lines) == [0] * 3 + [1] * 85 + [2] * 3
+    assert all(not r["prefix"] for r in lines if not r["c"])
+
+
 def test_token_sketch_counts_lines_and_travels_in_few_rows(spark):
     rows = [(1, "a b a\nb\n\nc"), (2, None), (3, "A  b"), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
