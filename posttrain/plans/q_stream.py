@@ -3,7 +3,7 @@
 Streaming keys replay the rollouts as files into the shared checkpoint folder, run the
 stream to the end of the input (``availableNow``), one file a trigger, and return what
 the sink holds. A file holds ``FILE_BATCHES`` whole generation batches, which the
-operators take one by one; in ``bounded_pipeline``, which reports each, one."""
+operators take one by one."""
 
 from __future__ import annotations
 
@@ -88,19 +88,12 @@ def q_fifo_buffer(spark, sf):
 SELECT row_number() OVER (ORDER BY b) - 1 AS micro_batch, n AS n_rows, b AS gen_batch
 FROM (SELECT prompt_id // 10 AS b, count(*) AS n FROM fx_rollouts GROUP BY prompt_id // 10) x""", R)
 def q_bounded_pipeline(spark, sf):
-    """One file per trigger; each micro-batch reports its size into a folder of
-    its own, so a batch that is run again replaces its row."""
+    """One file per trigger; the generation batches in it are taken one by one, and
+    each reports its number and size."""
     root = _fresh(spark, "r3")
-    _replay(_rollouts(spark, sf), root, per_file=1)
-    s = _stream(spark, root)
-    out = f"{root}/out"
-
-    def sink(batch, batch_id):
-        batch.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.min("batch_id").alias("gen_batch")).withColumn(
-            "micro_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch_id:09d}")
-    q = s.writeStream.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).foreachBatch(sink).start()
-    q.awaitTermination()
-    return spark.read.schema("n_rows long, gen_batch long, micro_batch long").option("recursiveFileLookup", "true").parquet(out)
+    _replay(_rollouts(spark, sf), root)
+    st.report_batches(_stream(spark, root), f"{root}/out", checkpoint=f"{root}/ck")
+    return spark.read.schema(st._R3_OUT).option("recursiveFileLookup", "true").parquet(f"{root}/out")
 
 
 _RUNNING_SQL = """

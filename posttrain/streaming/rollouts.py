@@ -17,7 +17,7 @@ import os
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -32,6 +32,42 @@ def rollout_stream(spark: SparkSession, path: str, schema: str, max_files_per_tr
             .option("recursiveFileLookup", "true").parquet(path))
 
 
+_R3_OUT = "n_rows long, gen_batch long, micro_batch long"
+
+
+def report_batches(stream: DataFrame, out_path: str, checkpoint: str, batch_col: str = "batch_id") -> None:
+    """R3, the consumer: runs ``stream`` to the end of the available input and reports
+    each generation batch, in order (null last): its rows and its number, which runs on
+    over triggers and restarts. The generation batches that one trigger takes (each as a
+    whole) are counted together and numbered one by one, so how many of them arrive
+    together changes nothing. A trigger reports into a folder of its own, so one that is
+    run again replaces its rows."""
+    spark = stream.sparkSession
+    following: dict[int, int] = {}  # trigger: number of its first generation batch
+
+    def reports(*triggers: int) -> list[str]:
+        return [f"{out_path}/b{t:09d}" for t in triggers]
+
+    def reported(*triggers: int) -> int:
+        return spark.read.schema(_R3_OUT).parquet(*reports(*triggers)).count() if triggers else 0
+
+    def sink(batch: DataFrame, trigger: int) -> None:
+        first = following.pop(trigger) if trigger in following else reported(*range(trigger))  # the latter after a restart
+        # one row for each generation batch of the trigger
+        sizes = batch.groupBy(F.col(batch_col).alias("gen_batch")).agg(F.count(F.lit(1)).alias("n_rows"))
+        number = F.row_number().over(Window.orderBy(F.col("gen_batch").asc_nulls_last())) - 1 + F.lit(first)
+        sizes.select("n_rows", "gen_batch", number.cast("long").alias("micro_batch")).write.mode("overwrite").parquet(*reports(trigger))
+        following[trigger + 1] = first + reported(trigger)
+
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # counts only, summed before the shuffle
+    try:
+        q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    q.awaitTermination()
+
+
 # --------------------------------------------------------------- R1 filter
 
 _R1_OUT = "run long, emit_step long, group_id long, n_seen long, n_kept long"

@@ -149,3 +149,40 @@ def test_replay_keeps_whole_batches_in_a_file(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/in")
     assert back.count() == 200
     assert sorted((r.file, r.n) for r in back.groupBy("file").agg(F.countDistinct("batch_id").alias("n")).collect()) == [(0, 4), (1, 4), (2, 2)]
+
+
+def _bounded_pipeline_takes(spark, tmp_path, users):
+    from posttrain.plans.q_stream import q_bounded_pipeline
+    rows = [(4 * u + i, u, "click", 10.0 * i) for u in users for i in range(4)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    streams = os.path.join(checkpoint_dir(spark), "streams")
+    before = {d for d in os.listdir(streams)} if os.path.isdir(streams) else set()
+    got = sorted((r.micro_batch, r.n_rows, r.gen_batch) for r in q_bounded_pipeline(spark, str(tmp_path)).collect())
+    (made,) = [d for d in os.listdir(streams) if d not in before and d.startswith("r3-")]
+    return got, sum(f.isdigit() for f in os.listdir(f"{streams}/{made}/ck/commits"))
+
+
+def test_bounded_pipeline_takes_the_batches_of_one_file_one_by_one(spark, tmp_path):
+    users = [u for u in range(1300) if u // 10 % 7 != 3 and (u < 900 or u % 10 < 4)]
+    got, triggers = _bounded_pipeline_takes(spark, tmp_path, users)
+    sizes = {}
+    for u in users:
+        sizes[u // 10] = sizes.get(u // 10, 0) + 4
+    assert got == [(i, sizes[b], b) for i, b in enumerate(sorted(sizes))]
+    assert triggers == 3  # not one for each of more than a hundred generation batches
+
+
+def test_reports_run_on_over_triggers_and_restarts(spark):
+    schema = "run long, batch_id long, group_id long, sample_id long, datasource string, reward double, score double"
+    rows = [(0, b, b, b * 10 + i, "a", 0.0, 0.5) for b in range(9) for i in range(b + 1)]
+    rows += [(0, None, 99, 990, "a", 0.0, 0.5)]
+    root = _root(spark, "bp")
+
+    def arrive(part, name):
+        spark.createDataFrame([r for r in rows if r[1] in part], schema).coalesce(1).write.parquet(f"{root}/in/{name}")
+        st.report_batches(st.rollout_stream(spark, f"{root}/in", schema), f"{root}/out", f"{root}/ck")
+        back = spark.read.schema(st._R3_OUT).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+        return sorted((r.micro_batch, r.gen_batch, r.n_rows) for r in back.collect())
+    assert arrive((0, 1, 2), "a") == [(b, b, b + 1) for b in range(3)]
+    assert arrive((3, 4, 5), "b") == [(b, b, b + 1) for b in range(6)]
+    assert arrive((6, 7, 8, None), "c") == [(b, b, b + 1) for b in range(9)] + [(9, None, 1)]
