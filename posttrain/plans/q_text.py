@@ -181,8 +181,8 @@ def q_tokenize_vocabulary(spark, sf):
     """T12 with a vocabulary built from all turns: ids, cut at 200, and their text."""
     from posttrain.operators import vocab
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    words = vocab.build_vocabulary(c, min_count=2)
-    ids = vocab.encode(c, words, ["conv_id", "turn"], max_length=200)
+    words = materialize(vocab.build_vocabulary(c, min_count=2), "vocabulary")
+    ids = materialize(vocab.encode(c, words, ["conv_id", "turn"], max_length=200), "ids")  # both are read more than once
     text = vocab.decode(ids, words, ["conv_id", "turn"], unknown="?", out="decoded")
     return ids.join(text, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), "decoded")
 
