@@ -183,8 +183,9 @@ def q_tokenize_vocabulary(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     words = materialize(vocab.build_vocabulary(c, min_count=2), "vocabulary")
     ids = materialize(vocab.encode(c, words, ["conv_id", "turn"], max_length=200), "ids")  # both are read more than once
-    text = vocab.decode(ids, words, ["conv_id", "turn"], unknown="?", out="decoded")
-    return ids.join(text, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), "decoded")
+    text = vocab.decode(ids, words, ["conv_id", "turn", "ids"], unknown="?", out="decoded")
+    named = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    return text.where(named).select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), "decoded")
 
 
 @query("detokenize", """

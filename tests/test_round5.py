@@ -50,3 +50,12 @@ def test_decode_takes_null_lists_null_ids_and_ids_without_a_piece(spark):
     rows = [(1, [1, None, 2]), (2, None), (3, []), (4, [1 << 40, 0, 9, -3, 1 << 41]), (5, [1 << 40, 1 << 40])]
     got = vocab.decode(spark.createDataFrame(rows, "k long, ids array<long>"), v, ["k"], unknown="?").collect()
     assert sorted((r.k, r.text) for r in got) == [(1, "a?b"), (2, ""), (3, ""), (4, "far????"), (5, "farfar")]
+
+
+def test_tokenize_vocabulary_keeps_rows_of_one_key_apart(spark, tmp_path):
+    from posttrain.plans.q_text import q_tokenize_vocabulary
+    rows = [(1, 0, "a b a"), (1, 0, "b a"), (1, 0, "b a"), (2, None, "a"), (2, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.turn, r.ids, r.decoded) for r in q_tokenize_vocabulary(spark, str(tmp_path)).collect())
+    # by falling count: "a" 5, " " 4, "b" 3
+    assert got == [(1, 0, "1,2,3,2,1", "a b a"), (1, 0, "3,2,1", "b a"), (1, 0, "3,2,1", "b a"), (2, 1, "", "")]
